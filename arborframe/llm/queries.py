@@ -1,9 +1,16 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op5_top_k": top_k.op5_top_k,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
+ORACLES = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op5_top_k": top_k.OP5_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
-ORACLES = {"op2_mixing": mixing.OP2_SQL}
