@@ -144,3 +144,29 @@ def grams(words: Words, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         out += h[k : len(h) - n + 1 + k]
     first = np.flatnonzero(words.doc[: len(h) - n + 1] == words.doc[n - 1 :])
     return mix(out[first], seed), first
+
+
+_CLASS = np.full(256, 3, np.int8)  # other signs
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[[*range(0x30, 0x3A)]] = 2
+
+
+def runs(column: pa.Array | pa.ChunkedArray) -> Words:
+    """Runs of letters (and non-ASCII characters), of digits and of other signs, in their case."""
+    data, offsets = utf8(column)
+    kind = _CLASS[data]
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    edge = np.flatnonzero(change)
+    starts, ends = edge[:-1], edge[1:]
+    keep = kind[starts] != 0 if len(starts) else np.empty(0, bool)
+    starts, ends = starts[keep], ends[keep]
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    return Words(data, starts, ends, doc, _hashes(data, starts, ends), len(offsets) - 1)
+
+
+def is_letter(words: Words) -> np.ndarray:
+    """Of runs: whether each is made of letters."""
+    return _CLASS[words.data[words.starts]] == 1
