@@ -1,11 +1,12 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from . import decontamination, mixing, quality, sharding, token_counts, top_k
+from . import decontamination, mixing, near_duplicates, quality, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_top_k": top_k.op5_top_k,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_decontamination": decontamination.op10_decontamination,
