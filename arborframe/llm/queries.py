@@ -1,6 +1,6 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from . import decontamination, mixing, near_duplicates, personal_data, quality, sharding, token_counts, top_k
+from . import decontamination, html_text, mixing, near_duplicates, personal_data, quality, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_top_k": top_k.op5_top_k,
     "op7_personal_data": personal_data.op7_personal_data,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_html_text": html_text.op9_html_text,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
