@@ -1,6 +1,6 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from . import decontamination, html_text, mixing, near_duplicates, personal_data, quality, sharding, token_counts, top_k
+from . import decontamination, html_text, katz, mixing, near_duplicates, personal_data, quality, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_top_k": top_k.op5_top_k,
+    "op6_katz": katz.op6_katz,
     "op7_personal_data": personal_data.op7_personal_data,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_html_text": html_text.op9_html_text,
