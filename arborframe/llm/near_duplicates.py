@@ -13,10 +13,11 @@ signatures agree in a coordinate with the weighted Jaccard similarity.
 Signatures are cut into BANDS bands of ROWS coordinates: at similarity 0.8 a
 pair misses all bands with probability 4e-7. Equal texts are one node from the
 start. Within a bucket (texts that agree in a band) members are compared with
-the bucket's least member, on their exact sets of shingles; links join texts
-of Jaccard similarity 0.8 or more. Then components: only members that are in
-another component than their bucket's first are compared with the rest of the
-bucket. So a bucket of copies costs its size, not its square, and no link that
+the bucket's most ordinary member, on their exact sets of shingles; links join texts
+of Jaccard similarity 0.8 or more. Then components: the members of buckets that
+still hold several components are joined on the rarest elements of their sets
+(a prefix filter, which loses no pair of that similarity), across components
+only. So a bucket of copies costs its size, not its square, and no link that
 could join two classes is left out. No rows of a group meet in one task: it
 is all joins and partial aggregates, and class numbers come from large-star /
 small-star rounds on the links.
@@ -45,6 +46,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 K = BANDS * ROWS
 DARTS = 8 * K
+SKETCH, SKETCH_ROWS = 1 << 20, 256
 _FIRST_RANK = 0.5
 _TOP = 2.0**-64
 
@@ -192,6 +194,73 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(check, "a binary, b binary")
 
 
+def _occurrences(sets: DataFrame) -> np.ndarray:
+    """How often elements occur in the sets, in a table of SKETCH hashed counters (its size doesn't depend on the input)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column("set"):
+                np.add.at(total, _counter(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        if total.any():
+            parts = total.reshape(SKETCH_ROWS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.astype(np.int32).tobytes() for r in parts], pa.binary())], names=["part", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b, np.int32) for b in group.column("n").to_pylist()], axis=0, dtype=np.int64)
+        return pa.table({"part": group.column("part")[:1], "n": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    rows = sets.select("set").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()
+    return np.frombuffer(b"".join(r[1] for r in sorted(rows)), np.int32) if rows else np.zeros(SKETCH, np.int32)
+
+
+def _counter(elements_: np.ndarray) -> np.ndarray:
+    return (elements_ % np.uint64(SKETCH)).astype(np.int64)
+
+
+def _oddness(sets: DataFrame, counts) -> DataFrame:
+    """(node, odd): the sum of 1 / occurrences over the set; small for a text that is like many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [float((1.0 / np.maximum(counts.value[_counter(np.frombuffer(x.as_buffer(), np.uint64))], 1)).sum()) for x in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(odd, pa.float64())], names=["node", "odd"])
+
+    return sets.mapInArrow(run, "node binary, odd double")
+
+
+def _prefix_pairs(sets: DataFrame, counts, threshold: float) -> DataFrame:
+    """Pairs (a, b) of (node, set, root) with different roots that may reach the threshold: all that do are among them.
+
+    Two sets of that similarity share one of their first |s| - ceil(threshold |s|) + 1
+    elements in any order of all elements. The order is by occurrences, so that
+    what many texts share, such as passages, comes last and pairs nobody by
+    itself. Elements before the first shared one are in one set only, which
+    bounds what the sets can have in common.
+    """
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, rest = [], []
+            for x in batch.column("set"):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+                first.append(x[np.lexsort((x, counts.value[_counter(x)]))[:n]].view(np.int64))
+                rest.append(len(x) - np.arange(n))
+            at = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
+            size = pa.array([r[0] for r in rest], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(rest)), size.take(at), batch.column("node").take(at), batch.column("root").take(at)], names=["element", "rest", "size", "node", "root"])
+
+    first = cut(sets.select("node", "root", "set").mapInArrow(prefix, "element long, rest long, size long, node binary, root binary"))
+    groups = first.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").drop("most")
+    found = first.join(groups, "element")
+    apart = found.filter("root <> least").select("element", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
+    others = found.select("element", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    common = (F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    near = F.least("rest_a", "rest_b") >= common
+    return apart.join(others, "element").filter((F.col("root_a") != F.col("root_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, node (of its text), root (node of its class; null text: null). Cheap to read again."""
     source = docs.select(F.col(key).alias("__key"), node(F.col(text)).alias("node"), F.col(text).alias("__text"))
@@ -215,10 +284,8 @@ def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands")).select("bands", "node")
     buckets = nodes.mapInArrow(unpack, "bucket long, node binary")
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(buckets.join(least, "bucket"))
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-
+    several = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
+    members = cut(buckets.join(several, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
     ids = signed.select("key", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
@@ -233,16 +300,16 @@ def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     sets = cut(texts.mapInArrow(collect, "node binary, set binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
 
+    counts = docs.sparkSession.sparkContext.broadcast(_occurrences(sets))
+    centred = members.join(_oddness(sets, counts), "node")
+    heads = centred.groupBy("bucket").agg(F.min(F.struct("odd", "node")).alias("head")).select("bucket", F.col("head.node").alias("a"))
+    pairs = members.select("bucket", F.col("node").alias("b")).join(heads, "bucket").filter("a <> b").select("a", "b").distinct()
     links = cut(_similar(pairs, sets, threshold))
-    roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = roots.select(F.col("node").alias("least"), F.col("root").alias("first"))
-    placed = placed.join(first, "least", "left").withColumn("first", F.coalesce("first", "least")).select("bucket", "node", "root", "first")
-    apart = cut(placed.filter("root <> first").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("first").alias("__first")))
-    others = placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    more = apart.join(others, "bucket").filter("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    extra = cut(_similar(more, sets, threshold))
+    roots = cut(components(links))
+    placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+    open_ = placed.join(mixed, "bucket", "left_semi").select("node", "root").distinct()
+    extra = cut(_similar(_prefix_pairs(sets.join(open_, "node"), counts, threshold), sets, threshold))
     if not extra.isEmpty():
         roots = components(links.unionAll(extra))
     return signed.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
