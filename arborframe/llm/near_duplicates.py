@@ -325,9 +325,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class, that of the least (key, node); rows without a text stay."""
+    """docs with one row of each class, that of the least key (null last) and node; rows without a text stay."""
     found = cut(find_classes(docs, key, text, threshold))
-    kept = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("key", "node")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.node").alias("__node"))
+    kept = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "node")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.node").alias("__node"))
     same = F.col("__d.__own").eqNullSafe(F.col("__k.__node")) & F.col(f"__d.{key}").eqNullSafe(F.col("__k.__key"))
     keyed = docs.withColumn("__own", node(F.col(text)))
     out = keyed.alias("__d").join(kept.alias("__k"), same, "left_semi")

@@ -12,7 +12,8 @@ shard returns at most k rows per query, ranked by a last window per query.
 Defined cases: null vectors and vectors with null or non-finite components
 take no part; an inner product needs vectors of equal length, others are no
 candidates; ties go to the smaller id; rows that repeat an id are candidates
-each (no row of the query's own id is one); no candidates: no rows.
+each (no row of the query's own id is one); a score beyond the range of a long
+is held at its end; no candidates: no rows.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vecto
         ids, qids = c["id"].to_numpy(), q["id"].to_numpy()
         score, place = search(both[len(q) :], ids, both[: len(q)], qids, q["floor"].to_numpy(), k)
         w, j = np.nonzero(place >= 0)
-        return pd.DataFrame({"query_id": qids[w], "cand": ids[place[w, j]], "score": score[w, j].astype(np.int64)})
+        return pd.DataFrame({"query_id": qids[w], "cand": ids[place[w, j]], "score": np.clip(score[w, j], -(2**63), 2**63 - 1).astype(np.int64) if score.dtype == object else score[w, j].astype(np.int64)})
 
     on = ("block", "shard", "dim")
     found = asked.groupBy(*on).cogroup(there.groupBy(*on)).applyInPandas(joined, "query_id long, cand long, score long")
