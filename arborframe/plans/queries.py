@@ -13,6 +13,7 @@ from ..operators import graph as gr
 from ..operators import kernels as ke
 from ..operators import masks as ma
 from ..operators import neuron as ne
+from ..operators import paths as pa
 from ..operators import spatial as sp
 from ..operators import tree as t
 from ..operators.tables import cut
@@ -606,3 +607,18 @@ def spatial_greedy_views(spark, d):
 def spatial_aligned_views(spark, d):
     p = fx.points(spark, d)
     return sp.aligned_views(sp.local_views(p, sp.as_points(p.filter("vid % 10 = 0")), 12), p)
+
+
+@query()
+def skeleton_point_paths(spark, d):
+    p, e = fx.points(spark, d), _undirected(spark, d)
+    skel = cut(ke.skeletonize(p, e, 1500.0, min_component=3)[0]).select(F.col("skel_id").alias("mesh_id"), F.col("sid").alias("vid"))
+    both = gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False)
+    return pa.point_to_skeleton(fx.event_points(spark, d).filter("pid % 50 = 0"), p, fx.faces(spark, d), cut(both), skel)
+
+
+@query("SELECT skel_id, sid, CASE WHEN sid % 4 = 1 THEN (SELECT avg(u.w) FROM tree u WHERE (u.sid = t.parent OR u.parent = t.sid) AND u.sid % 4 <> 1) ELSE CAST(w AS DOUBLE) END AS radius FROM tree t WHERE sid % 4 <> 1", fx.TREE)
+def skeleton_fill_radius(spark, d):
+    tree = fx.tree(spark, d)
+    filled = pa.fill_radius(tree.select("skel_id", "sid", "parent", F.when(F.col("sid") % 4 != 1, F.col("w").cast("double")).alias("radius")))
+    return filled.filter("sid % 4 <> 1")
