@@ -46,6 +46,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 K = BANDS * ROWS
 DARTS = 8 * K
+LINKS_PER_TASK = 200_000
 SKETCH, SKETCH_ROWS = 1 << 20, 256
 _FIRST_RANK = 0.5
 _TOP = 2.0**-64
@@ -160,17 +161,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of the links (a, b); root is the least node of the component. Large-star, small-star."""
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
+    rows = edges.count()
     for _ in range(rounds):
+        few = max(1, -(-rows // LINKS_PER_TASK))  # links are far fewer than rows of documents
+        edges = edges.coalesce(few)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).coalesce(few).distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b")
+        small = large.join(down, "b").coalesce(few)
         edges = cut(small.select(F.col("m").alias("a"), "b").unionAll(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = now
+        state, rows = now, now[0]
     raise RuntimeError("components did not settle")
 
 
