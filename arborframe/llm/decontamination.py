@@ -7,8 +7,7 @@ suffix of every benchmark item is binary-searched in it. The two neighbours of
 the insertion point give the suffix's longest verbatim match and its location;
 the interval that starts with the suffix's first `window` words gives all
 occurrences, whose words are hit. There is no shuffle: the benchmark is sent
-to every task in blocks of at most BLOCK_WORDS words (a proven bound), one
-pass over the texts per block.
+to every task in blocks of at most BLOCK_WORDS words (a proven bound each).
 
 Words are maximal runs of ASCII digits, letters (A-Z lowered) and non-ASCII
 characters. They are compared as 64-bit hashes.
@@ -161,22 +160,23 @@ def occurrences(shard: Shard, items: Items, window: int) -> tuple[np.ndarray, np
     return shard.suffixes[base + np.arange(int(count.sum()))], np.repeat(length, count), np.repeat(item, count)
 
 
-def _mark(texts: pa.Array, items: Items, window: int) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]:
-    """Per row: words, positions hit, and the items hit."""
+def _judge(texts: pa.Array, blocks: list[Items], window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Per row: words, words hit, and the ids of the items hit."""
     words = scan(texts, ALNUM)
-    n = words.n_docs
-    first = first_of_doc(words)
+    n, first = words.n_docs, first_of_doc(words)
     shard, index = make_shard(words.hashes, words.doc, n, window)
-    at, length, item = occurrences(shard, items, window)
-    at = index[at]
     edge = np.zeros(len(words.hashes) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
+    found: list[set[str]] = [set() for _ in range(n)]
+    for items in blocks:
+        at, length, item = occurrences(shard, items, window)
+        at = index[at]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        many = max(len(items.ids), 1)
+        for pair in np.unique(words.doc[at] * many + item).tolist() if len(at) else ():
+            found[pair // many].add(items.ids[pair % many])
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    pair = np.unique(words.doc[at] * np.int64(max(len(items.ids), 1)) + item) if len(at) else np.empty(0, np.int64)
-    doc, what = pair // max(len(items.ids), 1), pair % max(len(items.ids), 1)
-    cut = np.searchsorted(doc, np.arange(n + 1))
-    return np.diff(first), np.diff(hit[first]), [what[cut[i] : cut[i + 1]].tolist() for i in range(n)]
+    return np.diff(first), np.diff(hit[first]), found
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
@@ -188,16 +188,16 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         if texts and size + n > BLOCK_WORDS:
             yield items_of(ids, pa.array(texts, pa.string()))
             ids, texts, size = [], [], 0
-        ids, texts, size = [*ids, i], [*texts, t], size + n
+        ids.append(i)
+        texts.append(t)
+        size += n
     yield items_of(ids, pa.array(texts, pa.string()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """All rows and columns of docs, with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    With a benchmark of several blocks the result has one more column pass per
-    block; a document's items are then joined in one pass over the texts with
-    all blocks in turn, so that memory holds one block's suffixes at a time.
+    The benchmark's blocks are searched one after another in the same suffix array.
     """
     blocks = list(blocks_of(benchmark, item_id, item_text))
     spark = docs.sparkSession
@@ -208,10 +208,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
-                parts = [(b, _mark(batch.column(text), Items(*b.value), window)) for b in shared]
-                n_words = parts[0][1][0]
-                hit = _hit_union(batch.column(text), parts, window) if len(parts) > 1 else parts[0][1][1]
-                found = [sorted({b.value[0][k] for b, p in parts for k in p[2][i]}) for i in range(batch.num_rows)]
+                n_words, hit, items = _judge(batch.column(text), [Items(*b.value) for b in shared], window)
+                found = [sorted(x) for x in items]
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else EMPTY_SHA for x in found]
                 made = [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sha, pa.string()), pa.array(hit > 0, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
@@ -219,19 +217,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return docs.mapInArrow(run, schema)
 
 
-def _hit_union(texts: pa.Array, parts: list, window: int) -> np.ndarray:
-    """Words hit by any of several blocks."""
-    words = scan(texts, ALNUM)
-    shard, index = make_shard(words.hashes, words.doc, words.n_docs, window)
-    edge = np.zeros(len(words.hashes) + 1, np.int64)
-    for b, _ in parts:
-        at, length, _ = occurrences(shard, Items(*b.value), window)
-        np.add.at(edge, index[at], 1)
-        np.add.at(edge, index[at] + length, -1)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return np.diff(hit[first_of_doc(words)])
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", at_least: int = WINDOW) -> DataFrame:
     """Longest verbatim match of every benchmark suffix per shard, with its location: item, start word, words, document, word.
 
