@@ -617,8 +617,11 @@ def skeleton_point_paths(spark, d):
     return pa.point_to_skeleton(fx.event_points(spark, d).filter("pid % 50 = 0"), p, fx.faces(spark, d), cut(both), skel)
 
 
-@query("SELECT skel_id, sid, CASE WHEN sid % 4 = 1 THEN (SELECT avg(u.w) FROM tree u WHERE (u.sid = t.parent OR u.parent = t.sid) AND u.sid % 4 <> 1) ELSE CAST(w AS DOUBLE) END AS radius FROM tree t WHERE sid % 4 <> 1", fx.TREE)
+@query(
+    """, nb AS (SELECT t.sid, u.w FROM tree t JOIN tree u ON u.sid = t.parent UNION ALL SELECT t.sid, u.w FROM tree t JOIN tree u ON u.parent = t.sid), mean AS (SELECT sid, avg(w) AS m FROM nb GROUP BY sid)
+SELECT t.skel_id, t.sid, CASE WHEN t.sid % 4 = 1 THEN m.m ELSE CAST(t.w AS DOUBLE) END AS radius FROM tree t LEFT JOIN mean m USING (sid)""",
+    fx.TREE,
+)
 def skeleton_fill_radius(spark, d):
-    tree = fx.tree(spark, d)
-    filled = pa.fill_radius(tree.select("skel_id", "sid", "parent", F.when(F.col("sid") % 4 != 1, F.col("w").cast("double")).alias("radius")))
-    return filled.filter("sid % 4 <> 1")
+    tree = fx.tree(spark, d)  # the neighbours of every fourth vertex are known, so that one round fills all
+    return pa.fill_radius(tree.select("skel_id", "sid", "parent", F.when(F.col("sid") % 4 != 1, F.col("w").cast("double")).alias("radius")))
