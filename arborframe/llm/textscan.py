@@ -27,7 +27,7 @@ _LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 22
+_SLICE = 1 << 19
 
 
 class Words(NamedTuple):
