@@ -1,29 +1,30 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A token is an element in its role: the path of structural elements (with their
-classes and ids) that leads to it; for text outside an article also the text
-itself. First pass: tokens that share their occurrence vector (how often they
+classes and ids) that leads to it; for text outside menus and the like also the
+text itself. First pass: tokens that share their occurrence vector (how often they
 occur on each page of the host) form an equivalence class. The vector is
 compared by a fingerprint, the sum over pages of a hash of the page times the
 count modulo 2**64, so that it adds up in partial aggregates and no host's
 pages ever meet in one task. Classes of two tokens or more that occur on at least
 half of the host's pages (three at least) are valid if their elements nest: every element's
-parent is in a class that occurs wherever it does. They make the host's
-template; the text that is itself a token of a valid class belongs to it.
+parent is in a class that occurs wherever it does (the elements around a text
+do anyway, as they are its role). They make the host's template; text that is
+itself a token of a valid class belongs to it in that element, inside articles
+as elsewhere.
 
 Second pass: a page is read against its host's template and the slots that the
 template leaves are extracted. Slots under elements for menus, headers,
 footers, sidebars, notices, adverts, forms or comments are no main text. If a
-page has articles (or a main element), their slots are it; else those of the
+page has articles (or a main element), their slots are it (all their text, if
+the template leaves no slot in them: copies of one page); else those of the
 template's element that holds the most text outside links of all the host's
-pages (the deepest with at least half of it), else all slots that
-are not mostly links. A page that the
-template doesn't fit, since its elements nest in another way, is read by
-itself.
+pages (the deepest with at least half of it), else all slots that are not
+mostly links. A page that the template doesn't fit, since fewer than half of the template's elements are on
+it in their places, is read by itself.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
-its own; text inside an article is never template, however often it repeats;
-repeated pages are extracted each; broken markup is read to its end (elements
+its own; repeated pages are extracted each; broken markup is read to its end (elements
 left open end with their parent, a tag cut off at the end is dropped).
 """
 
@@ -38,7 +39,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, free_name, slices
 
@@ -189,6 +189,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _text_mark(path: str, block: str) -> int:
+    """A text in its element's role; never 0."""
+    return _hash(f"{path}\0{block}") | 1
+
+
 def count_tokens(pages: list[tuple[str, int, str | None]]) -> dict[tuple[str, str, int], list[int]]:
     """(host, path, hash of the text or 0) -> fingerprint, pages, occurrences, characters outside links, characters; of a batch of pages."""
     out: dict[tuple[str, str, int], list[int]] = {}
@@ -197,11 +202,11 @@ def count_tokens(pages: list[tuple[str, int, str | None]]) -> dict[tuple[str, st
         for kind, part, block, link in read(page):
             if kind == "open":
                 seen.setdefault((host, part.path, 0), [0, 0, 0])[0] += 1
-            elif not part.chrome and not part.article and not part.main:
+            elif not part.chrome:
                 x = seen.setdefault((host, part.path, 0), [0, 0, 0])
                 x[1] += 0 if link else len(block)
                 x[2] += len(block)
-                seen.setdefault((host, part.path, _hash(block) | 1), [0, 0, 0])[0] += 1
+                seen.setdefault((host, part.path, _text_mark(part.path, block)), [0, 0, 0])[0] += 1
         seen.setdefault((host, "", 0), [0, 0, 0])[0] += 1
         for k, (n, plain, chars) in seen.items():
             x = out.setdefault(k, [0, 0, 0, 0, 0])
@@ -231,15 +236,17 @@ def templates(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
     tokens = rows.groupBy("host", "path", "text").agg(
         F.expr("pmod(sum(cast(mark as decimal(20,0))), 18446744073709551616)").alias("mark"), *[F.sum(c).alias(c) for c in ("pages", "n", "plain", "chars")]
     )
-    host = Window.partitionBy("host")
-    tokens = tokens.withColumn("all", F.max(F.when(F.col("path") == "", F.col("pages"))).over(host)).filter((F.col("pages") * 2 >= F.col("all")) & (F.col("pages") >= MIN_PAGES) | (F.col("plain") > 0))
-    classes = Window.partitionBy("host", "mark")
-    tokens = tokens.withColumns({"size": F.count("*").over(classes), "frequent": (F.col("pages") * 2 >= F.col("all")) & (F.col("pages") >= MIN_PAGES)})
-    tokens = tokens.withColumn("valid", F.col("frequent") & (F.col("size") >= 2))
+    # most texts occur once: they go before anything is asked of their host
+    tokens = cut(tokens.filter((F.col("pages") >= MIN_PAGES) | (F.col("plain") > 0) | ((F.col("path") == "") & (F.col("text") == 0))))
+    hosts = tokens.filter("path = '' and text = 0").select("host", F.col("pages").alias("all"))
+    frequent = (F.col("pages") * 2 >= F.col("all")) & (F.col("pages") >= MIN_PAGES)
+    tokens = tokens.join(hosts, "host").withColumn("frequent", frequent).filter("frequent or plain > 0")
+    classes = tokens.filter("frequent").groupBy("host", "mark").agg(F.count("*").alias("size"))
+    tokens = cut(tokens.join(classes, ["host", "mark"], "left").withColumn("valid", F.col("frequent") & (F.coalesce("size", F.lit(0)) >= 2)))
     up = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     parents = tokens.filter("valid and text = 0").select("host", F.col("path").alias("up"), F.col("pages").alias("up_pages"))
-    nested = tokens.withColumn("up", F.when(F.col("text") != 0, F.col("path")).otherwise(up)).join(parents, ["host", "up"], "left")
-    nested = nested.withColumn("valid", F.col("valid") & ((F.col("path") == "") | (F.col("up_pages") >= F.col("pages"))))
+    nested = tokens.withColumn("up", up).join(parents, ["host", "up"], "left")
+    nested = nested.withColumn("valid", F.col("valid") & ((F.col("text") != 0) | (F.col("path") == "") | F.coalesce(F.col("up_pages") >= F.col("pages"), F.lit(False))))
     steps = F.split("path", "/")
     up_to = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
     held = nested.filter("plain > 0 and path <> ''").select("host", F.explode(up_to).alias("path"), "plain").groupBy("host", "path").agg(F.sum("plain").alias("held"))
@@ -257,7 +264,7 @@ def templates(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
 def extract(page: str | None, paths: set[str] | None, texts: set[int], main: str | None) -> str:
     """The main text of a page; paths, texts and main are its host's template."""
     blocks = []
-    opened_ = set()
+    opened_ = {""}
     article = main_element = False
     for kind, part, block, link in read(page):
         if kind == "open":
@@ -266,15 +273,17 @@ def extract(page: str | None, paths: set[str] | None, texts: set[int], main: str
             main_element |= part.main
         elif not part.chrome:
             blocks.append((part, block, link))
+    fits = bool(paths) and 2 * len(paths & opened_) >= len(paths)
+    slots = [x for x in blocks if _signed(_text_mark(x[0].path, x[1])) not in texts] if fits else blocks
     if article:
-        return " ".join(b for p, b, _ in blocks if p.article)
+        return " ".join([b for p, b, _ in slots if p.article] or [b for p, b, _ in blocks if p.article])
     if main_element:
-        return " ".join(b for p, b, _ in blocks if p.main)
-    if main and main in opened_:
-        blocks = [x for x in blocks if x[0].path == main or x[0].path.startswith(main + "/")]
+        return " ".join([b for p, b, _ in slots if p.main] or [b for p, b, _ in blocks if p.main])
+    if fits and main and main in opened_:
+        slots = [x for x in slots if x[0].path == main or x[0].path.startswith(main + "/")]
     else:
-        blocks = [x for x in blocks if not x[2]]
-    return " ".join(b for _, b, _ in blocks if not paths or _signed(_hash(b) | 1) not in texts)
+        slots = [x for x in slots if not x[2]]
+    return " ".join(b for _, b, _ in slots)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:

@@ -51,3 +51,16 @@ def test_whole_table_against_a_plain_reading(spark, sf):
     for r in h.extract_text(pages).collect():
         own = re.search(r"<article>(.*?)</article", r["html"], re.S)
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", own[1])).split())
+
+
+def test_template_texts_inside_articles_go(spark):
+    def body(i):
+        return f'<article><p class="by">Written by the desk</p><p>Text {i} of this page.</p><p>Written by the desk</p><p>Sign up for our letter</p></article>'
+
+    # three texts repeat on five pages of six; the sixth and the other host have texts like them, which stay
+    rows = [(i, f"http://h.example/{i}", page(i, body(i) if i else "<article><p>Text 0, Written by hand</p><p>Written by the desk?</p></article>")) for i in range(6)]
+    rows.append((9, "http://other.example/", page(9, "<article><p>Sign up for our letter</p><p>Text 9</p></article>")))
+    got = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Text 0, Written by hand Written by the desk?" and got[9] == "Sign up for our letter Text 9"
+    for i in range(1, 6):
+        assert got[i] == f"Text {i} of this page."
