@@ -1,14 +1,15 @@
 """Near duplicates by DartMinHash signatures, banded joining and an exact check.
 
 Elements are a text's distinct shingles of five words (of all its words, where
-it has fewer), each weighted 1 + log2(its occurrences). Every element owns the
+it has fewer), each of weight 1 however often it occurs, as in the exact check
+below. Every element owns the
 same Poisson process of darts in the plane of weight and rank for all texts:
 the plane is cut into dyadic regions, a hash of (element, region) draws the
 number of darts and their places. A text collects the darts under its weights
 with rank below t / (its total weight), about t in all whatever its length;
 a dart's hash gives its coordinate and the earliest dart of each coordinate is
 the signature. Texts with an empty coordinate are thrown at with 2 t. Two
-signatures agree in a coordinate with the weighted Jaccard similarity.
+signatures agree in a coordinate with the Jaccard similarity of the sets.
 
 Signatures are cut into BANDS bands of ROWS coordinates: at similarity 0.8 a
 pair misses all bands with probability 4e-7. Equal texts are one node from the
@@ -17,8 +18,8 @@ the bucket's most ordinary member, on their exact sets of shingles; links join t
 of Jaccard similarity 0.8 or more. Then components: the members of buckets that
 still hold several components are joined on the rarest elements of their sets
 (a prefix filter, which loses no pair of that similarity), across components
-only. So a bucket of copies costs its size, not its square, and no link that
-could join two classes is left out. No rows of a group meet in one task: it
+only. So a bucket of copies costs its size, not its square, and no link within
+a bucket that could join two classes is left out. No rows of a group meet in one task: it
 is all joins and partial aggregates, and class numbers come from large-star /
 small-star rounds on the links.
 
@@ -76,8 +77,7 @@ def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(hashes)))
-    return hashes[at], doc[at], 1 + np.log2(count), n
+    return hashes[at], doc[at], np.ones(len(at)), n
 
 
 def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
