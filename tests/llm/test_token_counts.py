@@ -42,3 +42,17 @@ def test_fields(edge):
     assert set(got["section"]) == {"lang", "source", "text"} and len(got) == 3 * edge.count()
     with pytest.raises(ValueError, match="other"):
         tc.count_tokens(edge, rule="other")
+
+
+def test_long_runs_are_encoded_whole():
+    enc, lengths = tc.encoder(tc.VOCABULARY)
+    r = np.random.default_rng(8)
+    commas = ",".join(map(str, r.integers(0, 10**6, 8000)))
+    letters = "".join(r.choice(list("etaoinshr"), 30_000))
+    spaces = ["".join(r.choice(list(kinds), 20_000)) for kinds in (" ", "\n", " \n", " \t\n\u3000\xa0", "\u2003\x85 ")]
+    texts = [commas, letters, "a " + commas + " b", "漢字仮名" * 5000, "\x1c" * 20_000]
+    texts += [f"{a}{s}{b}" for s in spaces for a in ("", "x", "(", "it's") for b in ("", "y", " y", "\ny", "7", "'s", "!\n")]
+    for text in texts:
+        assert tc.encode(enc, text).tolist() == enc.encode_ordinary(text)
+    for run in (" " * 2_000_000, "a" + "\n \t" * 700_000 + "b"):
+        assert lengths[tc.encode(enc, run)].sum() == len(run)
