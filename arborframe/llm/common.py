@@ -7,7 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +46,10 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about max_bytes of text each, one row at least: nothing is left out."""
+    """Parts of a batch of like size, max_bytes of text at most but one row at least: nothing is left out."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    whole = int(lengths.sum())
+    max_bytes = whole / max(1, -(-whole // max_bytes))
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > max_bytes:
@@ -53,3 +58,20 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         total += int(n)
     if len(lengths) > start:
         yield batch.slice(start)
+
+
+def bitmap(rows: DataFrame, column: Column) -> DataFrame:
+    """A bitmap of FILTER_BITS bits (8 MB) of the column's hashes, in rows of 4 KB: what the filter of maybe_in is."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    return cut(rows.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits")))
+
+
+def maybe_in(rows: DataFrame, column: Column, bits: DataFrame, name: str) -> DataFrame:
+    """Append a boolean that is true for all values of which bits was made, and for few others (for all, once the bitmap is full)."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    place = F.bitmap_bit_position(at)
+    part, held = free_name(rows.columns, "__part"), free_name(rows.columns, "__bits")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    joined = rows.join(F.broadcast(bits.select(F.col("__part").alias(part), F.col("__bits").alias(held))), F.bitmap_bucket_number(at) == F.col(part), "left")
+    return joined.withColumn(name, hit).drop(part, held)

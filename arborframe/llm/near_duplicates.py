@@ -37,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, free_name, slices
+from .common import bitmap, cut, free_name, maybe_in, slices
 from .textscan import ALNUM, first_of_doc, grams, mix, scan
 
 SHINGLE = 5
@@ -47,7 +48,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 K = BANDS * ROWS
 DARTS = 8 * K
-LINKS_PER_TASK = 200_000
 SKETCH, SKETCH_ROWS = 1 << 20, 256
 _FIRST_RANK = 0.5
 _TOP = 2.0**-64
@@ -70,8 +70,9 @@ def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
 
 
 def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Distinct shingles of each row in the order of rows, their rows and weights."""
+    """Distinct shingles (hashes of 48 bits) of each row in the order of rows, their rows and weights."""
     hashes, doc, n = shingles(texts)
+    hashes = hashes >> np.uint64(16)
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     new = np.ones(len(hashes), bool)
@@ -120,9 +121,8 @@ def darts(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, max_rank: np
     return np.concatenate(rows), np.concatenate(ranks), np.concatenate(ids)
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """n x K signatures, and which rows have one (a text without words has none)."""
-    element, doc, weight, n = elements(texts)
+def signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n x K signatures of the rows' elements, and which rows have one (a text without words has none)."""
     total = np.bincount(doc, weights=weight, minlength=n)
     out = np.zeros((n, K), np.uint64)
     todo = total > 0
@@ -160,34 +160,46 @@ def node(text: Column) -> Column:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of the links (a, b); root is the least node of the component. Large-star, small-star."""
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
-    rows = edges.count()
     for _ in range(rounds):
-        few = max(1, -(-rows // LINKS_PER_TASK))  # links are far fewer than rows of documents
-        edges = edges.coalesce(few)
+        ends = edges.select(F.col("b").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(edges.select(F.col("a").alias("n"), F.lit(0), F.lit(1)))
+        if ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below + above > 1").isEmpty():
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))  # all are stars
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).coalesce(few).distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").coalesce(few)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         edges = cut(small.select(F.col("m").alias("a"), "b").unionAll(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state, rows = now, now[0]
     raise RuntimeError("components did not settle")
 
 
+def pack_set(x: np.ndarray) -> bytes:
+    """Ascending elements of 48 bits: their number and the bytes of their differences, plane by plane, compressed."""
+    delta = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6]
+    return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(delta.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_set(blob) -> np.ndarray:
+    blob = memoryview(blob.as_buffer() if isinstance(blob, pa.Scalar) else blob)
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(blob[4:]), decompressed_size=6 * n, codec="zstd"), np.uint8)
+    delta = np.zeros((n, 8), np.uint8)
+    delta[:, :6] = planes.reshape(6, n).T
+    return np.cumsum(delta.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least threshold."""
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     both = second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, set_a, set_b in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
+                if a != last:  # rows come in the order of a
+                    last, x = a, unpack_set(set_a)
+                y = unpack_set(set_b)
                 if min(len(x), len(y)) < threshold * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -205,34 +217,22 @@ def _occurrences(sets: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for x in batch.column("set"):
-                np.add.at(total, _counter(np.frombuffer(x.as_buffer(), np.uint64)), 1)
-        if total.any():
-            parts = total.reshape(SKETCH_ROWS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.astype(np.int32).tobytes() for r in parts], pa.binary())], names=["part", "n"])
+                np.add.at(total, _counter(unpack_set(x)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(b, np.int32) for b in group.column("n").to_pylist()], axis=0, dtype=np.int64)
-        return pa.table({"part": group.column("part")[:1], "n": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    rows = sets.select("set").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()
-    return np.frombuffer(b"".join(r[1] for r in sorted(rows)), np.int32) if rows else np.zeros(SKETCH, np.int32)
+    rows = sets.select("set").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    rows = rows.groupBy((F.col("at") % SKETCH_ROWS).alias("part")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    out = np.zeros(SKETCH, np.int32)
+    for r in rows.toLocalIterator():
+        out[np.array(r["at"])] = np.minimum(np.array(r["n"]), 2**31 - 1)
+    return out
 
 
 def _counter(elements_: np.ndarray) -> np.ndarray:
     return (elements_ % np.uint64(SKETCH)).astype(np.int64)
 
 
-def _oddness(sets: DataFrame, counts) -> DataFrame:
-    """(node, odd): the sum of 1 / occurrences over the set; small for a text that is like many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            odd = [float((1.0 / np.maximum(counts.value[_counter(np.frombuffer(x.as_buffer(), np.uint64))], 1)).sum()) for x in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(odd, pa.float64())], names=["node", "odd"])
-
-    return sets.mapInArrow(run, "node binary, odd double")
-
-
 def _prefix_pairs(sets: DataFrame, counts, threshold: float) -> DataFrame:
     """Pairs (a, b) of (node, set, root) with different roots that may reach the threshold: all that do are among them.
 
@@ -247,13 +247,14 @@ def _prefix_pairs(sets: DataFrame, counts, threshold: float) -> DataFrame:
         for batch in batches:
             first, rest = [], []
             for x in batch.column("set"):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
+                x = unpack_set(x)
                 n = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
                 first.append(x[np.lexsort((x, counts.value[_counter(x)]))[:n]].view(np.int64))
                 rest.append(len(x) - np.arange(n))
             at = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
             size = pa.array([r[0] for r in rest], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(rest)), size.take(at), batch.column("node").take(at), batch.column("root").take(at)], names=["element", "rest", "size", "node", "root"])
+            flat = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (first, rest)]
+            yield pa.RecordBatch.from_arrays([*flat, size.take(at), batch.column("node").take(at), batch.column("root").take(at)], names=["element", "rest", "size", "node", "root"])
 
     first = cut(sets.select("node", "root", "set").mapInArrow(prefix, "element long, rest long, size long, node binary, root binary"))
     groups = first.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").drop("most")
@@ -265,20 +266,22 @@ def _prefix_pairs(sets: DataFrame, counts, threshold: float) -> DataFrame:
     return apart.join(others, "element").filter((F.col("root_a") != F.col("root_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: key, node (of its text), root (node of its class; null text: null). Cheap to read again."""
+def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(key, node of its text) of each row of docs, and (node, root) of the nodes that are linked to others; a null text has no node. Both cheap to read again."""
     source = docs.select(F.col(key).alias("__key"), node(F.col(text)).alias("node"), F.col(text).alias("__text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 20):
-                signature, has = signatures(batch.column("__text"))
-                keys = band_keys(signature)
-                made = [k.tobytes() if h else None for k, h in zip(keys, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("node"), pa.array(made, pa.binary())], names=["key", "node", "bands"])
+                element, doc, weight, n = elements(batch.column("__text"))
+                signature, has = signatures(element, doc, weight, n)
+                keys, at = band_keys(signature), np.searchsorted(doc, np.arange(n + 1))
+                bands = [k.tobytes() if h else None for k, h in zip(keys, has, strict=True)]
+                sets = [pack_set(element[at[i] : at[i + 1]]) if h else None for i, h in enumerate(has)]
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("node"), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], names=["key", "node", "bands", "set"])
 
     kind = docs.schema[key].dataType.simpleString()
-    signed = cut(source.mapInArrow(sign, f"key {kind}, node binary, bands binary"))
+    signed = cut(source.mapInArrow(sign, f"key {kind}, node binary, bands binary, set binary"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,57 +291,78 @@ def find_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands")).select("bands", "node")
     buckets = nodes.mapInArrow(unpack, "bucket long, node binary")
-    several = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = cut(buckets.join(several, "bucket", "left_semi"))
-    wanted = members.select("node").distinct()
-    ids = signed.select("key", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    texts = texts.join(ids.select(F.col("key").alias("__id")).distinct(), F.col("__key").eqNullSafe(F.col("__id")), "left_semi").select(node(F.col("__text")).alias("node"), "__text")
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__text", 1 << 20):
-                element, doc, _, n = elements(batch.column("__text"))
-                at = np.searchsorted(doc, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([element[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["node", "set"])
-
-    sets = cut(texts.mapInArrow(collect, "node binary, set binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
-
-    counts = docs.sparkSession.sparkContext.broadcast(_occurrences(sets))
-    centred = members.join(_oddness(sets, counts), "node")
-    heads = centred.groupBy("bucket").agg(F.min(F.struct("odd", "node")).alias("head")).select("bucket", F.col("head.node").alias("a"))
-    pairs = members.select("bucket", F.col("node").alias("b")).join(heads, "bucket").filter("a <> b").select("a", "b").distinct()
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(buckets.join(several, "bucket"))
+    # a bucket's head is its member with the most neighbours over all its buckets: what the others were made from, if they are copies
+    central = members.groupBy("node").agg(F.sum("n").alias("near"))
+    heads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("near", "node")).alias("head")).select("bucket", F.col("head.node").alias("a"))
+    pairs = cut(members.select("bucket", F.col("node").alias("b")).join(heads, "bucket").filter("a <> b").select("a", "b").distinct())
+    wanted = maybe_in(signed.filter("set is not null").select("node", "set"), F.col("node"), bitmap(members, F.col("node")), "hit").filter("hit")
+    sets = cut(wanted.groupBy("node").agg(F.first("set").alias("set")))
     links = cut(_similar(pairs, sets, threshold))
-    roots = cut(components(links))
+    roots = components(links)
     placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi").select("node", "root").distinct()
-    extra = cut(_similar(_prefix_pairs(sets.join(open_, "node"), counts, threshold), sets, threshold))
-    if not extra.isEmpty():
-        roots = components(links.unionAll(extra))
-    return signed.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = cut(placed.join(mixed, "bucket", "left_semi").select("node", "root").distinct())
+    if not open_.isEmpty():
+        apart = cut(sets.join(open_, "node"))
+        counts = docs.sparkSession.sparkContext.broadcast(_occurrences(apart))
+        extra = cut(_similar(_prefix_pairs(apart, counts, threshold), sets, threshold))
+        counts.destroy()
+        if not extra.isEmpty():  # links between roots, and the roots' roots
+            up = open_.select("node", "root")
+            between = extra.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            above = components(between).toDF("root", "top")
+            known = roots.unionAll(roots.select(F.col("root").alias("node"), "root")).unionAll(open_).distinct()
+            roots = cut(known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return signed.select("key", "node"), roots
+
+
+def _named(found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, least key, rows, root) of all nodes; (root, least of (key is null, key, node), rows) of all classes."""
+    least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "node"))
+    per = found.filter("node is not null").groupBy("node").agg(least.alias("k"), F.count("*").alias("n")).join(roots, "node", "left")
+    per = cut(per.withColumn("root", F.coalesce("root", "node")))
+    return per, cut(per.groupBy("root").agg(F.min("k").alias("k"), F.sum("n").alias("n")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, class_id (the least key of its class), class_size."""
-    found = find_classes(docs, key, text, threshold)
+    found, roots = find_classes(docs, key, text, threshold)
     class_id, size = free_name([key], "class_id"), free_name([key], "class_size")
-    classes = found.filter("root is not null").groupBy("root").agg(F.min("key").alias(class_id), F.count("*").alias(size))
-    joined = found.join(classes, "root", "left")
-    return joined.select(F.col("key").alias(key), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col(class_id)).alias(class_id), F.coalesce(size, F.lit(1)).cast("long").alias(size))
+    per, classes = _named(found, roots)
+    named = cut(per.select("node", "root").join(classes, "root").select("node", F.col("k.key").alias("least"), F.col("n")))
+    joined = found.join(named, "node", "left")
+    return joined.select(F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("least")).alias(class_id), F.coalesce("n", F.lit(1)).cast("long").alias(size))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class, that of the least key (null last) and node; rows without a text stay."""
-    found = cut(find_classes(docs, key, text, threshold))
-    kept = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "node")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.node").alias("__node"))
-    same = F.col("__d.__own").eqNullSafe(F.col("__k.__node")) & F.col(f"__d.{key}").eqNullSafe(F.col("__k.__key"))
-    keyed = docs.withColumn("__own", node(F.col(text)))
-    out = keyed.alias("__d").join(kept.alias("__k"), same, "left_semi")
-    repeats = found.filter("root is not null").groupBy("key", "node").count().filter("count > 1")
-    if not repeats.isEmpty():
-        out = out.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__own").orderBy(key))).filter("__n = 1")
-    return out.select(*docs.columns).unionByName(docs.filter(F.col(text).isNull()))
+    """docs with one row of each class, that of the least key (null last) and node; rows without a text stay.
+
+    Most rows are not dropped: a bitmap of those that are lets the others pass
+    without a shuffle, and the exact join decides about the rest.
+    """
+    found, roots = find_classes(docs, key, text, threshold)
+    per, classes = _named(found, roots)
+    kept = classes.select(F.col("k.key").alias("key"), F.col("k.node").alias("node"))
+    counted = found.filter("node is not null").groupBy("key", "node").agg(F.count("*").alias("n")).alias("f")
+    same = F.col("f.key").eqNullSafe(F.col("k.key")) & (F.col("f.node") == F.col("k.node"))
+    told = counted.join(kept.withColumn("kept", F.lit(True)).alias("k"), same, "left").select("f.key", "f.node", "n", "kept")
+    told = cut(told.filter("kept is null or n > 1"))  # rows to drop, and rows that repeat with their key
+    own, hit = free_name(docs.columns, "__own"), free_name([*docs.columns, "__own"], "__hit")
+    marked = maybe_in(docs.withColumn(own, node(F.col(text))), F.col(own), bitmap(told, F.col("node")), hit)
+    sure = marked.filter(~F.col(hit) | F.col(own).isNull()).select(*docs.columns)
+    rest = marked.filter(F.col(hit) & F.col(own).isNotNull()).alias("d")
+    one, keep = free_name(docs.columns, "__n"), free_name(docs.columns, "__kept")
+    judged = rest.join(told.select("key", "node", "n", F.coalesce("kept", F.lit(False)).alias(keep)).alias("t"), F.col(f"d.{own}").eqNullSafe(F.col("t.node")) & F.col(f"d.{key}").eqNullSafe(F.col("t.key")), "left")
+    judged = judged.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns], F.col("t.n").alias(one), F.col(f"t.{keep}").alias(keep), F.col(f"d.{own}").alias(own))
+    single = judged.filter(F.col(keep).isNull()).select(*docs.columns)
+    out = sure.unionByName(single)
+    if told.filter("kept and n > 1").isEmpty():
+        return out
+    repeated = judged.filter(F.col(keep))
+    order = Window.partitionBy(key, own).orderBy(*[F.col(c) for c in sorted(docs.columns) if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))])
+    return out.unionByName(repeated.withColumn(one, F.row_number().over(order)).filter(F.col(one) == 1).select(*docs.columns))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -1,24 +1,35 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network.
 
 Word vectors. A token is a run of letters, of digits or of other signs, in its
-case. It falls into one of BUCKETS hashed vocabulary entries (the bound of the
-table) and has a fixed sparse index vector: NONZERO entries of +1 or -1 among
-DIM. Over the whole corpus each entry adds up the index vectors of the tokens
-beside its occurrences: its context vector. Tasks add up in a dense array and
-Spark sums these by entry, so what is shuffled is at most BUCKETS rows a task.
-
-Documents. A document's vector is the mean of its tokens' unit-length
-[context; index] vectors; a letter token that repeats the one before it counts
-as a vocabulary entry of its own, REPEAT, instead. Network: one hidden tanh layer and a sigmoid output,
-trained in numpy (Adam, weighted classes) on at most MAX_TRAIN labelled rows,
-those with the smallest hashes of their id; a fifth of them is held back to
-fit the temperature that calibrates the probabilities.
+case. Its sparse index vector has NONZERO entries of +1 or -1 among DIM, drawn
+by the token's own 64-bit hash. Over the whole corpus each token adds up the
+index vectors of the tokens beside its occurrences: its context vector. A word
+vector is the unit context vector, the unit index vector and their cosine (how
+much the word stands beside itself). No vocabulary is folded or cut off.
+
+Documents. A document's vector is the mean of its tokens' vectors. Network: one
+hidden tanh layer and a sigmoid output, trained in numpy (Adam, weighted
+classes) on at most MAX_TRAIN labelled rows, those with the smallest hashes of
+their id; a fifth of them is held back to fit the temperature that calibrates
+the probabilities.
+
+How it is spread. Tasks read the texts in slices, count a slice's contexts and
+deal them by word into partitions (about PART_BYTES of text each), which add
+them up: the table of context vectors, partitioned by word. The hidden layer is
+linear before its tanh, so it is applied to the words before pooling: a
+partition answers a slice with HIDDEN numbers for each of its words, and the
+slice's documents add these up. The labelled rows' vectors, which train the
+network, are asked for beforehand in the same way. Only these (at most
+MAX_TRAIN) come to the driver. What the slices deal is one shuffle, written
+once and read by three jobs (so it is an RDD).
 
 Defined cases: null and empty texts have the zero vector and the score that
-the network gives it; labels that are null, not 0 or 1, or without a document
-are ignored; an id labelled both ways counts as both; with one class or none
-in the labels all documents score that class' rate (or 0.5); repeated
-documents score alike; further columns are kept.
+the network gives it; very long texts are read whole; labels that are null, not
+0 or 1, or without a document are ignored; an id labelled both ways counts as
+both; with one class or none in the labels all documents score that class' rate
+(or 0.5); repeated documents score alike; an empty table gives an empty result;
+further columns are kept, and a result that would clash with one of them gets a
+trailing underscore.
 """
 
 from __future__ import annotations
@@ -27,99 +38,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
-from .textscan import Words, is_letter, mix, runs
+from .common import bitmap, cut, free_name, maybe_in, slices
+from .packing import by_part, deal, kinds, pack, pack_rows, small, unpack, unpack_rows, unpack_sorted
+from .textscan import first_of_doc, mix, runs
 
-BUCKETS = 1 << 14
-REPEAT = BUCKETS
 DIM = 48
-NONZERO = 4
-HIDDEN = 24
-MAX_TRAIN = 20_000
+NONZERO = 2
+HIDDEN = 6
+MAX_TRAIN = 4_000
 THRESHOLD = 0.3
+SLICE_BYTES = 16 << 20
+PART_BYTES = 16 << 20
+WIDTH = 2 * DIM + 1
 
 
 def held_out(key: Column, folds: int) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % folds == 0
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, Words]:
-    """Vocabulary entry of each token."""
-    found = runs(texts)
-    return (found.hashes % np.uint64(BUCKETS)).astype(np.int64), found
-
-
-def mark_repeats(entry: np.ndarray, found: Words) -> np.ndarray:
-    """Letter tokens that repeat the document's letter token before them become the entry REPEAT."""
-    letters = np.flatnonzero(is_letter(found))
-    if len(letters) > 1:
-        again = (found.hashes[letters[1:]] == found.hashes[letters[:-1]]) & (found.doc[letters[1:]] == found.doc[letters[:-1]])
-        entry[letters[1:][again]] = REPEAT
-    return entry
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs (words x NONZERO) of the index vectors of hashed words."""
+    x = np.stack([mix(words, 100 + k) for k in range(NONZERO)], 1)
+    return (x % np.uint64(DIM)).astype(np.int64), np.where(x >> np.uint64(63), 1, -1).astype(np.int64)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs (BUCKETS x NONZERO) of the entries' index vectors."""
-    x = np.stack([mix(np.arange(BUCKETS, dtype=np.uint64), 100 + k) for k in range(NONZERO)], 1)
-    return (x % np.uint64(DIM)).astype(np.int64), np.where(x >> np.uint64(63), 1, -1).astype(np.int64)
+def contexts(word: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Context vectors (keys x DIM) of a slice; word: places in keys of its tokens."""
+    place, sign = index_vectors(keys)
+    near = np.flatnonzero(doc[1:] == doc[:-1])
+    total = np.zeros(len(keys) * DIM, np.int32)
+    for own, other in ((word[near], word[near + 1]), (word[near + 1], word[near])):
+        for k in range(NONZERO):
+            total += np.bincount(own * DIM + place[other, k], weights=sign[other, k], minlength=len(total)).astype(np.int32)
+    return total.reshape(len(keys), DIM)
 
 
-def context_sums(docs: DataFrame, text: str) -> np.ndarray:
-    """BUCKETS x DIM context vectors of the whole corpus (a table of fixed size)."""
-    names = [f"v{i}" for i in range(DIM)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        total = np.zeros(BUCKETS * DIM, np.int64)
-        for whole in batches:
-            for batch in slices(whole, text, 1 << 20):
-                entry, found = tokens(batch.column(text))
-                near = np.flatnonzero(found.doc[1:] == found.doc[:-1])
-                for own, other in ((entry[near], entry[near + 1]), (entry[near + 1], entry[near])):
-                    # pairs of entries repeat often: count them first
-                    pair, n = np.unique(own * BUCKETS + other, return_counts=True)
-                    a, b = pair // BUCKETS, pair % BUCKETS
-                    for k in range(NONZERO):
-                        total += np.bincount(a * DIM + place[b, k], weights=sign[b, k] * n, minlength=len(total)).astype(np.int64)
-        total = total.reshape(BUCKETS, DIM)
-        rows = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(total[rows, i]) for i in range(DIM))], names=["entry", *names])
-
-    schema = T.StructType([T.StructField("entry", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names)])
-    sums = docs.select(text).mapInArrow(run, schema).groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    out = np.zeros((BUCKETS, DIM))
-    out[sums["entry"].to_numpy()] = sums[names].to_numpy()
-    return out
-
-
-def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Rows of the entries: the unit context vector, the unit index vector, and an axis of REPEAT's own."""
-    place, sign = index_vectors()
-    own = np.zeros((BUCKETS, DIM))
-    np.add.at(own, (np.repeat(np.arange(BUCKETS), NONZERO), place.ravel()), sign.ravel())
+def word_vectors(context: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """words x WIDTH: unit context vector, unit index vector, their cosine."""
+    place, sign = index_vectors(keys)
+    own = np.zeros((len(keys), DIM), np.float32)
+    for k in range(NONZERO):
+        np.add.at(own, (np.arange(len(keys)), place[:, k]), sign[:, k])
     unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-9)
-    out = np.zeros((BUCKETS + 1, 2 * DIM + 1), np.float32)
-    out[:BUCKETS, : 2 * DIM] = np.concatenate([unit(context), unit(own)], 1)
-    out[REPEAT, -1] = 1
-    return out
-
-
-def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text."""
-    entry, found = tokens(texts)
-    entry = mark_repeats(entry, found)
-    out = np.zeros((found.n_docs, vectors.shape[1]), np.float32)
-    n = np.bincount(found.doc, minlength=found.n_docs)
-    step = 1 << 16
-    for i in range(0, len(entry), step):
-        doc = found.doc[i : i + step]
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        out[doc[first]] += np.add.reduceat(vectors[entry[i : i + step]], first, axis=0)
-    return out / np.maximum(n, 1).astype(np.float32)[:, None]
+    context, own = unit(context.astype(np.float32)), unit(own)
+    return np.concatenate([context, own, (context * own).sum(1, keepdims=True)], 1)
+
+
+class Slice:
+    """The distinct words of a slice and the words of each of its rows with their numbers."""
+
+    def __init__(self, texts: pa.Array, parts: int):
+        found = runs(texts)
+        self.n = np.diff(first_of_doc(found))
+        self.keys, word = np.unique(found.hashes, return_inverse=True)
+        self.order, self.edge = by_part(self.keys, parts)
+        self.word, self.doc = word, found.doc
+        turned = np.empty(len(self.order), np.int64)
+        turned[self.order] = np.arange(len(self.order))
+        pair, self.times = np.unique(found.doc * max(len(self.keys), 1) + turned[word], return_counts=True)
+        self.who, self.what = pair // max(len(self.keys), 1), pair % max(len(self.keys), 1)
+
+    def rows(self, *more: np.ndarray) -> bytes:
+        """Tokens of each row, its distinct words (as places in the order by partition, as differences) and their counts; and more of the rows."""
+        new = np.concatenate([[True], self.who[1:] != self.who[:-1]]) if len(self.who) else np.empty(0, bool)
+        step = np.where(new, self.what, np.diff(self.what, prepend=0))
+        return pack(small(self.n), small(np.bincount(self.who, minlength=len(self.n))), small(step), small(self.times), *more)
+
+
+def pooled(blob: bytes, values: np.ndarray) -> np.ndarray:
+    """Mean over each row's tokens of its words' values."""
+    n, many, step, times, *_ = unpack(blob)
+    many = many.astype(np.int64)
+    who = np.repeat(np.arange(len(n)), many)
+    total = np.cumsum(step.astype(np.int64))
+    before = np.concatenate([[0], total])[np.cumsum(many) - many]
+    what = total - np.repeat(before, many)
+    out = np.zeros((len(n), values.shape[1]))
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(who, weights=values[what, j].astype(np.float64) * times, minlength=len(n))
+    return out / np.maximum(n, 1)[:, None]
 
 
 class Network:
@@ -161,6 +163,16 @@ class Network:
         loss = [np.logaddexp(0, np.where(truth == 1, -logit, logit) / t).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
 
+    def first_layer(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (inputs x hidden) and offsets of the hidden layer for inputs that are not standardised."""
+        w = self.w[0] / self.scale[:, None]
+        return w, self.w[1] - self.mean @ w
+
+    def score_hidden(self, h: np.ndarray) -> np.ndarray:
+        """From the hidden layer's inputs."""
+        logit = np.tanh(h) @ self.w[2] + self.w[3]
+        return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -30, 30)))
+
     def _logit(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         return np.tanh(z @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
@@ -171,41 +183,138 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
-    """All rows and columns of docs with held_out, score and predicted.
+def _slices_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    k = TaskContext.get().partitionId() << 32
+    for whole in batches:
+        for batch in slices(whole, text, SLICE_BYTES):
+            yield k, batch
+            k += 1
+
+
+def _row(*columns) -> pa.RecordBatch:
+    """Rows of part, kind, slice, blob, and the lists of the slice's rows."""
+    return pa.RecordBatch.from_arrays(list(columns), names=["part", "kind", "slice", "blob", "keys", "digests"])
+
+
+def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, max_train: int = MAX_TRAIN) -> DataFrame:
+    """(key, digest: 16 bytes of the text or null, score) of every row of docs.
 
     Labels are learned from rows outside fold 0 of crc32(key) mod folds, at most max_train of them.
     """
-    vectors = word_vectors(context_sums(docs, text))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key), folds)).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
-    known = known.distinct().orderBy(F.xxhash64("__k"), "__k", "__y").limit(max_train)
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(known), "__k")
+    known = known.distinct().orderBy(F.xxhash64("__k"), "__k", "__y").limit(max_train).groupBy("__k").agg(F.sum(F.col("__y") + 1).alias("__code"))  # 1: labelled 0, 2: labelled 1, 3: both
+    source = docs.select(F.col(key).alias("__key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("__digest"), F.col(text).alias("__text"))
+    parts = max(4, -(-(source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // PART_BYTES))
+    source = source.join(F.broadcast(known), F.col("__key") == F.col("__k"), "left").withColumn("__h", F.xxhash64("__key")).drop("__k")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in _slices_of(batches, "__text"):
+            s = Slice(batch.column("__text"), parts)
+            total = contexts(s.word, s.doc, s.keys)
+            made = [(k % parts, "rows", s.rows())]
+            for p in np.flatnonzero(np.diff(s.edge)):
+                own = s.order[s.edge[p] : s.edge[p + 1]]
+                made.append((int(p), "words", pack_rows(s.keys[own], total[own])))
+            labelled = batch.filter(batch.column("__code").is_valid())
+            if labelled.num_rows:
+                t = Slice(labelled.column("__text"), parts)
+                made.append((k % parts, "sample", t.rows(labelled.column("__h").to_numpy(zero_copy_only=False), labelled.column("__code").to_numpy(zero_copy_only=False))))
+                for p in np.flatnonzero(np.diff(t.edge)):
+                    asked = t.keys[t.order[t.edge[p] : t.edge[p + 1]]]
+                    made.append((int(p), "ask", pack(small(np.diff(np.searchsorted(s.keys[s.order[s.edge[p] : s.edge[p + 1]]], asked), prepend=0)))))
+            some = [None] * (len(made) - 1)
+            yield _row(
+                pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made]), pa.array([k] * len(made), pa.int64()), pa.array([m[2] for m in made], pa.binary()),
+                pa.array([batch.column("__key").to_pylist(), *some], pa.list_(batch.schema.field("__key").type)), pa.array([batch.column("__digest").to_pylist(), *some], pa.list_(pa.binary())),
+            )
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("slice", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("digests", T.ArrayType(T.BinaryType()))])
+    dealt = deal(source.mapInArrow(read, schema).rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3]), r[4], r[5]))), parts)
+
+    def only(rows: Iterator, *which: str) -> Iterator:
+        return (r for r in rows if r[1][0] in which)
+
+    def given(p: int, rows: dict) -> Iterator[tuple]:
+        """Context vectors of the words that labelled rows of the slices have."""
+        keys, total, places = merged(rows)
+        for x in rows.get("ask", []):
+            at = places[x[1]][np.cumsum(unpack(x[2])[0], dtype=np.int64)]
+            yield x[1] % parts, ("given", x[1], p, pack_rows(keys[at], total[at]))
+
+    def sampled(p: int, rows: dict) -> Iterator[tuple]:
+        by: dict[int, list] = {}
+        for x in rows.get("given", []):
+            by.setdefault(x[1], []).append((x[2], x[3]))
+        for x in rows.get("sample", []):
+            values = [word_vectors(total, keys) for keys, total in (unpack_rows(b, DIM) for _, b in sorted(by.pop(x[1], [])))]
+            vectors = pooled(x[2], np.concatenate(values) if values else np.zeros((1, WIDTH))).astype(np.float32)
+            for h, code, v in zip(*(c.tolist() for c in unpack(x[2])[4:]), vectors, strict=True):
+                yield from ((h, y, v.tobytes()) for y in (0, 1) if code >> y & 1)
+
+    asked = dealt.mapPartitions(lambda rows: kinds(only(rows, "words", "ask"), given))
+    sample = dealt.union(deal(asked, parts)).mapPartitions(lambda rows: kinds(only(rows, "sample", "given"), sampled)).takeOrdered(max_train)
+    network = Network(np.frombuffer(b"".join(v for _, _, v in sample), np.float32).reshape(-1, WIDTH).astype(np.float64), np.array([y for _, y, _ in sample], np.float64))
+    if network.constant is not None:
+        return docs.select(F.col(key), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.lit(network.constant).alias("score"))
+    first, offset = network.first_layer()
+
+    def answer(p: int, rows: dict) -> Iterator[tuple]:
+        keys, total, places = merged(rows)
+        value = (word_vectors(total, keys) @ first.astype(np.float32)).astype(np.float16)
+        for k, at in places.items():
+            yield k % parts, ("answer", k, p, pack(value[at]))
+
+    def pool(p: int, rows: dict) -> Iterator[tuple]:
+        by: dict[int, list] = {}
+        for x in rows.get("answer", []):
+            by.setdefault(x[1], []).append((x[2], x[3]))
+        for _, k, blob, keys, digests in rows.get("rows", []):
+            values = [unpack(b)[0] for _, b in sorted(by.pop(k, []))]
+            h = pooled(blob, np.concatenate(values) if values else np.zeros((1, HIDDEN), np.float16)) + offset
+            yield from zip(keys, digests, network.score_hidden(h).tolist(), strict=True)
+
+    out = T.StructType([T.StructField(key, kind), T.StructField("digest", T.BinaryType()), T.StructField("score", T.DoubleType())])
+    answers = dealt.mapPartitions(lambda rows: kinds(only(rows, "words"), answer))
+    return spark.createDataFrame(dealt.union(deal(answers, parts)).mapPartitions(lambda rows: kinds(only(rows, "rows", "answer"), pool)), out)
+
+
+def merged(rows: dict) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """A partition's words and context vectors, and the places in them of each slice's words."""
+    each = {x[1]: unpack(x[2])[0] for x in rows.get("words", [])}
+    each = {k: unpack_sorted(x) for k, x in each.items()}
+    keys = np.unique(np.concatenate(list(each.values()))) if each else np.empty(0, np.uint64)
+    total, places = np.zeros((len(keys), DIM), np.int64), {}
+    for x in rows.get("words", []):
+        places[x[1]] = np.searchsorted(keys, each[x[1]])
+        total[places[x[1]]] += unpack_rows(x[2], DIM)[1]
+    return keys, total, places
+
+
+def _digest(text: Column) -> Column:
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__t", 1 << 20):
-                x = pool(batch.column("__t"), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column("__k"), batch.column("__y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    sample = rows.mapInArrow(pooled, schema).orderBy(F.xxhash64("k"), "k", "y", "x").limit(max_train).toPandas()
-    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, vectors.shape[1]).astype(np.float64)
-    network = Network(x, sample["y"].to_numpy().astype(np.float64))
-    held, score, predicted = (free_name(docs.columns, n) for n in ("held_out", "score", "predicted"))
-    out = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
+    """All rows and columns of docs with held_out, score and predicted: the scores are joined to the rows by their texts."""
+    scores = score_texts(docs, labels, key, text, label, folds, max_train)
+    held, score, predicted, own, other = (free_name(docs.columns, n) for n in ("held_out", "score", "predicted", "__digest", "__other"))
+    scores = cut(scores.groupBy(F.coalesce("digest", F.lit(b"")).alias(other)).agg(F.first("score").alias(score)))
+    done = docs.withColumn(own, _digest(F.col(text))).join(scores, F.col(own) == F.col(other)).drop(own, other)
+    return done.withColumns({held: held_out(F.col(key), folds), predicted: (F.col(score) >= threshold).cast("int")})
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text, 1 << 20):
-                s = network.score(pool(batch.column(text), shared.value).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score])
 
-    done = docs.mapInArrow(scored, out)
-    return done.withColumns({held: F.coalesce(held_out(F.col(key), folds), F.lit(False)), predicted: (F.col(score) >= threshold).cast("int")})
+def keep_accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs with a score of at least threshold. A bitmap of rejected texts lets most of the others pass without a shuffle."""
+    scores = score_texts(docs, labels, key, text, label, folds, max_train)
+    own, hit = free_name(docs.columns, "__digest"), free_name(docs.columns, "__hit")
+    rejected = cut(scores.filter(F.col("score") < threshold).select(F.coalesce("digest", F.lit(b"")).alias(own)).distinct())
+    marked = maybe_in(docs.withColumn(own, _digest(F.col(text))), F.col(own), bitmap(rejected, F.col(own)), hit)
+    return marked.filter(~F.col(hit)).unionByName(marked.filter(F.col(hit)).join(rejected, own, "left_anti")).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return score_texts(docs, labels).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

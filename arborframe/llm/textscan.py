@@ -4,8 +4,8 @@ Every word rule used by the operators of this package is decided by ASCII
 characters alone (white space, or everything but digits and letters), so in
 UTF-8 a word boundary is always a byte boundary. One batch of texts is scanned
 as one byte array: a table look-up classifies the bytes, differences of the
-classification give the word spans, and prefix sums of a polynomial modulo
-2**64 give each word's 64-bit hash. There is no Python loop over words.
+classification give the word spans, and each word's 64-bit hash comes from its
+pieces of eight bytes, mixed one by one. There is no Python loop over words.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 19
+_PIECES = 1 << 20
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words(NamedTuple):
@@ -53,21 +53,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(max(n, 1), np.uint64)
-    out[0] = 1
-    have = 1
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-        have += take
-    return out
-
-
-_UP = _powers(_SLICE + 1, _BASE)
-_DOWN = _powers(_SLICE + 1, _INVERSE)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,28 +89,24 @@ def scan(column: pa.Array | pa.ChunkedArray, kind: np.ndarray = ALNUM, lower: bo
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the mixed pieces of eight bytes of each word, each salted by its place, mixed again with the word's length."""
     out = np.empty(len(starts), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    pieces = (size + 7) >> 3
+    before = np.cumsum(pieces) - pieces
     i = 0
     while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _SLICE, side="right")))
-        top = int(ends[j - 1])
-        if top - base > _SLICE:  # one word longer than a slice
-            value = 0
-            for at in range(base, top, _SLICE):
-                piece = data[at : min(top, at + _SLICE)].astype(np.uint64) + np.uint64(1)
-                value = (value * 1_000_003 + int((piece * _UP[: len(piece)]).sum(dtype=np.uint64))) & ((1 << 64) - 1)
-            out[i] = value
-        else:
-            piece = data[base:top].astype(np.uint64)
-            piece += np.uint64(1)
-            piece *= _UP[: len(piece)]
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(piece, out=total[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (total[e] - total[s]) * _DOWN[s]
+        j = max(i + 1, int(np.searchsorted(before, before[i] + _PIECES)))
+        n, first = pieces[i:j], before[i:j] - before[i]
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        at = np.repeat(starts[i:j], n) + 8 * place
+        value = eight[at] & _LOW[np.minimum(np.repeat(ends[i:j], n) - at, 8)]
+        value += (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+        out[i:j] = np.add.reduceat(mix(value), first)
         i = j
-    return mix(out)
+    return mix(out + size.astype(np.uint64) * np.uint64(_BASE))
 
 
 def first_of_doc(words: Words) -> np.ndarray:
@@ -165,8 +146,3 @@ def runs(column: pa.Array | pa.ChunkedArray) -> Words:
     starts, ends = starts[keep], ends[keep]
     doc = np.searchsorted(offsets, starts, side="right") - 1
     return Words(data, starts, ends, doc, _hashes(data, starts, ends), len(offsets) - 1)
-
-
-def is_letter(words: Words) -> np.ndarray:
-    """Of runs: whether each is made of letters."""
-    return _CLASS[words.data[words.starts]] == 1

@@ -61,7 +61,7 @@ def test_signatures_estimate_weighted_similarity():
     w = [dict(zip(element[doc == i].tolist(), weight[doc == i].tolist(), strict=True)) for i in (0, 1)]
     keys = set(w[0]) | set(w[1])
     true = sum(min(w[0].get(k, 0), w[1].get(k, 0)) for k in keys) / sum(max(w[0].get(k, 0), w[1].get(k, 0)) for k in keys)
-    signature, has = nd.signatures(texts)
+    signature, has = nd.signatures(*nd.elements(texts))
     assert has.all() and abs((signature[0] == signature[1]).mean() - true) < 4 * (true * (1 - true) / nd.K) ** 0.5
 
 
@@ -88,7 +88,7 @@ def test_copies_that_repeat_a_line(spark):
         base, line = prose(204, 5000 + k), prose(60, 7000 + k)
         rows += [(4 * k + j, " ".join([base, *[line] * n])) for j, n in enumerate((1, 8, 64, 512))]
     # signatures follow the sets, whatever the repeats: the four have similarities of 0.98 and more
-    signature, has = nd.signatures(pa.array([t for _, t in rows]))
+    signature, has = nd.signatures(*nd.elements(pa.array([t for _, t in rows])))
     assert has.all()
     for k in range(12):
         assert min((signature[4 * k] == signature[4 * k + j]).mean() for j in (1, 2, 3)) > 0.85

@@ -1,6 +1,10 @@
+import re
+import zlib
+
 import numpy as np
 
 from arborframe.llm import quality
+from tests.llm.conftest import prose
 
 
 def test_held_out_accuracy_and_no_leak(spark, sf):
@@ -9,6 +13,11 @@ def test_held_out_accuracy_and_no_leak(spark, sf):
     got = quality.score_quality(docs, labels)
     x = got.join(labels, "doc_id").filter("held_out").toPandas()
     assert (x["predicted"] == x["quality"]).mean() >= 0.95
+    # calibrated: better than the rate alone, and the mean probability is near the rate
+    p, y = x["score"].clip(1e-6, 1 - 1e-6).to_numpy(), x["quality"].to_numpy()
+    rate = y.mean()
+    assert -np.log(np.where(y == 1, p, 1 - p)).mean() < -0.5 * (rate * np.log(rate) + (1 - rate) * np.log(1 - rate))
+    assert abs(p.mean() - rate) < 0.08
     assert got.count() == docs.count()
     # labels of the held-out fold change nothing
     other = labels.selectExpr("doc_id", "IF(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - quality, quality) AS quality")
@@ -17,6 +26,48 @@ def test_held_out_accuracy_and_no_leak(spark, sf):
     assert np.allclose(mine.sort_index(), again.sort_index())
 
 
+def brute(rows, labels, hashes):
+    """Scores of (id, text) by dictionaries of words and loops over tokens; the network is the same."""
+    import pyarrow as pa
+
+    split = [re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\s\x80-\U0010ffff]+", t or "") for _, t in rows]
+    words = sorted({w for ws in split for w in ws})
+    found = quality.runs(pa.array(words))
+    place, sign = (dict(zip(words, x.tolist(), strict=True)) for x in quality.index_vectors(found.hashes))
+    context = {w: np.zeros(quality.DIM) for w in words}
+    index = {w: np.zeros(quality.DIM) for w in words}
+    for w in words:
+        for p, s in zip(place[w], sign[w], strict=True):
+            index[w][p] += s
+    for ws in split:
+        for a, b in zip(ws, ws[1:], strict=False):
+            context[a] += index[b]
+            context[b] += index[a]
+    unit = lambda v: v / max(np.sqrt((v**2).sum()), 1e-9)
+    vector = {w: np.concatenate([unit(context[w]), unit(index[w]), [unit(context[w]) @ unit(index[w])]]) for w in words}
+    x = np.array([np.mean([vector[w] for w in ws], 0) if ws else np.zeros(quality.WIDTH) for ws in split])
+    own = sorted((hashes[i], y, at) for i, y in labels for at, (k, _) in enumerate(rows) if k == i and zlib.crc32(str(i).encode()) % 5)
+    net = quality.Network(x[[at for _, _, at in own]].astype(np.float32).astype(np.float64), np.array([y for _, y, _ in own], float))
+    return net.score(x)
+
+
+def test_scores_by_brute_force(spark):
+    rows = [(i, prose(30 + i % 17, i)) if i % 3 else (i, " ".join(["spam!!", f"x{i}"] * (5 + i % 7))) for i in range(240)] + [(240, None), (241, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    hashes = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    got = quality.score_texts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).toPandas().set_index("doc_id")["score"]
+    assert np.allclose(got.loc[[i for i, _ in rows]].to_numpy(), brute(rows, labels, hashes), atol=0.02)
+
+
+def test_kept_rows(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = quality.keep_accepted(docs, labels)
+    assert kept.columns == docs.columns
+    want = quality.score_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
+    assert kept.exceptAll(want).isEmpty() and want.exceptAll(kept).isEmpty()
+
+
 def test_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (8, None), (None, 1), (99, 0), (6, 3)], "doc_id long, quality int")
     got = quality.score_quality(edge, labels).toPandas()
