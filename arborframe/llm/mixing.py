@@ -21,14 +21,18 @@ joined back to the documents: their texts are never shuffled.
 
 Defined cases: null text has no words; null source is a source, last in order;
 texts without words and rows of a source without words get the copies of their
-class and take nothing; repeated rows are ranked next to each other; an empty
-table gives an empty result.
+class and take nothing; very long texts are in the last classes and repeat
+least; rows that repeat in id and text are ranked next to each other, in the
+order of a hash of all their columns; an empty table gives an empty result;
+columns of any name are kept, and a result that would clash with one of them
+gets a trailing underscore.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, free_name
@@ -69,9 +73,10 @@ def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[in
 
 def _with_keys(df: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
-    return df.withColumns({"__source": F.col(source), "__size": words(F.col(text)), "__digest": digest}).withColumn(
-        "__class", F.when(F.col("__size") == 0, 0).otherwise(F.length(F.bin("__size")))
-    )
+    plain = [F.col(c) for c in sorted(df.columns) if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    # the table's own columns in one, so that none of them clashes with those used here
+    keyed = df.select(F.struct(*df.columns).alias("__row"), F.xxhash64(*plain).alias("__all"), F.col(source).alias("__source"), words(F.col(text)).alias("__size"), digest.alias("__digest"))
+    return keyed.withColumn("__class", F.when(F.col("__size") == 0, 0).otherwise(F.length(F.bin("__size"))))
 
 
 def _rank(fraction: Column) -> Column:
@@ -118,10 +123,10 @@ def plan_mix(keys: DataFrame, share: float, cap: float, max_copies: int) -> tupl
 
 
 def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, max_copies: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """All rows of df with __size, source_size, target and copies (long, 0 and up)."""
+    """All rows of df with size, source_size, target and copies (long, 0 and up)."""
     keyed = _with_keys(df, key, text, source, seed)
     per, cuts = plan_mix(cut(keyed.select("__source", "__class", "__size", "__digest")), share, cap, max_copies)
-    size_, target, copies = (free_name(df.columns, n) for n in ("source_size", "target", "copies"))
+    own, size_, target, copies = (free_name(df.columns, n) for n in ("size", "source_size", "target", "copies"))
     p = per.select(F.col("__source").alias("__s"), F.col("__class").alias("__c"), F.col("source_size").alias(size_), F.col("target").alias(target), "__whole", "__fraction")
     out = keyed.join(p, keyed["__source"].eqNullSafe(p["__s"]) & (keyed["__class"] == p["__c"]), "left").withColumn("__rank", _rank(F.col("__fraction")))
     out = out.join(cuts, out["__source"].eqNullSafe(cuts["__cs"]), "left")
@@ -131,20 +136,20 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, max_copies: int = 2
         out = out.withColumn("__more", F.when(inside, 1).otherwise(0))
     else:  # the cut falls between equal rows: number these, and only these
         tied = F.coalesce(inside & (mine == last), F.lit(False))
-        equal = out.filter(tied).withColumn("__n", F.row_number().over(Window.partitionBy("__source", "__digest").orderBy("__rank")))
+        equal = out.filter(tied).withColumn("__n", F.row_number().over(Window.partitionBy("__source", "__digest").orderBy("__rank", "__all")))
         out = out.filter(~tied).withColumn("__more", F.when(inside, 1).otherwise(0)).unionByName(equal.withColumn("__more", F.when(F.col("__n") <= F.col("__cut_tie"), 1).otherwise(0)).drop("__n"))
     out = out.withColumn(copies, F.col("__whole") + F.col("__more"))
-    return out.select(*df.columns, "__size", size_, target, copies)
+    return out.select("__row.*", F.col("__size").alias(own), size_, target, copies)
 
 
 def materialise(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """Each row as many times as it has copies."""
-    return mixed.withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*columns)
+    return mixed.withColumn(free_name(mixed.columns, "__i"), F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"))
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP2_SQL = r"""

@@ -6,8 +6,10 @@ permutation sends row number r of n to p; the shard is p mod k and the slot is
 p div k, so shards differ by one row at most, slots have no gaps, and either
 can be computed (or inverted) from the row number alone.
 
-Defined cases: null keys and null texts are ordinary values; rows that repeat
-in key and text are numbered next to each other; an empty table gives an empty
+Defined cases: null keys and null texts are ordinary values; a very long text
+is one row as any other; rows that repeat in key and text are numbered next to
+each other, in the order of their other columns (rows equal in all columns are
+one bucket's, and can't be told apart in the result); an empty table gives an empty
 result; a column of the table that is named as a result keeps its name, and
 the result gets a trailing underscore.
 """
@@ -25,6 +27,7 @@ from .common import free_name
 from .textscan import mix
 
 ROUNDS = 6
+MIN_BUCKETS, MAX_BUCKETS = 4096, 1 << 20
 
 
 class Feistel:
@@ -64,19 +67,21 @@ class Feistel:
         return self._walk(x, True)
 
 
-def row_numbers(df: DataFrame, key: str, text: str, name: str, buckets: int = 4096) -> tuple[DataFrame, int]:
+def row_numbers(df: DataFrame, key: str, text: str, name: str, rows_per_bucket: int = 100_000) -> tuple[DataFrame, int]:
     """Append global row numbers 0..n-1 and return n.
 
-    A first job counts the rows of each hash bucket (buckets counts come to
-    the driver, whatever the input's size); the second numbers the rows within
-    their bucket and adds the rows of the buckets before it.
+    A first job counts the rows of each hash bucket (about rows_per_bucket rows
+    each, at most MAX_BUCKETS counts come to the driver); the second numbers the
+    rows within their bucket and adds the rows of the buckets before it.
     """
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, df.count() // rows_per_bucket))
     bucket = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(buckets)).cast("int")
     counts = {r[0]: r[1] for r in df.groupBy(bucket.alias("b")).count().collect()}
     before = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])]).tolist()
     b, row = free_name(df.columns, "__bucket"), free_name(df.columns, "__row")
     offsets = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(before[:-1])), f"{b} int, {row} long"))
-    order = Window.partitionBy(b).orderBy(F.col(key).asc_nulls_first(), F.xxhash64(F.col(text), F.col(key)), F.crc32(F.col(text).cast("binary")))
+    rest = [F.col(c).asc_nulls_first() for c in sorted(df.columns) if c not in (key, text) and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    order = Window.partitionBy(b).orderBy(F.col(key).asc_nulls_first(), F.xxhash64(F.col(text), F.col(key)), F.crc32(F.col(text).cast("binary")), *rest)
     numbered = df.withColumn(b, bucket).withColumn(name, (F.row_number().over(order) - 1).cast("long"))
     return numbered.join(offsets, b).withColumn(name, F.col(name) + F.col(row)).drop(b, row), before[-1]
 
