@@ -1,33 +1,39 @@
 """Language-model scoring with Katz backoff.
 
-A bigram model over white-space words and one end token. Counts of all
+A trigram model over white-space words and one end token. Counts of all
 training texts are discounted by Good-Turing (Katz' form for counts up to 5;
-(r - 1/2) / r where the counts of counts are too thin for it), bigrams seen
-once are left to the lower order, and each history's backoff weight is what
-its seen bigrams leave divided by the unigram mass of the words not seen after
-it, so that every conditional distribution over the known words and one class
-of unknown words sums to 1. A token's probability is looked up recursively:
-the bigram's if its table has it, else the history's weight times the
-unigram's.
-
-How it is spread. Texts are scanned in slices; a slice's distinct bigrams are
-dealt by their history into partitions, as packed arrays with the documents
-that hold them. That shuffle is written once and read by three jobs (so it is
-an RDD: data frames would shuffle again for each): count the bigrams and ask
-for the unigram counts of their second words; add up the sums of frequent
-histories; score. Histories with more than 1/(4 P) of all tokens are dealt by
-the whole bigram, and their sums over partitions are joined by Spark. The
-number of partitions P follows the size of the texts. Only counts of counts
-and the at most 4 P frequent histories come to the driver.
-
-Defined cases: null texts are empty; an empty text is its end token; repeated
-rows count each; without training rows every word is unknown, with probability
-1; a null key is a training row.
+(r - 1/2) / r where the counts of counts are too thin for it); n-grams seen once
+are kept. A history's backoff weight is what its seen successors leave, divided
+by the next order's mass of the words not seen after it, so that every
+conditional distribution over the known words and one class of unknown words
+sums to 1. A token's probability is looked up recursively: the trigram's if its
+table has it, else the weight of its two words of history times the
+probability by one word of history, which is looked up in the same way.
+
+How it is spread. Texts are read in slices; a slice deals its distinct words
+with their training counts into partitions by word, which number the words and
+answer with numbers and total counts. A slice then deals its distinct trigrams,
+with the documents that hold them, into partitions by their middle word: there a
+trigram's history, the bigram that it backs off to and that one's history are
+all at hand, and the last word's count comes along. A partition's table is added
+up from its slices and gives each of these a sum for each of its documents.
+Middle words with more than 1/P of all tokens are dealt by (first, middle) and
+pairs of such a weight by the whole trigram; bigrams of the former are added up
+by a second exchange, sums of the latter by Spark. Each of the two shuffles is
+written once and read by several jobs (so they are RDDs: data frames would
+shuffle again for each). The number of partitions P follows the size of the
+texts. Only counts of counts and the at most P frequent words and pairs come to
+the driver.
+
+Defined cases: null texts are empty; an empty text is its end token; very long
+texts are one row of a slice of their own; repeated rows count each; without
+training rows every word is unknown, with probability 1; a null key is a
+training row; an empty table gives an empty result; other columns of the table,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,55 +44,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, slices
+from .packing import by_part, deal, find, kinds, pack, pack_sorted, part_of, small, unpack, unpack_sorted
 from .textscan import NON_SPACE, first_of_doc, mix, scan
 
-BEGIN, END = np.uint64(0x42E61B0F5A2D1C01), np.uint64(0x7E11D0C3B4A59603)
-SLICE_BYTES = 3 << 20
+END = np.uint64(0x7E11D0C3B4A59603)
+BEGIN = np.uint64(0)  # as a word's number; those of words start with 1
+SLICE_BYTES = 4 << 20
 PARTITION_BYTES = 8 << 20
 K = 5
-SEEN = 2
-
-
-# --- packed arrays ---
-
-
-def small(x: np.ndarray) -> np.ndarray:
-    top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
-def pack(*arrays) -> bytes:
-    return pa.compress(pickle.dumps(arrays, protocol=5), codec="zstd", asbytes=True) + len(pickle.dumps(arrays, protocol=5)).to_bytes(8, "little")
-
-
-def unpack(blob: bytes):
-    return pickle.loads(pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True))
-
-
-def pack_sorted(keys: np.ndarray) -> np.ndarray:
-    """Differences of ascending keys, byte by byte, so that their leading zeros compress."""
-    delta = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T)
-
-
-def unpack_sorted(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(x.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def part_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(words, 9) % np.uint64(parts)).astype(np.int64)
-
-
-def bigram(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h + mix(w, 21), 22)
-
-
-def find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted array, and whether they are there."""
-    if not len(sorted_):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return at, sorted_[at] == keys
 
 
 # --- the model ---
@@ -113,157 +78,235 @@ class Unigrams:
         self.total = n if held < n else n + 1
         self.unknown = 1 - held / self.total if n else 1.0
 
-    def log(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the probability of a word with count c (0: unknown)."""
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """Probability of a word with count c (0: unknown)."""
         if not self.n:
-            return np.zeros(len(c))
-        p = self.d[np.minimum(c, K + 1)] * c / self.total
-        return np.log10(np.where(c > 0, p, self.unknown))
+            return np.ones(len(c))
+        return np.where(c > 0, self.d[np.minimum(c, K + 1)] * c / self.total, self.unknown)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
+def kept(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return d[np.minimum(c, K + 1)] * c
+
+
+def backoff(total: np.ndarray, left: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories' denominators and weights, from their counts and the sums over their successors of discounted counts and of next-order probabilities."""
+    total = total.astype(np.float64)
+    total += (total > 0) & (total - left <= 1e-9 * total)  # nothing would be left for other words
+    seen = total > 0
+    weight = np.ones(len(total))
+    weight[seen] = (1 - left[seen] / total[seen]) / np.maximum(1 - lower[seen], 1e-12)
+    return total, weight
+
+
+def counts_of_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2].astype(np.int64)
+
+
 # --- slices ---
 
 
-def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """History, word and row of every token, ends included, and tokens of each row."""
-    words = scan(texts, NON_SPACE)
-    first, d = first_of_doc(words), words.n_docs
-    w = np.empty(len(words.hashes) + d, np.uint64)
-    w[np.arange(len(words.hashes)) + words.doc] = words.hashes
-    rows = np.arange(d)
-    w[first[1:] + rows] = END
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[first[:-1] + rows] = BEGIN
-    n = np.diff(first) + 1
-    return h, w, np.repeat(rows, n), n
-
-
-def word_counts(texts: pa.Array, train: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    _, w, doc, _ = events(texts)
-    keys, n = np.unique(w[train[doc]], return_counts=True)
-    part = part_of(keys, parts)
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
+def restart(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums that start anew at the places first."""
+    total = np.cumsum(steps, dtype=np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), total])[first]
+    return total - np.repeat(before, np.diff(np.append(first, len(steps))))
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def pack_trigrams(v, u, w, *more: np.ndarray) -> bytes:
+    """Rows in the order of (v, u, w)."""
+    new_v, new_u = changes(v), changes(v, u)
+    first = np.flatnonzero(new_v)
+    step = lambda x, new: small(np.where(new, x, np.diff(x, prepend=np.uint64(0))))
+    return pack(pack_sorted(v[first]), small(np.diff(np.append(first, len(v)))), step(u, new_v), step(w, new_u), *map(small, more))
+
+
+def unpack_trigrams(blob: bytes) -> list[np.ndarray]:
+    heads, runs, u, w, *more = unpack(blob)
+    runs = runs.astype(np.int64)
+    v = np.repeat(unpack_sorted(heads), runs)
+    u = restart(u, np.cumsum(runs) - runs)
+    return [v, u, restart(w, np.flatnonzero(changes(v, u))), *more]
+
+
+def read_slice(texts: pa.Array, train: np.ndarray, parts: int) -> tuple[list[tuple[int, bytes]], bytes]:
+    """By partition the slice's words with their training counts; and its rows' words, as places in the order by partition, with that of the end."""
+    found = scan(texts, NON_SPACE)
+    n = np.diff(first_of_doc(found))
+    keys, word = np.unique(np.append(found.hashes, END), return_inverse=True)
+    end, word = word[-1], word[:-1]
+    count = np.bincount(word, weights=train[found.doc], minlength=len(keys)).astype(np.int64)
+    count[end] += int(train.sum())
+    order, edge = by_part(keys, parts)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    made = []
     for p in np.flatnonzero(np.diff(edge)):
         own = order[edge[p] : edge[p + 1]]
-        yield int(p), pack(pack_sorted(keys[own]), small(n[own]))
-
-
-def slice_bigrams(h: np.ndarray, w: np.ndarray, doc: np.ndarray, train: np.ndarray, parts: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Per partition: histories (runs), words, training counts, and the rows of each bigram with their counts."""
-    g, first, inverse = np.unique(bigram(h, w), return_index=True, return_inverse=True)
-    inverse = inverse.astype(np.int32)
-    hs, ws = h[first], w[first]
-    part = np.where(find(hot, hs)[1], (g % np.uint64(parts)).astype(np.int32), part_of(hs, parts).astype(np.int32))
-    many = len(g)
-    del g, first, h, w
-    order = np.argsort(part.astype(np.uint64) << np.uint64(44) | hs >> np.uint64(20)).astype(np.int32)
-    place = np.empty(many, np.int32)
-    place[order] = np.arange(many, dtype=np.int32)
-    n_docs = max(len(train), 1)
-    pair = place[inverse].astype(np.int64)
-    del place, inverse
-    pair *= n_docs
-    pair += doc
-    pair, n = np.unique(pair, return_counts=True)
-    at, who = (pair // n_docs).astype(np.int32), (pair % n_docs).astype(np.int32)
-    n = n.astype(np.int32)
-    del pair
-    counted = np.bincount(at, weights=n * train[who], minlength=many).astype(np.int64)
-    hs, ws, part = hs[order], ws[order], part[order]
-    edge = np.searchsorted(part, np.arange(parts + 1))
-    pairs = np.searchsorted(at, np.arange(many + 1, dtype=np.int32))
-    del at
-    for p in np.flatnonzero(np.diff(edge)):
-        a, b = edge[p], edge[p + 1]
-        new = np.flatnonzero(np.concatenate([[True], hs[a + 1 : b] != hs[a : b - 1]]))
-        heads = hs[a:b][new]
-        x, y = pairs[a], pairs[b]
-        yield int(p), pack(pack_sorted(heads), small(np.diff(np.append(new, b - a))), ws[a:b], small(counted[a:b]), small(np.diff(pairs[a : b + 1])), small(who[x:y]), small(n[x:y]))
-
-
-class Part:
-    """The bigrams of one partition, all slices together."""
-
-    def __init__(self, blobs: list[tuple[int, bytes]], hot: np.ndarray, hot_n: np.ndarray):
-        self.slices, hs, ws, ns, self.pairs = [], [], [], [], []
-        for k, blob in blobs:
-            heads, runs, w, n, rows, who, times = unpack(blob)
-            hs.append(np.repeat(unpack_sorted(heads), runs))
-            ws.append(w)
-            ns.append(n.astype(np.int64))
-            self.slices.append(k)
-            self.pairs.append((rows, who, times))
-        self.lengths = [len(x) for x in ws]
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        h, w, n = cat(hs, np.uint64), cat(ws, np.uint64), cat(ns, np.int64)
-        g, first, self.inverse = np.unique(bigram(h, w), return_index=True, return_inverse=True)
-        self.h, self.w = h[first], w[first]
-        self.count = np.bincount(self.inverse, weights=n, minlength=len(g)).astype(np.int64)
-        self.heads, self.head = np.unique(self.h, return_inverse=True)
-        self.head_n = np.bincount(self.head, weights=self.count, minlength=len(self.heads)).astype(np.int64)
-        at, is_hot = find(hot, self.heads)
-        self.head_n[is_hot] = hot_n[at[is_hot]]
-        self.hot = is_hot
-        self.seen = np.flatnonzero(self.count >= SEEN)
-
-    def ask(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        w = np.unique(self.w[self.seen])
-        part = part_of(w, parts)
-        for p in np.unique(part):
-            yield int(p), pack(pack_sorted(w[part == p]))
-
-    def sums(self, answers: list[bytes], uni: Unigrams, d: np.ndarray) -> None:
-        """Sums over each history's seen bigrams: discounted counts and unigram probabilities."""
-        keys, n = [], []
-        for blob in answers:
-            k, c = unpack(blob)
-            keys.append(unpack_sorted(k))
-            n.append(c.astype(np.int64))
-        keys, n = (np.concatenate(keys), np.concatenate(n)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        order = np.argsort(keys)
-        at, _ = find(keys[order], self.w[self.seen])
-        c = n[order][at] if len(n) else np.zeros(len(self.seen), np.int64)
-        self.log1 = uni.log(c)
-        self.kept = d[np.minimum(self.count[self.seen], K + 1)] * self.count[self.seen]
-        own = self.head[self.seen]
-        self.left = np.bincount(own, weights=self.kept, minlength=len(self.heads)).astype(np.float64)
-        self.lower = np.bincount(own, weights=10**self.log1, minlength=len(self.heads)).astype(np.float64)
-
-    def score(self, uni: Unigrams, hot: np.ndarray, hot_left: np.ndarray, hot_lower: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """Per slice: rows and what their tokens add to base score, known tokens and score."""
-        at, is_hot = find(hot, self.heads)
-        self.left[is_hot], self.lower[is_hot] = hot_left[at[is_hot]], hot_lower[at[is_hot]]
-        total = self.head_n.astype(np.float64)
-        total += (total > 0) & (total - self.left <= 1e-9 * total)  # nothing would be left for other words
-        known = total > 0
-        back = np.zeros(len(self.heads))
-        back[known] = np.log10((1 - self.left[known] / total[known]) / (1 - self.lower[known]))
-        token = self.heads != BEGIN
-        each = back + np.where(token, uni.log(self.head_n), 0.0)
-        base = np.where(token, uni.base(self.head_n), 0.0)
-        gain = np.zeros(len(self.h))
-        own = self.head[self.seen]
-        gain[self.seen] = np.log10(self.kept / total[own]) - back[own] - self.log1
+        made.append((int(p), pack(pack_sorted(keys[own]), small(count[own]))))
+    return made, pack(small(n), small(place[word]), np.array([place[end]]), train.astype(np.uint8))
+
+
+class Numbered:
+    """A slice with its words' numbers and counts: histories u, v and word w of every token, ends included."""
+
+    def __init__(self, blob: bytes, named: list[tuple[int, bytes]], parts: int):
+        number, count = [], []
+        for p, x in sorted(named):
+            rank, c = unpack(x)
+            number.append(rank.astype(np.uint64) * np.uint64(parts) + np.uint64(p + 1))
+            count.append(c.astype(np.int64))
+        number, count = np.concatenate(number), np.concatenate(count)
+        n, place, end, train = unpack(blob)
+        self.n, self.train = n.astype(np.int64) + 1, train.astype(bool)
+        first = np.cumsum(self.n) - self.n
+        at = np.full(int(self.n.sum()), int(end[0]))
+        inner = np.ones(len(at), bool)
+        inner[first + self.n - 1] = False
+        at[inner] = place
+        self.row = np.repeat(np.arange(len(n)), self.n)
+        self.w, self.count = number[at], count[at]
+        self.v = np.concatenate([[BEGIN], self.w[:-1]])
+        self.v[first] = BEGIN
+        self.u = np.concatenate([[BEGIN], self.v[:-1]])
+        self.u[first] = BEGIN
+
+    def trigrams(self, parts: int, hot: np.ndarray, pairs: dict[tuple[int, int], int]) -> Iterator[tuple[int, bytes]]:
+        """By partition the distinct trigrams with training counts, counts of their last words, and their rows."""
+        order = np.lexsort((self.row, self.w, self.u, self.v))
+        v, u, w, row = self.v[order], self.u[order], self.w[order], self.row[order]
+        entry = changes(v, u, w)
+        pair = np.flatnonzero(changes(v, u, w, row))
+        times = np.diff(np.append(pair, len(order)))
+        which = (np.cumsum(entry) - 1)[pair]
+        first = np.flatnonzero(entry)
+        counted = np.bincount(which, weights=times * self.train[row[pair]], minlength=len(first)).astype(np.int64)
+        rows = np.bincount(which, minlength=len(first))
+        v, u, w, last = v[first], u[first], w[first], self.count[order][first]
+        part = part_of(v, parts)
+        frequent = np.flatnonzero(find(hot, v)[1])
+        part[frequent] = part_of(mix(u[frequent] + mix(v[frequent], 31), 32), parts)
+        if pairs:
+            both = frequent[find(hot, u[frequent])[1]]
+            both = both[[(a, b) in pairs for a, b in zip(u[both].tolist(), v[both].tolist(), strict=True)]] if len(both) else both
+            part[both] = part_of(mix(w[both] + mix(u[both] + mix(v[both], 31), 33), 34), parts)
+        turn = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[turn], np.arange(parts + 1))
+        start = np.cumsum(rows) - rows
+        for p in np.flatnonzero(np.diff(edge)):
+            own = turn[edge[p] : edge[p + 1]]
+            k = rows[own]
+            at = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            yield int(p), pack_trigrams(v[own], u[own], w[own], counted[own], last[own], k, row[pair][at], times[at])
+
+
+class Table:
+    """The trigrams of one partition, all slices together, and the bigrams that they back off to."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]], hot: np.ndarray):
+        got = [(k, unpack_trigrams(b)) for k, b in sorted(blocks)]
+        self.slices = [(k, len(x[0]), *x[5:]) for k, x in got]
+        cat = lambda i, t: np.concatenate([x[i] for _, x in got]).astype(t) if got else np.empty(0, t)
+        v, u, w, n, last = cat(0, np.uint64), cat(1, np.uint64), cat(2, np.uint64), cat(3, np.int64), cat(4, np.int64)
+        del got
+        order = np.lexsort((w, u, v))
+        v, u, w = v[order], u[order], w[order]
+        new = changes(v, u, w)
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.count = np.bincount(self.inverse, weights=n, minlength=len(first)).astype(np.int64)
+        v, u, w, last = v[first], u[first], w[first], last[order][first]
+        new = changes(v, u)
+        self.pair, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.pair_u, self.pair_v = u[at], v[at]
+        self.pair_n = np.bincount(self.pair, weights=self.count, minlength=len(at)).astype(np.int64)
+        order = np.lexsort((w, v))
+        new = changes(v[order], w[order])
+        self.bigram = np.empty(len(order), np.int64)
+        self.bigram[order] = np.cumsum(new) - 1
+        at = order[np.flatnonzero(new)]
+        self.bi_v, self.bi_w, self.bi_last = v[at], w[at], last[at]
+        self.bi_n = np.bincount(self.bigram, weights=self.count, minlength=len(at)).astype(np.int64)
+        self.asked = np.flatnonzero(find(hot, self.bi_v)[1])  # their counts are spread over partitions
+        self.hot = hot
+
+    def owners(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the asked bigrams by the partition that adds them up, and each one's edge in it."""
+        own = part_of(mix(self.bi_v[self.asked] + mix(self.bi_w[self.asked], 21), 22), parts)
+        order = np.argsort(own, kind="stable")
+        return self.asked[order], np.searchsorted(own[order], np.arange(parts + 1))
+
+    def asks(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        order, edge = self.owners(parts)
+        for p in np.flatnonzero(np.diff(edge)):
+            at = order[edge[p] : edge[p + 1]]
+            v = self.bi_v[at]
+            yield int(p), pack(pack_sorted(v), small(restart_steps(self.bi_w[at], v)), small(self.bi_n[at]), small(self.bi_last[at]))
+
+    def second_order(self, answers: list[tuple[int, bytes]], parts: int, uni: Unigrams, d: np.ndarray, sums: dict[int, tuple[int, float, float]]) -> None:
+        """p2: the probability of each bigram by one word of history."""
+        order, edge = self.owners(parts)
+        for p, blob in answers:
+            self.bi_n[order[edge[p] : edge[p + 1]]] = unpack(blob)[0]
+        heads, head = np.unique(self.bi_v, return_inverse=True)
+        one = uni.p(self.bi_last)
+        seen, held = self.bi_n > 0, kept(d, self.bi_n)
+        add = lambda x: np.bincount(head, weights=x, minlength=len(heads)).astype(np.float64)
+        total, left, lower = add(self.bi_n), add(held), add(one * seen)
+        for i in np.flatnonzero(find(self.hot, heads)[1]):
+            total[i], left[i], lower[i] = sums[int(heads[i])]
+        total, weight = backoff(total, left, lower)
+        self.p2 = np.where(seen, held / np.maximum(total[head], 1), weight[head] * one)
+
+    def third_order(self, d: np.ndarray) -> None:
+        """Sums of each pair's seen trigrams."""
+        self.held = kept(d, self.count)
+        add = lambda x: np.bincount(self.pair, weights=x, minlength=len(self.pair_n)).astype(np.float64)
+        self.left, self.lower = add(self.held), add(self.p2[self.bigram] * (self.count > 0))
+
+    def pairs_at(self, pairs: dict[tuple[int, int], int]) -> list[tuple[int, tuple[int, int]]]:
+        """Places of frequent pairs."""
+        if not pairs:
+            return []
+        some = np.flatnonzero(find(self.hot, self.pair_v)[1] & find(self.hot, self.pair_u)[1])
+        return [(i, k) for i in some.tolist() if (k := (int(self.pair_u[i]), int(self.pair_v[i]))) in pairs]
+
+    def score(self, pairs: dict[tuple[int, int], tuple[int, float, float]]) -> Iterator[tuple[int, bytes]]:
+        """Per slice: rows and the log10 probability of their tokens here."""
+        total = self.pair_n.astype(np.float64)
+        for i, k in self.pairs_at(pairs):
+            total[i], self.left[i], self.lower[i] = pairs[k]
+        total, weight = backoff(total, self.left, self.lower)
+        log = np.log10(np.where(self.count > 0, self.held / np.maximum(total[self.pair], 1), weight[self.pair] * self.p2[self.bigram]))
         start = 0
-        for k, n, (rows, who, times) in zip(self.slices, self.lengths, self.pairs, strict=True):
-            here = np.repeat(self.inverse[start : start + n], rows)
+        for k, n, rows, who, times in self.slices:
+            each = np.repeat(log[self.inverse[start : start + n]], rows.astype(np.int64))
             start += n
-            head = self.head[here]
             docs, local = np.unique(who, return_inverse=True)
-            add = lambda x: np.bincount(local, weights=x * times, minlength=len(docs))  # noqa: B023, E731
-            yield k, pack(small(docs), add(base[head]), add((self.head_n[head] > 0) & token[head]), add(each[head] + gain[here]))
+            yield k, pack(small(docs), np.bincount(local, weights=each * times, minlength=len(docs)))
 
 
-# --- the jobs ---
+def restart_steps(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What restart makes w of, at the changes of v."""
+    return np.where(changes(v), w, np.diff(w, prepend=np.uint64(0)))
 
 
-def _same(p: int) -> int:
-    return p
+# --- the jobs ---
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -274,156 +317,166 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     parts = max(8, -(-(source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // PARTITION_BYTES))
     kind = docs.schema[key].dataType
 
-    def train_of(batch: pa.RecordBatch) -> np.ndarray:
-        return ~batch.column("__held").to_numpy(zero_copy_only=False).astype(bool)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, "__text", SLICE_BYTES):
-                rows = list(word_counts(batch.column("__text"), train_of(batch), parts))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
+                made, rows = read_slice(batch.column("__text"), ~batch.column("__held").to_numpy(zero_copy_only=False).astype(bool), parts)
+                made = [(k % parts, "text", rows), *((p, "words", b) for p, b in made)]
+                keys = pa.array([batch.column("__key").to_pylist(), *[None] * (len(made) - 1)], pa.list_(batch.schema.field("__key").type))
+                columns = [pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made]), pa.array([k] * len(made), pa.int64()), pa.array([m[2] for m in made], pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "slice", "blob", "keys"])
+                k += 1
 
-    def merge(group: pa.Table) -> pa.Table:
-        keys, n = [], []
-        for blob in group.column("blob").to_pylist():
-            k, c = unpack(blob)
-            keys.append(unpack_sorted(k))
-            n.append(c.astype(np.int64))
-        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(n)).astype(np.int64)
-        hist = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
-        return pa.table({"part": group.column("part")[:1], "blob": pa.array([pack(pack_sorted(keys), small(n))], pa.binary()), "types": [len(keys)], "tokens": [int(n.sum())], "hist": pa.array([hist.tolist()], pa.list_(pa.int64()))})
-
-    counted = source.mapInArrow(count, "part int, blob binary")
-    unigrams = cut(counted.groupBy("part").applyInArrow(merge, "part int, blob binary, types long, tokens long, hist array<long>"))
-    stats = unigrams.agg(F.sum("types"), F.sum("tokens"), *[F.sum(F.element_at("hist", r + 1)) for r in range(K + 2)]).first()
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("slice", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("keys", T.ArrayType(kind))])
+    texts = deal(source.mapInArrow(read, schema).rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3]), r[4]))), parts)
+
+    def only(rows: Iterator, *which: str) -> Iterator:
+        return (r for r in rows if r[1][0] in which)
+
+    def number(p: int, rows: dict) -> Iterator[tuple]:
+        each = [(k, unpack_sorted(keys), n.astype(np.int64)) for _, k, blob, _ in rows.get("words", []) for keys, n in [unpack(blob)]]
+        keys, inverse = np.unique(np.concatenate([x[1] for x in each]), return_inverse=True)
+        count = np.bincount(inverse, weights=np.concatenate([x[2] for x in each])).astype(np.int64)
+        order = np.lexsort((keys, -count))  # frequent words have small numbers
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        top = np.flatnonzero(count * parts > count.sum())  # all of the whole corpus' are among them
+        yield None, p, None, int((count > 0).sum()), int(count.sum()), counts_of_counts(count).tolist(), list(zip((rank[top] * parts + p + 1).tolist(), count[top].tolist(), strict=True))
+        start = 0
+        for k, own, _ in each:
+            at = inverse[start : start + len(own)]
+            start += len(own)
+            yield k, p, bytearray(pack(small(rank[at]), small(count[at]))), None, None, None, None
+
+    top = "array<struct<word: bigint, n: bigint>>"
+    named = cut(spark.createDataFrame(texts.mapPartitions(lambda rows: kinds(only(rows, "words"), number)), f"slice long, part int, blob binary, types long, tokens long, hist array<long>, top {top}"))
+    stats = named.agg(F.sum("types"), F.sum("tokens"), *[F.sum(F.element_at("hist", r + 1)) for r in range(K + 2)]).first()
     n_types, n_tokens = stats[0] or 0, stats[1] or 0
     uni = Unigrams(n_tokens, n_types, np.array([x or 0 for x in stats[2:]], np.int64))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frequent = dict(named.select(F.explode("top").alias("t")).select("t.*").filter(F.col("n") * parts > n_tokens).collect())
+    n_begins = source.filter("not __held").count()
+    if n_begins * parts > n_tokens:
+        frequent[int(BEGIN)] = n_begins
+    hot = np.array(sorted(frequent), np.uint64)
+    slices_ = texts.union(deal(named.filter("slice is not null").select("slice", "part", "blob").rdd.map(lambda r: (r[0] % parts, ("named", r[0], r[1], bytes(r[2])))), parts))
+
+    def numbered(rows: dict) -> Iterator[tuple[int, Numbered, list]]:
+        by: dict[int, list] = {}
+        for x in rows.get("named", []):
+            by.setdefault(x[1], []).append((x[2], x[3]))
+        for _, k, blob, keys in rows.get("text", []):
+            yield k, Numbered(blob, by.pop(k), parts), keys
+
+    def hot_pairs(p: int, rows: dict) -> Iterator[tuple]:
+        for _, x, _ in numbered(rows):
+            both = np.flatnonzero(find(hot, x.u)[1] & find(hot, x.v)[1] & x.train[x.row])
+            pair, n = np.unique(np.stack([x.u[both], x.v[both]], 1), axis=0, return_counts=True)
+            yield from (((a, b), m) for (a, b), m in zip(pair.tolist(), n.tolist(), strict=True))
+
+    pairs: dict[tuple[int, int], int] = {}
+    if len(hot):
+        of_hot = slices_.mapPartitions(lambda rows: kinds(only(rows, "text", "named"), hot_pairs)).reduceByKey(lambda a, b: a + b)
+        pairs = dict(of_hot.filter(lambda x: x[1] * parts > n_tokens).collect())
+
+    def deal_trigrams(p: int, rows: dict) -> Iterator[tuple]:
+        for k, x, keys in numbered(rows):
+            add = lambda y: np.bincount(x.row, weights=y, minlength=len(x.n))  # noqa: B023, E731
+            yield k % parts, ("docs", k, pack(x.n, x.train, add(uni.base(x.count)) if n_tokens else np.zeros(len(x.n)), add(x.count > 0)), keys)
+            for q, blob in x.trigrams(parts, hot, pairs):
+                yield q, ("trigrams", k, blob)
+
+    trigrams = deal(slices_.mapPartitions(lambda rows: kinds(only(rows, "text", "named"), deal_trigrams)), parts)
+
+    def table(rows: dict) -> Table:
+        return Table([(x[1], x[2]) for x in rows.get("trigrams", [])], hot)
+
+    def asks(p: int, rows: dict) -> Iterator[tuple]:
+        x = table(rows)
+        complete = np.ones(len(x.bi_n), bool)
+        complete[x.asked] = False
+        yield None, p, None, counts_of_counts(x.count).tolist(), counts_of_counts(x.bi_n[complete]).tolist()
+        for q, blob in x.asks(parts):
+            yield q, p, bytearray(blob), None, None
+
+    asked = cut(spark.createDataFrame(trigrams.mapPartitions(lambda rows: kinds(only(rows, "trigrams"), asks)), "owner int, part int, blob binary, hist3 array<long>, hist2 array<long>"))
+
+    def add_up(group: pa.Table) -> pa.Table:
+        """Totals of bigrams of frequent words, for each of those that ask; and what these words' sums need."""
+        each = []
+        for blob in group.column("blob").to_pylist():
+            v, w, n, last = unpack(blob)
+            v = unpack_sorted(v)
+            each.append((v, restart(w, np.flatnonzero(changes(v))), n.astype(np.int64), last.astype(np.int64)))
+        v, w, n, last = (np.concatenate([x[i] for x in each]) for i in range(4))
+        order = np.lexsort((w, v))
+        new = changes(v[order], w[order])
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        total = np.bincount(inverse, weights=n).astype(np.int64)
+        made, start = [], 0
+        for x in each:
+            made.append(pack(small(total[inverse[start : start + len(x[0])]])))
+            start += len(x[0])
+        at = order[np.flatnonzero(new)]
+        own = pack(pack_sorted(v[at]), small(total), small(last[at]))
+        to = [*group.column("part").to_pylist(), None]
+        return pa.table({"to": pa.array(to, pa.int32()), "owner": pa.array([group.column("owner")[0].as_py()] * len(to), pa.int32()), "blob": pa.array([*made, own], pa.binary()), "hist2": pa.array([*[None] * len(made), counts_of_counts(total).tolist()], pa.list_(pa.int64()))})
+
+    totals = cut(asked.filter("owner is not null").select("owner", "part", "blob").groupBy("owner").applyInArrow(add_up, "to int, owner int, blob binary, hist2 array<long>"))
+    summed = lambda df, c: np.array([x or 0 for x in df.agg(*[F.sum(F.element_at(c, r + 1)) for r in range(K + 2)]).first()], np.int64)
+    d3, d2 = discounts(summed(asked, "hist3")), discounts(summed(asked, "hist2") + summed(totals, "hist2"))
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                k, n = unpack(blob)
-                k, n = unpack_sorted(k), n.astype(np.int64)
-                own = n * 4 * parts > n_tokens
-                yield pa.RecordBatch.from_arrays([pa.array(k[own].view(np.int64)), pa.array(n[own])], names=["k", "n"])
-
-    top = unigrams.mapInArrow(frequent, "k long, n long").toPandas().sort_values("k")
-    hot, hot_n = top["k"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    ends = hot_n[hot == END]
-    n_ends = int(ends[0]) if len(ends) else None
-    hot, hot_n = hot[hot != END], hot_n[hot != END]
-    if n_ends is None:
-        n_ends = source.filter("not __held").count()
-    if n_ends * 4 * parts > n_tokens:  # as many beginnings as ends
-        hot, hot_n = np.append(hot, BEGIN), np.append(hot_n, n_ends)
-    order = np.argsort(hot)
-    hot, hot_n = hot[order], hot_n[order]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in slices(whole, "__text", SLICE_BYTES):
-                train = train_of(batch)
-                h, w, doc, n = events(batch.column("__text"))
-                found = slice_bigrams(h, w, doc.astype(np.int32), train, parts, hot)
-                del h, w, doc
-                rows = [(int(k % parts), "docs", pack(n, ~train)), *((p, "bigrams", b) for p, b in found)]
-                del found
-                columns = [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([k] * len(rows), pa.int64()), pa.array([c for _, c, _ in rows], pa.string()), pa.array([b for _, _, b in rows], pa.binary())]
-                ids = pa.array([batch.column("__key").to_pylist(), *[None] * (len(rows) - 1)], pa.list_(batch.schema.field("__key").type))
-                yield pa.RecordBatch.from_arrays([*columns, ids], names=["part", "slice", "kind", "blob", "ids"])
-                k += 1
-
-    row = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("blob", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
-    dealt = source.mapInArrow(deal, row).rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3] or b""), r[4]))).partitionBy(parts, _same)
-
-    def own(rows, f):
-        """f of the partition's rows by kind, one part after another."""
-        by: dict[int, dict[str, list]] = {}
-        for p, x in rows:
-            by.setdefault(p, {}).setdefault(x[1], []).append(x)
-        for p in list(by):
-            yield from f(p, by.pop(p))
-
-    def part_from(kinds) -> Part:
-        return Part([(x[0], x[2]) for x in sorted(kinds.get("bigrams", []), key=lambda x: x[0])], hot, hot_n)
-
-    def asked(p, kinds):
-        x = part_from(kinds)
-        yield -1, (p, "hist", np.bincount(np.minimum(x.count, K + 2), minlength=K + 3)[: K + 2].tolist(), None)
-        for q, blob in x.ask(parts):
-            yield q, (p, "ask", blob, None)
-
-    asks_schema = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("of", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("hist", T.ArrayType(T.LongType()))])
-    asks = cut(spark.createDataFrame(dealt.mapPartitions(lambda rows: own(rows, asked)).map(lambda r: (r[0], r[1][0], *((None, r[1][2]) if r[0] < 0 else (r[1][2], None)))), asks_schema))
-    hist = asks.filter("to < 0").agg(*[F.sum(F.element_at("hist", r + 1)) for r in range(K + 2)]).first()
-    d = discounts(np.array([x or 0 for x in hist], np.int64))
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for blob in right.column("blob").to_pylist():
-            k, n = unpack(blob)
-            keys, n = unpack_sorted(k), n.astype(np.int64)
-        out = []
-        for blob in left.column("blob").to_pylist():
-            (k,) = unpack(blob)
-            at, there = find(keys, unpack_sorted(k))
-            out.append(pack(k, small(np.where(there, n[at] if len(n) else 0, 0))))
-        return pa.table({"of": left.column("of"), "blob": pa.array(out, pa.binary())})
-
-    answers = cut(asks.filter("to >= 0").groupBy("to").cogroup(unigrams.withColumn("to", F.col("part")).select("to", "blob").groupBy("to")).applyInArrow(answer, "of int, blob binary"))
-    both = dealt.union(answers.rdd.map(lambda r: (r[0], (0, "answers", bytes(r[1]), None))).partitionBy(parts, _same))
-
-    def with_sums(kinds) -> Part:
-        x = part_from(kinds)
-        x.sums([a[2] for a in kinds.get("answers", [])], uni, d)
+                v, n, last = unpack(blob)
+                heads, head = np.unique(unpack_sorted(v), return_inverse=True)
+                n = n.astype(np.int64)
+                columns = [np.bincount(head, weights=x, minlength=len(heads)).astype(np.float64) for x in (kept(d2, n), uni.p(last.astype(np.int64)) * (n > 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(heads.view(np.int64)), *map(pa.array, columns)], names=["word", "held", "lower"])
+
+    by_word = totals.filter("to is null").select("blob").mapInArrow(sums_of, "word long, held double, lower double").groupBy("word").agg(F.sum("held"), F.sum("lower"))
+    sums = {r[0]: (frequent[r[0]], r[1], r[2]) for r in (by_word.collect() if len(hot) else [])}
+    tables = trigrams.union(deal(totals.filter("to is not null").select("to", "owner", "blob").rdd.map(lambda r: (r[0], ("total", r[1], bytes(r[2])))), parts)) if len(hot) else trigrams
+
+    def ready(rows: dict) -> Table:
+        x = table(rows)
+        x.second_order([(a[1], a[2]) for a in rows.get("total", [])], parts, uni, d2, sums)
+        x.third_order(d3)
         return x
 
-    def hot_sums(p, kinds):
-        x = with_sums(kinds)
-        at = np.flatnonzero(x.hot)
-        yield from zip(x.heads[at].view(np.int64).tolist(), x.left[at].tolist(), x.lower[at].tolist(), strict=True)
+    def pair_sums(p: int, rows: dict) -> Iterator[tuple]:
+        x = ready(rows)
+        yield from ((k, (float(x.left[i]), float(x.lower[i]))) for i, k in x.pairs_at(pairs))
+
+    whole: dict[tuple[int, int], tuple[int, float, float]] = {}
+    if pairs:
+        found = tables.mapPartitions(lambda rows: kinds(only(rows, "trigrams", "total"), pair_sums)).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()
+        whole = {k: (pairs[k], a, b) for k, (a, b) in found}
+
+    def scored(p: int, rows: dict) -> Iterator[tuple]:
+        for k, blob in ready(rows).score(whole):
+            yield k % parts, ("score", k, blob)
+
+    scores = deal(tables.mapPartitions(lambda rows: kinds(only(rows, "trigrams", "total"), scored)), parts)
+
+    def finish(p: int, rows: dict) -> Iterator[tuple]:
+        by: dict[int, list] = {}
+        for x in rows.get("score", []):
+            by.setdefault(x[1], []).append(x[2])
+        for _, k, blob, keys in rows.get("docs", []):
+            n, train, base, known = unpack(blob)
+            score = np.zeros(len(n))
+            for b in sorted(by.pop(k, [])):
+                who, value = unpack(b)
+                score[who] += value
+            yield from zip(keys, (~train).tolist(), n.tolist(), np.rint(known).astype(np.int64).tolist(), [n_tokens] * len(n), base.tolist(), score.tolist(), strict=True)
 
-    hot_left, hot_lower = np.zeros(len(hot)), np.zeros(len(hot))
-    if len(hot):
-        total = spark.createDataFrame(both.mapPartitions(lambda rows: own(rows, hot_sums)), "h long, a double, b double").groupBy("h").agg(F.sum("a"), F.sum("b"))
-        for h, a, b in total.collect():
-            k = int(np.searchsorted(hot, np.array([h], np.int64).view(np.uint64)[0]))
-            hot_left[k], hot_lower[k] = a, b
-
-    def scored(p, kinds):
-        for k, _, blob, ids in kinds.get("docs", []):
-            yield k, p, blob, ids
-        x = with_sums(kinds)
-        for k, blob in x.score(uni, hot, hot_left, hot_lower):
-            yield k, p, blob, None
-
-    sums_schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
-    sums = spark.createDataFrame(both.mapPartitions(lambda rows: own(rows, scored)), sums_schema)
-    one = np.array([n_ends])
-    end_base, end_log = float(uni.base(one)[0]), float(uni.log(one)[0])
     names = (key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     types = (kind, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
-
-    def total_up(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("p").to_pylist(), group.column("ids").is_null().to_pylist(), group.column("blob").to_pylist(), strict=True))
-        n = held_out = None
-        for _, no_ids, blob in rows:
-            if not no_ids:
-                n, held_out = unpack(blob)
-        base, known, score = np.full(len(n), end_base), np.full(len(n), float(n_ends > 0)), np.full(len(n), end_log)
-        for _, no_ids, blob in rows:
-            if no_ids:
-                who, a, b, c = unpack(blob)
-                base[who] += a
-                known[who] += b
-                score[who] += c
-        lists = group.column("ids").filter(group.column("ids").is_valid()).combine_chunks()
-        ids = lists.flatten() if not isinstance(lists, pa.ChunkedArray) else lists.chunk(0).flatten()
-        return pa.table([ids, pa.array(held_out), pa.array(n.astype(np.int64)), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(n), n_tokens)), pa.array(base), pa.array(score)], names=list(names))
-
-    return sums.groupBy("slice").applyInArrow(total_up, T.StructType([T.StructField(a, b) for a, b in zip(names, types, strict=True)]))
+    out = T.StructType([T.StructField(a, b) for a, b in zip(names, types, strict=True)])
+    return spark.createDataFrame(trigrams.union(scores).mapPartitions(lambda rows: kinds(only(rows, "docs", "score"), finish)), out)
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:

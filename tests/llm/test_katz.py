@@ -14,29 +14,40 @@ def brute(rows):
     tok = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\0end"] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     uc = Counter(w for t, h in zip(tok, held, strict=True) if not h for w in t)
-    bc = Counter(p for t, h in zip(tok, held, strict=True) if not h for p in zip(["\0begin", *t], t, strict=False))
+    grams = [list(zip(["\0begin", "\0begin", *t], ["\0begin", *t], t, strict=False)) for t in tok]
+    tc = Counter(g for x, h in zip(grams, held, strict=True) if not h for g in x)
+    bc = Counter(g[1:] for x, h in zip(grams, held, strict=True) if not h for g in x)
     hist = lambda c: np.array([0] + [sum(1 for x in c.values() if x == r) for r in range(1, 7)])
-    n, uni, d = sum(uc.values()), katz.Unigrams(sum(uc.values()), len(uc), hist(uc)), katz.discounts(hist(bc))
-    hc, left, lower = Counter(), defaultdict(float), defaultdict(float)
-    one = lambda w: 10 ** uni.log(np.array([uc.get(w, 0)]))[0]
-    for (h, w), c in bc.items():
-        hc[h] += c
-        if c >= 2:
-            left[h] += d[min(c, 6)] * c
-            lower[h] += one(w)
+    n, uni = sum(uc.values()), katz.Unigrams(sum(uc.values()), len(uc), hist(uc))
+    d = {1: katz.discounts(hist(bc)), 2: katz.discounts(hist(tc))}
+    one = lambda w: uni.p(np.array([uc.get(w, 0)]))[0]
+    after = defaultdict(dict)
+    for (u, v, w), c in tc.items():
+        after[u, v][w] = c
+    for (v, w), c in bc.items():
+        after[v,][w] = c
+    weights = {}
 
-    def p(h, w):
-        m = hc.get(h, 0)
-        m += bool(m) and m - left[h] <= 1e-9 * m
-        if bc.get((h, w), 0) >= 2:
-            return d[min(bc[h, w], 6)] * bc[h, w] / m
-        return ((1 - left[h] / m) / (1 - lower[h]) if m else 1) * one(w)
+    def p(history, w):
+        """Recursively: the n-gram's discounted share, or the history's weight times the shorter history's probability."""
+        if not history:
+            return one(w)
+        seen = after.get(history)
+        if not seen:
+            return p(history[1:], w)
+        if history not in weights:
+            kept = sum(d[len(history)][min(c, 6)] * c for c in seen.values())
+            total = sum(seen.values())
+            total += total - kept <= 1e-9 * total
+            weights[history] = total, (1 - kept / total) / (1 - sum(p(history[1:], x) for x in seen))
+        total, weight = weights[history]
+        return d[len(history)][min(seen[w], 6)] * seen[w] / total if w in seen else weight * p(history[1:], w)
 
     out = []
     for (i, _), t, h in zip(rows, tok, held, strict=True):
         base = sum(math.log10((uc.get(w, 0) + 0.1) / (n + 0.1 * (len(uc) + 1))) for w in t) if n else 0.0
-        out.append((i, h, len(t), sum(w in uc for w in t), n, base, sum(math.log10(p(a, w)) for a, w in zip(["\0begin", *t], t, strict=False))))
-    sums = [sum(p(h, w) for w in uc) + p(h, "\0other") for h in [*list(hc)[:20], "\0none"]]
+        out.append((i, h, len(t), sum(w in uc for w in t), n, base, sum(math.log10(p((a, b), w)) for a, b, w in zip(["\0begin", "\0begin", *t], ["\0begin", *t], t, strict=False))))
+    sums = [sum(p(h, w) for w in uc) + p(h, "\0other") for h in [*list(after)[:30], *list(after)[-10:], ("\0none",), ("\0none", "\0none")]]
     return out, sums
 
 
