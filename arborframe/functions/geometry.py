@@ -82,10 +82,10 @@ def histogram_score(data: DataFrame, by: list[str], log_odds: list[float], p0: f
 
 
 def sliding_score(data: DataFrame, by: list[str], log_odds: list[float], p0: float, window: int = 400, step: int = 50, value: str = "v", pos: str = "pos") -> DataFrame:
-    """Least histogram_score of the windows of a path; a path shorter than a window is one."""
+    """Least histogram_score of the windows of a path, of which the last reaches its end and may be shorter; a path shorter than a window is one."""
     n = data.groupBy(*by).agg(F.count("*").alias("__n"))
     d = data.join(n, by)
-    last = F.greatest(F.lit(0), F.floor((F.col("__n") - window) / step)).cast("int")
+    last = F.greatest(F.lit(0), F.ceil((F.col("__n") - window) / step)).cast("int")
     first = F.greatest(F.lit(0), F.ceil((F.col(pos) - window + 1) / step)).cast("int")
     to = F.least(last, F.floor(F.col(pos) / step).cast("int"))
     d = d.withColumn("__w", F.explode(F.when(F.col("__n") < window, F.array(F.lit(0))).when(to >= first, F.sequence(first, to)).otherwise(F.array().cast("array<int>"))))

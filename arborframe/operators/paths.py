@@ -53,19 +53,18 @@ def map_merges(merges: DataFrame, vertex: DataFrame, face: DataFrame, labels: Da
     return apart.unionByName(moved.select("mesh_id", "merge", "a", F.col("m.b").alias("b")))
 
 
-def fill_radius(tree: DataFrame, rounds: int = 100) -> DataFrame:
-    """tree (skel_id, sid, parent, radius): missing radii become the mean of their neighbours', round by round; what is left the least radius."""
+def fill_radius(tree: DataFrame) -> DataFrame:
+    """tree (skel_id, sid, parent, radius): missing radii become the mean of their neighbours', round by round until none can be filled; what is left the least radius."""
     now = tree.select("skel_id", "sid", "radius")
     links = tree.filter("parent is not null").select("skel_id", F.col("sid").alias("u"), F.col("parent").alias("v"))
     links = cut(links.unionAll(links.select("skel_id", "v", "u")))
-    for _ in range(rounds):
-        if now.filter("radius is null").isEmpty():
-            break
+    missing = now.filter("radius is null").count()
+    while missing:
         mean = links.join(now.filter("radius is not null").withColumnRenamed("sid", "v"), ["skel_id", "v"]).groupBy("skel_id", F.col("u").alias("sid")).agg(F.avg("radius").alias("mean"))
         after = cut(now.join(mean, ["skel_id", "sid"], "left").select("skel_id", "sid", F.coalesce("radius", "mean").alias("radius")))
-        settled = after.filter("radius is null").count() == now.filter("radius is null").count()
+        before, missing = missing, after.filter("radius is null").count()
         now = after
-        if settled:
+        if missing == before:
             break
     least = now.groupBy("skel_id").agg(F.min("radius").alias("least"))
     return now.join(least, "skel_id").select("skel_id", "sid", F.coalesce("radius", "least").alias("radius"))

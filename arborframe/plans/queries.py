@@ -75,14 +75,14 @@ def tree_undirected_degrees(spark, d):
     return t.degrees(fx.tree(spark, d)).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@query("SELECT skel_id, sid, hops AS pos, anc FROM closure WHERE sid % 500 = 7", fx.CLOSURE)
+@query("SELECT skel_id, sid, hops AS pos, anc FROM closure", fx.CLOSURE)
 def tree_path_to_root(spark, d):
     tree, paths = _closure(spark, d)
-    return t.path_to_root(paths, tree.filter("sid % 500 = 7").select("skel_id", "sid"))
+    return t.path_to_root(paths, tree.select("skel_id", "sid"))
 
 
 _PAIRS = """,
-pairs AS (SELECT skel_id, sid AS a, (sid * 37 + 11) % (SELECT count(*) FROM tree) AS b FROM tree WHERE sid % 100 = 3),
+pairs AS (SELECT skel_id, sid AS a, (sid * 37 + 11) % (SELECT count(*) FROM tree) AS b FROM tree),
 lca0 AS (SELECT p.skel_id, p.a, p.b, x.anc AS lca, x.hops AS hops_a, y.hops AS hops_b, x.dist AS dist_a, y.dist AS dist_b, row_number() OVER (PARTITION BY p.skel_id, p.a, p.b ORDER BY x.hops) AS r
   FROM pairs p JOIN closure x ON x.skel_id = p.skel_id AND x.sid = p.a JOIN closure y ON y.skel_id = p.skel_id AND y.sid = p.b AND y.anc = x.anc),
 lca AS (SELECT * FROM lca0 WHERE r = 1)"""
@@ -90,7 +90,7 @@ lca AS (SELECT * FROM lca0 WHERE r = 1)"""
 
 def _pairs(tree):
     n = tree.agg(F.count("*").alias("n"))
-    return tree.filter("sid % 100 = 3").crossJoin(n).select("skel_id", F.col("sid").alias("a"), ((F.col("sid") * 37 + 11) % F.col("n")).alias("b"))
+    return tree.crossJoin(n).select("skel_id", F.col("sid").alias("a"), ((F.col("sid") * 37 + 11) % F.col("n")).alias("b"))
 
 
 @query("SELECT skel_id, a, b, lca, hops_a, hops_b, dist_a, dist_b FROM lca", fx.CLOSURE + _PAIRS)
@@ -181,12 +181,12 @@ def tree_far_point(spark, d):
 
 
 @query(
-    """SELECT DISTINCT x.skel_id, x.sid AS "of", y.sid FROM closure x JOIN closure y ON y.skel_id = x.skel_id AND y.anc = x.anc AND x.dist + y.dist < 150 WHERE x.sid % 200 = 5""",
+    """SELECT DISTINCT x.skel_id, x.sid AS "of", y.sid FROM (SELECT * FROM closure WHERE dist < 150) x JOIN (SELECT * FROM closure WHERE dist < 150) y ON y.skel_id = x.skel_id AND y.anc = x.anc AND x.dist + y.dist < 150""",
     fx.CLOSURE,
 )
 def tree_within_distance(spark, d):
     tree, paths = _closure(spark, d)
-    return t.within_distance(paths, tree.filter("sid % 200 = 5").select("skel_id", "sid"), 150)
+    return t.within_distance(paths, tree.select("skel_id", "sid"), 150)
 
 
 _TOPO = """,
@@ -195,24 +195,24 @@ topo AS (SELECT skel_id, sid FROM tips UNION SELECT skel_id, sid FROM forks UNIO
 
 @query(
     """SELECT skel_id, sid, anc AS "to" FROM (SELECT c.skel_id, c.sid, c.anc, row_number() OVER (PARTITION BY c.skel_id, c.sid ORDER BY c.hops) AS r, count(*) OVER (PARTITION BY c.skel_id, c.sid) AS n
-FROM closure c JOIN topo p ON p.skel_id = c.skel_id AND p.sid = c.anc WHERE c.sid % 50 = 9) WHERE r = least(2, n)""",
+FROM closure c JOIN topo p ON p.skel_id = c.skel_id AND p.sid = c.anc) WHERE r = least(2, n)""",
     fx.CLOSURE + _TOPO,
 )
 def tree_jump_proximal(spark, d):
     tree, paths = _closure(spark, d)
-    return t.jump_proximal(tree, paths, tree.filter("sid % 50 = 9").select("skel_id", "sid"), 2)
+    return t.jump_proximal(tree, paths, tree.select("skel_id", "sid"), 2)
 
 
-@query("""SELECT c.skel_id, c.anc AS sid, arg_min(c.sid, c.dist * 1000000000 + c.sid) AS "to" FROM closure c JOIN topo p USING (skel_id, sid) WHERE c.anc % 50 = 9 GROUP BY c.skel_id, c.anc""", fx.CLOSURE + _TOPO)
+@query("""SELECT c.skel_id, c.anc AS sid, arg_min(c.sid, c.dist * 1000000000 + c.sid) AS "to" FROM closure c JOIN topo p USING (skel_id, sid) GROUP BY c.skel_id, c.anc""", fx.CLOSURE + _TOPO)
 def tree_jump_distal(spark, d):
     tree, paths = _closure(spark, d)
-    return t.jump_distal(tree, paths, tree.filter("sid % 50 = 9").select("skel_id", "sid"))
+    return t.jump_distal(tree, paths, tree.select("skel_id", "sid"))
 
 
-@query("""SELECT a.skel_id, a.sid AS "of", b.sid FROM seg0 a JOIN seg0 b ON b.skel_id = a.skel_id AND b.head = a.head WHERE a.sid % 50 = 9""", fx.CLOSURE + _HEADS)
+@query("""SELECT a.skel_id, a.sid AS "of", b.sid FROM seg0 a JOIN seg0 b ON b.skel_id = a.skel_id AND b.head = a.head""", fx.CLOSURE + _HEADS)
 def tree_same_segment(spark, d):
     tree, paths = _closure(spark, d)
-    return t.same_segment(tree, paths, tree.filter("sid % 50 = 9").select("skel_id", "sid"))
+    return t.same_segment(tree, paths, tree.select("skel_id", "sid"))
 
 
 @query(
@@ -366,9 +366,9 @@ def graph_components(spark, d):
     return gr.connected_components(fx.points(spark, d), fx.edges(spark, d))
 
 
-@query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 5 AND count(*) <= 30) USING (mesh_id, label)", fx.NEAR + _CC)
+@query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 4 AND count(*) <= 50) USING (mesh_id, label)", fx.NEAR + _CC)
 def filter_components_by_size(spark, d):
-    return ma.components_by_size(gr.connected_components(fx.points(spark, d), fx.edges(spark, d)), 5, 30)
+    return ma.components_by_size(gr.connected_components(fx.points(spark, d), fx.edges(spark, d)), 4, 50)
 
 
 @query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, arg_max(label, n * 1000000 - label) AS label FROM (SELECT mesh_id, label, count(*) AS n FROM cc GROUP BY mesh_id, label) GROUP BY mesh_id) USING (mesh_id, label)", fx.NEAR + _CC)
@@ -421,22 +421,22 @@ def spatial_mutual_nearest(spark, d):
 
 
 @query(
-    """, lab AS (SELECT p.*, cc.label FROM points p JOIN cc USING (mesh_id, vid)), big AS (SELECT lab.* FROM lab JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 4) USING (mesh_id, label)),
+    """, lab AS (SELECT p.*, cc.label FROM points p JOIN cc USING (mesh_id, vid)), big AS (SELECT lab.* FROM lab JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 3) USING (mesh_id, label)),
 pr AS (SELECT a.mesh_id, a.vid AS a, b.vid AS b, a.label AS la, b.label AS lb, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM big a JOIN big b ON a.mesh_id = b.mesh_id AND a.label < b.label),
-rg AS (SELECT *, greatest(1, ceil(sqrt(d2) / 100.0)) AS ring FROM pr WHERE d2 <= 810000)
+rg AS (SELECT *, greatest(1, ceil(sqrt(d2) / 100.0)) AS ring FROM pr WHERE d2 <= 16000000)
 SELECT mesh_id, a, b, la, lb, d2 FROM rg QUALIFY ring = min(ring) OVER (PARTITION BY mesh_id, la, lb)""",
     fx.NEAR + _CC,
 )
 def repair_close_components(spark, d):
     p = fx.points(spark, d)
-    return sp.close_components(p.join(gr.connected_components(p, fx.edges(spark, d)), ["mesh_id", "vid"]), 4, 900, 100)
+    return sp.close_components(p.join(gr.connected_components(p, fx.edges(spark, d)), ["mesh_id", "vid"]), 3, 4000, 100)
 
 
 @query("SELECT v.mesh_id, v.pid, f.fid FROM (SELECT mesh_id, fid, unnest([a, b, c]) AS vid FROM faces) f JOIN v USING (mesh_id, vid) GROUP BY v.mesh_id, v.pid, f.fid HAVING count(*) = 3", fx.NEAR + """,
-v AS (SELECT * FROM (SELECT a.mesh_id, a.vid AS pid, b.vid, row_number() OVER (PARTITION BY a.mesh_id, a.vid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.vid) AS r FROM points a JOIN points b USING (mesh_id) WHERE a.vid % 10 = 0) WHERE r <= 12)""")
+v AS (SELECT * FROM (SELECT a.mesh_id, a.vid AS pid, b.vid, row_number() OVER (PARTITION BY a.mesh_id, a.vid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.vid) AS r FROM points a JOIN points b USING (mesh_id)) WHERE r <= 12)""")
 def spatial_local_faces(spark, d):
     p = fx.points(spark, d)
-    return sp.local_faces(sp.local_views(p, sp.as_points(p.filter("vid % 10 = 0")), 12), fx.faces(spark, d))
+    return sp.local_faces(sp.local_views(p, sp.as_points(p), 12), fx.faces(spark, d))
 
 
 @query("SELECT mesh_id, vid, min(vid) OVER (PARTITION BY mesh_id, floor(x / 500.0), floor(y / 500.0), floor(z / 500.0)) AS \"to\" FROM points", fx.POINTS)
@@ -447,22 +447,22 @@ def repair_snap_to_grid(spark, d):
 # --- annotations and index translation ---
 
 
-@query("SELECT DISTINCT mesh_id, sid FROM m2s WHERE vid % 13 = 0 AND sid IS NOT NULL", fx.MAP)
+@query("SELECT DISTINCT mesh_id, sid FROM m2s WHERE sid IS NOT NULL", fx.MAP)
 def index_to_skeleton(spark, d):
     m = fx.mesh_to_skel(spark, d)
-    return an.to_skeleton(m.filter("vid % 13 = 0").select("mesh_id", "vid"), m)
+    return an.to_skeleton(m.select("mesh_id", "vid"), m)
 
 
-@query("SELECT mesh_id, vid, coalesce(sid, -1) AS sid FROM m2s WHERE vid % 13 = 0", fx.MAP)
+@query("SELECT mesh_id, vid, coalesce(sid, -1) AS sid FROM m2s", fx.MAP)
 def index_to_skeleton_padded(spark, d):
     m = fx.mesh_to_skel(spark, d)
-    return an.to_skeleton(m.filter("vid % 13 = 0").select("mesh_id", "vid"), m, padded=True)
+    return an.to_skeleton(m.select("mesh_id", "vid"), m, padded=True)
 
 
-@query("SELECT DISTINCT b.mesh_id, b.vid FROM m2s a JOIN m2s b ON b.mesh_id = a.mesh_id AND b.sid = a.sid WHERE a.vid % 13 = 0", fx.MAP)
+@query("SELECT DISTINCT b.mesh_id, b.vid FROM m2s a JOIN m2s b ON b.mesh_id = a.mesh_id AND b.sid = a.sid", fx.MAP)
 def index_all_equivalent(spark, d):
     m = fx.mesh_to_skel(spark, d)
-    return an.all_equivalent(m.filter("vid % 13 = 0").select("mesh_id", "vid"), m)
+    return an.all_equivalent(m.select("mesh_id", "vid"), m)
 
 
 @query("SELECT m.mesh_id, m.vid, coalesce(CAST(t.w AS DOUBLE), -1.0) AS value FROM m2s m LEFT JOIN tree t ON t.sid = m.sid", fx.TREE + "," + fx.MAP)
@@ -606,7 +606,7 @@ def spatial_greedy_views(spark, d):
 @query()
 def spatial_aligned_views(spark, d):
     p = fx.points(spark, d)
-    return sp.aligned_views(sp.local_views(p, sp.as_points(p.filter("vid % 10 = 0")), 12), p)
+    return sp.aligned_views(sp.local_views(p, sp.as_points(p), 12), p)
 
 
 @query()
@@ -614,7 +614,7 @@ def skeleton_point_paths(spark, d):
     p, e = fx.points(spark, d), _undirected(spark, d)
     skel = cut(ke.skeletonize(p, e, 1500.0, min_component=3)[0]).select(F.col("skel_id").alias("mesh_id"), F.col("sid").alias("vid"))
     both = gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False)
-    return pa.point_to_skeleton(fx.event_points(spark, d).filter("pid % 50 = 0"), p, fx.faces(spark, d), cut(both), skel)
+    return pa.point_to_skeleton(fx.event_points(spark, d), p, fx.faces(spark, d), cut(both), skel)
 
 
 @query(

@@ -189,6 +189,28 @@ def test_geometry(spark):
     assert g.sliding_score(rows, ["path"], odds, 0.1).first()["score"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n", [1, 399, 400, 401, 449, 450, 1010])
+def test_sliding_score_reaches_the_end(spark, n):
+    odds = [0.5 * i - 2 for i in range(15)]
+    at = lambda i: 0 if i >= n - 10 else 9
+    rows = spark.createDataFrame([(1, i, float(at(i))) for i in range(n)], "path long, pos long, v double")
+    starts = [0]
+    while starts[-1] + 400 < n:
+        starts.append(starts[-1] + 50)
+    windows = [[odds[at(i)] for i in range(s, min(s + 400, n))] for s in starts]
+    assert g.sliding_score(rows, ["path"], odds, 0.1).first()["score"] == pytest.approx(min(sum(w) / (len(w) * 0.1) for w in windows))
+
+
+def test_fill_radius_of_long_runs(spark):
+    n = 241
+    tree = spark.createDataFrame([(1, i, i - 1 if i else None, {0: 1.0, n - 1: 9.0}.get(i)) for i in range(n)], "skel_id long, sid long, parent long, radius double")
+    now = [1.0] + [None] * (n - 2) + [9.0]
+    while None in now:
+        near = [[now[j] for j in (i - 1, i + 1) if 0 <= j < n and now[j] is not None] for i in range(n)]
+        now = [x if x is not None else sum(m) / len(m) if m else None for x, m in zip(now, near, strict=True)]
+    assert [r["radius"] for r in pa.fill_radius(tree).orderBy("sid").collect()] == pytest.approx(now)
+
+
 def test_stream(spark, basic, tmp_path):
     from arborframe.streaming.anchors import anchor_stream
 
