@@ -16,7 +16,9 @@ card passes Luhn, a phone has 10 to 15 digits, and so on) and touch no base span
 Texts go through map tasks once; nothing is shuffled.
 
 Defined cases: a null or empty text has no spans; repeated rows are tagged
-alike; very long texts are read whole (all patterns run in linear time).
+alike; very long texts and tokens are read whole (all patterns run in linear
+time); an empty table gives an empty result; other columns of the table,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def shape(token: str) -> str:
     """Letters' runs as X, x or u, digits' runs as their length, signs as they are; a sign at the end is left out."""
     token = token.rstrip(".,;:!?\"'")
     parts = []
-    for m in _CLASS_RUNS.finditer(token[:400]):
+    for m in _CLASS_RUNS.finditer(token):
         c = m[0][0]
         parts.append("X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" else f"<{min(len(m[0]), 21)}>" if "0" <= c <= "9" else "u" if c > "\x7f" else c)
     return "".join(parts)
@@ -111,7 +113,7 @@ def features(s: str) -> list[str]:
     plain = re.sub(r"<\d+>", "9", s)
     size = "0" if n == 0 else str(n) if n <= 4 else "5-6" if n <= 6 else "7-9" if n <= 9 else "10-13" if n <= 13 else "14-19" if n <= 19 else "20+"
     return [
-        f"shape {s}", f"plain {plain[:24]}", f"digits {size}", f"first {plain[:1]}", f"last {plain[-1:]}", f"at {min(s.count('@'), 2)}",
+        f"shape {s}", f"plain {plain}", f"digits {size}", f"first {plain[:1]}", f"last {plain[-1:]}", f"at {min(s.count('@'), 2)}",
         f"dots {min(s.count('.'), 4)}", f"dashes {min(s.count('-'), 4)}", f"colons {min(s.count(':'), 3)}", f"letters {bool(re.search('[Xxu]', s))}",
         f"mixed {bool(re.search('[Xxu]', s)) and n > 0 and '@' not in s}", f"equals {'=' in s}", "bias",
     ]
@@ -263,9 +265,10 @@ class Field:
         if got is None:
             names = features(s) if side == "own" else near_features(s, side)
             got = self.w[[self.ids.get(x, -1) for x in names]].sum(0)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[s, side] = got
+            if len(s) <= 200:  # long shapes hardly come again
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[s, side] = got
         return got
 
     def decode(self, runs: list[list[str]]) -> list[np.ndarray]:

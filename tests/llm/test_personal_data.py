@@ -1,5 +1,8 @@
+import hashlib
+import itertools
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,3 +63,53 @@ def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "1." * 100_000, "a@" * 100_000, "a" * 200_000 + "@", "+1" * 100_000, "1 " * 100_000, "@" * 200_000):
         p.base_spans(text)
         p.runs_of(text)
+
+
+def test_long_tokens_are_read_whole():
+    assert p.shape("-" * 400 + "a@b") != p.shape("-" * 400 + "12")
+    assert p.features(p.shape("-" * 60 + "a"))[1] != p.features(p.shape("-" * 60 + "1"))[1]
+    field = p.Field(p.labelled_table(40), steps=5)
+    assert len(field.decode([["x1" * 50_000, "2"]])[0]) == 2
+
+
+def test_viterbi_and_gradient_by_enumeration():
+    table = [(["a@b.co", "12", "x1"][: 1 + i % 3], ["B-email", "O", "B-ip"][: 1 + i % 3]) for i in range(6)]
+    field = p.Field(table, steps=7)
+    r = np.random.default_rng(4)
+    field.w[:-1] += r.normal(size=field.w[:-1].shape)
+    field.trans += r.normal(size=field.trans.shape)
+    field.cache.clear()
+    tokens = ["a@b.co", "12", "x1"]
+    shapes = ["", *map(p.shape, tokens), ""]
+    e = [field.emission(shapes[t + 1], "own") + field.emission(shapes[t], "before") + field.emission(shapes[t + 2], "after") for t in range(3)]
+    score = lambda path: sum(e[t][s] for t, s in enumerate(path)) + sum(field.trans[a, b] for a, b in zip((0, *path), (*path, 0), strict=True))
+    paths = list(itertools.product(range(len(p.STATES)), repeat=3))
+    assert tuple(field.decode([tokens])[0]) == max(paths, key=score)
+    # the gradient is the slope of the log-likelihood
+    names = field._names([p.shape(t) for t in tokens])
+    f = np.full((1, 3, max(map(len, names))), len(field.ids))
+    for t, own in enumerate(names):
+        f[0, t, : len(own)] = [field.ids.get(x, len(field.ids)) for x in own]
+    y, n = np.array([[1, 0, 3]]), np.array([3])
+    gw, gt = field._gradient(f, y, n)
+
+    def likelihood():
+        e = field.w[f[0]].sum(1)
+        score = lambda path: sum(e[t][s] for t, s in enumerate(path)) + sum(field.trans[a, b] for a, b in zip((0, *path), (*path, 0), strict=True))
+        return score(tuple(y[0])) - np.log(sum(np.exp(score(q)) for q in paths))
+
+    for weights, g, at in ((field.w, gw, (f[0, 0, 0], 1)), (field.w, gw, (f[0, 1, 2], 0)), (field.trans, gt, (0, 1)), (field.trans, gt, (3, 0))):
+        before = likelihood()
+        weights[at] += 1e-5
+        after = likelihood()
+        weights[at] -= 1e-5
+        assert abs((after - before) / 1e-5 - g[at]) < 1e-3
+
+
+def test_query_columns_by_brute_force(spark, sf):
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    for r in p.op7_personal_data(spark, sf).collect():
+        base = brute(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in p.KINDS] == [sum(b[1] == i for b in base) for i in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(p.joined(base).encode()).hexdigest()
+        assert set(p.joined(base).split(",")) <= set(r["spans"].split(","))
