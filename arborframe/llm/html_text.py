@@ -15,7 +15,9 @@ as elsewhere.
 
 Second pass: a page is read against its host's template and the slots that the
 template leaves are extracted. Slots under elements for menus, headers,
-footers, sidebars, notices, adverts, forms or comments are no main text. If a
+footers, sidebars, notices, adverts, forms or comments are no main text; inside
+an article an element whose class or id only contains such a word is one of these only
+if it belongs to the template. If a
 page has articles (or a main element), their slots are it (all their text, if
 the template leaves no slot in them: copies of one page); else those of the
 template's element that holds the most text outside links of all the host's
@@ -24,7 +26,9 @@ mostly links. A page that the template doesn't fit, since fewer than half of the
 it in their places, is read by itself.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
-its own; repeated pages are extracted each; broken markup is read to its end (elements
+its own; very long pages are read whole; repeated pages are extracted each; an
+empty table gives an empty result; columns of any name are kept, and a result
+that would clash with one of them gets a trailing underscore; broken markup is read to its end (elements
 left open end with their parent, a tag cut off at the end is dropped).
 """
 
@@ -75,12 +79,12 @@ def host_of(url: str | None) -> str:
 
 
 class Part:
-    """An open element: its role path, and whether it lies in chrome, in an article, in a main element."""
+    """An open element: its role path, whether it lies in chrome, in an article, in a main element, and the path of the outermost part that its name alone makes chrome."""
 
-    __slots__ = ("article", "chrome", "main", "path", "tag")
+    __slots__ = ("article", "chrome", "main", "named", "path", "tag")
 
-    def __init__(self, tag: str, path: str, chrome: bool, article: bool, main: bool):
-        self.tag, self.path, self.chrome, self.article, self.main = tag, path, chrome, article, main
+    def __init__(self, tag: str, path: str, chrome: bool, article: bool, main: bool, named: str = ""):
+        self.tag, self.path, self.chrome, self.article, self.main, self.named = tag, path, chrome, article, main, named
 
 
 def opened(up: Part, tag: str, attributes: str) -> Part:
@@ -95,9 +99,12 @@ def opened(up: Part, tag: str, attributes: str) -> Part:
     split = [set(re.split(r"[^a-z]+", n)) for n in names]
     words = {w for s in split if not s & NOT_THERE for w in s} - (HEADS if inside else set())
     chrome = up.chrome or tag in CHROME or (tag == "header" and not inside) or role in ROLES
-    chrome = chrome or (tag not in ("html", "body", "article", "main") and bool(words & CHROME_WORDS)) or (tag in ("article", "main") and bool(words & {"comment", "comments", "reply", "ad", "advert"}))
+    worded = tag not in ("html", "body", "article", "main") and bool(words & CHROME_WORDS)
+    exact = worded and any(n in CHROME_WORDS and n in words for n in names)
+    chrome = chrome or (worded and not inside) or exact or (tag in ("article", "main") and bool(words & {"comment", "comments", "reply", "ad", "advert"}))
     label = tag + "".join("." + n for n in sorted(set(names)) if not any(c.isdigit() for c in n))
-    return Part(tag, f"{up.path}/{label}", chrome, up.article or (tag == "article" and not chrome), up.main or ((tag == "main" or role == "main") and not chrome))
+    path = f"{up.path}/{label}"
+    return Part(tag, path, chrome, up.article or (tag == "article" and not chrome), up.main or ((tag == "main" or role == "main") and not chrome), up.named or (path if worded and inside else ""))
 
 
 _TOP = Part("", "", False, False, False)
@@ -216,7 +223,7 @@ def count_tokens(pages: list[tuple[str, int, str | None]]) -> dict[tuple[str, st
 
 
 def _page_mark(name: str, page: str | None) -> int:
-    return _hash(f"{name}\0{len(page or '')}\0{(page or '')[:64]}") | 1
+    return _hash(f"{name}\0{page or ''}") | 1
 
 
 def templates(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
@@ -274,6 +281,8 @@ def extract(page: str | None, paths: set[str] | None, texts: set[int], main: str
         elif not part.chrome:
             blocks.append((part, block, link))
     fits = bool(paths) and 2 * len(paths & opened_) >= len(paths)
+    # inside articles a part of a name makes no furniture by itself: the element must be one of the template's (any will do where there is no template)
+    blocks = [x for x in blocks if not x[0].named or (fits and x[0].named not in paths)]
     slots = [x for x in blocks if _signed(_text_mark(x[0].path, x[1])) not in texts] if fits else blocks
     if article:
         return " ".join([b for p, b, _ in slots if p.article] or [b for p, b, _ in blocks if p.article])
@@ -291,12 +300,12 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", body:
     made = templates(pages, key, url, body)
     text, n_chars = free_name(pages.columns, "text"), free_name(pages.columns, "n_chars")
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#\s]+)", 1)), F.lit(""))
-    made = made.select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), F.col("texts").alias("__texts"), F.col("main").alias("__main"))
-    made = cut(made)
-    length = F.aggregate(F.transform("__paths", F.length), F.lit(0), lambda a, x: a + x) + 24 * F.size("__paths") + 16 * F.size("__texts") + 64
+    own = [free_name([*pages.columns, text, n_chars], n) for n in ("__host", "__paths", "__texts", "__main")]
+    made = cut(made.select("host", "paths", "texts", "main").toDF(*own))
+    length = F.aggregate(F.transform(own[1], F.length), F.lit(0), lambda a, x: a + x) + 24 * F.size(own[1]) + 16 * F.size(own[2]) + 64
     if (made.agg(F.sum(length)).first()[0] or 0) <= BROADCAST_BYTES:  # else the pages are shuffled to their hosts' templates
         made = F.broadcast(made)
-    joined = pages.withColumn("__host", host).join(made, "__host", "left")
+    joined = pages.withColumn(own[0], host).join(made, own[0], "left")
     kept = list(pages.columns)
     names = [*kept, text]
 
@@ -305,10 +314,10 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", body:
             for batch in slices(whole, body):
                 known: dict[str, tuple] = {}
                 out = []
-                hosts, ways = batch.column("__host").to_pylist(), batch.column("__main").to_pylist()
+                hosts, ways = batch.column(own[0]).to_pylist(), batch.column(own[3]).to_pylist()
                 for i, (b, h) in enumerate(zip(batch.column(body).to_pylist(), hosts, strict=True)):
                     if h not in known:
-                        paths, texts = batch.column("__paths")[i].as_py(), batch.column("__texts")[i].as_py()
+                        paths, texts = batch.column(own[1])[i].as_py(), batch.column(own[2])[i].as_py()
                         known[h] = (set(paths or ()), set(texts or ()), ways[i])
                     out.append(extract(b, *known[h]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=names)

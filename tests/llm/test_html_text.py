@@ -64,3 +64,20 @@ def test_template_texts_inside_articles_go(spark):
     assert got[0] == "Text 0, Written by hand Written by the desk?" and got[9] == "Sign up for our letter Text 9"
     for i in range(1, 6):
         assert got[i] == f"Text {i} of this page."
+
+
+def test_names_inside_articles_count_only_with_the_template(spark):
+    def body(i):
+        more = {2: '<div class="related-work"><p>Work like this.</p></div>', 3: '<section class="form-follows-function"><p>It does.</p></section>', 4: '<div class="comments">nice</div>'}.get(i, "")
+        return f'<article><p>Text {i} of this page.</p>{more}<div class="share-buttons"><p>Tell {i} friends</p></div></article>'
+
+    rows = [(i, f"http://h.example/{i}", page(i, body(i))) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i} of this page." + {2: " Work like this.", 3: " It does."}.get(i, "") for i in range(6)}
+    # without the template the slots are others
+    assert h.extract(rows[5][2], {"", "/html", "/html/body", "/html/body/article"}, set(), None) == "Text 5 of this page. Tell 5 friends"
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "h", "p", "m")], "page_id long, url string, html string, __host string, __paths string, __main string")
+    assert tuple(h.extract_text(df).first()) == (1, "http://a/", "<p>x</p>", "h", "p", "m", "x", 1)
