@@ -7,7 +7,10 @@ suffix of every benchmark item is binary-searched in it. The two neighbours of
 the insertion point give the suffix's longest verbatim match and its location;
 the interval that starts with the suffix's first `window` words gives all
 occurrences, whose words are hit. There is no shuffle: the benchmark is sent
-to every task in blocks of at most BLOCK_WORDS words (a proven bound each).
+to every task in blocks of at most BLOCK_WORDS words (or one item), one block at
+a time: where there are several, the documents pass once for each, and what one
+pass found is written to the shared folder before the next block is read. So
+neither the driver nor a task ever holds more than a block.
 
 Words are maximal runs of ASCII digits, letters (A-Z lowered) and non-ASCII
 characters. They are compared as 64-bit hashes.
@@ -15,7 +18,9 @@ characters. They are compared as 64-bit hashes.
 Defined cases: a null or empty text has no words and is clean; an item without
 words matches nothing; a null item_id can't be reported and takes no part;
 equal items are all reported; documents that repeat are judged each on their
-own; an empty benchmark leaves all documents clean; further columns are kept.
+own; very long texts are read whole; no documents give no rows; an empty
+benchmark leaves all documents clean; columns of any name are kept, and a
+result that would clash with one of them gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import cut, free_name, slices
 from .textscan import ALNUM, first_of_doc, scan
 
 WINDOW = 10
@@ -160,23 +165,21 @@ def occurrences(shard: Shard, items: Items, window: int) -> tuple[np.ndarray, np
     return shard.suffixes[base + np.arange(int(count.sum()))], np.repeat(length, count), np.repeat(item, count)
 
 
-def _judge(texts: pa.Array, blocks: list[Items], window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Per row: words, words hit, and the ids of the items hit."""
+def _judge(texts: pa.Array, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """First word of each row, whether each word is hit, and the ids of the items that each row's words are hit by."""
     words = scan(texts, ALNUM)
     n, first = words.n_docs, first_of_doc(words)
     shard, index = make_shard(words.hashes, words.doc, n, window)
     edge = np.zeros(len(words.hashes) + 1, np.int64)
     found: list[set[str]] = [set() for _ in range(n)]
-    for items in blocks:
-        at, length, item = occurrences(shard, items, window)
-        at = index[at]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
-        many = max(len(items.ids), 1)
-        for pair in np.unique(words.doc[at] * many + item).tolist() if len(at) else ():
-            found[pair // many].add(items.ids[pair % many])
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return np.diff(first), np.diff(hit[first]), found
+    at, length, item = occurrences(shard, items, window)
+    at = index[at]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    many = max(len(items.ids), 1)
+    for pair in np.unique(words.doc[at] * many + item).tolist() if len(at) else ():
+        found[pair // many].add(items.ids[pair % many])
+    return first, np.cumsum(edge[:-1]) > 0, found
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
@@ -197,24 +200,47 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """All rows and columns of docs, with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    The benchmark's blocks are searched one after another in the same suffix array.
+    The benchmark's blocks are searched one after another, each in a pass of its own.
     """
-    blocks = list(blocks_of(benchmark, item_id, item_text))
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(tuple(b)) for b in blocks]
     names = [free_name(docs.columns, n) for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()), strict=True))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text):
-                n_words, hit, items = _judge(batch.column(text), [Items(*b.value) for b in shared], window)
-                found = [sorted(x) for x in items]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else EMPTY_SHA for x in found]
-                made = [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sha, pa.string()), pa.array(hit > 0, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
-
-    return docs.mapInArrow(run, schema)
+    kept = list(docs.columns)
+    mask, ids = free_name(docs.columns, "__mask"), free_name(docs.columns, "__items")
+    between = T.StructType([*docs.schema.fields, T.StructField(mask, T.BinaryType()), T.StructField(ids, T.ArrayType(T.StringType()))])
+
+    def search(df: DataFrame, block, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(*block.value)
+            for whole in batches:
+                for batch in slices(whole, text):
+                    first, hit, found = _judge(batch.column(text), items, window)
+                    if mask in batch.schema.names:  # what the blocks before this one hit
+                        for i, (b, k) in enumerate(zip(batch.column(mask).to_pylist(), batch.column(ids).to_pylist(), strict=True)):
+                            own = slice(int(first[i]), int(first[i + 1]))
+                            hit[own] |= np.unpackbits(np.frombuffer(b, np.uint8))[: own.stop - own.start].astype(bool)
+                            found[i] |= set(k)
+                    own = [batch.column(c) for c in kept]
+                    if last:
+                        n_words, n_hit = np.diff(first), np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
+                        listed = [sorted(x) for x in found]
+                        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else EMPTY_SHA for x in listed]
+                        made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0, pa.bool_())]
+                        yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
+                    else:
+                        masks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(masks, pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=between.names)
+
+        return df.mapInArrow(run, schema if last else between)
+
+    df, blocks = docs, blocks_of(benchmark, item_id, item_text)
+    block = next(blocks)
+    for following in blocks:
+        shared = spark.sparkContext.broadcast(tuple(block))
+        df = cut(search(df, shared, False))
+        shared.destroy()
+        block = following
+    return search(df, spark.sparkContext.broadcast(tuple(block)), True)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", at_least: int = WINDOW) -> DataFrame:
