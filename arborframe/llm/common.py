@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -45,6 +47,13 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of like size, max_bytes of text at most but one row at least: nothing is left out."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -58,6 +67,8 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         total += int(n)
     if len(lengths) > start:
         yield batch.slice(start)
+    del batch, lengths
+    trim()
 
 
 def bitmap(rows: DataFrame, column: Column) -> DataFrame:

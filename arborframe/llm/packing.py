@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import RDD
 
+from .common import trim
 from .textscan import mix
 
 
@@ -106,6 +107,7 @@ def kinds(rows: Iterator, f) -> Iterator:
         by.setdefault(p, {}).setdefault(x[0], []).append(x)
     for p in list(by):
         yield from f(p, by.pop(p))
+        trim()
 
 
 class Uneven(RuntimeError):

@@ -49,10 +49,10 @@ from .textscan import first_of_doc, mix, runs
 
 DIM = 48
 NONZERO = 2
-HIDDEN = 6
-MAX_TRAIN = 4_000
+HIDDEN = 5
+MAX_TRAIN = 3_000
 THRESHOLD = 0.3
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 7 << 20
 PART_BYTES = 16 << 20
 WIDTH = 2 * DIM + 1
 
@@ -64,7 +64,7 @@ def held_out(key: Column, folds: int) -> Column:
 def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs (words x NONZERO) of the index vectors of hashed words."""
     x = np.stack([mix(words, 100 + k) for k in range(NONZERO)], 1)
-    return (x % np.uint64(DIM)).astype(np.int64), np.where(x >> np.uint64(63), 1, -1).astype(np.int64)
+    return (x % np.uint64(DIM)).astype(np.int64), np.where(x >> np.uint64(63), 1, -1).astype(np.int32)
 
 
 def contexts(word: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def contexts(word: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     total = np.zeros(len(keys) * DIM, np.int32)
     for own, other in ((word[near], word[near + 1]), (word[near + 1], word[near])):
         for k in range(NONZERO):
-            total += np.bincount(own * DIM + place[other, k], weights=sign[other, k], minlength=len(total)).astype(np.int32)
+            np.add.at(total, own * DIM + place[other, k], sign[other, k])
     return total.reshape(len(keys), DIM)
 
 
@@ -209,21 +209,26 @@ def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     parts = max(4, -(-(source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // PART_BYTES))
     source = source.join(F.broadcast(known), F.col("__key") == F.col("__k"), "left").withColumn("__h", F.xxhash64("__key")).drop("__k")
 
+    def told(k: int, batch: pa.RecordBatch) -> list[tuple[int, str, bytes]]:
+        """What a slice deals; its arrays are gone when this returns."""
+        s = Slice(batch.column("__text"), parts)
+        made = [(k % parts, "rows", s.rows())]
+        total = contexts(s.word, s.doc, s.keys)
+        for p in np.flatnonzero(np.diff(s.edge)):
+            own = s.order[s.edge[p] : s.edge[p + 1]]
+            made.append((int(p), "words", pack_rows(s.keys[own], total[own])))
+        labelled = batch.filter(batch.column("__code").is_valid())
+        if labelled.num_rows:
+            t = Slice(labelled.column("__text"), parts)
+            made.append((k % parts, "sample", t.rows(labelled.column("__h").to_numpy(zero_copy_only=False), labelled.column("__code").to_numpy(zero_copy_only=False))))
+            for p in np.flatnonzero(np.diff(t.edge)):
+                asked = t.keys[t.order[t.edge[p] : t.edge[p + 1]]]
+                made.append((int(p), "ask", pack(small(np.diff(np.searchsorted(s.keys[s.order[s.edge[p] : s.edge[p + 1]]], asked), prepend=0)))))
+        return made
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in _slices_of(batches, "__text"):
-            s = Slice(batch.column("__text"), parts)
-            total = contexts(s.word, s.doc, s.keys)
-            made = [(k % parts, "rows", s.rows())]
-            for p in np.flatnonzero(np.diff(s.edge)):
-                own = s.order[s.edge[p] : s.edge[p + 1]]
-                made.append((int(p), "words", pack_rows(s.keys[own], total[own])))
-            labelled = batch.filter(batch.column("__code").is_valid())
-            if labelled.num_rows:
-                t = Slice(labelled.column("__text"), parts)
-                made.append((k % parts, "sample", t.rows(labelled.column("__h").to_numpy(zero_copy_only=False), labelled.column("__code").to_numpy(zero_copy_only=False))))
-                for p in np.flatnonzero(np.diff(t.edge)):
-                    asked = t.keys[t.order[t.edge[p] : t.edge[p + 1]]]
-                    made.append((int(p), "ask", pack(small(np.diff(np.searchsorted(s.keys[s.order[s.edge[p] : s.edge[p + 1]]], asked), prepend=0)))))
+            made = told(k, batch)
             some = [None] * (len(made) - 1)
             yield _row(
                 pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made]), pa.array([k] * len(made), pa.int64()), pa.array([m[2] for m in made], pa.binary()),
