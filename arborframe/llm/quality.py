@@ -49,7 +49,7 @@ from .textscan import first_of_doc, mix, runs
 
 DIM = 48
 NONZERO = 2
-HIDDEN = 5
+HIDDEN = 4
 MAX_TRAIN = 3_000
 THRESHOLD = 0.3
 SLICE_BYTES = 7 << 20
