@@ -185,11 +185,11 @@ class Meshwork:
     def downstream_of(self, mesh_ids: DataFrame) -> DataFrame:
         """Mesh vertices at and below the tree vertices of the given ones."""
         start = to_skeleton(mesh_ids, self.map).withColumnRenamed("mesh_id", "skel_id")
-        return self._on_mesh(t.downstream(t.closure(self.tree), start).select("skel_id", "sid").distinct())
+        return self._on_mesh(t.downstream(t.Lifts(self.tree), start).select("skel_id", "sid").distinct())
 
     def distance_to_root(self) -> DataFrame:
         """(mesh_id, vid, dist) of all mesh vertices; NaN without a tree vertex."""
-        d = t.to_root(t.closure(self.tree)).select(F.col("skel_id").alias("mesh_id"), "sid", F.col("dist").cast("double").alias("dist"))
+        d = t.to_root(t.Lifts(self.tree)).select(F.col("skel_id").alias("mesh_id"), "sid", F.col("dist").cast("double").alias("dist"))
         return self.map.join(d, ["mesh_id", "sid"], "left").select("mesh_id", "vid", F.coalesce("dist", F.lit(float("nan"))).alias("dist"))
 
     def branch_points(self) -> DataFrame:

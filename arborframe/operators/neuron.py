@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tree as t
+from .tables import cut
 
 
-def points_below(paths: DataFrame, anno: DataFrame) -> DataFrame:
+def points_below(paths: t.Lifts, anno: DataFrame) -> DataFrame:
     """(skel_id, sid, dp, dq): input and output points at and below each vertex."""
     per = anno.groupBy("skel_id", "sid").agg(F.count_if("is_pre").alias("p"), F.count_if(~F.col("is_pre")).alias("q"))
-    return paths.join(per, ["skel_id", "sid"], "left").groupBy("skel_id", F.col("anc").alias("sid")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("dp"), F.coalesce(F.sum("q"), F.lit(0)).alias("dq"))
+    inside = per.join(paths.tree.select("skel_id", "sid"), ["skel_id", "sid"], "left_semi").withColumnsRenamed({"p": "dp", "q": "dq"})
+    found = paths.tree.select("skel_id", "sid").join(t.below(paths, inside, F.sum), ["skel_id", "sid"], "left")
+    return found.select("skel_id", "sid", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("dp", "dq")])
 
 
-def betweenness(paths: DataFrame, anno: DataFrame) -> DataFrame:
+def betweenness(paths: t.Lifts, anno: DataFrame) -> DataFrame:
     """Paths between an input and an output point that use the vertex' edge to its parent: dp (Q - dq) + (P - dp) dq."""
     below = points_below(paths, anno)
     totals = anno.groupBy("skel_id").agg(F.count_if("is_pre").alias("P"), F.count_if(~F.col("is_pre")).alias("Q"))
@@ -34,7 +37,7 @@ def split_entropy(p1: Column, q1: Column, p2: Column, q2: Column) -> Column:
     return F.when(n1 + n2 > 0, (n1 * entropy(p1, q1) + n2 * entropy(p2, q2)) / (n1 + n2)).otherwise(0.0)
 
 
-def segregation(paths: DataFrame, anno: DataFrame) -> DataFrame:
+def segregation(paths: t.Lifts, anno: DataFrame) -> DataFrame:
     """Per vertex: 1 - H(cut above it) / H(uncut); 0 where nothing is divided."""
     b = betweenness(paths, anno)
     rest_p, rest_q = F.col("P") - F.col("dp"), F.col("Q") - F.col("dq")
@@ -43,7 +46,7 @@ def segregation(paths: DataFrame, anno: DataFrame) -> DataFrame:
     return b.withColumn("segregation", F.when(some, 1 - split_entropy(F.col("dp"), F.col("dq"), rest_p, rest_q) / whole).otherwise(0.0))
 
 
-def split_point(tree: DataFrame, paths: DataFrame, anno: DataFrame, at_segment_base: bool = False) -> DataFrame:
+def split_point(tree: DataFrame, paths: t.Lifts, anno: DataFrame, at_segment_base: bool = False) -> DataFrame:
     """(skel_id, sid): greatest betweenness, ties nearest the root, then the smaller id; or the base of its segment."""
     b = betweenness(paths, anno).join(t.to_root(paths).select("skel_id", "sid", "dist"), ["skel_id", "sid"])
     top = b.groupBy("skel_id").agg(F.max_by("sid", F.struct("betweenness", -F.col("dist"), -F.col("sid"))).alias("sid"))
@@ -52,7 +55,7 @@ def split_point(tree: DataFrame, paths: DataFrame, anno: DataFrame, at_segment_b
     return top
 
 
-def split_axon(tree: DataFrame, paths: DataFrame, anno: DataFrame, times: int = 1, at_segment_base: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_axon(tree: DataFrame, paths: t.Lifts, anno: DataFrame, times: int = 1, at_segment_base: bool = False) -> tuple[DataFrame, DataFrame]:
     """Vertices (skel_id, sid, is_axon) and (skel_id, cut, quality): the side with the larger share of input points is the axon, the lower on ties.
 
     times: go on with what isn't axon yet. Without input or output points nothing is axon and the quality is 0.
@@ -64,13 +67,15 @@ def split_axon(tree: DataFrame, paths: DataFrame, anno: DataFrame, times: int =
         s = segregation(paths_left, anno_left).join(top, ["skel_id", "sid"])
         share = lambda p, q: p / (p + q + 1)
         lower = share(F.col("dp"), F.col("dq")) >= share(F.col("P") - F.col("dp"), F.col("Q") - F.col("dq"))
-        chosen = s.select("skel_id", F.col("sid").alias("cut"), lower.alias("lower"), F.col("segregation").alias("quality"))
-        marked = paths_left.select("skel_id", "sid", "anc").join(chosen.select("skel_id", "cut", "lower"), "skel_id")
-        side = marked.groupBy("skel_id", "sid").agg((F.max((F.col("anc") == F.col("cut")).cast("int")) == 1).alias("below"), F.first("lower").alias("lower"))
-        new = side.filter(F.col("below") == F.col("lower")).select("skel_id", "sid")
+        chosen = cut(s.select("skel_id", F.col("sid").alias("cut"), lower.alias("lower"), F.col("segregation").alias("quality")))
+        lower_part = t.downstream(paths_left, chosen.select("skel_id", F.col("cut").alias("sid"))).select("skel_id", "sid", F.lit(True).alias("below"))
+        side = paths_left.tree.join(chosen.select("skel_id", "lower"), "skel_id").join(lower_part, ["skel_id", "sid"], "left")
+        new = cut(side.filter(F.coalesce("below", F.lit(False)) == F.col("lower")).select("skel_id", "sid"))
         axon = new if axon is None else axon.unionAll(new)
         cuts = chosen if cuts is None else cuts.unionAll(chosen)
-        paths_left = paths_left.join(new, ["skel_id", "sid"], "left_anti").join(new.withColumnRenamed("sid", "anc"), ["skel_id", "anc"], "left_anti")
+        rest = paths_left.tree.join(new, ["skel_id", "sid"], "left_anti")
+        loose = rest.join(new.withColumnRenamed("sid", "parent"), ["skel_id", "parent"], "left_semi").select("skel_id", "sid")
+        paths_left = t.Lifts(cut(t.cut_edges(rest, loose)))
         anno_left = anno_left.join(new, ["skel_id", "sid"], "left_anti")
     flagged = tree.select("skel_id", "sid").join(axon.distinct().withColumn("is_axon", F.lit(True)), ["skel_id", "sid"], "left").withColumn("is_axon", F.coalesce("is_axon", F.lit(False)))
     return flagged, cuts.select("skel_id", "cut", "quality")
@@ -86,9 +91,9 @@ def split_quality(anno: DataFrame, flagged: DataFrame) -> DataFrame:
     return x.select("skel_id", F.when(some, 1 - split_entropy(F.col("pa"), F.col("qa"), F.col("pd"), F.col("qd")) / whole).otherwise(0.0).alias("quality"))
 
 
-def window_pairs(paths: DataFrame, width: float) -> DataFrame:
+def window_pairs(paths: t.Lifts, width: float) -> DataFrame:
     """(skel_id, i, j): pairs of vertices within width along the tree (inclusive, themselves too)."""
-    near = paths.filter(F.col("dist") <= width)
+    near = t.closure(paths, F.col("dist") <= width)
     a = near.select("skel_id", "anc", F.col("sid").alias("i"), F.col("dist").alias("d1"))
     b = near.select("skel_id", "anc", F.col("sid").alias("j"), F.col("dist").alias("d2"))
     return a.join(b, ["skel_id", "anc"]).filter(F.col("d1") + F.col("d2") <= width).select("skel_id", "i", "j").distinct()
@@ -101,11 +106,11 @@ def vertex_cable(tree: DataFrame) -> DataFrame:
     return both.groupBy("skel_id", "sid").agg((F.sum("w") / 2).alias("cable"))
 
 
-def linear_density(tree: DataFrame, paths: DataFrame, anno: DataFrame, width: float, normalize: bool = True, exclude_root: bool = False) -> DataFrame:
+def linear_density(tree: DataFrame, paths: t.Lifts, anno: DataFrame, width: float, normalize: bool = True, exclude_root: bool = False) -> DataFrame:
     """Vertices with points within width along the tree, over the cable there (each vertex counts once, however many points it has)."""
     if exclude_root:
         roots = tree.filter("parent is null").select("skel_id", F.col("sid").alias("parent"))
-        paths = t.closure(t.cut_edges(tree, tree.join(roots, ["skel_id", "parent"]).select("skel_id", "sid")))
+        paths = t.Lifts(t.cut_edges(tree, tree.join(roots, ["skel_id", "parent"]).select("skel_id", "sid")))
     pairs = window_pairs(paths, width)
     has = anno.select("skel_id", F.col("sid").alias("j"), F.lit(1).alias("has")).distinct()
     n = pairs.join(has, ["skel_id", "j"], "left")
@@ -116,9 +121,9 @@ def linear_density(tree: DataFrame, paths: DataFrame, anno: DataFrame, width: fl
     return n.select("skel_id", "sid", (F.col("n") / F.when(F.col("cable") > 0, F.col("cable"))).alias("density"))
 
 
-def gaussian_density(tree: DataFrame, paths: DataFrame, anno: DataFrame, width: float, reach: float = 3.0) -> DataFrame:
+def gaussian_density(tree: DataFrame, paths: t.Lifts, anno: DataFrame, width: float, reach: float = 3.0) -> DataFrame:
     """Points weighted exp(-d^2 / 2 width^2) within reach * width, over the cable weighted alike."""
-    near = paths.filter(F.col("dist") <= width * reach)
+    near = t.closure(paths, F.col("dist") <= width * reach)
     a = near.select("skel_id", "anc", F.col("sid").alias("i"), F.col("dist").alias("d1"))
     b = near.select("skel_id", "anc", F.col("sid").alias("j"), F.col("dist").alias("d2"))
     pairs = a.join(b, ["skel_id", "anc"]).groupBy("skel_id", "i", "j").agg(F.min(F.col("d1") + F.col("d2")).alias("d")).filter(F.col("d") <= width * reach)

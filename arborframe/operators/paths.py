@@ -70,7 +70,7 @@ def fill_radius(tree: DataFrame) -> DataFrame:
     return now.join(least, "skel_id").select("skel_id", "sid", F.coalesce("radius", "least").alias("radius"))
 
 
-def path_pairs(tree: DataFrame, paths: DataFrame, edges: DataFrame, mesh_to_skel: DataFrame) -> DataFrame:
+def path_pairs(tree: DataFrame, paths: t.Lifts, edges: DataFrame, mesh_to_skel: DataFrame) -> DataFrame:
     """(mesh_id, tip, side, pos, vid): for each tip its way to the root along the tree (side 'tree', root left out) and along the mesh to the root's region ('mesh').
 
     Tree vertices stand at the mesh vertex of their own id.

@@ -1,35 +1,114 @@
 """Rooted trees: (skel_id, sid, parent, w); w is the length of the edge to the parent, parent of a root is NULL.
 
-Most queries are joins and aggregates on the closure (skel_id, sid, anc, hops,
-dist), which pointer doubling builds in log2(depth) joins.
+Nothing writes a vertex with all its ancestors unless that is the result. `climb`
+carries one row a vertex to its root, segment head or other stop by pointer
+jumping; `Lifts` holds each vertex' ancestors 1, 2, 4, ... above it, from which
+`below` aggregates subtrees and `lowest_common` searches, in log2(depth) rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .tables import cut
 
+MAX_ROUNDS = 60  # of doubling: no tree is deeper, only a cycle of parents
 
-def closure(tree: DataFrame) -> DataFrame:
-    """Every vertex with all its ancestors, itself included."""
-    own = tree.select("skel_id", "sid", F.col("sid").alias("anc"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("dist"))
-    up = tree.filter("parent is not null").select("skel_id", "sid", F.col("parent").alias("anc"), F.lit(1).alias("hops"), F.col("w").cast("long").alias("dist"))
-    all_, step = cut(up), 1
-    while True:
-        far = all_.filter(F.col("hops") == step)
-        on = all_.select("skel_id", F.col("sid").alias("anc"), F.col("anc").alias("anc2"), F.col("hops").alias("hops2"), F.col("dist").alias("dist2"))
-        more = cut(far.join(on, ["skel_id", "anc"]).select("skel_id", "sid", F.col("anc2").alias("anc"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("dist") + F.col("dist2")).alias("dist")))
+
+def _length(tree: DataFrame) -> str:
+    """Whole edge lengths add up as long, others as double."""
+    return "double" if tree.schema["w"].dataType.simpleString() in ("double", "float") else "long"
+
+
+class Lifts:
+    """A tree, and as `levels` the tables (skel_id, sid, up, dist) of the ancestor 2^k above each vertex that has one; made when first used."""
+
+    def __init__(self, tree: DataFrame):
+        self.length = _length(tree)
+        self.tree = tree.select("skel_id", "sid", "parent", F.col("w").cast(self.length).alias("w"))
+
+    @cached_property
+    def levels(self) -> list[DataFrame]:
+        found = [cut(self.tree.filter("parent is not null").select("skel_id", "sid", F.col("parent").alias("up"), F.col("w").alias("dist")))]
+        while len(found) < MAX_ROUNDS:
+            on = found[-1].select("skel_id", F.col("sid").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+            more = cut(found[-1].join(on, ["skel_id", "up"]).select("skel_id", "sid", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist")))
+            if more.isEmpty():
+                return found
+            found.append(more)
+        raise ValueError("parents form a cycle")
+
+    @cached_property
+    def from_root(self) -> DataFrame:
+        return cut(climb(self.tree, self.tree.filter("parent is null")).withColumnRenamed("to", "root"))
+
+
+def climb(tree: DataFrame, stops: DataFrame) -> DataFrame:
+    """(skel_id, sid, to, hops, dist): the nearest of stops (skel_id, sid) at or above each vertex; roots are stops.
+
+    Only vertices that haven't arrived are joined, and on vertices that aren't stops, so that a root is no hot key.
+    """
+    length = _length(tree)
+    roots = tree.filter("parent is null").select("skel_id", "sid")
+    ends = cut(stops.select("skel_id", "sid").unionAll(roots).distinct())
+    here = tree.join(ends, ["skel_id", "sid"], "left_anti").select("skel_id", "sid", F.col("parent").alias("to"), F.lit(1).alias("hops"), F.col("w").cast(length).alias("dist"))
+    arrives = ends.select("skel_id", F.col("sid").alias("to"), F.lit(True).alias("done"))
+    own = tree.select("skel_id", "sid").join(ends, ["skel_id", "sid"], "left_semi").select("skel_id", "sid", F.col("sid").alias("to"), F.lit(0).alias("hops"), F.lit(0).cast(length).alias("dist"), F.lit(True).alias("done"))
+    now = cut(here.join(arrives, ["skel_id", "to"], "left").select("skel_id", "sid", "to", "hops", "dist", F.coalesce("done", F.lit(False)).alias("done")).unionAll(own))
+    for _ in range(MAX_ROUNDS):
+        going = now.filter(~F.col("done"))
+        if going.isEmpty():
+            return now.drop("done")
+        on = now.select("skel_id", F.col("sid").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        # a parent that is no vertex of the tree is where the way ends
+        farther = going.join(on, ["skel_id", "to"], "left").select(
+            "skel_id", "sid", F.coalesce("to2", "to").alias("to"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("done2", F.lit(True)).alias("done")
+        )
+        now = cut(now.filter("done").unionAll(farther))
+    raise ValueError("parents form a cycle")
+
+
+def _ways(paths: Lifts, start: DataFrame, keep: Column | None = None) -> DataFrame:
+    """start (skel_id, anc, ...) with hops and dist, a row for anc and each vertex above it; as far as `keep` holds, which must not return."""
+    found = cut(start.withColumns({"hops": F.lit(0), "dist": F.lit(0).cast(paths.length)}))
+    others = [c for c in start.columns if c != "anc"]
+    for k, level in enumerate(paths.levels):
+        step = level.select("skel_id", F.col("sid").alias("anc"), "up", F.col("dist").alias("d"))
+        more = found.join(step, ["skel_id", "anc"]).select(*others, F.col("up").alias("anc"), (F.col("hops") + (1 << k)).alias("hops"), (F.col("dist") + F.col("d")).alias("dist"))
+        more = cut(more if keep is None else more.filter(keep))
         if more.isEmpty():
-            return own.unionAll(all_)
-        all_, step = all_.unionAll(more), step * 2
+            break
+        found = found.unionByName(more)
+    return found
+
+
+def closure(tree: DataFrame | Lifts, keep: Column | None = None) -> DataFrame:
+    """(skel_id, sid, anc, hops, dist): every vertex with its ancestors, itself included; as far as `keep` holds."""
+    paths = tree if isinstance(tree, Lifts) else Lifts(tree)
+    return _ways(paths, paths.tree.select("skel_id", "sid", F.col("sid").alias("anc")), keep).select("skel_id", "sid", "anc", "hops", "dist")
+
+
+def below(paths: Lifts, values: DataFrame, how: Callable[[str], Column]) -> DataFrame:
+    """values (skel_id, sid, ...) aggregated by `how` (F.sum, F.max, F.min) over each vertex and all below it; vertices without any are missing.
+
+    After k rounds a vertex has what is less than 2^k below it, each value once.
+    """
+    names = [c for c in values.columns if c not in ("skel_id", "sid")]
+    now = values.groupBy("skel_id", "sid").agg(*[how(c).alias(c) for c in names])
+    for level in paths.levels:
+        up = now.join(level.select("skel_id", "sid", "up"), ["skel_id", "sid"]).select("skel_id", F.col("up").alias("sid"), *names)
+        now = cut(now.unionByName(up).groupBy("skel_id", "sid").agg(*[how(c).alias(c) for c in names]))
+    return now
 
 
-def to_root(paths: DataFrame) -> DataFrame:
+def to_root(paths: Lifts) -> DataFrame:
     """(skel_id, sid, root, hops, dist) of every vertex."""
-    return paths.groupBy("skel_id", "sid").agg(F.max_by("anc", "hops").alias("root"), F.max("hops").alias("hops"), F.max("dist").alias("dist"))
+    return paths.from_root
 
 
 def children(tree: DataFrame) -> DataFrame:
@@ -60,36 +139,61 @@ def degrees(tree: DataFrame) -> DataFrame:
     return child_counts(tree).join(tree.select("skel_id", "sid", "parent"), ["skel_id", "sid"]).select("skel_id", "sid", (F.col("n") + F.col("parent").isNotNull().cast("int")).alias("degree"))
 
 
-def path_to_root(paths: DataFrame, start: DataFrame) -> DataFrame:
+def path_to_root(paths: Lifts, start: DataFrame) -> DataFrame:
     """(skel_id, sid, pos, anc): the way from each start (skel_id, sid) to its root."""
-    return paths.join(start, ["skel_id", "sid"]).select("skel_id", "sid", F.col("hops").alias("pos"), "anc")
+    known = start.select("skel_id", "sid").join(paths.tree, ["skel_id", "sid"], "left_semi")
+    return _ways(paths, known.withColumn("anc", F.col("sid"))).select("skel_id", "sid", F.col("hops").alias("pos"), "anc")
 
 
-def downstream(paths: DataFrame, of: DataFrame, inclusive: bool = True) -> DataFrame:
+def downstream(paths: Lifts, of: DataFrame, inclusive: bool = True) -> DataFrame:
     """(skel_id, of, sid): all vertices below each of `of` (skel_id, sid)."""
-    below = paths if inclusive else paths.filter("hops > 0")
-    return below.join(of.select("skel_id", F.col("sid").alias("anc")), ["skel_id", "anc"]).select("skel_id", F.col("anc").alias("of"), "sid")
-
-
-def lowest_common(paths: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (skel_id, a, b) with lca, and hops and distances of a and b to it."""
-    up = lambda v: paths.select("skel_id", F.col("sid").alias(v), "anc", F.col("hops").alias(f"hops_{v}"), F.col("dist").alias(f"dist_{v}"))
-    both = pairs.join(up("a"), ["skel_id", "a"]).join(up("b"), ["skel_id", "b", "anc"])
-    nearest = F.min(F.struct(F.col("hops_a"), F.col("anc"), F.col("hops_b"), F.col("dist_a"), F.col("dist_b"))).alias("m")
-    return both.groupBy("skel_id", "a", "b").agg(nearest).select("skel_id", "a", "b", F.col("m.anc").alias("lca"), "m.hops_a", "m.hops_b", "m.dist_a", "m.dist_b")
-
-
-def distance_between(paths: DataFrame, pairs: DataFrame) -> DataFrame:
+    known = of.select("skel_id", "sid").join(paths.tree, ["skel_id", "sid"], "left_semi")
+    found = cut(known.select("skel_id", F.col("sid").alias("of"), "sid"))
+    for level in paths.levels:
+        down = level.select("skel_id", F.col("up"), F.col("sid").alias("to"))
+        more = cut(found.withColumnRenamed("sid", "up").join(down, ["skel_id", "up"]).select("skel_id", "of", F.col("to").alias("sid")))
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+    return found if inclusive else found.filter("of <> sid")
+
+
+def lowest_common(paths: Lifts, pairs: DataFrame) -> DataFrame:
+    """pairs (skel_id, a, b) with lca, and hops and distances of a and b to it; none for pairs of different trees.
+
+    The deeper of the two is lifted to the other's depth, then both are while they differ: one row a pair throughout.
+    """
+    far = lambda v: paths.from_root.select("skel_id", F.col("sid").alias(v), F.col("root").alias(f"root_{v}"), F.col("hops").alias(f"hops_{v}"), F.col("dist").alias(f"dist_{v}"))
+    at = pairs.select("skel_id", "a", "b").distinct().join(far("a"), ["skel_id", "a"]).join(far("b"), ["skel_id", "b"]).filter("root_a = root_b").drop("root_a", "root_b")
+    a_deeper = F.col("hops_a") >= F.col("hops_b")
+    at = at.withColumns({"lo": F.when(a_deeper, F.col("a")).otherwise(F.col("b")), "hi": F.when(a_deeper, F.col("b")).otherwise(F.col("a")), "gap": F.abs(F.col("hops_a") - F.col("hops_b"))})
+    lift = lambda level, v: level.select("skel_id", F.col("sid").alias(v), F.col("up").alias(f"{v}_up"))
+    for k, level in enumerate(paths.levels):
+        moved = F.when(F.col("gap").bitwiseAND(1 << k) > 0, F.col("lo_up")).otherwise(F.col("lo"))
+        at = at.join(lift(level, "lo"), ["skel_id", "lo"], "left").withColumn("lo", moved).drop("lo_up")
+    at = cut(at.drop("gap"))
+    # hi and lo are equally deep now, so that both or neither have an ancestor of a level
+    for level in reversed(paths.levels):
+        apart = F.col("lo_up") != F.col("hi_up")
+        both = at.join(lift(level, "lo"), ["skel_id", "lo"], "left").join(lift(level, "hi"), ["skel_id", "hi"], "left")
+        at = both.withColumns({v: F.when(apart, F.col(f"{v}_up")).otherwise(F.col(v)) for v in ("lo", "hi")}).drop("lo_up", "hi_up")
+    at = at.join(lift(paths.levels[0], "lo"), ["skel_id", "lo"], "left").withColumn("lca", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo_up")))
+    up = paths.from_root.select("skel_id", F.col("sid").alias("lca"), F.col("hops").alias("h"), F.col("dist").alias("d"))
+    own = [(F.col(f"{x}_{v}") - F.col(x[0])).alias(f"{x}_{v}") for x in ("hops", "dist") for v in "ab"]
+    return at.join(up, ["skel_id", "lca"]).select("skel_id", "a", "b", "lca", *own)
+
+
+def distance_between(paths: Lifts, pairs: DataFrame) -> DataFrame:
     """Tree distance of each pair; pairs of different trees have none."""
     return lowest_common(paths, pairs).select("skel_id", "a", "b", (F.col("dist_a") + F.col("dist_b")).alias("dist"))
 
 
-def path_between(paths: DataFrame, pairs: DataFrame) -> DataFrame:
+def path_between(paths: Lifts, pairs: DataFrame) -> DataFrame:
     """(skel_id, a, b, pos, sid): up from a to the common ancestor, then down to b."""
-    lca = lowest_common(paths, pairs)
-    up = lca.join(paths.withColumnRenamed("sid", "a"), ["skel_id", "a"]).filter(F.col("hops") <= F.col("hops_a")).select("skel_id", "a", "b", F.col("hops").alias("pos"), F.col("anc").alias("sid"))
-    down = lca.join(paths.withColumnRenamed("sid", "b"), ["skel_id", "b"]).filter(F.col("hops") < F.col("hops_b")).select("skel_id", "a", "b", (F.col("hops_a") + F.col("hops_b") - F.col("hops")).alias("pos"), F.col("anc").alias("sid"))
-    return up.unionByName(down)
+    lca = cut(lowest_common(paths, pairs))
+    up = _ways(paths, lca.select("skel_id", "a", "b", F.col("hops_a").alias("most"), F.col("a").alias("anc")), F.col("hops") <= F.col("most"))
+    down = _ways(paths, lca.filter("hops_b > 0").select("skel_id", "a", "b", F.col("hops_b").alias("most"), (F.col("hops_a") + F.col("hops_b")).alias("last"), F.col("b").alias("anc")), F.col("hops") < F.col("most"))
+    return up.select("skel_id", "a", "b", F.col("hops").alias("pos"), F.col("anc").alias("sid")).unionByName(down.select("skel_id", "a", "b", (F.col("last") - F.col("hops")).alias("pos"), F.col("anc").alias("sid")))
 
 
 def path_length(tree: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -101,14 +205,14 @@ def path_length(tree: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return edges.groupBy("skel_id", "grp").agg(F.coalesce(F.sum(F.when(F.col("__in"), F.col("w"))), F.lit(0)).alias("length"))
 
 
-def segment_heads(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def segment_heads(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, head): the nearest ancestor-or-self whose parent is a branch point, or is missing."""
-    forks = branch_points(tree).select("skel_id", F.col("sid").alias("parent"), F.lit(True).alias("fork"))
-    heads = tree.join(forks, ["skel_id", "parent"], "left").filter("fork or parent is null").select("skel_id", F.col("sid").alias("anc"))
-    return paths.join(heads, ["skel_id", "anc"]).groupBy("skel_id", "sid").agg(F.min_by("anc", "hops").alias("head"))
+    forks = branch_points(tree).select("skel_id", F.col("sid").alias("parent"))
+    heads = tree.join(forks, ["skel_id", "parent"], "left_semi").select("skel_id", "sid")
+    return climb(paths.tree, heads).select("skel_id", "sid", F.col("to").alias("head"))
 
 
-def segments(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def segments(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, seg, pos): segments numbered by their least vertex, vertices from tip to base."""
     heads = segment_heads(tree, paths).join(to_root(paths).select("skel_id", "sid", "hops"), ["skel_id", "sid"])
     first = heads.groupBy("skel_id", "head").agg(F.min("sid").alias("least"))
@@ -117,18 +221,18 @@ def segments(tree: DataFrame, paths: DataFrame) -> DataFrame:
     return heads.join(numbered.select("skel_id", "head", "seg"), ["skel_id", "head"]).select("skel_id", "sid", "seg", pos.alias("pos"))
 
 
-def segments_plus(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def segments_plus(tree: DataFrame, paths: Lifts) -> DataFrame:
     """segments with the parent of each base as a further last vertex."""
     seg = segments(tree, paths)
     base = seg.join(tree, ["skel_id", "sid"]).groupBy("skel_id", "seg").agg(F.max("pos").alias("pos"), F.max_by("parent", "pos").alias("sid")).filter("sid is not null")
     return seg.unionByName(base.select("skel_id", "sid", "seg", (F.col("pos") + 1).alias("pos")))
 
 
-def cover_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def cover_paths(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, tip, path, pos): longest-first paths from tips; a vertex belongs to the farthest tip below it (ties: the larger id)."""
     far = to_root(paths).select("skel_id", "sid", "dist", "hops")
-    tips = end_points(tree).join(far, ["skel_id", "sid"]).select("skel_id", F.col("sid").alias("tip"), F.col("dist").alias("tip_dist"))
-    own = paths.withColumnRenamed("sid", "tip").join(tips, ["skel_id", "tip"]).groupBy("skel_id", F.col("anc").alias("sid")).agg(F.max_by("tip", F.struct("tip_dist", "tip")).alias("tip"))
+    tips = end_points(tree).join(far, ["skel_id", "sid"]).select("skel_id", "sid", F.struct("dist", F.col("sid").alias("tip")).alias("m"))
+    own = below(paths, tips, F.max).select("skel_id", "sid", F.col("m.tip").alias("tip"))
     rank = F.row_number().over(Window.partitionBy("skel_id").orderBy(F.desc("length"), F.desc("tip"))) - 1
     # a path's length runs to the parent of its last vertex
     ends = own.join(tree, ["skel_id", "sid"]).groupBy("skel_id", "tip").agg(F.sum(F.coalesce("w", F.lit(0))).alias("length")).withColumn("path", rank)
@@ -142,7 +246,7 @@ def cut_edges(tree: DataFrame, at: DataFrame) -> DataFrame:
     return marked.select("skel_id", "sid", F.when(F.col("__cut").isNull(), F.col("parent")).alias("parent"), "w")
 
 
-def reroot(tree: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
+def reroot(tree: DataFrame, paths: Lifts, roots: DataFrame) -> DataFrame:
     """The tree rooted at `roots` (skel_id, sid): edges on the way to the old root turn round. An unknown root is an error."""
     missing = roots.join(tree, ["skel_id", "sid"], "left_anti")
     if not missing.isEmpty():
@@ -154,64 +258,66 @@ def reroot(tree: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select("skel_id", "sid", F.when(F.col("__on"), F.col("__up")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("__on"), F.coalesce("__w", F.lit(0))).otherwise(F.col("w")).alias("w"))
 
 
-def far_point(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def far_point(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, dist): the vertex farthest from the root (ties: the smaller id), the default new root's other end."""
     return to_root(paths).groupBy("skel_id").agg(F.max_by(F.struct("sid", "dist"), F.struct("dist", -F.col("sid"))).alias("m")).select("skel_id", "m.sid", "m.dist")
 
 
-def within_distance(paths: DataFrame, of: DataFrame, limit: float) -> DataFrame:
+def within_distance(paths: Lifts, of: DataFrame, limit: float) -> DataFrame:
     """(skel_id, of, sid): vertices nearer than limit along the tree."""
-    near = paths.filter(F.col("dist") < limit)
+    near = closure(paths, F.col("dist") < limit)
     up = near.join(of, ["skel_id", "sid"]).select("skel_id", F.col("sid").alias("of"), "anc", F.col("dist").alias("d1"))
     down = near.select("skel_id", "anc", "sid", F.col("dist").alias("d2"))
     # through a common ancestor that isn't the lowest the way is longer, so that a pair found is truly near
     return up.join(down, ["skel_id", "anc"]).filter(F.col("d1") + F.col("d2") < limit).select("skel_id", "of", "sid").distinct()
 
 
-def jump_proximal(tree: DataFrame, paths: DataFrame, of: DataFrame, hops: int = 1) -> DataFrame:
+def jump_proximal(tree: DataFrame, paths: Lifts, of: DataFrame, hops: int = 1) -> DataFrame:
     """(skel_id, sid, to): the hops-th topological point on the way to the root, the start included; the last if there are fewer."""
-    topo = topo_points(tree).select("skel_id", F.col("sid").alias("anc")).distinct()
-    on = paths.join(of, ["skel_id", "sid"]).join(topo, ["skel_id", "anc"])
-    near = Window.partitionBy("skel_id", "sid")
-    ranked = on.withColumns({"r": F.row_number().over(near.orderBy("hops")), "n": F.count("*").over(near)})
-    return ranked.filter(F.col("r") == F.least(F.lit(hops), F.col("n"))).select("skel_id", "sid", F.col("anc").alias("to"))
+    near = cut(climb(paths.tree, topo_points(tree)).select("skel_id", "sid", "to"))
+    at = of.select("skel_id", "sid").join(near, ["skel_id", "sid"])
+    after = tree.select("skel_id", F.col("sid").alias("to"), "parent").join(near.select("skel_id", F.col("sid").alias("parent"), F.col("to").alias("next")), ["skel_id", "parent"])
+    for _ in range(hops - 1):
+        at = at.join(after.select("skel_id", "to", "next"), ["skel_id", "to"], "left").select("skel_id", "sid", F.coalesce("next", "to").alias("to"))
+    return at
 
 
-def jump_distal(tree: DataFrame, paths: DataFrame, of: DataFrame) -> DataFrame:
+def jump_distal(tree: DataFrame, paths: Lifts, of: DataFrame) -> DataFrame:
     """(skel_id, sid, to): the nearest topological point below, or the vertex itself if it is one."""
-    topo = topo_points(tree).select("skel_id", "sid").distinct()
-    below = paths.join(topo, ["skel_id", "sid"]).select("skel_id", F.col("anc").alias("of"), F.col("sid").alias("to"), "dist")
-    return below.join(of.withColumnRenamed("sid", "of"), ["skel_id", "of"]).groupBy("skel_id", F.col("of").alias("sid")).agg(F.min_by("to", F.struct("dist", "to")).alias("to"))
+    topo = topo_points(tree).select("skel_id", "sid").distinct().join(to_root(paths), ["skel_id", "sid"])
+    nearest = below(paths, topo.select("skel_id", "sid", F.struct("dist", "sid").alias("m")), F.min)
+    return nearest.join(of, ["skel_id", "sid"], "left_semi").select("skel_id", "sid", F.col("m.sid").alias("to"))
 
 
-def same_segment(tree: DataFrame, paths: DataFrame, of: DataFrame) -> DataFrame:
+def same_segment(tree: DataFrame, paths: Lifts, of: DataFrame) -> DataFrame:
     """(skel_id, of, sid): all vertices of the segment of each."""
     head = segment_heads(tree, paths)
     return head.join(of, ["skel_id", "sid"]).select("skel_id", F.col("sid").alias("of"), "head").join(head, ["skel_id", "head"]).select("skel_id", "of", "sid")
 
 
-def same_branch(tree: DataFrame, paths: DataFrame, of: DataFrame) -> DataFrame:
+def same_branch(tree: DataFrame, paths: Lifts, of: DataFrame) -> DataFrame:
     """(skel_id, of, sid): all vertices below the child, towards the vertex, of the branch point proximal to it; vertices without one have none."""
-    forks = branch_points(tree).select("skel_id", F.col("sid").alias("anc"))
-    nearest = paths.join(of, ["skel_id", "sid"]).filter("hops > 0").join(forks, ["skel_id", "anc"]).groupBy("skel_id", "sid").agg(F.min("hops").alias("h"))
-    tops = paths.join(nearest, ["skel_id", "sid"]).filter("hops = h - 1").select("skel_id", F.col("sid").alias("of"), "anc")
-    return paths.join(tops, ["skel_id", "anc"]).select("skel_id", "of", "sid")
+    rooted = tree.filter("parent is not null").select("skel_id", F.col("sid").alias("head"))
+    tops = cut(segment_heads(tree, paths).join(of.select("skel_id", "sid"), ["skel_id", "sid"]).join(rooted, ["skel_id", "head"], "left_semi"))
+    parts = downstream(paths, tops.select("skel_id", F.col("head").alias("sid")).distinct())
+    return tops.select("skel_id", F.col("sid").alias("of"), "head").join(parts.withColumnRenamed("of", "head"), ["skel_id", "head"]).select("skel_id", "of", "sid")
 
 
-def branch_order(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def branch_order(tree: DataFrame, paths: Lifts) -> DataFrame:
     """Branch points on the way to the root, itself and the root included; 0 at the root."""
-    forks = branch_points(tree).select("skel_id", F.col("sid").alias("anc"), F.lit(1).alias("fork"))
-    n = paths.join(forks, ["skel_id", "anc"], "left").groupBy("skel_id", "sid").agg(F.count("fork").alias("n"), F.max("hops").alias("hops"))
-    return n.select("skel_id", "sid", F.when(F.col("hops") == 0, 0).otherwise(F.col("n")).alias("branch_order"))
+    forks = branch_points(tree).withColumn("fork", F.lit(1))
+    marked = cut(paths.tree.join(forks, ["skel_id", "sid"], "left").select("skel_id", "sid", "parent", F.coalesce("fork", F.lit(0)).cast("long").alias("w")))
+    n = climb(marked, marked.filter("parent is null")).join(marked.select("skel_id", F.col("sid").alias("to"), "w"), ["skel_id", "to"])
+    return n.select("skel_id", "sid", F.when(F.col("hops") == 0, 0).otherwise(F.col("dist") + F.col("w")).alias("branch_order"))
 
 
-def strahler_order(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def strahler_order(tree: DataFrame, paths: Lifts) -> DataFrame:
     """Strahler order: k + 1 and more for vertices with two children of order k or more at or below them. One round per order."""
     order = tree.select("skel_id", "sid", F.lit(1).alias("strahler"))
     level, k = tree.select("skel_id", "sid", "parent"), 1
     while True:
         forks = level.filter("parent is not null").groupBy("skel_id", F.col("parent").alias("sid")).count().filter("count > 1").select("skel_id", "sid")
-        up = cut(paths.join(forks, ["skel_id", "sid"]).select("skel_id", F.col("anc").alias("sid")).distinct())
+        up = cut(below(paths, forks.withColumn("at", F.lit(1)), F.max).select("skel_id", "sid"))
         if up.isEmpty():
             return order.groupBy("skel_id", "sid").agg(F.max("strahler").alias("strahler"))
         k += 1
@@ -219,7 +325,6 @@ def strahler_order(tree: DataFrame, paths: DataFrame) -> DataFrame:
         level = tree.select("skel_id", "sid", "parent").join(up, ["skel_id", "sid"], "left_semi")
 
 
-def collapse_zero_edges(tree: DataFrame, paths: DataFrame) -> DataFrame:
+def collapse_zero_edges(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, to): the nearest ancestor-or-self with an edge longer than zero (or the root), which takes the vertex in."""
-    keeps = tree.filter("parent is null or w > 0").select("skel_id", F.col("sid").alias("anc"))
-    return paths.join(keeps, ["skel_id", "anc"]).groupBy("skel_id", "sid").agg(F.min_by("anc", "hops").alias("to"))
+    return climb(paths.tree, tree.filter("parent is null or w > 0")).select("skel_id", "sid", "to")

@@ -36,9 +36,9 @@ def query(sql: str | None = None, base: str = ""):
     return add
 
 
-def _closure(spark, d):
+def _lifts(spark, d):
     tree = cut(fx.tree(spark, d))
-    return tree, cut(t.closure(tree))
+    return tree, t.Lifts(tree)
 
 
 # --- trees ---
@@ -46,12 +46,15 @@ def _closure(spark, d):
 
 @query("SELECT skel_id, sid, hops, dist FROM toroot", fx.CLOSURE)
 def tree_distance_to_root(spark, d):
-    return t.to_root(_closure(spark, d)[1]).select("skel_id", "sid", "hops", "dist")
+    return t.to_root(_lifts(spark, d)[1]).select("skel_id", "sid", "hops", "dist")
 
 
 @query("SELECT skel_id, anc AS sid, count(*) AS n, CAST(sum(dist) AS BIGINT) AS total FROM closure GROUP BY skel_id, anc", fx.CLOSURE)
 def tree_downstream_counts(spark, d):
-    return _closure(spark, d)[1].groupBy("skel_id", F.col("anc").alias("sid")).agg(F.count("*").alias("n"), F.sum("dist").alias("total"))
+    paths = _lifts(spark, d)[1]
+    far = t.to_root(paths).select("skel_id", "sid", F.col("dist").alias("own"))
+    sums = t.below(paths, far.withColumn("n", F.lit(1).cast("long")).withColumn("total", F.col("own")).drop("own"), F.sum)
+    return sums.join(far, ["skel_id", "sid"]).select("skel_id", "sid", "n", (F.col("total") - F.col("n") * F.col("own")).alias("total"))
 
 
 @query("SELECT t.skel_id, t.sid, coalesce(t.parent, -1) AS parent, coalesce(k.n, 0) AS n_children FROM tree t LEFT JOIN kids k USING (skel_id, sid)", fx.CLOSURE)
@@ -77,7 +80,7 @@ def tree_undirected_degrees(spark, d):
 
 @query("SELECT skel_id, sid, hops AS pos, anc FROM closure", fx.CLOSURE)
 def tree_path_to_root(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.path_to_root(paths, tree.select("skel_id", "sid"))
 
 
@@ -95,13 +98,13 @@ def _pairs(tree):
 
 @query("SELECT skel_id, a, b, lca, hops_a, hops_b, dist_a, dist_b FROM lca", fx.CLOSURE + _PAIRS)
 def tree_lowest_common_ancestor(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.lowest_common(paths, _pairs(tree))
 
 
 @query("SELECT skel_id, a, b, dist_a + dist_b AS dist FROM lca", fx.CLOSURE + _PAIRS)
 def tree_distance_between(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.distance_between(paths, _pairs(tree))
 
 
@@ -111,7 +114,7 @@ UNION ALL SELECT l.skel_id, l.a, l.b, l.hops_a + l.hops_b - c.hops, c.anc FROM l
     fx.CLOSURE + _PAIRS,
 )
 def tree_path_between(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.path_between(paths, _pairs(tree))
 
 
@@ -139,12 +142,12 @@ seg AS MATERIALIZED (SELECT s.skel_id, s.sid, n.seg, s.head, row_number() OVER (
 
 @query("SELECT skel_id, sid, CAST(seg AS INT) AS seg, CAST(pos AS INT) AS pos FROM seg", fx.CLOSURE + _HEADS)
 def tree_segments(spark, d):
-    return t.segments(*_closure(spark, d))
+    return t.segments(*_lifts(spark, d))
 
 
 @query("SELECT s.skel_id, s.sid, s.seg, s.pos FROM seg s UNION ALL SELECT b.skel_id, t.parent, b.seg, b.pos + 1 FROM (SELECT skel_id, seg, max(pos) AS pos, arg_max(sid, pos) AS sid FROM seg GROUP BY skel_id, seg) b JOIN tree t USING (skel_id, sid) WHERE t.parent IS NOT NULL", fx.CLOSURE + _HEADS)
 def tree_segments_plus(spark, d):
-    return t.segments_plus(*_closure(spark, d))
+    return t.segments_plus(*_lifts(spark, d))
 
 
 _COVER = """,
@@ -155,7 +158,7 @@ cover AS MATERIALIZED (SELECT o.skel_id, o.sid, o.tip, n.path, row_number() OVER
 
 @query("SELECT skel_id, sid, tip, path, pos FROM cover", fx.CLOSURE + _COVER)
 def tree_cover_paths(spark, d):
-    return t.cover_paths(*_closure(spark, d))
+    return t.cover_paths(*_lifts(spark, d))
 
 
 @query("SELECT skel_id, sid, CASE WHEN sid % 64 = 0 THEN NULL ELSE parent END AS parent, w FROM tree", fx.TREE)
@@ -171,13 +174,13 @@ FROM tree t LEFT JOIN way y ON y.sid = t.sid LEFT JOIN way b ON b.hops = y.hops
     fx.CLOSURE,
 )
 def tree_reroot(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.reroot(tree, paths, tree.filter("sid = 777").select("skel_id", "sid"))
 
 
 @query("SELECT skel_id, arg_max(sid, dist * 1000000000 - sid) AS sid, max(dist) AS dist FROM toroot GROUP BY skel_id", fx.CLOSURE)
 def tree_far_point(spark, d):
-    return t.far_point(*_closure(spark, d))
+    return t.far_point(*_lifts(spark, d))
 
 
 @query(
@@ -185,7 +188,7 @@ def tree_far_point(spark, d):
     fx.CLOSURE,
 )
 def tree_within_distance(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.within_distance(paths, tree.select("skel_id", "sid"), 150)
 
 
@@ -199,19 +202,19 @@ FROM closure c JOIN topo p ON p.skel_id = c.skel_id AND p.sid = c.anc) WHERE r =
     fx.CLOSURE + _TOPO,
 )
 def tree_jump_proximal(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.jump_proximal(tree, paths, tree.select("skel_id", "sid"), 2)
 
 
 @query("""SELECT c.skel_id, c.anc AS sid, arg_min(c.sid, c.dist * 1000000000 + c.sid) AS "to" FROM closure c JOIN topo p USING (skel_id, sid) GROUP BY c.skel_id, c.anc""", fx.CLOSURE + _TOPO)
 def tree_jump_distal(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.jump_distal(tree, paths, tree.select("skel_id", "sid"))
 
 
 @query("""SELECT a.skel_id, a.sid AS "of", b.sid FROM seg0 a JOIN seg0 b ON b.skel_id = a.skel_id AND b.head = a.head""", fx.CLOSURE + _HEADS)
 def tree_same_segment(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.same_segment(tree, paths, tree.select("skel_id", "sid"))
 
 
@@ -221,13 +224,13 @@ SELECT c.skel_id, c.sid AS "of", b.sid FROM h JOIN closure c ON c.skel_id = h.sk
     fx.CLOSURE,
 )
 def tree_same_branch(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.same_branch(tree, paths, tree.filter("sid % 2000 = 9").select("skel_id", "sid"))
 
 
 @query("SELECT c.skel_id, c.sid, CASE WHEN max(c.hops) = 0 THEN 0 ELSE count(f.sid) END AS branch_order FROM closure c LEFT JOIN forks f ON f.skel_id = c.skel_id AND f.sid = c.anc GROUP BY c.skel_id, c.sid", fx.CLOSURE)
 def tree_branch_order(spark, d):
-    return t.branch_order(*_closure(spark, d))
+    return t.branch_order(*_lifts(spark, d))
 
 
 _S = "".join(
@@ -240,7 +243,7 @@ _ORDER = " UNION ALL ".join(f"SELECT skel_id, sid, {k} AS k FROM s{k}" for k in
 
 @query(f"SELECT skel_id, sid, CAST(max(k) AS INT) AS strahler FROM (SELECT skel_id, sid, 1 AS k FROM tree UNION ALL {_ORDER}) GROUP BY skel_id, sid", fx.CLOSURE + ", tree2 AS (SELECT skel_id, sid FROM tree)" + _S)
 def tree_strahler_order(spark, d):
-    return t.strahler_order(*_closure(spark, d))
+    return t.strahler_order(*_lifts(spark, d))
 
 
 @query(
@@ -248,7 +251,7 @@ def tree_strahler_order(spark, d):
     fx.CLOSURE,
 )
 def tree_collapse_zero_edges(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return t.collapse_zero_edges(tree.withColumn("w", F.when(F.col("sid") % 3 == 0, 0).otherwise(F.col("w"))), paths)
 
 
@@ -262,12 +265,12 @@ bet AS MATERIALIZED (SELECT skel_id, sid, dp, dq, P, Q, dp * (Q - dq) + (P - dp)
 
 @query("SELECT skel_id, sid, dp, dq, betweenness FROM bet", fx.CLOSURE + _BELOW)
 def neuron_betweenness(spark, d):
-    return ne.betweenness(_closure(spark, d)[1], fx.annotations(spark, d)).select("skel_id", "sid", "dp", "dq", "betweenness")
+    return ne.betweenness(_lifts(spark, d)[1], fx.annotations(spark, d)).select("skel_id", "sid", "dp", "dq", "betweenness")
 
 
 @query("SELECT b.skel_id, arg_max(b.sid, {'a': betweenness, 'b': -dist, 'c': -b.sid}) AS sid FROM bet b JOIN toroot r ON r.skel_id = b.skel_id AND r.sid = b.sid GROUP BY b.skel_id", fx.CLOSURE + _BELOW)
 def neuron_split_point(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return ne.split_point(tree, paths, fx.annotations(spark, d))
 
 
@@ -278,18 +281,18 @@ _SEG = f"""SELECT skel_id, sid, round(CASE WHEN dp + dq > 0 AND (P - dp) + (Q -
 
 @query(_SEG, fx.CLOSURE + _BELOW)
 def neuron_segregation(spark, d):
-    return ne.segregation(_closure(spark, d)[1], fx.annotations(spark, d)).select("skel_id", "sid", (F.round("segregation", 6) + 0).alias("segregation"))
+    return ne.segregation(_lifts(spark, d)[1], fx.annotations(spark, d)).select("skel_id", "sid", (F.round("segregation", 6) + 0).alias("segregation"))
 
 
 @query()
 def neuron_axon_split(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return ne.split_axon(tree, paths, fx.annotations(spark, d), times=2)[0]
 
 
 @query()
 def neuron_axon_quality(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     anno = fx.annotations(spark, d)
     return ne.split_quality(anno, cut(ne.split_axon(tree, paths, anno)[0]))
 
@@ -300,7 +303,7 @@ win AS MATERIALIZED (SELECT DISTINCT x.skel_id, x.sid AS i, y.sid AS j FROM clos
 
 @query("SELECT skel_id, i, count(*) AS n, CAST(sum(j) AS BIGINT) AS total FROM win GROUP BY skel_id, i", fx.CLOSURE + _WINDOW)
 def neuron_window_pairs(spark, d):
-    return ne.window_pairs(_closure(spark, d)[1], 60).groupBy("skel_id", "i").agg(F.count("*").alias("n"), F.sum("j").alias("total"))
+    return ne.window_pairs(_lifts(spark, d)[1], 60).groupBy("skel_id", "i").agg(F.count("*").alias("n"), F.sum("j").alias("total"))
 
 
 @query(
@@ -310,7 +313,7 @@ SELECT w.skel_id, w.i AS sid, round(count(h.sid) / CAST(sum(c.cable) AS DOUBLE),
     fx.CLOSURE + _WINDOW,
 )
 def neuron_linear_density(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     return ne.linear_density(tree, paths, fx.annotations(spark, d).filter("is_pre"), 60).withColumn("density", F.round("density", 9))
 
 
@@ -532,7 +535,7 @@ FROM tree t JOIN num n USING (skel_id, sid) LEFT JOIN num u ON u.skel_id = t.ske
     fx.CLOSURE + _COVER,
 )
 def swc_export(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     skel = tree.withColumns({"x": F.col("sid").cast("double"), "y": F.col("w").cast("double"), "z": F.lit(0.0)})
     no = F.lit(False)
     return files.swc_rows(skel, paths, files.swc_labels(tree.select("skel_id", "sid"), F.col("sid") % 5 == 0, no, no, no))
@@ -554,7 +557,7 @@ def skeleton_map(spark, d):
 
 @query()
 def resample(spark, d):
-    tree, paths = _closure(spark, d)
+    tree, paths = _lifts(spark, d)
     far = t.to_root(paths).select("skel_id", "sid", "dist")
     cover = t.cover_paths(tree, paths)
     last = cover.join(tree, ["skel_id", "sid"]).groupBy("skel_id", "path").agg(F.max_by("parent", "pos").alias("sid")).join(cover.select("skel_id", "sid", F.col("path").alias("up_path")), ["skel_id", "sid"], "left")

@@ -70,7 +70,7 @@ def swc_labels(sids: DataFrame, axon: Column, soma: Column, apical: Column, dend
     return sids.withColumn("label", F.when(axon, 2).when(soma, 1).when(apical, 4).when(dendrite, 3).otherwise(3 if dendrite_default else 0))
 
 
-def swc_rows(skel: DataFrame, paths: DataFrame, labels: DataFrame | None = None, xyz_scaling: float = 1000.0) -> DataFrame:
+def swc_rows(skel: DataFrame, paths: t.Lifts, labels: DataFrame | None = None, xyz_scaling: float = 1000.0) -> DataFrame:
     """skel (skel_id, sid, parent, w, x, y, z[, radius]) as SWC rows (skel_id, id, label, x, y, z, radius, parent), parents before children.
 
     Vertices are in the order of cover paths, each from its base to its tip, and numbered from 0; the root's parent is -1.

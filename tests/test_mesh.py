@@ -236,7 +236,7 @@ def test_paths_between_points_meshes_and_trees(spark):
     way = pa.point_to_skeleton(p, v, f, both, skel.select(F.col("skel_id").alias("mesh_id"), F.col("sid").alias("vid"))).collect()
     assert 1 <= len(way) <= 3 and max(r["pos"] for r in way) == len(way) - 1
     tree = skel.select("skel_id", "sid", "parent", F.round(F.col("w") * 1000).cast("long").alias("w"))
-    pairs = pa.path_pairs(tree, t.closure(tree), both, m).cache()
+    pairs = pa.path_pairs(tree, t.Lifts(tree), both, m).cache()
     assert {r["side"] for r in pairs.select("side").distinct().collect()} == {"tree", "mesh"}
     radius = v.select("mesh_id", "vid", F.lit(60.0).alias("radius"))
     score = pa.path_quality(pairs, v, radius, [1.0] + [-1.0] * 14, 0.5).collect()

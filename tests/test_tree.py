@@ -31,10 +31,10 @@ def way(up, s, v):
 
 
 def test_simple_tree(spark, simple):
-    paths = t.closure(simple)
+    paths = t.Lifts(simple)
     seg = {r["sid"]: r["seg"] for r in t.segments(simple, paths).collect()}
     assert [seg[i] for i in range(7)] == [0, 0, 0, 1, 1, 2, 2]
-    up = {r["anc"]: r["dist"] for r in paths.filter("sid = 6").collect()}
+    up = {r["anc"]: r["dist"] for r in t.closure(paths).filter("sid = 6").collect()}
     assert up == {6: 0, 5: 1, 2: 2, 1: 3, 0: 4}
     pairs = spark.createDataFrame([(1, 6, i) for i in range(7)], "skel_id long, a long, b long")
     assert {r["b"]: r["dist"] for r in t.distance_between(paths, pairs).collect()} == dict(enumerate([4, 3, 2, 3, 4, 1, 0]))
@@ -49,19 +49,19 @@ def test_simple_tree(spark, simple):
 
 def test_swc_round_trip(spark, simple, tmp_path):
     skel = simple.withColumn("radius", simple["x"] + 1.0)
-    rows = files.swc_rows(skel, t.closure(simple), xyz_scaling=1.0).orderBy("id").collect()
+    rows = files.swc_rows(skel, t.Lifts(simple), xyz_scaling=1.0).orderBy("id").collect()
     assert rows[3]["parent"] == 2 and rows[0]["parent"] == -1 and all(r["parent"] < r["id"] for r in rows)
-    files.write_swc(files.swc_rows(skel, t.closure(simple), xyz_scaling=1.0), str(tmp_path / "swc"), header="made here")
+    files.write_swc(files.swc_rows(skel, t.Lifts(simple), xyz_scaling=1.0), str(tmp_path / "swc"), header="made here")
     back = files.read_swc(spark, str(tmp_path / "swc")).orderBy("id").collect()
     assert [(r["id"], r["label"], r["x"], r["parent"]) for r in back] == [(r["id"], r["label"], r["x"], r["parent"]) for r in rows]
     with pytest.raises(Exception, match="exist"):
-        files.write_swc(files.swc_rows(skel, t.closure(simple)), str(tmp_path / "swc"))
+        files.write_swc(files.swc_rows(skel, t.Lifts(simple)), str(tmp_path / "swc"))
 
 
 def test_random_forest_by_brute_force(spark):
     tree, up = random_tree(spark, 60, 3, forest=2)
-    paths = t.closure(tree)
-    got = {(r["skel_id"], r["sid"], r["anc"]): (r["hops"], r["dist"]) for r in paths.collect()}
+    paths = t.Lifts(tree)
+    got = {(r["skel_id"], r["sid"], r["anc"]): (r["hops"], r["dist"]) for r in t.closure(paths).collect()}
     assert got == {(s, v, a): (k, d) for s, v in up for k, (a, d) in enumerate(way(up, s, v))}
     kids = {}
     for (s, v), (p, _) in up.items():
@@ -80,7 +80,7 @@ def test_random_forest_by_brute_force(spark):
 
 def test_reroot_keeps_lengths(spark):
     tree, up = random_tree(spark, 40, 5)
-    again = t.reroot(tree, t.closure(tree), spark.createDataFrame([(0, 33)], "skel_id long, sid long"))
+    again = t.reroot(tree, t.Lifts(tree), spark.createDataFrame([(0, 33)], "skel_id long, sid long"))
     rows = {r["sid"]: (r["parent"], r["w"]) for r in again.collect()}
     assert rows[33][0] is None and sum(w for p, w in rows.values() if p is not None) == sum(w for p, w in up.values() if p is not None)
     ends = lambda m: {frozenset((v, p)) for v, (p, _) in m.items() if p is not None}
@@ -92,19 +92,19 @@ def test_betweenness_counts_pairs_across_an_edge(spark):
     r = random.Random(1)
     anno = [(0, r.randrange(30), r.random() < 0.5) for _ in range(40)]
     df = spark.createDataFrame(anno, "skel_id long, sid long, is_pre boolean")
-    got = {x["sid"]: x["betweenness"] for x in ne.betweenness(t.closure(tree), df).collect()}
+    got = {x["sid"]: x["betweenness"] for x in ne.betweenness(t.Lifts(tree), df).collect()}
     for v in range(30):
         below = {u for u in range(30) if v in [a for a, _ in way(up, 0, u)]}
         assert got[v] == sum((a in below) != (b in below) for _, a, x in anno for _, b, y in anno if x and not y)
-    flagged, cuts = ne.split_axon(tree, t.closure(tree), df)
+    flagged, cuts = ne.split_axon(tree, t.Lifts(tree), df)
     assert 0 <= cuts.first()["quality"] <= 1 and ne.split_quality(df, flagged).first()["quality"] == pytest.approx(cuts.first()["quality"])
-    assert ne.split_axon(tree, t.closure(tree), df.filter("is_pre"))[0].filter("is_axon").count() == 0
+    assert ne.split_axon(tree, t.Lifts(tree), df.filter("is_pre"))[0].filter("is_axon").count() == 0
 
 
 def test_density_by_brute_force(spark):
     tree, up = random_tree(spark, 30, 9)
     anno = spark.createDataFrame([(0, v, True) for v in (1, 5, 5, 9, 20)], "skel_id long, sid long, is_pre boolean")
-    got = {r["sid"]: r["density"] for r in ne.linear_density(tree, t.closure(tree), anno, 12).collect()}
+    got = {r["sid"]: r["density"] for r in ne.linear_density(tree, t.Lifts(tree), anno, 12).collect()}
     dist = lambda a, b: min(d + e for x, d in way(up, 0, a) for y, e in way(up, 0, b) if x == y)
     cable = {v: (sum(w for (_, u), (p, w) in up.items() if p is not None and v in (u, p))) / 2 for v in range(30)}
     for v in range(30):
