@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.tables import cut
+
 GOLDEN = math.pi * (3 - math.sqrt(5))
 
 
@@ -58,19 +60,35 @@ def angle_weighted_distance(hits: DataFrame) -> DataFrame:
     return spread.select(*key).join(mean, key, "left")
 
 
+def _in_ranges(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """rows with `__b`, a range of (by, order), so that a long line is many groups; equal rows share one."""
+    return cut(rows.repartitionByRange(*by, *order).withColumn("__b", F.spark_partition_id()))
+
+
 def line_windows(points: DataFrame, by: list[str], at: str = "x") -> DataFrame:
-    """Each point's part of a line: from half way to the point before to half way to the next; open at the ends."""
-    o = Window.partitionBy(*by).orderBy(at)
-    low, high = (F.lag(at).over(o) + F.col(at)) / 2, (F.lead(at).over(o) + F.col(at)) / 2
-    return points.withColumns({"low": F.coalesce(low, F.lit(float("-inf"))), "high": F.coalesce(high, F.lit(float("inf")))})
+    """Each point's part of a line: from half way to the point before to half way to the next; open at the ends.
+
+    A line is sorted in ranges, of which only the first and last points are compared with each other.
+    """
+    rows = _in_ranges(points, by, at)
+    line, o = Window.partitionBy(*by).orderBy("__b"), Window.partitionBy(*by, "__b").orderBy(at)
+    ends = rows.groupBy(*by, "__b").agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    ends = ends.select(*by, "__b", F.lag("__last").over(line).alias("__before"), F.lead("__first").over(line).alias("__after"))
+    low, high = (F.coalesce(F.lag(at).over(o), "__before") + F.col(at)) / 2, (F.coalesce(F.lead(at).over(o), "__after") + F.col(at)) / 2
+    found = rows.join(ends, [*by, "__b"]).withColumns({"low": F.coalesce(low, F.lit(float("-inf"))), "high": F.coalesce(high, F.lit(float("inf")))})
+    return found.select(*points.columns, "low", "high")
 
 
 def assign_windows(points: DataFrame, values: DataFrame, by: list[str], at: str = "x", value: str = "v", name: str = "pid") -> DataFrame:
-    """values (by, v) with the point whose window [low, high) holds each: last window that starts at or before, a running maximum."""
+    """values (by, v) with the point whose window [low, high) holds each: last window that starts at or before, a running maximum in ranges that each get the last window of those before."""
     marks = line_windows(points, by, at).select(*by, F.col("low").alias("__at"), F.lit(0).alias("__kind"), F.col(name).alias("__p"), F.lit(None).cast("double").alias(value))
     asks = values.select(*by, F.col(value).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).alias("__p"), F.col(value).cast("double").alias(value))
-    o = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.unionByName(asks).withColumn(name, F.last("__p", ignorenulls=True).over(o)).filter("__kind = 1").select(*by, value, name)
+    rows = _in_ranges(marks.unionByName(asks), by, "__at", "__kind")
+    line, o = Window.partitionBy(*by).orderBy("__b"), Window.partitionBy(*by, "__b").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*by, "__b").agg(F.max_by("__p", F.when(F.col("__kind") == 0, F.col("__at"))).alias("__last"))
+    ends = ends.select(*by, "__b", F.last("__last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    found = rows.withColumn("__own", F.last("__p", ignorenulls=True).over(o)).join(ends, [*by, "__b"])
+    return found.filter("__kind = 1").select(*by, value, F.coalesce("__own", "__before").alias(name))
 
 
 def histogram_score(data: DataFrame, by: list[str], log_odds: list[float], p0: float, value: str = "v") -> DataFrame:

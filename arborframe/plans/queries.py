@@ -219,13 +219,13 @@ def tree_same_segment(spark, d):
 
 
 @query(
-    """, h AS (SELECT c.skel_id, c.sid, min(c.hops) AS h FROM closure c JOIN forks f ON f.skel_id = c.skel_id AND f.sid = c.anc WHERE c.hops > 0 AND c.sid % 2000 = 9 GROUP BY c.skel_id, c.sid)
-SELECT c.skel_id, c.sid AS "of", b.sid FROM h JOIN closure c ON c.skel_id = h.skel_id AND c.sid = h.sid AND c.hops = h.h - 1 JOIN closure b ON b.skel_id = c.skel_id AND b.anc = c.anc""",
+    """, h AS (SELECT c.skel_id, c.sid, min(c.hops) AS h FROM closure c JOIN forks f ON f.skel_id = c.skel_id AND f.sid = c.anc WHERE c.hops > 0 GROUP BY c.skel_id, c.sid)
+SELECT c.skel_id, c.sid AS "of", count(*) AS n, CAST(sum(b.sid) AS BIGINT) AS total FROM h JOIN closure c ON c.skel_id = h.skel_id AND c.sid = h.sid AND c.hops = h.h - 1 JOIN closure b ON b.skel_id = c.skel_id AND b.anc = c.anc GROUP BY c.skel_id, c.sid""",
     fx.CLOSURE,
 )
 def tree_same_branch(spark, d):
     tree, paths = _lifts(spark, d)
-    return t.same_branch(tree, paths, tree.filter("sid % 2000 = 9").select("skel_id", "sid"))
+    return t.same_branch(tree, paths, tree.select("skel_id", "sid")).groupBy("skel_id", "of").agg(F.count("*").alias("n"), F.sum("sid").alias("total"))
 
 
 @query("SELECT c.skel_id, c.sid, CASE WHEN max(c.hops) = 0 THEN 0 ELSE count(f.sid) END AS branch_order FROM closure c LEFT JOIN forks f ON f.skel_id = c.skel_id AND f.sid = c.anc GROUP BY c.skel_id, c.sid", fx.CLOSURE)
@@ -515,9 +515,9 @@ def score_histogram(spark, d):
     return g.histogram_score(rows, ["l_returnflag"], [0.5 * i - 2 for i in range(15)], 0.1).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT e.event_id, arg_max(u.o_custkey, {'a': u.low, 'b': u.o_custkey}) AS pid FROM events e JOIN (SELECT o_custkey, coalesce((lag(x) OVER o + x) / 2.0, -1e18) AS low FROM (SELECT o_custkey, CAST(min(o_orderkey) AS DOUBLE) AS x FROM orders WHERE o_custkey % 50 = 1 GROUP BY o_custkey) WINDOW o AS (ORDER BY x)) u ON u.low <= e.event_id GROUP BY e.event_id")
+@query("SELECT e.event_id, arg_max(u.o_custkey, {'a': u.low, 'b': u.o_custkey}) AS pid FROM events e JOIN (SELECT o_custkey, coalesce((lag(x) OVER o + x) / 2.0, -1e18) AS low FROM (SELECT o_custkey, CAST(min(o_orderkey) AS DOUBLE) AS x FROM orders GROUP BY o_custkey) WINDOW o AS (ORDER BY x)) u ON u.low <= e.event_id GROUP BY e.event_id")
 def line_window_assignment(spark, d):
-    pts = spark.read.parquet(f"{d}/orders.parquet").filter("o_custkey % 50 = 1").groupBy(F.col("o_custkey").alias("pid")).agg(F.min("o_orderkey").cast("double").alias("x")).withColumn("line", F.lit(0))
+    pts = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("pid")).agg(F.min("o_orderkey").cast("double").alias("x")).withColumn("line", F.lit(0))
     ev = spark.read.parquet(f"{d}/events.parquet").select(F.lit(0).alias("line"), F.col("event_id").alias("v"))
     return g.assign_windows(pts, ev, ["line"]).select(F.col("v").cast("long").alias("event_id"), "pid")
 
