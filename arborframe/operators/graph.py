@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tree as t
 from .tables import cut
 
 
@@ -75,17 +76,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = N
     raise RuntimeError("paths did not settle")
 
 
-def path_of(found: DataFrame, targets: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """(mesh_id, source, target, pos, vid): vertices of the shortest way to each target (mesh_id, source, vid), from target to source."""
-    now = targets.join(found, ["mesh_id", "source", "vid"]).select("mesh_id", "source", F.col("vid").alias("target"), F.lit(0).alias("pos"), "vid", "pred")
-    out = now
-    back = found.select("mesh_id", "source", F.col("vid").alias("pred"), F.col("pred").alias("next"))
-    for _ in range(rounds):
-        now = cut(now.filter("pred is not null").join(back, ["mesh_id", "source", "pred"]).select("mesh_id", "source", "target", (F.col("pos") + 1).alias("pos"), F.col("pred").alias("vid"), F.col("next").alias("pred")))
-        if now.isEmpty():
-            return out.drop("pred")
-        out = out.unionByName(now)
-    raise RuntimeError("a path did not end")
+def path_of(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mesh_id, source, target, pos, vid): vertices of the shortest way to each target (mesh_id, source, vid), from target to source.
+
+    The predecessors of one source are a tree, whose ways to the root double in length each round.
+    """
+    one = F.struct("mesh_id", "source").alias("skel_id")
+    forest = found.select(one, F.col("vid").alias("sid"), F.col("pred").alias("parent"), F.lit(0).alias("w"))
+    ways = t.path_to_root(t.Lifts(cut(forest)), targets.select(one, F.col("vid").alias("sid")))
+    return ways.select("skel_id.mesh_id", "skel_id.source", F.col("sid").alias("target"), "pos", F.col("anc").alias("vid"))
 
 
 def paths_to_edges(paths: DataFrame) -> DataFrame:

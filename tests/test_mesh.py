@@ -213,6 +213,24 @@ def test_fill_radius_of_long_runs(spark):
     assert [r["radius"] for r in pa.fill_radius(tree).orderBy("sid").collect()] == pytest.approx(now)
 
 
+def test_path_of_by_brute_force(spark):
+    r = random.Random(2)
+    w = {}
+    for i in range(1, 30):
+        for j in {r.randrange(i), r.randrange(i)}:
+            w[i, j] = w[j, i] = r.randint(1, 9)
+    edges = spark.createDataFrame([(m, a, b, float(x)) for m in (0, 1) for (a, b), x in w.items()], "mesh_id long, src long, dst long, w double")
+    found = gr.shortest_paths(edges, spark.createDataFrame([(0, 7, 0), (1, 8, 5)], "mesh_id long, source long, vid long")).cache()
+    dist = {(x["mesh_id"], x["vid"]): x["dist"] for x in found.collect()}
+    ways = {}
+    for x in gr.path_of(found, found.select("mesh_id", "source", "vid")).collect():
+        ways.setdefault((x["mesh_id"], x["target"]), {})[x["pos"]] = x["vid"]
+    assert len(ways) == 60
+    for (m, target), at in ways.items():
+        way = [at[i] for i in range(len(at))]
+        assert way[0] == target and way[-1] == (0, 5)[m] and sum(w[e] for e in zip(way[:-1], way[1:], strict=True)) == dist[m, target]
+
+
 def test_stream(spark, basic, tmp_path):
     from arborframe.streaming.anchors import anchor_stream
 
