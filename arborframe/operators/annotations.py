@@ -6,13 +6,14 @@ annotation (mesh_id, anno, row_id, px, py, pz, ...); mesh_to_skel (mesh_id, vid,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
 from . import tree as t
-from .tables import or_minus_one
+from .tables import cut, or_minus_one
 
 AGGREGATES = ("mean", "median", "max", "min")
 
@@ -159,13 +160,13 @@ class Annotations:
 class Meshwork:
     """A mesh, its tree and annotations, joined by mesh_to_skel (mesh_id = skel_id)."""
 
-    def __init__(self, vertex: DataFrame, tree: DataFrame, mesh_to_skel: DataFrame, anno: Annotations | None = None, mask: DataFrame | None = None):
-        self.vertex, self.tree, self.map, self.mask = vertex, tree, mesh_to_skel, mask
+    def __init__(self, vertex: DataFrame, tree: DataFrame, mesh_to_skel: DataFrame, anno: Annotations | None = None, mask: DataFrame | None = None, face: DataFrame | None = None):
+        self.vertex, self.tree, self.map, self.mask, self.face = vertex, tree, mesh_to_skel, mask, face
         self.anno = anno or Annotations(vertex)
 
     def masked(self, mask: DataFrame | None) -> Meshwork:
         """Restrict mesh, tree and annotations to the mask; None undoes it."""
-        return Meshwork(self.vertex, self.tree, self.map, self.anno.masked(mask), mask)
+        return Meshwork(self.vertex, self.tree, self.map, self.anno.masked(mask), mask, self.face)
 
     def mesh_vertices(self) -> DataFrame:
         return self.vertex if self.mask is None else self.vertex.join(self.mask, ["mesh_id", "vid"], "left_semi")
@@ -179,6 +180,15 @@ class Meshwork:
         up = kept.select("skel_id", F.col("sid").alias("parent"), F.lit(True).alias("__in"))
         return inside.join(up, ["skel_id", "parent"], "left").select("skel_id", "sid", F.when(F.col("__in"), F.col("parent")).alias("parent"), "w")
 
+    def mapping(self) -> DataFrame:
+        """mesh_to_skel of the mesh vertices that the mask leaves."""
+        return self.map if self.mask is None else self.map.join(self.mask.select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi")
+
+    @cached_property
+    def lifts(self) -> t.Lifts:
+        """Of the tree that the mask leaves."""
+        return t.Lifts(cut(self.skeleton()))
+
     def _on_mesh(self, skel: DataFrame) -> DataFrame:
         return to_mesh(skel.withColumnRenamed("skel_id", "mesh_id"), self.map).select("mesh_id", "vid")
 

@@ -95,6 +95,12 @@ def paths_to_edges(paths: DataFrame) -> DataFrame:
     return paths.select("mesh_id", "path", F.col("vid").alias("src"), nxt.alias("dst")).filter("dst is not null")
 
 
+def shared_edges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a (mesh_id, src, dst, ...) whose pair of ends, either way round, is in b."""
+    ends = lambda: (F.least("src", "dst").alias("__lo"), F.greatest("src", "dst").alias("__hi"))
+    return a.select("*", *ends()).join(b.select("mesh_id", *ends()).distinct(), ["mesh_id", "__lo", "__hi"], "left_semi").select(*a.columns)
+
+
 def far_points(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(mesh_id, a, b, dist): ends of a long way in each component, by going to the farthest vertex until it gets no farther."""
     best, at = None, start.select("mesh_id", F.col("vid").alias("source"), "vid")

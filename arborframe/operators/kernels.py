@@ -163,40 +163,6 @@ def skeletonize(vertex: DataFrame, edges: DataFrame, invalidation: float, min_co
     return skel, made.filter("kind = 1").select("mesh_id", F.col("i").alias("vid"), F.col("j").alias("sid"))
 
 
-def resample(cover: DataFrame, spacing: float, tip_ratio: float = 0.5) -> DataFrame:
-    """cover (skel_id, path, pos, dist, x, y, z, up_path): paths from tip to base with distances to the root; points at every `spacing` of it.
-
-    A path ends where it meets its parent path, whose nearest point becomes the parent. The tip
-    stays as it is if more than tip_ratio of a spacing is left beyond the last point.
-    """
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        out, made = [], {}
-        for path, g in sorted(group.groupby("path"), key=lambda x: x[0]):
-            g = g.sort_values("dist")
-            d, xyz = g["dist"].to_numpy(float), g[XYZ].to_numpy(float)
-            at = np.arange(np.ceil(d[0] / spacing) if path else 0, np.floor(d[-1] / spacing) + 1) * spacing if len(d) else np.empty(0)
-            at = at[(at >= d[0]) & (at <= d[-1])] if path else np.concatenate([[d[0]], at[at > d[0]]])
-            if not len(at) or (d[-1] - at[-1]) / spacing > tip_ratio:
-                at = np.append(at, d[-1])
-            new = np.column_stack([np.interp(at, d, xyz[:, k]) for k in range(3)])
-            up = g["up_path"].iloc[0]
-            last = -1
-            if path and up in made:
-                ids, where = made[up]
-                below = np.flatnonzero(where < at[0])
-                last = ids[below[-1]] if len(below) else ids[0]
-            first = len(out)
-            for k, (a, p) in enumerate(zip(at, new, strict=True)):
-                out.append((first + k, last if k == 0 else first + k - 1, float(a), *map(float, p)))
-            made[path] = (np.arange(first, len(out)), at)
-        r = pd.DataFrame(out, columns=["sid", "parent", "dist", *XYZ])
-        r["parent"] = r["parent"].where(r["parent"] >= 0).astype("Int64")
-        return r.assign(skel_id=group["skel_id"].iloc[0])
-
-    return cover.groupBy("skel_id").applyInPandas(one, "sid long, parent long, dist double, x double, y double, z double, skel_id long")
-
-
 # --- rays ---
 
 

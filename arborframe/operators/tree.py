@@ -228,10 +228,10 @@ def segments_plus(tree: DataFrame, paths: Lifts) -> DataFrame:
     return seg.unionByName(base.select("skel_id", "sid", "seg", (F.col("pos") + 1).alias("pos")))
 
 
-def cover_paths(tree: DataFrame, paths: Lifts) -> DataFrame:
-    """(skel_id, sid, tip, path, pos): longest-first paths from tips; a vertex belongs to the farthest tip below it (ties: the larger id)."""
+def cover_paths(tree: DataFrame, paths: Lifts, start: DataFrame | None = None) -> DataFrame:
+    """(skel_id, sid, tip, path, pos): longest-first paths from tips, or from `start` (skel_id, sid); a vertex belongs to the farthest of them below it (ties: the larger id), or to none."""
     far = to_root(paths).select("skel_id", "sid", "dist", "hops")
-    tips = end_points(tree).join(far, ["skel_id", "sid"]).select("skel_id", "sid", F.struct("dist", F.col("sid").alias("tip")).alias("m"))
+    tips = (end_points(tree) if start is None else start.select("skel_id", "sid").distinct()).join(far, ["skel_id", "sid"]).select("skel_id", "sid", F.struct("dist", F.col("sid").alias("tip")).alias("m"))
     own = below(paths, tips, F.max).select("skel_id", "sid", F.col("m.tip").alias("tip"))
     rank = F.row_number().over(Window.partitionBy("skel_id").orderBy(F.desc("length"), F.desc("tip"))) - 1
     # a path's length runs to the parent of its last vertex
@@ -240,6 +240,14 @@ def cover_paths(tree: DataFrame, paths: Lifts) -> DataFrame:
     return own.join(far.select("skel_id", "sid", "hops"), ["skel_id", "sid"]).join(ends.select("skel_id", "tip", "path"), ["skel_id", "tip"]).select("skel_id", "sid", "tip", "path", pos.alias("pos"))
 
 
+def cover_paths_plus(tree: DataFrame, paths: Lifts, start: DataFrame | None = None) -> DataFrame:
+    """cover_paths with the parent of each base as a further last vertex."""
+    cover = cut(cover_paths(tree, paths, start))
+    last = cover.groupBy("skel_id", "tip", "path").agg(F.max(F.struct("pos", "sid")).alias("m")).select("skel_id", "tip", "path", F.col("m.pos").alias("pos"), F.col("m.sid").alias("sid"))
+    base = last.join(tree.filter("parent is not null").select("skel_id", "sid", "parent"), ["skel_id", "sid"])
+    return cover.unionByName(base.select("skel_id", F.col("parent").alias("sid"), "tip", "path", (F.col("pos") + 1).alias("pos")))
+
+
 def cut_edges(tree: DataFrame, at: DataFrame) -> DataFrame:
     """The tree without the parent edges of `at` (skel_id, sid)."""
     marked = tree.join(at.select("skel_id", "sid", F.lit(True).alias("__cut")).distinct(), ["skel_id", "sid"], "left")
@@ -263,6 +271,11 @@ def far_point(tree: DataFrame, paths: Lifts) -> DataFrame:
     return to_root(paths).groupBy("skel_id").agg(F.max_by(F.struct("sid", "dist"), F.struct("dist", -F.col("sid"))).alias("m")).select("skel_id", "m.sid", "m.dist")
 
 
+def default_root(tree: DataFrame, paths: Lifts) -> DataFrame:
+    """The tree rooted at an end of its longest way: what is farthest from any vertex is one."""
+    return reroot(tree, paths, far_point(tree, paths).select("skel_id", "sid"))
+
+
 def within_distance(paths: Lifts, of: DataFrame, limit: float) -> DataFrame:
     """(skel_id, of, sid): vertices nearer than limit along the tree."""
     near = closure(paths, F.col("dist") < limit)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -14,27 +11,13 @@ from ..operators import kernels as ke
 from ..operators import masks as ma
 from ..operators import neuron as ne
 from ..operators import paths as pa
+from ..operators import resampling as rs
 from ..operators import spatial as sp
 from ..operators import tree as t
 from ..operators.tables import cut
 from ..sources import files
 from . import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, base: str = ""):
-    """Register a query under its function's name; sql follows the named fixtures in base."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {base} {sql}" if base else sql
-        return f
-
-    return add
-
+from .registry import query
 
 def _lifts(spark, d):
     tree = cut(fx.tree(spark, d))
@@ -369,9 +352,18 @@ def graph_components(spark, d):
     return gr.connected_components(fx.points(spark, d), fx.edges(spark, d))
 
 
-@query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 4 AND count(*) <= 50) USING (mesh_id, label)", fx.NEAR + _CC)
+# edges to the nearest only make components of many sizes
+_SMALL_CC = _CC.replace("FROM edges", "FROM (SELECT mesh_id, pid AS src, vid AS dst FROM near WHERE rank = 1)")
+
+
+def _small_components(spark, d):
+    first = fx.neighbours(spark, d).filter("rank = 1").select("mesh_id", F.col("pid").alias("src"), F.col("vid").alias("dst"))
+    return cut(gr.connected_components(fx.points(spark, d), first))
+
+
+@query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, label FROM cc GROUP BY mesh_id, label HAVING count(*) > 3 AND count(*) <= 9) USING (mesh_id, label)", fx.NEAR + _SMALL_CC)
 def filter_components_by_size(spark, d):
-    return ma.components_by_size(gr.connected_components(fx.points(spark, d), fx.edges(spark, d)), 4, 50)
+    return ma.components_by_size(_small_components(spark, d), 3, 9)
 
 
 @query("SELECT c.mesh_id, c.vid FROM cc c JOIN (SELECT mesh_id, arg_max(label, n * 1000000 - label) AS label FROM (SELECT mesh_id, label, count(*) AS n FROM cc GROUP BY mesh_id, label) GROUP BY mesh_id) USING (mesh_id, label)", fx.NEAR + _CC)
@@ -428,11 +420,11 @@ def spatial_mutual_nearest(spark, d):
 pr AS (SELECT a.mesh_id, a.vid AS a, b.vid AS b, a.label AS la, b.label AS lb, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM big a JOIN big b ON a.mesh_id = b.mesh_id AND a.label < b.label),
 rg AS (SELECT *, greatest(1, ceil(sqrt(d2) / 100.0)) AS ring FROM pr WHERE d2 <= 16000000)
 SELECT mesh_id, a, b, la, lb, d2 FROM rg QUALIFY ring = min(ring) OVER (PARTITION BY mesh_id, la, lb)""",
-    fx.NEAR + _CC,
+    fx.NEAR + _SMALL_CC,
 )
 def repair_close_components(spark, d):
     p = fx.points(spark, d)
-    return sp.close_components(p.join(gr.connected_components(p, fx.edges(spark, d)), ["mesh_id", "vid"]), 3, 4000, 100)
+    return sp.close_components(p.join(_small_components(spark, d), ["mesh_id", "vid"]), 3, 4000, 100)
 
 
 @query("SELECT v.mesh_id, v.pid, f.fid FROM (SELECT mesh_id, fid, unnest([a, b, c]) AS vid FROM faces) f JOIN v USING (mesh_id, vid) GROUP BY v.mesh_id, v.pid, f.fid HAVING count(*) = 3", fx.NEAR + """,
@@ -558,12 +550,7 @@ def skeleton_map(spark, d):
 @query()
 def resample(spark, d):
     tree, paths = _lifts(spark, d)
-    far = t.to_root(paths).select("skel_id", "sid", "dist")
-    cover = t.cover_paths(tree, paths)
-    last = cover.join(tree, ["skel_id", "sid"]).groupBy("skel_id", "path").agg(F.max_by("parent", "pos").alias("sid")).join(cover.select("skel_id", "sid", F.col("path").alias("up_path")), ["skel_id", "sid"], "left")
-    rows = cover.join(far, ["skel_id", "sid"]).join(last.select("skel_id", "path", "up_path"), ["skel_id", "path"])
-    rows = rows.select("skel_id", "path", "pos", F.col("dist").cast("double").alias("dist"), F.col("dist").cast("double").alias("x"), F.col("sid").cast("double").alias("y"), F.lit(0.0).alias("z"), "up_path")
-    return ke.resample(rows, 100.0)
+    return rs.resample(tree.withColumns({"x": F.col("sid").cast("double"), "y": F.col("w").cast("double"), "z": F.lit(0.0)}), paths, 100.0)
 
 
 @query()
@@ -588,11 +575,6 @@ def repair_links(spark, d):
     return ke.link_merges(p, _undirected(spark, d), ends)
 
 
-@query()
-def graph_smooth(spark, d):
-    return gr.smooth(fx.points(spark, d), _undirected(spark, d), 0.1, 5).select("mesh_id", "vid", *[F.round(k, 6).alias(k) for k in "xyz"])
-
-
 @query()
 def graph_far_points(spark, d):
     e = _undirected(spark, d)

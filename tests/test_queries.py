@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from arborframe.plans.queries import ORACLES, QUERIES
+from arborframe.plans import ORACLES, QUERIES
 
 TABLES = ("orders", "lineitem", "events", "embeddings")
 #: A few of each kind; the driver compares all of them.
