@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial as sp
 from . import tree as t
+from .blocks import shortest_paths
 from .tables import cut
 
 
@@ -50,32 +52,6 @@ def connected_components(vertex: DataFrame, edges: DataFrame, rounds: int = 60)
     raise RuntimeError("components did not settle")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = None, rounds: int = 10_000) -> DataFrame:
-    """(mesh_id, source, vid, dist, pred): shortest ways from each source (mesh_id, source, vid), up to limit (inclusive).
-
-    Several vertices with one `source` are one many-vertex source. Each round
-    relaxes the edges of the vertices that got nearer in the last one.
-    Ties of predecessors go to the smaller one.
-    """
-    key = ["mesh_id", "source", "vid"]
-    best = cut(sources.select(*key, F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct())
-    front = best
-    e = edges.select("mesh_id", F.col("src").alias("vid"), "dst", F.col("w").cast("double").alias("w"))
-    for _ in range(rounds):
-        step = front.join(e, ["mesh_id", "vid"]).select("mesh_id", "source", F.col("dst").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), F.col("vid").alias("pred"))
-        if limit is not None:
-            step = step.filter(F.col("dist") <= limit)
-        step = step.groupBy(*key).agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, "m.dist", "m.pred")
-        old = best.select(*key, F.col("dist").alias("old"), F.col("pred").alias("old_pred"))
-        nearer = (F.col("dist") < F.col("old")) | ((F.col("dist") == F.col("old")) & (F.col("pred") < F.col("old_pred")))
-        joined = cut(step.join(old, key, "full").select(*key, "dist", "pred", "old", "old_pred", F.coalesce(nearer | F.col("old").isNull(), F.lit(False)).alias("new")))
-        best = joined.select(*key, F.when(F.col("new"), F.col("dist")).otherwise(F.col("old")).alias("dist"), F.when(F.col("new"), F.col("pred")).otherwise(F.col("old_pred")).alias("pred"))
-        front = joined.filter(F.col("new") & (F.col("old").isNull() | (F.col("dist") < F.col("old")))).select(*key, "dist", "pred")
-        if front.isEmpty():
-            return best
-    raise RuntimeError("paths did not settle")
-
-
 def path_of(found: DataFrame, targets: DataFrame) -> DataFrame:
     """(mesh_id, source, target, pos, vid): vertices of the shortest way to each target (mesh_id, source, vid), from target to source.
 
@@ -119,6 +95,17 @@ def geodesic_within(edges: DataFrame, seeds: DataFrame, limit: float) -> DataFra
     return shortest_paths(edges, seeds.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit).select("mesh_id", "vid")
 
 
+def points_to_vertices(points: DataFrame, vertex: DataFrame, max_valid_mapping: float | None = None) -> DataFrame:
+    """(mesh_id, pid, vid): the vertex nearest to each point (mesh_id, pid, px, py, pz); points that have none nearer than max_valid_mapping are left out."""
+    near = sp.k_nearest(points, vertex, 1, max_distance=max_valid_mapping)
+    return (near if max_valid_mapping is None else near.filter(F.col("d2") < F.lit(float(max_valid_mapping) ** 2))).select("mesh_id", "pid", "vid")
+
+
+def geodesic_near_points(vertex: DataFrame, edges: DataFrame, points: DataFrame, limit: float, max_valid_mapping: float | None = None) -> DataFrame:
+    """Vertices within limit along directed edges of the vertex nearest to any point."""
+    return geodesic_within(edges, points_to_vertices(points, vertex, max_valid_mapping).select("mesh_id", "vid").distinct(), limit)
+
+
 def two_point_ellipse(edges: DataFrame, foci: DataFrame, pad: float, power: float = 1.0) -> DataFrame:
     """foci (mesh_id, f0, f1): vertices with d0^p + d1^p < (d(f0, f1) + pad)^p; meshes whose foci aren't connected have none."""
     src = foci.select("mesh_id", F.inline(F.array(F.struct(F.lit(0).cast("long").alias("source"), F.col("f0").alias("vid")), F.struct(F.lit(1).cast("long").alias("source"), F.col("f1").alias("vid")))))
@@ -129,6 +116,13 @@ def two_point_ellipse(edges: DataFrame, foci: DataFrame, pad: float, power: floa
     return both.filter(F.pow("d0", F.lit(power)) + F.pow("d1", F.lit(power)) < F.pow(F.col("apart") + pad, F.lit(power))).select("mesh_id", "vid")
 
 
+def two_point_ellipse_of_points(vertex: DataFrame, edges: DataFrame, points: DataFrame, pad: float, power: float = 1.0) -> DataFrame:
+    """two_point_ellipse with foci at the vertices nearest to the points of pid 0 and 1 of each mesh; meshes that lack one have none."""
+    at = points_to_vertices(points.filter("pid in (0, 1)"), vertex)
+    foci = at.groupBy("mesh_id").agg(F.max(F.when(F.col("pid") == 0, F.col("vid"))).alias("f0"), F.max(F.when(F.col("pid") == 1, F.col("vid"))).alias("f1"))
+    return two_point_ellipse(edges, foci.filter("f0 is not null and f1 is not null"), pad, power)
+
+
 def smooth(vertex: DataFrame, edges: DataFrame, rate: float = 0.1, iterations: int = 100, neighborhood: int = 2) -> DataFrame:
     """Each iteration moves vertices by rate towards the mean of those within `neighborhood` edges; lone vertices stay."""
     hop = edges.select("mesh_id", "src", "dst").unionAll(edges.select("mesh_id", "dst", "src")).filter("src <> dst").distinct()
