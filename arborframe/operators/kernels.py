@@ -1,4 +1,4 @@
-"""Per-object work that is sequential by nature, as grouped maps over many objects: skeletons, resampling, rays, cuts, link repair.
+"""Per-object work that is sequential by nature, as grouped maps over many objects: skeletons, cuts, link repair.
 
 One object's rows meet in one task, as these algorithms need; objects run side
 by side. Anything that is a join or an aggregate is elsewhere.
@@ -163,46 +163,7 @@ def skeletonize(vertex: DataFrame, edges: DataFrame, invalidation: float, min_co
     return skel, made.filter("kind = 1").select("mesh_id", F.col("i").alias("vid"), F.col("j").alias("sid"))
 
 
-# --- rays ---
-
-
-def _hits(origin: np.ndarray, ray: np.ndarray, a: np.ndarray, e1: np.ndarray, e2: np.ndarray, eps: float = 1e-9) -> float:
-    """Distance to the first triangle that the ray meets (Moeller-Trumbore); NaN: none."""
-    p = np.cross(ray, e2)
-    det = (e1 * p).sum(1)
-    ok = np.abs(det) > eps
-    inv = np.where(ok, 1 / np.where(ok, det, 1), 0)
-    s = origin - a
-    u = (s * p).sum(1) * inv
-    q = np.cross(s, e1)
-    v = (q @ ray) * inv
-    t = (e2 * q).sum(1) * inv
-    ok &= (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t > 1e-6)
-    return float(t[ok].min()) if ok.any() else float("nan")
-
-
-def ray_distance(vertex: DataFrame, face: DataFrame, rays: DataFrame) -> DataFrame:
-    """rays (mesh_id, vid, i, x, y, z, angle) from their vertex -> (mesh_id, vid, i, angle, dist), NULL for a miss."""
-    v = vertex.select("mesh_id", F.lit(0).alias("kind"), F.col("vid").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), *[F.col(k).cast("double").alias(k) for k in XYZ], F.lit(0.0).alias("angle"))
-    f = face.select("mesh_id", F.lit(1), "a", "b", "c", *[F.lit(0.0)] * 4)
-    r = rays.select("mesh_id", F.lit(2), "vid", F.col("i").cast("long"), F.lit(0).cast("long"), *XYZ, "angle")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        vs = group[group["kind"] == 0].sort_values("a")
-        fs, rs = group[group["kind"] == 1], group[group["kind"] == 2]
-        ids, xyz = vs["a"].to_numpy(), vs[XYZ].to_numpy()
-        tri = np.searchsorted(ids, fs[["a", "b", "c"]].to_numpy())
-        a, e1, e2 = xyz[tri[:, 0]], xyz[tri[:, 1]] - xyz[tri[:, 0]], xyz[tri[:, 2]] - xyz[tri[:, 0]]
-        at = np.searchsorted(ids, rs["a"].to_numpy())
-        own = [~(tri == k).any(1) for k in range(len(ids))] if len(ids) <= 2000 else None
-        d = []
-        for k, ray in zip(at, rs[XYZ].to_numpy(), strict=True):
-            keep = own[k] if own is not None else ~(tri == k).any(1)
-            d.append(_hits(xyz[k], ray, a[keep], e1[keep], e2[keep]))
-        return pd.DataFrame({"mesh_id": rs["mesh_id"], "vid": rs["a"], "i": rs["b"], "angle": rs["angle"], "dist": pd.array(d, dtype="Float64") if len(d) else pd.array([], dtype="Float64")})
-
-    out = v.unionAll(f).unionAll(r).groupBy("mesh_id").applyInPandas(one, "mesh_id long, vid long, i long, angle double, dist double")
-    return out.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))
+# --- normals ---
 
 
 def vertex_normals(vertex: DataFrame, face: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from . import graph as gr
 from . import spatial as sp
+from . import surface as su
 from . import tree as t
 from .tables import cut
 
@@ -19,10 +20,8 @@ def face_centres(vertex: DataFrame, face: DataFrame) -> DataFrame:
 
 
 def nearest_face_vertex(points: DataFrame, vertex: DataFrame, face: DataFrame, max_distance: float | None = None) -> DataFrame:
-    """(mesh_id, pid, vid, d2): first corner of the triangle whose centre is nearest to each point (mesh_id, pid, px, py, pz)."""
-    centres = face_centres(vertex, face)
-    near = sp.k_nearest(points, centres.withColumnRenamed("fid", "vid").drop("a"), 1, max_distance=max_distance)
-    return near.withColumnRenamed("vid", "fid").join(centres.select("mesh_id", "fid", F.col("a").alias("vid")), ["mesh_id", "fid"]).select("mesh_id", "pid", "vid", "d2")
+    """(mesh_id, pid, vid, d2): first corner of the triangle whose surface is nearest to each point (mesh_id, pid, px, py, pz)."""
+    return su.nearest(points, vertex, face, max_distance).select("mesh_id", "pid", F.col("a").alias("vid"), "d2")
 
 
 def point_to_skeleton(points: DataFrame, vertex: DataFrame, face: DataFrame, edges: DataFrame, skeleton_vertices: DataFrame, limit: float | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import neuron as ne
 from ..operators import paths as pa
 from ..operators import resampling as rs
 from ..operators import spatial as sp
+from ..operators import surface as su
 from ..operators import tree as t
 from ..operators.tables import cut
 from ..sources import files
@@ -558,7 +559,7 @@ def ray_thickness(spark, d):
     p, f = fx.points(spark, d), cut(fx.faces(spark, d))
     normals = ke.vertex_normals(p, f).filter("nx is not null")
     inward = normals.select("mesh_id", "vid", *[(-F.col(k)).alias(k) for k in ("nx", "ny", "nz")])
-    return g.angle_weighted_distance(ke.ray_distance(p, f, g.oriented_cones(inward, g.cone_directions(spark, 16, 1.0))).filter("dist is not null"))
+    return g.angle_weighted_distance(su.first_hits(p, f, g.oriented_cones(inward, g.cone_directions(spark, 16, 1.0))).filter("dist is not null"))
 
 
 @query()

@@ -10,6 +10,7 @@ from arborframe.operators import graph as gr
 from arborframe.operators import kernels as ke
 from arborframe.operators import masks as ma
 from arborframe.operators import spatial as sp
+from arborframe.operators import surface as su
 from arborframe.operators.tables import EmptyMaskError
 from arborframe.sources import files
 
@@ -167,7 +168,7 @@ def test_cut_links_and_rays(spark):
     assert all(abs(np.linalg.norm(x) - 1) < 1e-9 and x @ np.array(cube[i]) > 0 for i, x in n.items())
     s = 3**-0.5
     rays = spark.createDataFrame([(0, 0, 0, s, s, s, 0.0), (0, 0, 1, -s, -s, -s, 0.1)], "mesh_id long, vid long, i long, x double, y double, z double, angle double")
-    hits = {r["i"]: r["dist"] for r in ke.ray_distance(v, f, rays).collect()}
+    hits = {r["i"]: r["dist"] for r in su.first_hits(v, f, rays).collect()}
     assert hits[0] == pytest.approx(2 * 3**0.5, abs=1e-6) and hits[1] is None
 
 
