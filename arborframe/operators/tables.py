@@ -6,12 +6,15 @@ Missing is NULL inside; `or_minus_one` makes the -1 of outside formats.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_NONSENSE_DIGITS = 100
+
 
 class EmptyMaskError(ValueError):
     """A mask that keeps no vertex."""
@@ -27,7 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="arborframe-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps its plan's estimate of size, which each join multiplies: after rounds of self-joins it has
+    # millions of digits, and planning takes longer than the jobs. Such a one is dropped, with the plan that has it.
+    digits = re.search(r"E\+(\d+)", done._jdf.queryExecution().optimizedPlan().stats().toString())
+    if digits is None or int(digits[1]) < _NONSENSE_DIGITS:
+        return done
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), session)
 
 
 def or_minus_one(c: Column | str) -> Column:
