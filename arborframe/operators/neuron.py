@@ -46,8 +46,8 @@ def segregation(paths: t.Lifts, anno: DataFrame) -> DataFrame:
     return b.withColumn("segregation", F.when(some, 1 - split_entropy(F.col("dp"), F.col("dq"), rest_p, rest_q) / whole).otherwise(0.0))
 
 
-def split_point(tree: DataFrame, paths: t.Lifts, anno: DataFrame, at_segment_base: bool = False) -> DataFrame:
-    """(skel_id, sid): greatest betweenness, ties nearest the root, then the smaller id; or the base of its segment."""
+def split_point(tree: DataFrame, paths: t.Lifts, anno: DataFrame, at_segment_base: bool = True) -> DataFrame:
+    """(skel_id, sid): the base of the segment of greatest betweenness, or that vertex itself; ties nearest the root, then the smaller id."""
     b = betweenness(paths, anno).join(t.to_root(paths).select("skel_id", "sid", "dist"), ["skel_id", "sid"])
     top = b.groupBy("skel_id").agg(F.max_by("sid", F.struct("betweenness", -F.col("dist"), -F.col("sid"))).alias("sid"))
     if at_segment_base:
@@ -55,7 +55,7 @@ def split_point(tree: DataFrame, paths: t.Lifts, anno: DataFrame, at_segment_bas
     return top
 
 
-def split_axon(tree: DataFrame, paths: t.Lifts, anno: DataFrame, times: int = 1, at_segment_base: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_axon(tree: DataFrame, paths: t.Lifts, anno: DataFrame, times: int = 1, at_segment_base: bool = True) -> tuple[DataFrame, DataFrame]:
     """Vertices (skel_id, sid, is_axon) and (skel_id, cut, quality): the side with the larger share of input points is the axon, the lower on ties.
 
     times: go on with what isn't axon yet. Without input or output points nothing is axon and the quality is 0.

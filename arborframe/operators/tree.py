@@ -341,3 +341,12 @@ def strahler_order(tree: DataFrame, paths: Lifts) -> DataFrame:
 def collapse_zero_edges(tree: DataFrame, paths: Lifts) -> DataFrame:
     """(skel_id, sid, to): the nearest ancestor-or-self with an edge longer than zero (or the root), which takes the vertex in."""
     return climb(paths.tree, tree.filter("parent is null or w > 0")).select("skel_id", "sid", "to")
+
+
+def collapsed(tree: DataFrame, to: DataFrame | None = None) -> DataFrame:
+    """The tree without the vertices that collapse_zero_edges (or `to`) puts on others; parents and all further columns are those of the vertices that stay."""
+    where = cut(collapse_zero_edges(tree, Lifts(tree)) if to is None else to)
+    stays = tree.join(where.filter("sid = to").select("skel_id", "sid"), ["skel_id", "sid"], "left_semi")
+    above = where.select("skel_id", F.col("sid").alias("parent"), F.col("to").alias("__to"))
+    out = stays.join(above, ["skel_id", "parent"], "left")
+    return out.select(*[F.col("__to").alias("parent") if c == "parent" else F.col(c) for c in tree.columns])

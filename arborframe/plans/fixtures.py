@@ -42,6 +42,17 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.lit(0).cast("long").alias("skel_id"), k.alias("sid"), parent.cast("long").alias("parent"), (1 + k % 97).alias("w"))
 
 
+def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(skel_id, sid, parent, w, x, y, z, radius): 25 deep trees of the orders; branches of 40 vertices, each hanging from a third of its place, thick at their base."""
+    k = F.col("o_orderkey")
+    i, tree = F.floor(k / 25), k % 25
+    up = F.when(i == 0, None).when(i % 40 == 0, F.floor(i / 3)).otherwise(i - 1) * 25 + tree
+    turn = lambda n: (F.floor(F.floor(i / 40) / n) % 3 - 1) * (i % 40) * 200
+    radius = 300 + 8000 / (1 + F.exp(((i % 40) * 200 - 4000) / 700.0))
+    place = [turn(n).cast("double").alias(c) for n, c in ((1, "x"), (3, "y"), (9, "z"))]
+    return _table(spark, sf_dir, "orders").select(tree.alias("skel_id"), k.alias("sid"), up.cast("long").alias("parent"), (200 + i % 97).alias("w"), *place, F.when(k % 17 != 5, radius).alias("radius"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(skel_id, sid, is_pre) of the line items."""
     return _table(spark, sf_dir, "lineitem").select(F.lit(0).cast("long").alias("skel_id"), F.col("l_orderkey").alias("sid"), (F.col("l_returnflag") == "R").alias("is_pre"))
@@ -71,6 +82,8 @@ faces AS MATERIALIZED (SELECT mesh_id, pid AS fid, pid AS a, max(vid) FILTER (ra
 TREE = """tree AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS skel_id, o_orderkey AS sid, CASE WHEN o_orderkey = 0 THEN NULL WHEN o_orderkey % 8 = 0 THEN o_orderkey // 16 ELSE o_orderkey - 1 END AS parent,
   1 + o_orderkey % 97 AS w FROM orders),
 anno AS (SELECT CAST(0 AS BIGINT) AS skel_id, l_orderkey AS sid, l_returnflag = 'R' AS is_pre FROM lineitem)"""
+FOREST = """forest AS MATERIALIZED (SELECT o_orderkey % 25 AS skel_id, o_orderkey AS sid, CASE WHEN i = 0 THEN NULL WHEN i % 40 = 0 THEN i // 3 ELSE i - 1 END * 25 + o_orderkey % 25 AS parent, 200 + i % 97 AS w FROM (SELECT o_orderkey, o_orderkey // 25 AS i FROM orders)),
+fdown AS (SELECT skel_id, sid, 0 AS hops, CAST(0 AS BIGINT) AS dist FROM forest WHERE parent IS NULL UNION ALL SELECT f.skel_id, f.sid, d.hops + 1, d.dist + f.w FROM fdown d JOIN forest f ON f.skel_id = d.skel_id AND f.parent = d.sid)"""
 CLOSURE = TREE + """,
 up AS (SELECT skel_id, sid, sid AS anc, 0 AS hops, CAST(0 AS BIGINT) AS dist, parent, w FROM tree
   UNION ALL SELECT u.skel_id, u.sid, t.sid, u.hops + 1, u.dist + u.w, t.parent, t.w FROM up u JOIN tree t ON u.skel_id = t.skel_id AND u.parent = t.sid),

@@ -239,6 +239,17 @@ def tree_collapse_zero_edges(spark, d):
     return t.collapse_zero_edges(tree.withColumn("w", F.when(F.col("sid") % 3 == 0, 0).otherwise(F.col("w"))), paths)
 
 
+@query(
+    """, up_to AS (SELECT c.skel_id, c.sid, arg_min(c.anc, c.hops) AS k FROM closure c JOIN tree t ON t.skel_id = c.skel_id AND t.sid = c.anc WHERE t.parent IS NULL OR t.sid % 3 > 0 GROUP BY c.skel_id, c.sid)
+SELECT t.skel_id, t.sid, p.k AS parent, CASE WHEN t.sid % 3 = 0 THEN 0 ELSE t.w END AS w FROM tree t JOIN up_to s ON s.skel_id = t.skel_id AND s.sid = t.sid AND s.k = t.sid LEFT JOIN up_to p ON p.skel_id = t.skel_id AND p.sid = t.parent""",
+    fx.CLOSURE,
+)
+def tree_collapsed(spark, d):
+    tree = fx.tree(spark, d)
+    flat = tree.withColumn("w", F.when(F.col("sid") % 3 == 0, 0).otherwise(F.col("w")))
+    return t.collapsed(flat)
+
+
 # --- neurons ---
 
 _BELOW = """,
@@ -255,7 +266,7 @@ def neuron_betweenness(spark, d):
 @query("SELECT b.skel_id, arg_max(b.sid, {'a': betweenness, 'b': -dist, 'c': -b.sid}) AS sid FROM bet b JOIN toroot r ON r.skel_id = b.skel_id AND r.sid = b.sid GROUP BY b.skel_id", fx.CLOSURE + _BELOW)
 def neuron_split_point(spark, d):
     tree, paths = _lifts(spark, d)
-    return ne.split_point(tree, paths, fx.annotations(spark, d))
+    return ne.split_point(tree, paths, fx.annotations(spark, d), at_segment_base=False)
 
 
 _H = "(CASE WHEN {a} > 0 THEN -({a} / CAST({a} + {b} AS DOUBLE)) * log2({a} / CAST({a} + {b} AS DOUBLE)) ELSE 0 END + CASE WHEN {b} > 0 THEN -({b} / CAST({a} + {b} AS DOUBLE)) * log2({b} / CAST({a} + {b} AS DOUBLE)) ELSE 0 END)"
@@ -274,11 +285,30 @@ def neuron_axon_split(spark, d):
     return ne.split_axon(tree, paths, fx.annotations(spark, d), times=2)[0]
 
 
-@query()
+_AXON = """,
+most AS (SELECT b.skel_id, arg_max(b.sid, {'a': betweenness, 'b': -dist, 'c': -b.sid}) AS sid FROM bet b JOIN toroot r ON r.skel_id = b.skel_id AND r.sid = b.sid GROUP BY b.skel_id),
+split_at AS (SELECT b.*, dp / CAST(dp + dq + 1 AS DOUBLE) >= (P - dp) / CAST(P - dp + Q - dq + 1 AS DOUBLE) AS lower_ FROM most m JOIN seg0 s USING (skel_id, sid) JOIN bet b ON b.skel_id = s.skel_id AND b.sid = s.head),
+flag AS MATERIALIZED (SELECT t.skel_id, t.sid, (c.anc IS NOT NULL) = s.lower_ AS is_axon FROM tree t JOIN split_at s ON s.skel_id = t.skel_id LEFT JOIN closure c ON c.skel_id = t.skel_id AND c.sid = t.sid AND c.anc = s.sid)"""
+
+
+@query("SELECT skel_id, sid, is_axon FROM flag", fx.CLOSURE + _BELOW + _HEADS + _AXON)
+def neuron_axon_split_once(spark, d):
+    tree, paths = _lifts(spark, d)
+    return ne.split_axon(tree, paths, fx.annotations(spark, d))[0]
+
+
+_SIDES = """(SELECT a.skel_id, count(*) FILTER (f.is_axon AND a.is_pre) AS pa, count(*) FILTER (f.is_axon AND NOT a.is_pre) AS qa, count(*) FILTER (NOT f.is_axon AND a.is_pre) AS pd, count(*) FILTER (NOT f.is_axon AND NOT a.is_pre) AS qd
+FROM anno a JOIN flag f USING (skel_id, sid) GROUP BY a.skel_id)"""
+
+
+@query(
+    f"SELECT skel_id, round(1 - ((pa + qa) * {_H.format(a='pa', b='qa')} + (pd + qd) * {_H.format(a='pd', b='qd')}) / (pa + qa + pd + qd) / {_H.format(a='(pa + pd)', b='(qa + qd)')}, 6) + 0 AS quality FROM {_SIDES}",
+    fx.CLOSURE + _BELOW + _HEADS + _AXON,
+)
 def neuron_axon_quality(spark, d):
     tree, paths = _lifts(spark, d)
     anno = fx.annotations(spark, d)
-    return ne.split_quality(anno, cut(ne.split_axon(tree, paths, anno)[0]))
+    return ne.split_quality(anno, cut(ne.split_axon(tree, paths, anno)[0])).withColumn("quality", F.round("quality", 6) + 0)
 
 
 _WINDOW = """,

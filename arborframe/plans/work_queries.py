@@ -9,10 +9,11 @@ from ..operators import annotations as an
 from ..operators import graph as gr
 from ..operators import masks as ma
 from ..operators import neuron as ne
+from ..operators import soma as so
 from ..operators import topology as tp
 from ..operators import tree as t
 from ..operators.tables import cut
-from ..sources import works
+from ..sources import files, works
 from . import fixtures as fx
 from .queries import _COVER, _HEADS, _PAIRS, _SMALL_CC, _TOPO, _lifts, _small_components
 from .registry import query
@@ -386,9 +387,46 @@ def neuron_gaussian_density(spark, d):
 
 
 _GOLDEN = "(pi() * (3 - sqrt(5.0::DOUBLE)))"
-_CONE = f"WITH disk AS (SELECT i, sqrt((i + 0.5::DOUBLE) / 200) * cos(i * {_GOLDEN}) * tan(0.7::DOUBLE) AS x, sqrt((i + 0.5::DOUBLE) / 200) * sin(i * {_GOLDEN}) * tan(0.7::DOUBLE) AS y FROM range(200) r(i)), n AS (SELECT *, sqrt(x * x + y * y + 1) AS l FROM disk)"
+_CONE = f""",
+disk AS (SELECT i, sqrt((i + 0.5::DOUBLE) / 20) * cos(i * {_GOLDEN}) * tan(0.7::DOUBLE) AS x, sqrt((i + 0.5::DOUBLE) / 20) * sin(i * {_GOLDEN}) * tan(0.7::DOUBLE) AS y FROM range(20) r(i)),
+cone AS (SELECT i, x / sqrt(x * x + y * y + 1) AS x, y / sqrt(x * x + y * y + 1) AS y, 1 / sqrt(x * x + y * y + 1) AS z FROM disk),
+out_ AS (SELECT mesh_id, vid, acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, z / l))) AS theta, atan2(y / l, x / l) AS phi FROM (SELECT mesh_id, vid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, sqrt(CAST(x * x + y * y + z * z AS DOUBLE)) AS l FROM points) WHERE l > 0),
+tilt AS (SELECT mesh_id, vid, i, cos(theta) * x + sin(theta) * z AS u, y AS v, cos(theta) * z - sin(theta) * x AS w, phi, acos(z) AS angle FROM out_ CROSS JOIN cone)"""
 
 
-@query(f"{_CONE} SELECT i, round(x / l, 6) + 0 AS x, round(y / l, 6) + 0 AS y, round(1 / l, 6) AS z, round(acos(1 / l), 6) AS angle FROM n")
+@query("SELECT mesh_id, vid, i, round(cos(phi) * u - sin(phi) * v, 6) + 0 AS x, round(sin(phi) * u + cos(phi) * v, 6) + 0 AS y, round(w, 6) + 0 AS z, round(angle, 6) AS angle FROM tilt", fx.POINTS + _CONE)
 def directions_cone(spark, d):
-    return g.cone_directions(spark, 200, 0.7).select("i", *[(F.round(k, 6) + 0).alias(k) for k in ("x", "y", "z", "angle")])
+    p = fx.points(spark, d).select("mesh_id", "vid", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    outward = p.withColumn("l", length).filter("l > 0").select("mesh_id", "vid", *[(F.col(k) / F.col("l")).alias(f"n{k}") for k in "xyz"])
+    return g.oriented_cones(outward, g.cone_directions(spark, 20, 0.7)).select("mesh_id", "vid", "i", *[(F.round(k, 6) + 0).alias(k) for k in ("x", "y", "z", "angle")])
+
+
+# --- many deep trees ---
+
+
+@query("SELECT skel_id, sid, hops, dist FROM fdown", fx.FOREST)
+def forest_distance_to_root(spark, d):
+    return t.to_root(t.Lifts(fx.forest(spark, d).select("skel_id", "sid", "parent", "w"))).select("skel_id", "sid", "hops", "dist")
+
+
+@query("SELECT skel_id, arg_max(sid, {'a': dist, 'b': -sid}) AS sid, max(dist) AS dist FROM fdown GROUP BY skel_id", fx.FOREST)
+def forest_far_point(spark, d):
+    tree = fx.forest(spark, d).select("skel_id", "sid", "parent", "w")
+    return t.far_point(tree, t.Lifts(tree))
+
+
+def _soma_points(forest):
+    return forest.filter("parent is null").select("skel_id", *[F.col(k).alias(f"p{k}") for k in "xyz"])
+
+
+@query()
+def soma_branch_starts(spark, d):
+    forest = cut(fx.forest(spark, d))
+    return so.soma_from_branches(forest, _soma_points(forest), search_radius=7000.0, fallback_radius=4000.0)[0]
+
+
+@query()
+def swc_resampled(spark, d):
+    forest = cut(fx.forest(spark, d))
+    return files.resampled_swc_rows(forest, t.Lifts(forest.select("skel_id", "sid", "parent", "w")), 500.0, forest.select("skel_id", "sid", F.when(F.col("radius") > 4000, 1).otherwise(3).alias("label")))

@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators import tree as t
 from ..operators.graph import rescale
+from ..operators.resampling import resample
+from ..operators.tables import cut
 
 TABLES = ("mesh_vertex", "mesh_face", "mesh_link_edge", "mesh_mask", "skel_vertex", "skel_meta", "mesh_to_skel", "annotation")
 
@@ -75,11 +78,11 @@ def swc_rows(skel: DataFrame, paths: t.Lifts, labels: DataFrame | None = None, x
 
     Vertices are in the order of cover paths, each from its base to its tip, and numbered from 0; the root's parent is -1.
     """
-    from pyspark.sql.window import Window
-
-    cover = t.cover_paths(skel.select("skel_id", "sid", "parent", "w"), paths)
-    order = Window.partitionBy("skel_id").orderBy("path", F.desc("pos"))
-    number = cover.select("skel_id", "sid", (F.row_number().over(order) - 1).alias("id"))
+    cover = cut(t.cover_paths(skel.select("skel_id", "sid", "parent", "w"), paths))
+    # only a tree's paths are numbered together; a vertex' number follows from its place on its path
+    sizes = cover.groupBy("skel_id", "path").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("skel_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = cover.join(sizes.withColumn("before", before), ["skel_id", "path"]).select("skel_id", "sid", (F.col("before") + F.col("n") - 1 - F.col("pos")).alias("id"))
     radius = F.coalesce("radius", F.lit(xyz_scaling)) if "radius" in skel.columns else F.lit(xyz_scaling)
     out = skel.join(number, ["skel_id", "sid"]).join(number.select("skel_id", F.col("sid").alias("parent"), F.col("id").alias("__p")), ["skel_id", "parent"], "left")
     if labels is not None:
@@ -88,6 +91,21 @@ def swc_rows(skel: DataFrame, paths: t.Lifts, labels: DataFrame | None = None, x
     return out.select("skel_id", F.col("id").cast("long").alias("id"), label.alias("label"), *[(F.col(k) / xyz_scaling).alias(k) for k in "xyz"], (radius / xyz_scaling).alias("radius"), F.coalesce("__p", F.lit(-1)).cast("long").alias("parent"))
 
 
+def resampled_swc_rows(skel: DataFrame, paths: t.Lifts, spacing: float, labels: DataFrame | None = None, xyz_scaling: float = 1000.0, tip_ratio: float = 0.5) -> DataFrame:
+    """swc_rows of points every `spacing` along the tree, as resample makes them; labels and radii are those of the old vertex nearest along the path.
+
+    Points are numbered path by path, which puts parents first: they are their own ids.
+    """
+    points = resample(skel, paths, spacing, tip_ratio)
+    old = skel.select("skel_id", F.col("sid").alias("base"), *(["radius"] if "radius" in skel.columns else []))
+    out = points.join(old, ["skel_id", "base"])
+    if labels is not None:
+        out = out.join(labels.select("skel_id", F.col("sid").alias("base"), "label"), ["skel_id", "base"], "left")
+    label = F.coalesce("label", F.lit(0)) if labels is not None else F.lit(0)
+    radius = F.coalesce("radius", F.lit(xyz_scaling)) if "radius" in skel.columns else F.lit(xyz_scaling)
+    return out.select("skel_id", F.col("sid").alias("id"), label.alias("label"), *[(F.col(k) / xyz_scaling).alias(k) for k in "xyz"], (radius / xyz_scaling).alias("radius"), F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
+
+
 def write_swc(rows: DataFrame, folder: str, header: str = "", overwrite: bool = False) -> None:
     """One SWC text a tree."""
     line = F.format_string("%d %d %.3f %.3f %.3f %.3f %d", "id", "label", "x", "y", "z", "radius", "parent")

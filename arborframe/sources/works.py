@@ -42,8 +42,8 @@ def load_work(spark: SparkSession, folder: str) -> Meshwork:
     return work if mask is None else work.masked(mask)
 
 
-def work_swc_rows(work: Meshwork, labels: dict[str, str | DataFrame], radius: DataFrame | None = None, radius_agg: str = "median", xyz_scaling: float = 1000.0, dendrite_default: bool = True) -> DataFrame:
-    """The work's tree as SWC rows.
+def work_swc_rows(work: Meshwork, labels: dict[str, str | DataFrame], radius: DataFrame | None = None, radius_agg: str = "median", xyz_scaling: float = 1000.0, dendrite_default: bool = True, resample_spacing: float | None = None) -> DataFrame:
+    """The work's tree as SWC rows; with resample_spacing as rows of points at that distance.
 
     labels names axon, soma, apical or dendrite by an annotation or by mesh vertices (mesh_id, vid); a tree vertex has
     a label if any of its mesh vertices has it. radius (mesh_id, vid, value) is gathered on tree vertices by radius_agg.
@@ -65,4 +65,6 @@ def work_swc_rows(work: Meshwork, labels: dict[str, str | DataFrame], radius: Da
     if radius is not None:
         on = mesh_property_to_skeleton(radius, mapping, radius_agg).select(F.col("mesh_id").alias("skel_id"), "sid", F.col("value").alias("radius"))
         skel = skel.join(on, ["skel_id", "sid"], "left")
+    if resample_spacing is not None:
+        return files.resampled_swc_rows(skel, work.lifts, resample_spacing, kinds, xyz_scaling)
     return files.swc_rows(skel, work.lifts, kinds, xyz_scaling)

@@ -96,7 +96,7 @@ def test_betweenness_counts_pairs_across_an_edge(spark):
     for v in range(30):
         below = {u for u in range(30) if v in [a for a, _ in way(up, 0, u)]}
         assert got[v] == sum((a in below) != (b in below) for _, a, x in anno for _, b, y in anno if x and not y)
-    flagged, cuts = ne.split_axon(tree, t.Lifts(tree), df)
+    flagged, cuts = ne.split_axon(tree, t.Lifts(tree), df, at_segment_base=False)
     assert 0 <= cuts.first()["quality"] <= 1 and ne.split_quality(df, flagged).first()["quality"] == pytest.approx(cuts.first()["quality"])
     assert ne.split_axon(tree, t.Lifts(tree), df.filter("is_pre"))[0].filter("is_axon").count() == 0
 

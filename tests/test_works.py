@@ -11,7 +11,7 @@ from arborframe.operators import resampling as rs
 from arborframe.operators import spatial as sp
 from arborframe.operators import topology as tp
 from arborframe.operators import tree as t
-from arborframe.sources import works
+from arborframe.sources import files, works
 
 
 def random_tree(seed, n=60, skel=0):
@@ -172,3 +172,26 @@ def test_views(spark):
         assert np.allclose(gaps(x), gaps(old)), "turned, not stretched"
     centres = [row["pid"] for row in ke.greedy_views(views.select("mesh_id", "pid", "vid")).select("pid").distinct().collect()]
     assert set().union(*(near[c] for c in centres)) == set(place), "the chosen views hold every vertex"
+
+
+def test_resampled_swc(spark):
+    rows = [(k, i, None if i == 0 else (0 if i == 21 else i - 1), 0.0 if i == 0 else 10.0, float(10 * (i if i <= 20 else i - 20)), 0.0 if i <= 20 else 5.0, 0.0, None if i == 7 else 100.0 + i) for k in (0, 1) for i in range(31)]
+    skel = spark.createDataFrame(rows, SCHEMA + ", radius double")
+    paths = t.Lifts(skel.select("skel_id", "sid", "parent", "w"))
+    labels = skel.select("skel_id", "sid", F.when(F.col("sid") > 20, 2).otherwise(3).alias("label"))
+    got = files.resampled_swc_rows(skel, paths, 25.0, labels).collect()
+    points = {(r["skel_id"], r["sid"]): r for r in rs.resample(skel, paths, 25.0).collect()}
+    assert {(r["skel_id"], r["id"]) for r in got} == set(points) and len(got) == len(points)
+    for r in got:
+        p = points[r["skel_id"], r["id"]]
+        assert r["parent"] == (-1 if p["parent"] is None else p["parent"]) < r["id"] and r["x"] == p["x"] / 1000
+        assert r["label"] == (2 if p["base"] > 20 else 3) and r["radius"] == (1.0 if p["base"] == 7 else (100.0 + p["base"]) / 1000)
+    # plain rows: numbers are dense, parents come first
+    plain = files.swc_rows(skel, paths, labels).filter("skel_id = 1").orderBy("id").collect()
+    assert [r["id"] for r in plain] == list(range(31)) and all(r["parent"] < r["id"] for r in plain)
+
+
+def test_collapsed_tree_keeps_columns(spark):
+    rows = [(0, 0, None, 0.0, "r"), (0, 1, 0, 0.0, "a"), (0, 2, 1, 3.0, "b"), (0, 3, 2, 0.0, "c"), (0, 4, 3, 0.0, "d"), (0, 5, 4, 2.0, "e"), (1, 0, None, 0.0, "f")]
+    tree = spark.createDataFrame(rows, "skel_id long, sid long, parent long, w double, name string")
+    assert sorted((tuple(r) for r in t.collapsed(tree).collect()), key=str) == [(0, 0, None, 0.0, "r"), (0, 2, 0, 3.0, "b"), (0, 5, 2, 2.0, "e"), (1, 0, None, 0.0, "f")]
