@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
+import inspect
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,41 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns of any name, dots and back-ticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def any_names(*arguments: str) -> Callable:
+    """For an operator on a table, whose arguments of these names are columns of it: it never sees a name with a dot or a back-tick in it.
+
+    Such columns have another name while it runs, and their own in its result.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            odd = [c for c in df.columns if "." in c or "`" in c]
+            if not odd:
+                return operator(df, *args, **options)
+            inner: dict[str, str] = {}
+            for i, c in enumerate(odd):
+                inner[c] = free_name([*df.columns, *inner.values()], f"column_{i}")
+            call = signature.bind(df, *args, **options)
+            call.apply_defaults()
+            call.arguments[next(iter(signature.parameters))] = df.toDF(*[inner.get(c, c) for c in df.columns])
+            for a in arguments:
+                call.arguments[a] = inner.get(call.arguments[a], call.arguments[a])
+            out, own = operator(*call.args, **call.kwargs), {v: k for k, v in inner.items()}
+            return out.toDF(*[own.get(c, c) for c in out.columns])
+
+        return run
+
+    return wrap
+
+
 def trim() -> None:
     """Give freed memory back to the system: a worker that waits for its next task would keep it."""
     pa.default_memory_pool().release_unused()

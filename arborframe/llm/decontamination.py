@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, slices
+from .common import any_names, cut, free_name, slices
 from .textscan import ALNUM, first_of_doc, scan
 
 WINDOW = 10
@@ -197,6 +197,7 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     yield items_of(ids, pa.array(texts, pa.string()))
 
 
+@any_names("text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """All rows and columns of docs, with n_words, n_hit, n_items, items_sha256 and contaminated.
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, slices
+from .common import any_names, cut, free_name, slices
 
 # Element names of HTML and words in classes and ids that say what a part of a page is.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "option", "button", "xmp", "noembed", "noframes"}
@@ -295,6 +295,7 @@ def extract(page: str | None, paths: set[str] | None, texts: set[int], main: str
     return " ".join(b for _, b, _ in slots)
 
 
+@any_names("key", "url", "body")
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """All rows and columns of pages with text and n_chars (code points)."""
     made = templates(pages, key, url, body)

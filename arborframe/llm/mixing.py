@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, free_name
+from .common import any_names, cut, free_name, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -122,6 +122,7 @@ def plan_mix(keys: DataFrame, share: float, cap: float, max_copies: int) -> tupl
     return per, cut(cuts.select(F.col("__source").alias("__cs"), "__cut.*").toDF("__cs", "__cut_rank", "__cut_digest", "__cut_tie", "__cut_ties"))
 
 
+@any_names("key", "text", "source")
 def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, max_copies: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """All rows of df with size, source_size, target and copies (long, 0 and up)."""
     keyed = _with_keys(df, key, text, source, seed)
@@ -144,7 +145,7 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, max_copies: int = 2
 
 def materialise(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """Each row as many times as it has copies."""
-    return mixed.withColumn(free_name(mixed.columns, "__i"), F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*columns)
+    return mixed.withColumn(free_name(mixed.columns, "__i"), F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*quoted(columns))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bitmap, cut, free_name, maybe_in, slices
+from ..operators.tables import cut as cut_round
+from .common import any_names, bitmap, cut, free_name, maybe_in, slices
 from .textscan import ALNUM, first_of_doc, grams, mix, scan
 
 SHINGLE = 5
@@ -159,7 +160,7 @@ def node(text: Column) -> Column:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of the links (a, b); root is the least node of the component. Large-star, small-star."""
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = cut_round(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(rounds):
         ends = edges.select(F.col("b").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(edges.select(F.col("a").alias("n"), F.lit(0), F.lit(1)))
         if ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below + above > 1").isEmpty():
@@ -168,7 +169,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
         small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
-        edges = cut(small.select(F.col("m").alias("a"), "b").unionAll(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+        edges = cut_round(small.select(F.col("m").alias("a"), "b").unionAll(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     raise RuntimeError("components did not settle")
 
 
@@ -336,6 +337,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return joined.select(F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("least")).alias(class_id), F.coalesce("n", F.lit(1)).cast("long").alias(size))
 
 
+@any_names("key", "text")
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, that of the least key (null last) and node; rows without a text stay.
 

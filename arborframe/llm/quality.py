@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, cut, free_name, maybe_in, slices
+from .common import any_names, bitmap, cut, free_name, maybe_in, slices
 from .packing import by_part, deal, kinds, pack, pack_rows, small, unpack, unpack_rows, unpack_sorted
 from .textscan import first_of_doc, mix, runs
 
@@ -301,6 +301,7 @@ def _digest(text: Column) -> Column:
     return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
 
+@any_names("text")
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """All rows and columns of docs with held_out, score and predicted: the scores are joined to the rows by their texts."""
     scores = score_texts(docs, labels, key, text, label, folds, max_train)
@@ -310,6 +311,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return done.withColumns({held: held_out(F.col(key), folds), predicted: (F.col(score) >= threshold).cast("int")})
 
 
+@any_names("text")
 def keep_accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs with a score of at least threshold. A bitmap of rejected texts lets most of the others pass without a shuffle."""
     scores = score_texts(docs, labels, key, text, label, folds, max_train)

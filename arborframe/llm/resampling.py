@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free_name, slices
+from .common import cut, free_name, quoted, slices
 from .packing import pack, small, unpack, unzigzag, zigzag
 from .textscan import ALNUM, Words, scan
 from .vectors import edges, whole_groups
@@ -97,7 +97,7 @@ def features(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def postings(df: DataFrame, key: str, text: str, n: int, buckets: int) -> DataFrame:
     """(slice, part, blob, keys, features, words): a slice's postings in a range of buckets (part 0 and up), or its documents (part -1)."""
     width = -(-buckets // PARTS)
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(quoted([key])[0].alias("key"), quoted([text])[0].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import free_name
+from .common import any_names, free_name
 from .textscan import mix
 
 ROUNDS = 6
@@ -94,6 +94,7 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return apply(number)
 
 
+@any_names("key", "text")
 def assign_shards(df: DataFrame, n_shards: int = 8, seed: int = 20240607, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of df, with shard (int) and slot (long)."""
     number = free_name(df.columns, "__number")

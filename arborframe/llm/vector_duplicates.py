@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, quoted
 from .near_duplicates import components
 from .vectors import edges, packed, ragged, unit, whole_groups
 
@@ -88,7 +88,7 @@ def nodes_of(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFram
                 node[i] = hashlib.md5(labels[i].as_py().encode() + b"\0" + raw[i]).digest()
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.binary()), b.column("label"), pa.array(raw, pa.binary())], names=["key", "node", "label", "vec"])
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").cast("array<float>" if single else "array<double>").alias("vec"))
+    rows = df.select(quoted([key])[0].alias("key"), quoted([label])[0].cast("string").alias("label"), quoted([vector])[0].cast("array<float>" if single else "array<double>").alias("vec"))
     signed = cut(rows.mapInArrow(pack, f"key {rows.schema['key'].dataType.simpleString()}, node binary, label string, vec binary"))
     same = signed.filter("node is not null").groupBy("node")
     nodes = cut(same.agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("rows"), F.min("key").alias("least")).withColumn("size", F.octet_length("vec")))

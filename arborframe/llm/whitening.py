@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, quoted
 from .vectors import by_length, ragged
 
 DEGENERATE = 1e-12
@@ -91,7 +91,7 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def _vectors(df: DataFrame, vector: str | Column) -> Column:
-    column = F.col(f"`{vector}`") if isinstance(vector, str) else vector
+    column = quoted([vector])[0] if isinstance(vector, str) else vector
     kind = df.select(column).schema[0].dataType.elementType.typeName()
     return column.cast("array<bigint>" if kind in ("byte", "short", "integer", "long") else "array<double>").alias("vec")
 
@@ -183,14 +183,14 @@ def whiten(df: DataFrame, vector: str | Column = "embedding", key: str = "vec_id
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *"bcdefg"])
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), _vectors(df, vector))
+    rows = df.select(quoted([key])[0].alias("key"), _vectors(df, vector))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, b int, c long, d long, e double, f double, g double"
     return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def scaled(vector: str, scale: int = 64, shift: int = 1_000_000) -> Column:
     """Entries c as whole numbers floor(scale c) + shift; null where the vector is to be dropped."""
-    v = F.col(f"`{vector}`")
+    v = quoted([vector])[0]
     whole = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return F.when(v.isNotNull() & whole, F.transform(v, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long") + F.lit(shift)))
 
