@@ -5,6 +5,14 @@ one document of each class; decontamination removes the documents with words
 in a benchmark window; mixing repeats or drops documents so that sources meet
 their targets; sharding deals the rows into eight shards and adds shard and
 slot. A stage works on all that the one before it kept.
+
+Defined cases: a null text is one without words: the classifier judges it as it
+does every text, no stage else drops it, and mixing gives it the copies of its
+length class; rows that repeat in id and text are one document to near_duplicates;
+very long texts are read whole by every stage; an empty table
+stays empty; further columns of any name, those of results, with dots and
+back-ticks included, go with their rows, and shard and slot get trailing underscores where
+the table has columns of these names.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from arborframe.llm import decontamination, mixing, near_duplicates, quality, sharding
-from arborframe.llm.common import set_checkpoint_dir, table
+from arborframe.llm.common import quoted, set_checkpoint_dir, table
 
 N_SHARDS = 8
 
@@ -28,7 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*quoted(docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
