@@ -7,7 +7,7 @@ by side. Anything that is a join or an aggregate is elsewhere.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict, deque
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -312,21 +312,3 @@ def link_merges(vertex: DataFrame, edges: DataFrame, merges: DataFrame) -> DataF
         return pd.DataFrame(out, columns=["merge", "a", "b"]).assign(mesh_id=group["mesh_id"].iloc[0])
 
     return rows.groupBy("mesh_id").applyInPandas(one, "merge long, a long, b long, mesh_id long")
-
-
-def greedy_views(near: DataFrame) -> DataFrame:
-    """near (mesh_id, pid, vid): views of each vertex. Views in the order of pid until every vertex is in one: (mesh_id, step, pid)."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        views = defaultdict(list)
-        for p, v in zip(group["pid"].tolist(), group["vid"].tolist(), strict=True):
-            views[p].append(v)
-        seen, out = set(), []
-        for p in sorted(views):
-            if p not in seen:
-                out.append((len(out), p))
-                seen.update(views[p])
-                seen.add(p)
-        return pd.DataFrame(out, columns=["step", "pid"]).assign(mesh_id=group["mesh_id"].iloc[0])
-
-    return near.groupBy("mesh_id").applyInPandas(one, "step long, pid long, mesh_id long")

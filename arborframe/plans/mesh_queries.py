@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
+from ..operators import spatial as sp
 from ..operators import surface as su
+from ..operators import views as vi
 from ..operators.tables import cut
 from . import fixtures as fx
 from .registry import query
@@ -106,3 +108,15 @@ def filter_two_point_power(spark, d):
     foci = e.join(ends, "mesh_id").filter("pid in (p0, p1)").withColumn("pid", F.when(F.col("pid") == F.col("p0"), 0).otherwise(1)).drop("p0", "p1")
     hops = gr.weighted_graph(fx.edges(spark, d).select("mesh_id", "src", "dst"), directed=False).withColumn("w", F.lit(1))
     return gr.two_point_ellipse_of_points(fx.points(spark, d), cut(hops), foci, 2.0, power=2.0)
+
+
+_SAMPLED = """,
+nr AS (SELECT a.mesh_id, a.vid AS pid, b.vid, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM points a JOIN points b USING (mesh_id)
+  QUALIFY row_number() OVER (PARTITION BY a.mesh_id, a.vid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.vid) <= 20),
+keyed AS (SELECT *, -ln((CAST('0x' || substr(md5('3|' || mesh_id || '|' || pid || '|' || vid), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) * sqrt(d2) AS k FROM nr)"""
+
+
+@query("SELECT mesh_id, pid, CAST(row_number() OVER (PARTITION BY mesh_id, pid ORDER BY vid) - 1 AS INT) AS pos, vid, d2 FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY mesh_id, pid ORDER BY k, vid) <= 8)", fx.POINTS + _SAMPLED)
+def spatial_sampled_views(spark, d):
+    p = fx.points(spark, d)
+    return vi.sampled_views(p, sp.as_points(p), 8, 20, fisheye=True, seed=3)

@@ -15,6 +15,7 @@ from ..operators import resampling as rs
 from ..operators import spatial as sp
 from ..operators import surface as su
 from ..operators import tree as t
+from ..operators import views as vi
 from ..operators.tables import cut
 from ..sources import files
 from . import fixtures as fx
@@ -616,7 +617,7 @@ def graph_far_points(spark, d):
 @query()
 def spatial_greedy_views(spark, d):
     p = fx.points(spark, d)
-    return ke.greedy_views(sp.local_views(p, sp.as_points(p), 12).select("mesh_id", "pid", "vid"))
+    return vi.greedy_cover(cut(sp.local_views(p, sp.as_points(p), 12).select("mesh_id", "pid", "vid")))
 
 
 @query()

@@ -11,6 +11,7 @@ from arborframe.operators import resampling as rs
 from arborframe.operators import spatial as sp
 from arborframe.operators import topology as tp
 from arborframe.operators import tree as t
+from arborframe.operators import views as vi
 from arborframe.sources import files, works
 
 
@@ -170,7 +171,7 @@ def test_views(spark):
         assert np.allclose(cov, np.diag(np.diag(cov)), atol=1e-8) and (np.diff(np.diag(cov)) <= 1e-9).all() and np.allclose(x.mean(0), 0)
         gaps = lambda a: np.linalg.norm(a[:, None] - a[None], axis=2)
         assert np.allclose(gaps(x), gaps(old)), "turned, not stretched"
-    centres = [row["pid"] for row in ke.greedy_views(views.select("mesh_id", "pid", "vid")).select("pid").distinct().collect()]
+    centres = [row["pid"] for row in vi.greedy_cover(views.select("mesh_id", "pid", "vid")).select("pid").distinct().collect()]
     assert set().union(*(near[c] for c in centres)) == set(place), "the chosen views hold every vertex"
 
 
