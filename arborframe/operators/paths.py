@@ -94,6 +94,19 @@ def path_distances(pairs: DataFrame, vertex: DataFrame, radius: DataFrame, least
     return near.join(radius, ["mesh_id", "vid"], "left").select("mesh_id", "tip", "pos", (F.col("d") / F.greatest(F.coalesce("radius", F.lit(least)), F.lit(least))).alias("v"))
 
 
-def path_quality(pairs: DataFrame, vertex: DataFrame, radius: DataFrame, log_odds: list[float], p0: float, window: int = 400, step: int = 50) -> DataFrame:
-    """(mesh_id, tip, score): the least score of a window of each tip's path."""
-    return g.sliding_score(path_distances(pairs, vertex, radius), ["mesh_id", "tip"], log_odds, p0, window, step)
+def path_distances_on_mesh(pairs: DataFrame, edges: DataFrame, radius: DataFrame, least: float = 50.0, limit: float | None = 10_000.0, blocks: DataFrame | None = None) -> DataFrame:
+    """path_distances along the mesh: (mesh_id, tip, pos, v) with the way along edges from each tree path vertex to the nearest vertex of the mesh path.
+
+    All mesh paths spread at once, each from all its vertices under its own label, over graph blocks and up to
+    limit (inclusive); for vertices that none reaches within it v is infinite.
+    """
+    start = pairs.filter("side = 'mesh'").select("mesh_id", F.col("tip").alias("source"), "vid")
+    found = gr.shortest_paths(edges, start, limit, blocks).select("mesh_id", F.col("source").alias("tip"), "vid", "dist")
+    near = pairs.filter("side = 'tree'").select("mesh_id", "tip", "pos", "vid").join(found, ["mesh_id", "tip", "vid"], "left")
+    return near.join(radius, ["mesh_id", "vid"], "left").select("mesh_id", "tip", "pos", (F.coalesce("dist", F.lit(float("inf"))) / F.greatest(F.coalesce("radius", F.lit(least)), F.lit(least))).alias("v"))
+
+
+def path_quality(pairs: DataFrame, vertex: DataFrame, radius: DataFrame, log_odds: list[float], p0: float, window: int = 400, step: int = 50, edges: DataFrame | None = None, least: float = 50.0) -> DataFrame:
+    """(mesh_id, tip, score): the least score of a window of each tip's path; distances are along the mesh where its edges are given, else through space."""
+    far = path_distances(pairs, vertex, radius, least) if edges is None else path_distances_on_mesh(pairs, edges, radius, least)
+    return g.sliding_score(far, ["mesh_id", "tip"], log_odds, p0, window, step)

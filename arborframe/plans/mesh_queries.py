@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
+from ..operators import kernels as ke
+from ..operators import paths as pa
 from ..operators import spatial as sp
 from ..operators import surface as su
+from ..operators import tree as t
 from ..operators import views as vi
 from ..operators.tables import cut
 from . import fixtures as fx
@@ -120,3 +123,15 @@ keyed AS (SELECT *, -ln((CAST('0x' || substr(md5('3|' || mesh_id || '|' || pid |
 def spatial_sampled_views(spark, d):
     p = fx.points(spark, d)
     return vi.sampled_views(p, sp.as_points(p), 8, 20, fisheye=True, seed=3)
+
+
+@query()
+def skeleton_path_quality(spark, d):
+    p, e = fx.points(spark, d), cut(fx.edges(spark, d))
+    skel, mapping = ke.skeletonize(p, e, 1500.0, min_component=3)
+    tree = cut(skel.select("skel_id", "sid", "parent", F.round("w").cast("long").alias("w")))
+    both = cut(gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False))
+    pairs = cut(pa.path_pairs(tree, t.Lifts(tree), both, cut(mapping)))
+    radius = p.select("mesh_id", "vid", (100.0 * (1 + F.col("vid") % 7)).alias("radius"))
+    odds = [2.0 - 0.5 * i for i in range(15)]
+    return pa.path_quality(pairs, p, radius, odds, 0.1, 40, 5, edges=both).withColumn("score", F.round("score", 6) + 0)

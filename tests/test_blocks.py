@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arborframe.functions import geometry as g
 from arborframe.operators import blocks as b
 from arborframe.operators import graph as gr
+from arborframe.operators import paths as pa
 
 
 def ways(n, edges, sources, limit=np.inf):
@@ -80,3 +82,30 @@ def test_geodesic_from_points(spark):
     assert ids(gr.geodesic_near_points(vertex, edges, points, 1.0, max_valid_mapping=5.0)) == [2, 3]  # nearer, not as near
     both = gr.weighted_graph(edges.withColumnRenamed("w", "v"), F.col("v"), directed=False)
     assert ids(gr.two_point_ellipse_of_points(vertex, both, points, 2.5)) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_path_distances_on_the_mesh(spark):
+    """By all-pairs distances, with radii that differ and a path that nothing reaches."""
+    n, e = graph(8, 60, 130)
+    e = {(u, v): w for (u, v), w in e} | {(v, u): w for (u, v), w in e}
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for (u, v), w in e.items():
+        far[u, v] = w
+    for k in range(n):
+        far = np.minimum(far, far[:, k : k + 1] + far[k])
+    r = np.random.default_rng(5)
+    tips = {1: (list(r.permutation(n)[:7]), list(r.permutation(n)[:4])), 2: ([3, 9, 3 + n], [50]), 7: ([4], [2 * n])}
+    rows = [(0, t, side, i, int(v)) for t, both in tips.items() for side, path in zip(("tree", "mesh"), both, strict=True) for i, v in enumerate(path)]
+    pairs = spark.createDataFrame(rows, "mesh_id long, tip long, side string, pos int, vid long")
+    radius = {v: float(40 + 7 * v) for v in range(n) if v % 5}
+    got = pa.path_distances_on_mesh(pairs, spark.createDataFrame([(0, u, v, w) for (u, v), w in e.items()], "mesh_id long, src long, dst long, w double"), spark.createDataFrame([(0, v, x) for v, x in radius.items()], "mesh_id long, vid long, radius double"), limit=9.0)
+    want = {}
+    for t, (tree, mesh) in tips.items():
+        for i, v in enumerate(tree):
+            d = min((far[m, v] if m < n and v < n else (0.0 if m == v else np.inf)) for m in mesh)
+            want[t, i] = (d if d <= 9.0 else np.inf) / max(50.0, radius.get(int(v), 50.0))
+    assert {(x["tip"], x["pos"]): x["v"] for x in got.collect()} == want and np.isinf(want[7, 0]) and len(set(want.values())) > 4
+    # scores in one window: of a bin's odds, and beyond the last edge as in the last bin
+    score = g.histogram_score(got, ["mesh_id", "tip"], [1.0] + [0.0] * 13 + [-5.0], 1.0).collect()
+    assert {x["tip"]: x["score"] for x in score} == {t: float(np.mean([1.0 if want[t, i] < 1 else -5.0 if want[t, i] >= 14 else 0.0 for i in range(len(tree))])) for t, (tree, _) in tips.items()}
