@@ -1,4 +1,4 @@
-"""Per-object work that is sequential by nature, as grouped maps over many objects: skeletons, cuts, link repair.
+"""Per-object work that is sequential by nature, as grouped maps over many objects: skeletons, link repair.
 
 One object's rows meet in one task, as these algorithms need; objects run side
 by side. Anything that is a join or an aggregate is elsewhere.
@@ -180,89 +180,6 @@ def vertex_normals(vertex: DataFrame, face: DataFrame) -> DataFrame:
     return s.select("mesh_id", "vid", *[(F.col(k) / F.when(norm > 0, norm)).alias(k) for k in n])
 
 
-# --- minimum cut ---
-
-
-def _min_cut(n: int, a: list[int], b: list[int], cap: list[float], s: int, t: int) -> np.ndarray:
-    """Vertices on the source's side of a minimum cut (Dinic)."""
-    graph: list[list[list]] = [[] for _ in range(n)]
-    for u, v, c in zip(a, b, cap, strict=True):
-        graph[u].append([v, c, len(graph[v])])
-        graph[v].append([u, c, len(graph[u]) - 1])
-    while True:
-        level = [-1] * n
-        level[s] = 0
-        todo = deque([s])
-        while todo:
-            u = todo.popleft()
-            for v, c, _ in graph[u]:
-                if c > 1e-12 and level[v] < 0:
-                    level[v] = level[u] + 1
-                    todo.append(v)
-        if level[t] < 0:
-            return np.array([x >= 0 for x in level])
-        turn = [0] * n
-        while True:
-            path, u = [], s
-            while u != t:
-                while turn[u] < len(graph[u]):
-                    v, c, _ = graph[u][turn[u]]
-                    if c > 1e-12 and level[v] == level[u] + 1:
-                        break
-                    turn[u] += 1
-                if turn[u] == len(graph[u]):
-                    if not path:
-                        break
-                    u = path.pop()
-                    turn[u] += 1
-                    continue
-                path.append(u)
-                u = graph[u][turn[u]][0]
-            if u != t:
-                break
-            flow = min(graph[x][turn[x]][1] for x in path)
-            for x in path:
-                e = graph[x][turn[x]]
-                e[1] -= flow
-                graph[e[0]][e[2]][1] += flow
-
-
-def multicut(face: DataFrame, edges: DataFrame, ends: DataFrame, window: float) -> tuple[DataFrame, DataFrame]:
-    """Cut meshes between source and sink vertices (mesh_id, vid, is_source) within `window` of them along edges.
-
-    edges (mesh_id, src, dst, w). Returns the faces that stay (all corners on one side, or one outside
-    the window) and links (mesh_id, a, b) for edges whose faces all went though both ends are on one side.
-    """
-    rows = edges.select("mesh_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("f"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("long").alias("c"), F.col("w").cast("double").alias("w"))
-    rows = rows.unionAll(face.select("mesh_id", F.lit(1), "fid", "a", "b", "c", F.lit(0.0))).unionAll(ends.select("mesh_id", F.lit(2), F.lit(0).cast("long"), "vid", F.col("is_source").cast("long"), F.lit(0).cast("long"), F.lit(0.0)))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        e, fs, t = (group[group["kind"] == k] for k in (0, 1, 2))
-        ids = np.unique(np.concatenate([e["a"], e["b"], t["a"], fs["a"], fs["b"], fs["c"]]))
-        a, b = np.searchsorted(ids, e["a"]), np.searchsorted(ids, e["b"])
-        adj = adjacency(len(ids), a, b, e["w"].to_numpy())
-        s, z = (np.searchsorted(ids, t["a"][t["b"] == k]).tolist() for k in (1, 0))
-        if not s or not z:
-            side = np.full(len(ids), -1)
-        else:
-            near = np.isfinite(dijkstra(adj, s + z, window)[0])
-            keep = near[a] & near[b]
-            n, big = len(ids), float(e["w"].sum()) + 1
-            source_side = _min_cut(n + 2, [*a[keep].tolist(), *[n] * len(s), *[n + 1] * len(z)], [*b[keep].tolist(), *s, *z], [*e["w"].to_numpy()[keep].tolist(), *[big] * (len(s) + len(z))], n, n + 1)[:n]
-            side = np.where(near, source_side.astype(int), -1)
-        tri = np.searchsorted(ids, fs[["a", "b", "c"]].to_numpy())
-        k = side[tri]
-        stays = (k < 0).any(1) | ((k[:, 0] == k[:, 1]) & (k[:, 1] == k[:, 2]))
-        have = {tuple(sorted(p)) for t3 in tri[stays].tolist() for p in ((t3[0], t3[1]), (t3[1], t3[2]), (t3[0], t3[2]))}
-        lost = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True) if side[p[0]] == side[p[1]] or min(side[p[0]], side[p[1]]) < 0} - have
-        rows_ = [(0, f, 0, 0) for f in fs["f"].to_numpy()[stays].tolist()] + [(1, 0, int(ids[x]), int(ids[y])) for x, y in sorted(lost)]
-        return pd.DataFrame(rows_, columns=["kind", "f", "a", "b"]).assign(mesh_id=group["mesh_id"].iloc[0])
-
-    made = rows.groupBy("mesh_id").applyInPandas(one, "kind int, f long, a long, b long, mesh_id long")
-    kept = face.join(made.filter("kind = 0").select("mesh_id", F.col("f").alias("fid")), ["mesh_id", "fid"], "left_semi")
-    return kept, made.filter("kind = 1").select("mesh_id", "a", "b")
-
-
 # --- link repair ---
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import annotations as an
+from ..operators import cuts as cu
 from ..operators import graph as gr
 from ..operators import kernels as ke
 from ..operators import masks as ma
@@ -597,7 +598,14 @@ def ray_thickness(spark, d):
 def multicut(spark, d):
     p = fx.points(spark, d)
     ends = p.groupBy("mesh_id").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).select("mesh_id", F.inline(F.array(F.struct(F.col("a").alias("vid"), F.lit(True).alias("is_source")), F.struct(F.col("b").alias("vid"), F.lit(False).alias("is_source")))))
-    return ke.multicut(cut(fx.faces(spark, d)), _undirected(spark, d), ends, 1e9)[0]
+    return cu.multicut(cut(fx.faces(spark, d)), cut(_undirected(spark, d)), ends, 1e9)[0]
+
+
+@query()
+def multicut_sides(spark, d):
+    """Events to the left against events to the right: the sides of the cut, from points."""
+    points = fx.event_points(spark, d).withColumn("is_source", F.col("px") < 0)
+    return cu.multicut_of_points(cut(fx.points(spark, d)), cut(fx.faces(spark, d)), cut(_undirected(spark, d)), points, 1e9)[2]
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as g
 from arborframe.operators import annotations as an
+from arborframe.operators import cuts as cu
 from arborframe.operators import graph as gr
 from arborframe.operators import kernels as ke
 from arborframe.operators import masks as ma
@@ -152,7 +153,7 @@ def test_skeleton_of_a_strip(spark):
 def test_cut_links_and_rays(spark):
     v, f, e = grid_mesh(spark, 12)
     ends = spark.createDataFrame([(0, 0, True), (0, 23, False)], "mesh_id long, vid long, is_source boolean")
-    kept, _ = ke.multicut(f, gr.weighted_graph(e.withColumnRenamed("w", "l"), F.col("l")), ends, 100.0)
+    kept, _, _ = cu.multicut(f, gr.weighted_graph(e.withColumnRenamed("w", "l"), F.col("l")), ends, 100.0)
     labels = gr.connected_components(v, gr.graph_edges(kept)).toPandas().set_index("vid")["label"]
     assert labels[0] != labels[23]
     v, f, e = grid_mesh(spark, 12, gap=5)
