@@ -11,13 +11,16 @@ half of the host's pages (three at least) are valid if their elements nest: ever
 parent is in a class that occurs wherever it does (the elements around a text
 do anyway, as they are its role). They make the host's template; text that is
 itself a token of a valid class belongs to it in that element, inside articles
-as elsewhere.
+as elsewhere, but for an article's first heading. A text counts once for all revisions of one article
+(pages with the same first heading in their article): it must be on at least half of the host's
+articles, and three, as well.
 
 Second pass: a page is read against its host's template and the slots that the
 template leaves are extracted. Slots under elements for menus, headers,
 footers, sidebars, notices, adverts, forms or comments are no main text; inside
-an article an element whose class or id only contains such a word is one of these only
-if it belongs to the template. If a
+an article an element whose class or id is or contains such a word is one of these only
+if it belongs to the template (names of adverts and reader comments, which differ from page to page, and element
+names decide by themselves; where there is no template, all do). If a
 page has articles (or a main element), their slots are it (all their text, if
 the template leaves no slot in them: copies of one page); else those of the
 template's element that holds the most text outside links of all the host's
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import any_names, cut, free_name, slices
 
 # Element names of HTML and words in classes and ids that say what a part of a page is.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "option", "button", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "canvas", "audio", "video", "select", "option", "button", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -59,6 +62,8 @@ CHROME_WORDS = {
     "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search",
     "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+ALWAYS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "comment", "comments", "disqus", "replies", "reply", "respond"}  # adverts and reader comments, which differ from page to page
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADS = {"header", "masthead", "banner"}  # inside an article they hold its title
 NOT_THERE = {"with", "without", "has", "no"}  # as in "with-sidebar"
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
@@ -100,7 +105,7 @@ def opened(up: Part, tag: str, attributes: str) -> Part:
     words = {w for s in split if not s & NOT_THERE for w in s} - (HEADS if inside else set())
     chrome = up.chrome or tag in CHROME or (tag == "header" and not inside) or role in ROLES
     worded = tag not in ("html", "body", "article", "main") and bool(words & CHROME_WORDS)
-    exact = worded and any(n in CHROME_WORDS and n in words for n in names)
+    exact = worded and any(n in ALWAYS and n in words for n in names)
     chrome = chrome or (worded and not inside) or exact or (tag in ("article", "main") and bool(words & {"comment", "comments", "reply", "ad", "advert"}))
     label = tag + "".join("." + n for n in sorted(set(names)) if not any(c.isdigit() for c in n))
     path = f"{up.path}/{label}"
@@ -154,7 +159,7 @@ def read(page: str | None) -> Iterator[tuple[str, Part, str, bool]]:
             if not closing and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            if tag not in ("textarea", "button", "select", "option", "iframe", "svg", "math", "object"):
+            if tag not in ("textarea", "button", "select", "option", "iframe", "svg", "object"):
                 continue
             piece.append(" ")
         elif tag == "br" or tag == "hr":
@@ -201,20 +206,33 @@ def _text_mark(path: str, block: str) -> int:
     return _hash(f"{path}\0{block}") | 1
 
 
-def count_tokens(pages: list[tuple[str, int, str | None]]) -> dict[tuple[str, str, int], list[int]]:
-    """(host, path, hash of the text or 0) -> fingerprint, pages, occurrences, characters outside links, characters; of a batch of pages."""
-    out: dict[tuple[str, str, int], list[int]] = {}
+def count_tokens(pages: list[tuple[str, int, str | None]]) -> dict[tuple[str, str, int, int], list[int]]:
+    """(host, path, hash of the text or 0, article) -> fingerprint, pages, occurrences, characters outside links, characters; of a batch of pages.
+
+    article tells pages apart that are not revisions of one article: the first heading of the article (or main element), or
+    the page where there is none. It is 0 for elements.
+    """
+    out: dict[tuple[str, str, int, int], list[int]] = {}
     for host, mark, page in pages:
-        seen: dict[tuple[str, str, int], list[int]] = {}
+        elements: dict[str, list[int]] = {}
+        texts: dict[tuple[str, int], int] = {}
+        article = 0
         for kind, part, block, link in read(page):
             if kind == "open":
-                seen.setdefault((host, part.path, 0), [0, 0, 0])[0] += 1
+                elements.setdefault(part.path, [0, 0, 0])[0] += 1
             elif not part.chrome:
-                x = seen.setdefault((host, part.path, 0), [0, 0, 0])
+                x = elements.setdefault(part.path, [0, 0, 0])
                 x[1] += 0 if link else len(block)
                 x[2] += len(block)
-                seen.setdefault((host, part.path, _text_mark(part.path, block)), [0, 0, 0])[0] += 1
-        seen.setdefault((host, "", 0), [0, 0, 0])[0] += 1
+                k = part.path, _text_mark(part.path, block)
+                texts[k] = texts.get(k, 0) + 1
+                if not article and part.tag in HEADINGS and (part.article or part.main):
+                    article = _hash(block) | 1
+        article = article or mark
+        seen = {(host, p, 0, 0): v for p, v in elements.items() if p}
+        seen.update({(host, p, t, article): [n, 0, 0] for (p, t), n in texts.items()})
+        top = elements.get("", [0, 0, 0])
+        seen[host, "", 0, article] = [top[0] + 1, *top[1:]]
         for k, (n, plain, chars) in seen.items():
             x = out.setdefault(k, [0, 0, 0, 0, 0])
             for i, v in enumerate((mark * n, 1, n, plain, chars)):
@@ -234,19 +252,20 @@ def templates(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
             for batch in slices(whole, body, 16 << 20):
                 rows = zip(batch.column(key).to_pylist(), batch.column(url).to_pylist(), batch.column(body).to_pylist(), strict=True)
                 found = count_tokens([(host_of(u), _page_mark(f"{k}\0{u}", b), b) for k, u, b in rows])
-                columns = list(zip(*[(h, p, _signed(t), _signed(v[0]), *v[1:]) for (h, p, t), v in found.items()], strict=True)) or [[]] * 8
-                types = [pa.string(), pa.string(), *[pa.int64()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "text", "mark", "pages", "n", "plain", "chars"])
+                columns = list(zip(*[(h, p, _signed(t), _signed(a), _signed(v[0]), *v[1:]) for (h, p, t, a), v in found.items()], strict=True)) or [[]] * 9
+                types = [pa.string(), pa.string(), *[pa.int64()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "text", "article", "mark", "pages", "n", "plain", "chars"])
 
-    rows = pages.select(key, url, body).mapInArrow(run, "host string, path string, text long, mark long, pages long, n long, plain long, chars long")
+    rows = pages.select(key, url, body).mapInArrow(run, "host string, path string, text long, article long, mark long, pages long, n long, plain long, chars long")
     # wrapping sums: 64-bit halves of the fingerprint add up exactly in decimals and are reduced again
-    tokens = rows.groupBy("host", "path", "text").agg(
-        F.expr("pmod(sum(cast(mark as decimal(20,0))), 18446744073709551616)").alias("mark"), *[F.sum(c).alias(c) for c in ("pages", "n", "plain", "chars")]
-    )
+    total = [F.expr("pmod(sum(cast(mark as decimal(20,0))), 18446744073709551616)").alias("mark"), *[F.sum(c).alias(c) for c in ("pages", "n", "plain", "chars")]]
+    tokens = rows.groupBy("host", "path", "text", "article").agg(*total).groupBy("host", "path", "text").agg(*total, F.count("*").alias("articles"))
     # most texts occur once: they go before anything is asked of their host
     tokens = cut(tokens.filter((F.col("pages") >= MIN_PAGES) | (F.col("plain") > 0) | ((F.col("path") == "") & (F.col("text") == 0))))
-    hosts = tokens.filter("path = '' and text = 0").select("host", F.col("pages").alias("all"))
+    hosts = tokens.filter("path = '' and text = 0").select("host", F.col("pages").alias("all"), F.col("articles").alias("all_articles"))
     frequent = (F.col("pages") * 2 >= F.col("all")) & (F.col("pages") >= MIN_PAGES)
+    # revisions of one article are one voice: a text that only they have in common is theirs
+    frequent &= (F.col("text") == 0) | ((F.col("articles") * 2 >= F.col("all_articles")) & (F.col("articles") >= MIN_PAGES))
     tokens = tokens.join(hosts, "host").withColumn("frequent", frequent).filter("frequent or plain > 0")
     classes = tokens.filter("frequent").groupBy("host", "mark").agg(F.count("*").alias("size"))
     tokens = cut(tokens.join(classes, ["host", "mark"], "left").withColumn("valid", F.col("frequent") & (F.coalesce("size", F.lit(0)) >= 2)))
@@ -281,9 +300,10 @@ def extract(page: str | None, paths: set[str] | None, texts: set[int], main: str
         elif not part.chrome:
             blocks.append((part, block, link))
     fits = bool(paths) and 2 * len(paths & opened_) >= len(paths)
-    # inside articles a part of a name makes no furniture by itself: the element must be one of the template's (any will do where there is no template)
+    # inside articles a name makes no furniture by itself, but for adverts and comments: the element must be one of the template's (any will do where there is no template)
     blocks = [x for x in blocks if not x[0].named or (fits and x[0].named not in paths)]
-    slots = [x for x in blocks if _signed(_text_mark(x[0].path, x[1])) not in texts] if fits else blocks
+    title = next((i for i, (p, _, _) in enumerate(blocks) if p.tag in HEADINGS and (p.article or p.main)), -1)  # no template takes an article's title
+    slots = [x for i, x in enumerate(blocks) if i == title or _signed(_text_mark(x[0].path, x[1])) not in texts] if fits else blocks
     if article:
         return " ".join([b for p, b, _ in slots if p.article] or [b for p, b, _ in blocks if p.article])
     if main_element:

@@ -81,3 +81,37 @@ def test_names_inside_articles_count_only_with_the_template(spark):
 def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "h", "p", "m")], "page_id long, url string, html string, __host string, __paths string, __main string")
     assert tuple(h.extract_text(df).first()) == (1, "http://a/", "<p>x</p>", "h", "p", "m", "x", 1)
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_revisions_of_an_article_keep_their_common_text(spark):
+    same = "<p>A paragraph that all the revisions share.</p><p>Another one that they share.</p>"
+    pages = [f"<article><h1>One title</h1>{same}<p>Changed para number {i}</p></article>" for i in range(3)]
+    pages += [f"<article><h1>Title {i}</h1><p>Something else {i}</p></article>" for i in (3, 4)]
+    got = extracted(spark, [(i, f"http://h.example/{i}", page(i, b)) for i, b in enumerate(pages)])
+    for i in range(3):
+        assert got[i] == f"One title A paragraph that all the revisions share. Another one that they share. Changed para number {i}"
+    assert got[4] == "Title 4 Something else 4"
+
+
+def test_formulas_and_single_parts_of_articles_stay(spark):
+    words = ["related", "search", "form", "notice", "social", "aside", "login", "share"]
+    pages = [f'<article><h1>T {i}</h1><p>x{i} <math><mi>y</mi></math> z</p><div class="{w}"><p>part {i}</p></div><div class="comments">nice</div></article>' for i, w in enumerate(words)]
+    got = extracted(spark, [(i, f"http://h.example/{i}", page(i, b)) for i, b in enumerate(pages)])
+    assert got == {i: f"T {i} x{i} y z part {i}" for i in range(len(words))}
+    # the same part on all pages of the host is its template's
+    got = extracted(spark, [(i, f"http://h.example/{i}", page(i, f'<article><h1>T</h1><p>text {i}</p><div class="related">part {i}</div></article>')) for i in range(5)])
+    assert got == {i: f"T text {i}" for i in range(5)}
+
+
+def test_the_template_decides_on_hosts_without_telling_names(spark):
+    def body(i):
+        return f'<div class="a"><div class="b">Our house of news</div><div class="c">Read more every day</div></div><div class="d"><h1>Head {i}</h1><p>Long text number {i} with many words in it.</p></div><div class="e">Kept in the town</div>'
+
+    rows = [(i, f"http://h.example/{i}", page(i, body(i))) for i in range(5)]
+    got = extracted(spark, rows)
+    assert got == {i: f"Head {i} Long text number {i} with many words in it." for i in range(5)}
+    assert h.extract(rows[0][2], None, set(), None) != got[0]
