@@ -94,3 +94,54 @@ def test_copies_that_repeat_a_line(spark):
         assert min((signature[4 * k] == signature[4 * k + j]).mean() for j in (1, 2, 3)) > 0.85
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert {frozenset(g["doc_id"]) for _, g in got.groupby("class_id")} == brute(rows) == {frozenset(range(4 * k, 4 * k + 4)) for k in range(12)}
+
+
+def similar_pairs(texts, threshold=0.8):
+    """All pairs (i, j) of texts with a Jaccard similarity of the threshold or more, by an exact prefix join over sets of five words read by a pattern."""
+    import re
+    from collections import Counter, defaultdict
+
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})  # fewer words are one shingle
+    often = Counter(x for s in sets for x in s)
+    index, found = defaultdict(list), set()
+    for j, s in enumerate(sets):
+        first = sorted(s, key=lambda x: (often[x], x))[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
+        for i in {i for x in first for i in index[x]}:
+            common = len(s & sets[i])
+            if common >= threshold * (len(s) + len(sets[i]) - common) - 1e-9:
+                found.add((i, j))
+        for x in first:
+            index[x].append(j)
+    return found
+
+
+def recall(spark, sf):
+    """Pairs of the whole table of documents at 0.8 or more, how many of them are in one class, and whether the classes are just what those pairs and equal texts connect."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    of = nd.op4_near_duplicates(spark, sf).toPandas().set_index("doc_id")["class_id"]
+    label = of.loc[docs["doc_id"]].to_numpy()
+    pairs = similar_pairs(docs["text"])
+    up = list(range(len(docs)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    same = docs.groupby("text").indices
+    for i, j in [*pairs, *((g[0], x) for g in same.values() for x in g[1:])]:
+        up[find(i)] = find(j)
+    mine, want = {}, {}
+    for i, c in enumerate(label):
+        mine.setdefault(c, []).append(i)
+        want.setdefault(find(i), []).append(i)
+    return len(pairs), sum(label[i] == label[j] for i, j in pairs), {*map(tuple, mine.values())} == {*map(tuple, want.values())}
+
+
+def test_recall_on_the_whole_table(spark, sf):
+    n, found, exact = recall(spark, sf)
+    assert n > 0 and found == n and exact
