@@ -30,6 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="arborframe-checkpoint-")
         sc.setCheckpointDir(shared)
+    # Spark 4.1 gives a union the partitioning of its sides if these agree. A checkpoint still claims its plan's, but its partitions
+    # may have been coalesced: rows of one key then stay apart, without a shuffle and without an error.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     done = df.checkpoint(eager=True)
     # A checkpoint keeps its plan's estimate of size, which each join multiplies: after rounds of self-joins it has
     # millions of digits, and planning takes longer than the jobs. Such a one is dropped, with the plan that has it.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import kernels as ke
 from ..operators import paths as pa
+from ..operators import skeletons as sk
 from ..operators import spatial as sp
 from ..operators import surface as su
 from ..operators import tree as t
@@ -135,3 +136,21 @@ def skeleton_path_quality(spark, d):
     radius = p.select("mesh_id", "vid", (100.0 * (1 + F.col("vid") % 7)).alias("radius"))
     odds = [2.0 - 0.5 * i for i in range(15)]
     return pa.path_quality(pairs, p, radius, odds, 0.1, 40, 5, edges=both).withColumn("score", F.round("score", 6) + 0)
+
+
+def _skeletons(spark, d):
+    """With a soma at each mesh' first event point, smoothed, radii known for two of three vertices."""
+    p = cut(fx.points(spark, d))
+    soma = fx.event_points(spark, d).filter("pid < 10").select("mesh_id", *[F.col(c).cast("double").alias(c) for c in ("px", "py", "pz")])
+    radius = p.filter("vid % 3 > 0").select("mesh_id", "vid", (100.0 * (1 + F.col("vid") % 7)).alias("radius"))
+    return sk.skeletonize(p, cut(fx.edges(spark, d)), 1500.0, min_component=3, soma=soma, soma_radius=1500.0, smooth=2, radius=radius)
+
+
+@query()
+def skeleton_blocks(spark, d):
+    return _skeletons(spark, d).tree.select("skel_id", "sid", "parent", *[(F.round(c, 3) + 0).alias(c) for c in ("w", "x", "y", "z", "radius")])
+
+
+@query()
+def skeleton_blocks_map(spark, d):
+    return _skeletons(spark, d).mapping
