@@ -268,3 +268,33 @@ def test_paths_between_points_meshes_and_trees(spark):
     assert got == {1: (True, True), 2: (True, True)}
     tree3 = spark.createDataFrame([(0, 0, None, 2.0), (0, 1, 0, None), (0, 2, 1, None), (0, 3, 2, 6.0), (1, 0, None, None)], "skel_id long, sid long, parent long, radius double")
     assert [r["radius"] for r in pa.fill_radius(tree3).orderBy("skel_id", "sid").collect()] == [2.0, 2.0, 6.0, 6.0, None]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_sides_are_not_broadcast(spark):
+    vertex = spark.createDataFrame([(0, i, i % 7, i % 5, i % 3) for i in range(50)], "mesh_id long, vid long, x long, y long, z long")
+    points = spark.createDataFrame([(0, i, i % 5, i % 7, i % 3) for i in range(60)], "mesh_id long, pid long, px long, py long, pz long")
+    far = lambda p, v: sum((p[f"p{k}"] - v[k]) ** 2 for k in "xyz")
+    want = sorted((p["pid"], v["vid"], far(p, v)) for p in points.collect() for v in vertex.collect() if far(p, v) <= 4)
+    for spread_vertex in (False, True):
+        got = sp.radius_join(points, vertex, 2, spread_vertex=spread_vertex)
+        assert "Broadcast" not in plan_of(got)
+        assert sorted((r["pid"], r["vid"], r["d2"]) for r in got.collect()) == want
+
+
+def test_nearest_of_crowded_vertices_and_of_points_of_one_place(spark):
+    # a crowd of 1,000 and one vertex far away: the box alone would make one cell of the crowd
+    at = [(0, i, i % 10 * 10, i // 10 % 10 * 10, i // 100 * 10) for i in range(1000)] + [(0, 1000, 10**4, 10**4, 10**4)]
+    vertex = spark.createDataFrame(at, "mesh_id long, vid long, x long, y long, z long").cache()
+    assert sp._uncrowded(vertex, 10.0**3, 4) < 30 and sp._uncrowded(vertex, 10.0**6, 4) < 30
+    ask = [(0, i, i % 4 * 31, i % 3 * 29, 50) for i in range(120)] + [(0, 120, 500, 0, 0), (1, 121, 0, 0, 0)]
+    points = spark.createDataFrame(ask, "mesh_id long, pid long, px long, py long, pz long")
+    got = sorted((r["pid"], r["rank"], r["vid"], r["d2"]) for r in sp.k_nearest(points, vertex, 2).collect())
+    want = []
+    for m, p, *x in ask:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), v) for _, v, *y in at if m == 0)[:2]
+        want += [(p, i + 1, v, d) for i, (d, v) in enumerate(near)]
+    assert got == sorted(want)
