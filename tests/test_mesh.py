@@ -298,3 +298,13 @@ def test_nearest_of_crowded_vertices_and_of_points_of_one_place(spark):
         near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), v) for _, v, *y in at if m == 0)[:2]
         want += [(p, i + 1, v, d) for i, (d, v) in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_near_points_from_either_side_are_not_broadcast(spark):
+    vertex = spark.createDataFrame([(0, i, i * 3, 0, 0) for i in range(30)], "mesh_id long, vid long, x long, y long, z long")
+    some = [(0, 0, 10, 0, 0), (0, 1, 10, 0, 0), (0, 2, 51, 4, 0), (1, 3, 0, 0, 0)]
+    for many in (some, some + [(0, i, 51, 4 + i, 0) for i in range(5, 60)]):
+        points = spark.createDataFrame(many, "mesh_id long, pid long, px long, py long, pz long")
+        got = sp.near_points(vertex, points, 5)
+        assert "Broadcast" not in plan_of(got)
+        assert sorted(r["vid"] for r in got.collect()) == [2, 3, 4, 17]
