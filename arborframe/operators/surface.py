@@ -135,8 +135,15 @@ def _exact(pairs: DataFrame, kind: str) -> DataFrame:
 def nearest(points: DataFrame, vertex: DataFrame, face: DataFrame, max_distance: float | None = None) -> DataFrame:
     """(mesh_id, pid, fid, a, d2, qx, qy, qz): the triangle nearest to each point (mesh_id, pid, px, py, pz), its first corner and the nearest point on it; ties go to the smaller fid.
 
-    Points of meshes without triangles, or without one within max_distance (inclusive), are left out.
+    Points of meshes without triangles, or without one within max_distance (inclusive), are left out; points of one place are looked up once.
     """
+    own = points.select("mesh_id", "pid", *[F.col(f"p{k}").cast("double").alias(f"p{k}") for k in "xyz"])
+    places = cut(own.drop("pid").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    found = _nearest(places, vertex, face, max_distance).join(places, ["mesh_id", "pid"]).drop("pid")
+    return own.join(found.hint("merge"), ["mesh_id", "px", "py", "pz"]).select("mesh_id", "pid", "fid", "a", "d2", "qx", "qy", "qz")
+
+
+def _nearest(points: DataFrame, vertex: DataFrame, face: DataFrame, max_distance: float | None) -> DataFrame:
     tri = cut(triangles(vertex, face))
     grid = cut(grids(tri))
     cells = cut(covered(tri, grid))
@@ -145,7 +152,7 @@ def nearest(points: DataFrame, vertex: DataFrame, face: DataFrame, max_distance:
     levels = list(range(top, 0, -STRIDE)) + [0]
     key, kind = ["mesh_id", "pid"], ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("pid", points), ("fid", tri)))
     bound = float("inf") if max_distance is None else float(max_distance) ** 2
-    at = points.select("mesh_id", "pid", *[F.col(f"p{k}").cast("double").alias(f"p{k}") for k in "xyz"]).join(grid, "mesh_id")
+    at = points.join(grid, "mesh_id")
     at = cut(at.withColumn("reach", F.lit(bound)))
 
     def nodes(level: int) -> DataFrame:

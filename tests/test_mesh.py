@@ -308,3 +308,25 @@ def test_near_points_from_either_side_are_not_broadcast(spark):
         got = sp.near_points(vertex, points, 5)
         assert "Broadcast" not in plan_of(got)
         assert sorted(r["vid"] for r in got.collect()) == [2, 3, 4, 17]
+
+
+def test_points_share_their_search(spark, monkeypatch):
+    # a strip of 60 vertices with weights of many ties; the tree is at its ends
+    n = 60
+    v = spark.createDataFrame([(0, i, i // 2 * 10, i % 2 * 10, 0) for i in range(n)], "mesh_id long, vid long, x long, y long, z long").cache()
+    f = spark.createDataFrame([(0, i, i, i + 1, i + 2) for i in range(n - 2)], "mesh_id long, fid long, a long, b long, c long").cache()
+    links = [(0, a, b, 1 + (a + b) % 2) for i in range(n - 2) for a, b in ((i, i + 1), (i, i + 2), (i + 1, i), (i + 2, i))]
+    e = spark.createDataFrame(sorted(set(links)), "mesh_id long, src long, dst long, w long").cache()
+    skel = spark.createDataFrame([(0, 0), (0, 1), (0, n - 1)], "mesh_id long, vid long")
+    points = spark.createDataFrame([(0, i, i % 30 * 10, 3, 4) for i in range(90)], "mesh_id long, pid long, px long, py long, pz long")
+    # from each point alone over the whole mesh, as it was
+    start = pa.nearest_face_vertex(points, v, f).select("mesh_id", F.col("pid").alias("source"), "vid").cache()
+    every = gr.shortest_paths(e, start).cache()
+    ends = every.join(skel, ["mesh_id", "vid"]).groupBy("mesh_id", "source").agg(F.min(F.struct("dist", "vid")).alias("m")).select("mesh_id", "source", "m.vid")
+    want = sorted(map(tuple, gr.path_of(every, ends).select("source", "target", "pos", "vid").collect()))
+    asked, made, near, short = [], [], pa.su._nearest, gr.shortest_paths
+    monkeypatch.setattr(pa.su, "_nearest", lambda p, *a: (asked.append(p.count()), near(p, *a))[1])
+    monkeypatch.setattr(gr, "shortest_paths", lambda *a, **b: (made.append(short(*a, **b).cache()), made[-1])[1])
+    got = sorted(map(tuple, pa.point_to_skeleton(points, v, f, e, skel).select("source", "target", "pos", "vid").collect()))
+    assert got == want and {r[0] for r in got} == set(range(90))
+    assert asked == [30] and sum(x.count() for x in made) < every.count() / 3
