@@ -26,11 +26,19 @@ def nearest_face_vertex(points: DataFrame, vertex: DataFrame, face: DataFrame, m
 
 def point_to_skeleton(points: DataFrame, vertex: DataFrame, face: DataFrame, edges: DataFrame, skeleton_vertices: DataFrame, limit: float | None = None) -> DataFrame:
     """(mesh_id, source, target, pos, vid): the shortest way along the mesh from each point to a vertex of the tree, from there to the point. None without one in reach."""
-    start = nearest_face_vertex(points, vertex, face).select("mesh_id", F.col("pid").alias("source"), "vid")
-    found = cut(gr.shortest_paths(edges, start, limit))
-    ends = found.join(skeleton_vertices.select("mesh_id", "vid").distinct(), ["mesh_id", "vid"], "left_semi")
+    at = cut(nearest_face_vertex(points, vertex, face).select("mesh_id", "pid", F.col("vid").alias("source")))
+    tree = cut(skeleton_vertices.select("mesh_id", "vid").distinct())
+    # how far the tree is from all vertices at once; of their ways only edges that come nearer by their whole length are left
+    back = edges.select("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    left = cut(gr.shortest_paths(back, tree.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit).select("mesh_id", "vid", "dist"))
+    end = lambda c: left.select("mesh_id", F.col("vid").alias(c), F.col("dist").alias(f"__{c}"))
+    nearer = edges.join(end("src"), ["mesh_id", "src"]).join(end("dst"), ["mesh_id", "dst"]).filter(F.col("__src") == F.col("w").cast("double") + F.col("__dst"))
+    start = at.select("mesh_id", "source").distinct().withColumn("vid", F.col("source")).join(left, ["mesh_id", "vid"], "left_semi")
+    found = cut(gr.shortest_paths(nearer.select("mesh_id", "src", "dst", "w"), start.select("mesh_id", "source", "vid")))
+    ends = found.join(tree, ["mesh_id", "vid"], "left_semi")
     nearest = ends.groupBy("mesh_id", "source").agg(F.min(F.struct("dist", "vid")).alias("m")).select("mesh_id", "source", "m.vid")
-    return gr.path_of(found, nearest)
+    ways = gr.path_of(found, nearest)
+    return at.join(ways.hint("merge"), ["mesh_id", "source"]).select("mesh_id", F.col("pid").alias("source"), "target", "pos", "vid")
 
 
 def map_merges(merges: DataFrame, vertex: DataFrame, face: DataFrame, labels: DataFrame, close: float) -> DataFrame:
