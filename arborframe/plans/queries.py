@@ -211,7 +211,8 @@ SELECT c.skel_id, c.sid AS "of", count(*) AS n, CAST(sum(b.sid) AS BIGINT) AS to
 )
 def tree_same_branch(spark, d):
     tree, paths = _lifts(spark, d)
-    return t.same_branch(tree, paths, tree.select("skel_id", "sid")).groupBy("skel_id", "of").agg(F.count("*").alias("n"), F.sum("sid").alias("total"))
+    one = tree.select("skel_id", "sid", F.lit(1).cast("long").alias("n"), F.col("sid").alias("total"))
+    return t.branch_sums(tree, paths, tree.select("skel_id", "sid"), one)
 
 
 @query("SELECT c.skel_id, c.sid, CASE WHEN max(c.hops) = 0 THEN 0 ELSE count(f.sid) END AS branch_order FROM closure c LEFT JOIN forks f ON f.skel_id = c.skel_id AND f.sid = c.anc GROUP BY c.skel_id, c.sid", fx.CLOSURE)
