@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tree as t
-from .tables import cut
+from .tables import cut, few
 
 
 def points_below(paths: t.Lifts, anno: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def betweenness(paths: t.Lifts, anno: DataFrame) -> DataFrame:
     """Paths between an input and an output point that use the vertex' edge to its parent: dp (Q - dq) + (P - dp) dq."""
     below = points_below(paths, anno)
     totals = anno.groupBy("skel_id").agg(F.count_if("is_pre").alias("P"), F.count_if(~F.col("is_pre")).alias("Q"))
-    return below.join(totals, "skel_id").withColumn("betweenness", F.col("dp") * (F.col("Q") - F.col("dq")) + (F.col("P") - F.col("dp")) * F.col("dq"))
+    return below.join(few(totals), "skel_id").withColumn("betweenness", F.col("dp") * (F.col("Q") - F.col("dq")) + (F.col("P") - F.col("dp")) * F.col("dq"))
 
 
 def entropy(p: Column, q: Column) -> Column:
@@ -69,7 +69,7 @@ def split_axon(tree: DataFrame, paths: t.Lifts, anno: DataFrame, times: int = 1,
         lower = share(F.col("dp"), F.col("dq")) >= share(F.col("P") - F.col("dp"), F.col("Q") - F.col("dq"))
         chosen = cut(s.select("skel_id", F.col("sid").alias("cut"), lower.alias("lower"), F.col("segregation").alias("quality")))
         lower_part = t.downstream(paths_left, chosen.select("skel_id", F.col("cut").alias("sid"))).select("skel_id", "sid", F.lit(True).alias("below"))
-        side = paths_left.tree.join(chosen.select("skel_id", "lower"), "skel_id").join(lower_part, ["skel_id", "sid"], "left")
+        side = paths_left.tree.join(few(chosen.select("skel_id", "lower")), "skel_id").join(lower_part, ["skel_id", "sid"], "left")
         new = cut(side.filter(F.coalesce("below", F.lit(False)) == F.col("lower")).select("skel_id", "sid"))
         axon = new if axon is None else axon.unionAll(new)
         cuts = chosen if cuts is None else cuts.unionAll(chosen)
