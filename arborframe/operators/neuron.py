@@ -93,10 +93,7 @@ def split_quality(anno: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def window_pairs(paths: t.Lifts, width: float) -> DataFrame:
     """(skel_id, i, j): pairs of vertices within width along the tree (inclusive, themselves too)."""
-    near = t.closure(paths, F.col("dist") <= width)
-    a = near.select("skel_id", "anc", F.col("sid").alias("i"), F.col("dist").alias("d1"))
-    b = near.select("skel_id", "anc", F.col("sid").alias("j"), F.col("dist").alias("d2"))
-    return a.join(b, ["skel_id", "anc"]).filter(F.col("d1") + F.col("d2") <= width).select("skel_id", "i", "j").distinct()
+    return t.near_pairs(paths, lambda d: d <= width).select("skel_id", "i", "j")
 
 
 def vertex_cable(tree: DataFrame) -> DataFrame:
@@ -123,10 +120,7 @@ def linear_density(tree: DataFrame, paths: t.Lifts, anno: DataFrame, width: floa
 
 def gaussian_density(tree: DataFrame, paths: t.Lifts, anno: DataFrame, width: float, reach: float = 3.0) -> DataFrame:
     """Points weighted exp(-d^2 / 2 width^2) within reach * width, over the cable weighted alike."""
-    near = t.closure(paths, F.col("dist") <= width * reach)
-    a = near.select("skel_id", "anc", F.col("sid").alias("i"), F.col("dist").alias("d1"))
-    b = near.select("skel_id", "anc", F.col("sid").alias("j"), F.col("dist").alias("d2"))
-    pairs = a.join(b, ["skel_id", "anc"]).groupBy("skel_id", "i", "j").agg(F.min(F.col("d1") + F.col("d2")).alias("d")).filter(F.col("d") <= width * reach)
+    pairs = t.near_pairs(paths, lambda d: d <= width * reach)
     has = anno.select("skel_id", F.col("sid").alias("j"), F.lit(1.0).alias("has")).distinct()
     k = F.exp(-F.col("d") * F.col("d") / (2.0 * width * width))
     x = pairs.join(has, ["skel_id", "j"], "left").join(vertex_cable(tree).withColumnRenamed("sid", "j"), ["skel_id", "j"], "left")

@@ -110,3 +110,56 @@ def test_density_by_brute_force(spark):
     for v in range(30):
         near = [u for u in range(30) if dist(v, u) <= 12]
         assert got[v] == pytest.approx(len({1, 5, 9, 20} & set(near)) / sum(cable[u] for u in near))
+
+
+@pytest.fixture(scope="module")
+def grown(spark):
+    """A forest of two random trees, its ways by hand, and pairs of its vertices."""
+    tree, up = random_tree(spark, 60, 5, forest=2)
+    r = random.Random(6)
+    pairs = [(r.randrange(2), r.randrange(60), r.randrange(60)) for _ in range(80)]
+    return tree.cache(), up, spark.createDataFrame(pairs, "skel_id long, a long, b long").cache()
+
+
+def test_ways_in_arrays_and_in_rounds(grown, monkeypatch):
+    tree, up, pairs = grown
+    found = []
+    for rounds in (7, 1):
+        monkeypatch.setattr(t, "WAY_ROUNDS", rounds)
+        paths = t.Lifts(tree)
+        assert (paths.ways is None) == (rounds == 1)
+        found.append([sorted(map(tuple, f(paths, x).collect())) for f, x in ((t.lowest_common, pairs), (t.path_between, pairs), (t.path_to_root, tree))])
+    assert found[0] == found[1] and len(found[0][0]) == pairs.distinct().count()
+    assert found[0][2] == sorted((s, v, i, a) for s, v in up for i, (a, _) in enumerate(way(up, s, v)))
+
+
+def test_sums_over_ways_and_branches(grown):
+    from pyspark.sql import functions as F
+
+    tree, _, pairs = grown
+    paths = t.Lifts(tree)
+    values = tree.filter("sid % 7 <> 3").select("skel_id", "sid", (F.col("sid") % 3).alias("n"), (F.col("sid") * 5).alias("v"))
+    on = t.path_between(paths, pairs).join(values, ["skel_id", "sid"], "left").groupBy("skel_id", "a", "b").agg(F.sum(F.coalesce("n", F.lit(0))), F.sum((F.col("pos") + 1) * F.coalesce("v", F.lit(0))))
+    assert sorted(map(tuple, t.sums_between(paths, pairs, values).collect())) == sorted(map(tuple, on.collect()))
+    of = tree.select("skel_id", "sid")
+    on = t.same_branch(tree, paths, of).join(values, ["skel_id", "sid"]).groupBy("skel_id", "of").agg(F.sum("n"), F.sum("v"))
+    assert sorted(map(tuple, t.branch_sums(tree, paths, of, values).collect())) == sorted(map(tuple, on.collect()))
+
+
+def test_near_pairs_come_once(grown):
+    tree, up, _ = grown
+    paths, d = t.Lifts(tree), {(s, v): dict(way(up, s, v)) for s, v in up}
+    far = lambda s, i, j: min(d[s, i][a] + d[s, j][a] for a in d[s, i].keys() & d[s, j].keys())
+    want = sorted((s, i, j, far(s, i, j)) for s in range(2) for i in range(60) for j in range(60) if far(s, i, j) < 9)
+    assert sorted(map(tuple, t.near_pairs(paths, lambda x: x < 9).collect())) == want
+
+
+def test_one_tree_is_not_one_task(spark, grown):
+    tree, _, _ = grown
+    anno = tree.select("skel_id", "sid", (tree["sid"] % 2 == 0).alias("is_pre"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ne.betweenness(t.Lifts(tree), anno)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(skel_id" not in "".join(x for x in plan.splitlines() if "sid#" not in x.split("hashpartitioning")[-1]) and "BroadcastHashJoin" in plan
