@@ -55,6 +55,7 @@ THRESHOLD = 0.3
 SLICE_BYTES = 7 << 20
 PART_BYTES = 16 << 20
 WIDTH = 2 * DIM + 1
+WORDS = 8_192  # so many words' vectors are worked on at once
 
 
 def held_out(key: Column, folds: int) -> Column:
@@ -89,6 +90,14 @@ def word_vectors(context: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.concatenate([context, own, (context * own).sum(1, keepdims=True)], 1)
 
 
+def projected(keys: np.ndarray, context: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Vectors of all words times `by`; WORDS at a time, since together they take several times the contexts."""
+    value = np.empty((len(keys), by.shape[1]), np.float16)
+    for i in range(0, len(keys), WORDS):
+        value[i : i + WORDS] = word_vectors(context[i : i + WORDS], keys[i : i + WORDS]) @ by
+    return value
+
+
 class Slice:
     """The distinct words of a slice and the words of each of its rows with their numbers."""
 
@@ -267,7 +276,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     def answer(p: int, rows: dict) -> Iterator[tuple]:
         keys, total, places = merged(rows)
-        value = (word_vectors(total, keys) @ first.astype(np.float32)).astype(np.float16)
+        value = projected(keys, total, first.astype(np.float32))
         for k, at in places.items():
             yield k % parts, ("answer", k, p, pack(value[at]))
 
@@ -291,7 +300,7 @@ def merged(rows: dict) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     each = {k: unpack_sorted(x) for k, x in each.items()}
     keys = np.unique(np.concatenate(list(each.values()))) if each else np.empty(0, np.uint64)
     total, places = np.zeros((len(keys), DIM), np.int64), {}
-    for x in rows.get("words", []):
+    for x in rows.pop("words", []):
         places[x[1]] = np.searchsorted(keys, each[x[1]])
         total[places[x[1]]] += unpack_rows(x[2], DIM)[1]
     return keys, total, places

@@ -86,3 +86,16 @@ def test_temperature_keeps_order():
     assert ((s > 0.5) == (y == 1)).mean() > 0.9
     net.temperature *= 2
     assert (np.argsort(net.score(x)) == np.argsort(s)).mean() > 0.9
+
+
+def test_words_are_projected_in_parts():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 50_000).astype(np.uint64)
+    context, by = rng.integers(-9, 9, (len(keys), quality.DIM)), rng.normal(size=(quality.WIDTH, quality.HIDDEN)).astype(np.float32)
+    tracemalloc.start()
+    value = quality.projected(keys, context, by)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(value, quality.word_vectors(context, keys) @ by, atol=1e-2) and peak < context.nbytes
