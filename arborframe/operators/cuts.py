@@ -268,7 +268,7 @@ def sides(edges: DataFrame, ends: DataFrame, window: float, blocks: DataFrame |
     both = ends.groupBy("mesh_id").agg(F.min("is_source").alias("lo"), F.max("is_source").alias("hi")).filter("lo <> hi")
     end = cut(ends.join(both, "mesh_id", "left_semi").select("mesh_id", "vid", "is_source"))
     twice = edges.select("mesh_id", "src", "dst", "w").unionAll(edges.select("mesh_id", "dst", "src", "w"))
-    near = cut(geodesic_within(twice, end.select("mesh_id", "vid").distinct(), window))
+    near = cut(geodesic_within(twice, end.select("mesh_id", "vid").distinct(), window, blocks))
     local = twice.join(near.withColumnRenamed("vid", "src"), ["mesh_id", "src"], "left_semi").join(near.withColumnRenamed("vid", "dst"), ["mesh_id", "dst"], "left_semi")
     of = None if blocks is None else blocks.join(near, ["mesh_id", "vid"], "left_semi")
     far = sink_side(local, end, of, taken=taken).withColumn("is_source", F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import spatial as sp
 from . import tree as t
-from .blocks import shortest_paths
+from .blocks import shortest_paths, spatial_blocks
 from .tables import cut
 
 
@@ -77,11 +77,11 @@ def shared_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", *ends()).join(b.select("mesh_id", *ends()).distinct(), ["mesh_id", "__lo", "__hi"], "left_semi").select(*a.columns)
 
 
-def far_points(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(mesh_id, a, b, dist): ends of a long way in each component, by going to the farthest vertex until it gets no farther."""
+def far_points(edges: DataFrame, start: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, a, b, dist): ends of a long way in each component, by going to the farthest vertex until it gets no farther. blocks as in shortest_paths."""
     best, at = None, start.select("mesh_id", F.col("vid").alias("source"), "vid")
     while True:
-        found = shortest_paths(edges, at)
+        found = shortest_paths(edges, at, blocks=blocks)
         far = cut(found.groupBy("mesh_id", "source").agg(F.max_by(F.struct("vid", "dist"), F.struct("dist", -F.col("vid"))).alias("m")).select("mesh_id", F.col("source").alias("a"), F.col("m.vid").alias("b"), F.col("m.dist").alias("dist")))
         if best is not None:
             more = far.select("mesh_id", F.col("dist").alias("d")).join(best.select("mesh_id", F.col("dist").alias("before")), "mesh_id").filter("d > before")
@@ -90,9 +90,9 @@ def far_points(edges: DataFrame, start: DataFrame) -> DataFrame:
         best, at = far, far.select("mesh_id", F.col("b").alias("source"), F.col("b").alias("vid"))
 
 
-def geodesic_within(edges: DataFrame, seeds: DataFrame, limit: float) -> DataFrame:
+def geodesic_within(edges: DataFrame, seeds: DataFrame, limit: float, blocks: DataFrame | None = None) -> DataFrame:
     """Vertices within limit (inclusive) of any seed (mesh_id, vid) along directed edges."""
-    return shortest_paths(edges, seeds.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit).select("mesh_id", "vid")
+    return shortest_paths(edges, seeds.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit, blocks).select("mesh_id", "vid")
 
 
 def points_to_vertices(points: DataFrame, vertex: DataFrame, max_valid_mapping: float | None = None) -> DataFrame:
@@ -103,13 +103,13 @@ def points_to_vertices(points: DataFrame, vertex: DataFrame, max_valid_mapping:
 
 def geodesic_near_points(vertex: DataFrame, edges: DataFrame, points: DataFrame, limit: float, max_valid_mapping: float | None = None) -> DataFrame:
     """Vertices within limit along directed edges of the vertex nearest to any point."""
-    return geodesic_within(edges, points_to_vertices(points, vertex, max_valid_mapping).select("mesh_id", "vid").distinct(), limit)
+    return geodesic_within(edges, points_to_vertices(points, vertex, max_valid_mapping).select("mesh_id", "vid").distinct(), limit, cut(spatial_blocks(vertex)))
 
 
-def two_point_ellipse(edges: DataFrame, foci: DataFrame, pad: float, power: float = 1.0) -> DataFrame:
-    """foci (mesh_id, f0, f1): vertices with d0^p + d1^p < (d(f0, f1) + pad)^p; meshes whose foci aren't connected have none."""
+def two_point_ellipse(edges: DataFrame, foci: DataFrame, pad: float, power: float = 1.0, blocks: DataFrame | None = None) -> DataFrame:
+    """foci (mesh_id, f0, f1): vertices with d0^p + d1^p < (d(f0, f1) + pad)^p; meshes whose foci aren't connected have none. blocks as in shortest_paths."""
     src = foci.select("mesh_id", F.inline(F.array(F.struct(F.lit(0).cast("long").alias("source"), F.col("f0").alias("vid")), F.struct(F.lit(1).cast("long").alias("source"), F.col("f1").alias("vid")))))
-    found = shortest_paths(edges, src)
+    found = shortest_paths(edges, src, blocks=blocks)
     a, b = found.filter("source = 0").select("mesh_id", "vid", F.col("dist").alias("d0")), found.filter("source = 1").select("mesh_id", "vid", F.col("dist").alias("d1"))
     between = a.join(foci.select("mesh_id", F.col("f1").alias("vid")), ["mesh_id", "vid"]).select("mesh_id", F.col("d0").alias("apart"))
     both = a.join(b, ["mesh_id", "vid"]).join(between, "mesh_id")
@@ -120,7 +120,7 @@ def two_point_ellipse_of_points(vertex: DataFrame, edges: DataFrame, points: Dat
     """two_point_ellipse with foci at the vertices nearest to the points of pid 0 and 1 of each mesh; meshes that lack one have none."""
     at = points_to_vertices(points.filter("pid in (0, 1)"), vertex)
     foci = at.groupBy("mesh_id").agg(F.max(F.when(F.col("pid") == 0, F.col("vid"))).alias("f0"), F.max(F.when(F.col("pid") == 1, F.col("vid"))).alias("f1"))
-    return two_point_ellipse(edges, foci.filter("f0 is not null and f1 is not null"), pad, power)
+    return two_point_ellipse(edges, foci.filter("f0 is not null and f1 is not null"), pad, power, cut(spatial_blocks(vertex)))
 
 
 def smooth(vertex: DataFrame, edges: DataFrame, rate: float = 0.1, iterations: int = 100, neighborhood: int = 2) -> DataFrame:

@@ -109,3 +109,26 @@ def test_path_distances_on_the_mesh(spark):
     # scores in one window: of a bin's odds, and beyond the last edge as in the last bin
     score = g.histogram_score(got, ["mesh_id", "tip"], [1.0] + [0.0] * 13 + [-5.0], 1.0).collect()
     assert {x["tip"]: x["score"] for x in score} == {t: float(np.mean([1.0 if want[t, i] < 1 else -5.0 if want[t, i] >= 14 else 0.0 for i in range(len(tree))])) for t, (tree, _) in tips.items()}
+
+
+@pytest.fixture
+def line(spark, monkeypatch):
+    """A line of 40 vertices whose ids are all in blocks of their own, and the rounds that shortest_paths takes on it."""
+    rounds: list[int] = []
+    plain = b.shortest_paths
+    monkeypatch.setattr(gr, "shortest_paths", lambda *args, **options: plain(*args, **options, taken=rounds))
+    place = np.random.default_rng(5).permutation(40)
+    vid = [int(k) * b.BLOCK for k in place]
+    vertex = spark.createDataFrame([(0, v, 100 * i, 0, 0) for i, v in enumerate(vid)], "mesh_id long, vid long, x long, y long, z long")
+    e = [(0, u, v, 1.0) for u, v in zip(vid[:-1], vid[1:], strict=True)]
+    edges = spark.createDataFrame(e + [(m, v, u, w) for m, u, v, w in e], "mesh_id long, src long, dst long, w double")
+    return vid, vertex, edges, rounds
+
+
+def test_two_points_of_any_ids(spark, line):
+    vid, vertex, edges, rounds = line
+    foci = spark.createDataFrame([(0, 0, 1000, 10, 0), (0, 1, 1900, -10, 0)], "mesh_id long, pid long, px long, py long, pz long")
+    got = gr.two_point_ellipse_of_points(vertex, edges, foci, 2.0)
+    assert sorted(r["vid"] for r in got.collect()) == sorted(vid[10:20])
+    assert gr.geodesic_near_points(vertex, edges, foci, 3).count() == 7 + 7
+    assert max(rounds) == 1
