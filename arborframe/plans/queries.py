@@ -17,6 +17,7 @@ from ..operators import spatial as sp
 from ..operators import surface as su
 from ..operators import tree as t
 from ..operators import views as vi
+from ..operators.blocks import spatial_blocks
 from ..operators.tables import cut
 from ..sources import files
 from . import fixtures as fx
@@ -414,12 +415,13 @@ ways AS (SELECT mesh_id, vid, CAST(0 AS BIGINT) AS dist FROM seeds UNION SELECT
 def graph_shortest_paths(spark, d):
     p = fx.points(spark, d)
     seeds = p.groupBy("mesh_id").agg(F.min("vid").alias("vid")).select("mesh_id", F.lit(0).cast("long").alias("source"), "vid")
-    return gr.shortest_paths(cut(fx.edges(spark, d)), seeds, 4000).select("mesh_id", "vid", "dist")
+    return gr.shortest_paths(cut(fx.edges(spark, d)), seeds, 4000, cut(spatial_blocks(p))).select("mesh_id", "vid", "dist")
 
 
 @query("SELECT DISTINCT mesh_id, vid FROM ways", fx.NEAR + _SSSP)
 def filter_geodesic(spark, d):
-    return gr.geodesic_within(cut(fx.edges(spark, d)), fx.points(spark, d).groupBy("mesh_id").agg(F.min("vid").alias("vid")), 4000)
+    p = fx.points(spark, d)
+    return gr.geodesic_within(cut(fx.edges(spark, d)), p.groupBy("mesh_id").agg(F.min("vid").alias("vid")), 4000, cut(spatial_blocks(p)))
 
 
 @query("SELECT e.mesh_id, e.pid, arg_min(p.vid, ((p.x-e.px)*(p.x-e.px)+(p.y-e.py)*(p.y-e.py)+(p.z-e.pz)*(p.z-e.pz)) * 100000 + p.vid) AS vid, min((p.x-e.px)*(p.x-e.px)+(p.y-e.py)*(p.y-e.py)+(p.z-e.pz)*(p.z-e.pz)) AS d2 FROM ep e JOIN points p USING (mesh_id) GROUP BY e.mesh_id, e.pid", fx.POINTS + "," + fx.EVENT_POINTS)
@@ -620,7 +622,8 @@ def repair_links(spark, d):
 def graph_far_points(spark, d):
     e = _undirected(spark, d)
     e = cut(gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False))
-    return gr.far_points(e, fx.points(spark, d).groupBy("mesh_id").agg(F.min("vid").alias("vid")))
+    p = fx.points(spark, d)
+    return gr.far_points(e, p.groupBy("mesh_id").agg(F.min("vid").alias("vid")), cut(spatial_blocks(p)))
 
 
 @query()

@@ -132,3 +132,10 @@ def test_two_points_of_any_ids(spark, line):
     assert sorted(r["vid"] for r in got.collect()) == sorted(vid[10:20])
     assert gr.geodesic_near_points(vertex, edges, foci, 3).count() == 7 + 7
     assert max(rounds) == 1
+
+
+def test_far_points_of_any_ids(line):
+    vid, vertex, edges, rounds = line
+    got = gr.far_points(edges, vertex.filter(f"vid = {vid[12]}").select("mesh_id", "vid"), b.spatial_blocks(vertex)).collect()
+    assert [({r["a"], r["b"]}, r["dist"]) for r in got] == [({vid[0], vid[-1]}, 39.0)]
+    assert max(rounds) == 1
