@@ -10,6 +10,7 @@ from . import graph as gr
 from . import spatial as sp
 from . import surface as su
 from . import tree as t
+from .blocks import spatial_blocks
 from .tables import cut
 
 
@@ -27,14 +28,15 @@ def nearest_face_vertex(points: DataFrame, vertex: DataFrame, face: DataFrame, m
 def point_to_skeleton(points: DataFrame, vertex: DataFrame, face: DataFrame, edges: DataFrame, skeleton_vertices: DataFrame, limit: float | None = None) -> DataFrame:
     """(mesh_id, source, target, pos, vid): the shortest way along the mesh from each point to a vertex of the tree, from there to the point. None without one in reach."""
     at = cut(nearest_face_vertex(points, vertex, face).select("mesh_id", "pid", F.col("vid").alias("source")))
+    blocks = cut(spatial_blocks(vertex))
     tree = cut(skeleton_vertices.select("mesh_id", "vid").distinct())
     # how far the tree is from all vertices at once; of their ways only edges that come nearer by their whole length are left
     back = edges.select("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    left = cut(gr.shortest_paths(back, tree.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit).select("mesh_id", "vid", "dist"))
+    left = cut(gr.shortest_paths(back, tree.select("mesh_id", F.lit(0).cast("long").alias("source"), "vid"), limit, blocks).select("mesh_id", "vid", "dist"))
     end = lambda c: left.select("mesh_id", F.col("vid").alias(c), F.col("dist").alias(f"__{c}"))
     nearer = edges.join(end("src"), ["mesh_id", "src"]).join(end("dst"), ["mesh_id", "dst"]).filter(F.col("__src") == F.col("w").cast("double") + F.col("__dst"))
     start = at.select("mesh_id", "source").distinct().withColumn("vid", F.col("source")).join(left, ["mesh_id", "vid"], "left_semi")
-    found = cut(gr.shortest_paths(nearer.select("mesh_id", "src", "dst", "w"), start.select("mesh_id", "source", "vid")))
+    found = cut(gr.shortest_paths(nearer.select("mesh_id", "src", "dst", "w"), start.select("mesh_id", "source", "vid"), blocks=blocks))
     ends = found.join(tree, ["mesh_id", "vid"], "left_semi")
     nearest = ends.groupBy("mesh_id", "source").agg(F.min(F.struct("dist", "vid")).alias("m")).select("mesh_id", "source", "m.vid")
     ways = gr.path_of(found, nearest)
@@ -77,17 +79,17 @@ def fill_radius(tree: DataFrame) -> DataFrame:
     return now.join(least, "skel_id").select("skel_id", "sid", F.coalesce("radius", "least").alias("radius"))
 
 
-def path_pairs(tree: DataFrame, paths: t.Lifts, edges: DataFrame, mesh_to_skel: DataFrame) -> DataFrame:
+def path_pairs(tree: DataFrame, paths: t.Lifts, edges: DataFrame, mesh_to_skel: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(mesh_id, tip, side, pos, vid): for each tip its way to the root along the tree (side 'tree', root left out) and along the mesh to the root's region ('mesh').
 
-    Tree vertices stand at the mesh vertex of their own id.
+    Tree vertices stand at the mesh vertex of their own id. blocks as in shortest_paths.
     """
     tips = t.end_points(tree)
     roots = tree.filter("parent is null").select(F.col("skel_id").alias("mesh_id"), "sid")
     up = t.path_to_root(paths, tips).join(tree.filter("parent is not null").select("skel_id", F.col("sid").alias("anc")), ["skel_id", "anc"], "left_semi")
     along = up.select(F.col("skel_id").alias("mesh_id"), F.col("sid").alias("tip"), F.lit("tree").alias("side"), "pos", F.col("anc").alias("vid"))
     region = mesh_to_skel.join(roots, ["mesh_id", "sid"]).select("mesh_id", F.lit(0).cast("long").alias("source"), "vid")
-    found = cut(gr.shortest_paths(edges, region))
+    found = cut(gr.shortest_paths(edges, region, blocks=blocks))
     ways = gr.path_of(found, tips.select(F.col("skel_id").alias("mesh_id"), F.lit(0).cast("long").alias("source"), F.col("sid").alias("vid")))
     return along.unionByName(ways.select("mesh_id", F.col("target").alias("tip"), F.lit("mesh").alias("side"), "pos", "vid"))
 
@@ -114,7 +116,7 @@ def path_distances_on_mesh(pairs: DataFrame, edges: DataFrame, radius: DataFrame
     return near.join(radius, ["mesh_id", "vid"], "left").select("mesh_id", "tip", "pos", (F.coalesce("dist", F.lit(float("inf"))) / F.greatest(F.coalesce("radius", F.lit(least)), F.lit(least))).alias("v"))
 
 
-def path_quality(pairs: DataFrame, vertex: DataFrame, radius: DataFrame, log_odds: list[float], p0: float, window: int = 400, step: int = 50, edges: DataFrame | None = None, least: float = 50.0) -> DataFrame:
-    """(mesh_id, tip, score): the least score of a window of each tip's path; distances are along the mesh where its edges are given, else through space."""
-    far = path_distances(pairs, vertex, radius, least) if edges is None else path_distances_on_mesh(pairs, edges, radius, least)
+def path_quality(pairs: DataFrame, vertex: DataFrame, radius: DataFrame, log_odds: list[float], p0: float, window: int = 400, step: int = 50, edges: DataFrame | None = None, least: float = 50.0, blocks: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, tip, score): the least score of a window of each tip's path; distances are along the mesh where its edges are given (in blocks as shortest_paths takes them), else through space."""
+    far = path_distances(pairs, vertex, radius, least) if edges is None else path_distances_on_mesh(pairs, edges, radius, least, blocks=blocks)
     return g.sliding_score(far, ["mesh_id", "tip"], log_odds, p0, window, step)

@@ -12,6 +12,7 @@ from ..operators import spatial as sp
 from ..operators import surface as su
 from ..operators import tree as t
 from ..operators import views as vi
+from ..operators.blocks import spatial_blocks
 from ..operators.tables import cut
 from . import fixtures as fx
 from .registry import query
@@ -129,13 +130,14 @@ def spatial_sampled_views(spark, d):
 @query()
 def skeleton_path_quality(spark, d):
     p, e = fx.points(spark, d), cut(fx.edges(spark, d))
+    blocks = cut(spatial_blocks(p))
     skel, mapping = ke.skeletonize(p, e, 1500.0, min_component=3)
     tree = cut(skel.select("skel_id", "sid", "parent", F.round("w").cast("long").alias("w")))
     both = cut(gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False))
-    pairs = cut(pa.path_pairs(tree, t.Lifts(tree), both, cut(mapping)))
+    pairs = cut(pa.path_pairs(tree, t.Lifts(tree), both, cut(mapping), blocks))
     radius = p.select("mesh_id", "vid", (100.0 * (1 + F.col("vid") % 7)).alias("radius"))
     odds = [2.0 - 0.5 * i for i in range(15)]
-    return pa.path_quality(pairs, p, radius, odds, 0.1, 40, 5, edges=both).withColumn("score", F.round("score", 6) + 0)
+    return pa.path_quality(pairs, p, radius, odds, 0.1, 40, 5, edges=both, blocks=blocks).withColumn("score", F.round("score", 6) + 0)
 
 
 def _skeletons(spark, d):

@@ -139,3 +139,13 @@ def test_far_points_of_any_ids(line):
     got = gr.far_points(edges, vertex.filter(f"vid = {vid[12]}").select("mesh_id", "vid"), b.spatial_blocks(vertex)).collect()
     assert [({r["a"], r["b"]}, r["dist"]) for r in got] == [({vid[0], vid[-1]}, 39.0)]
     assert max(rounds) == 1
+
+
+def test_path_quality_of_any_ids(spark, line):
+    vid, vertex, edges, rounds = line
+    pairs = spark.createDataFrame([(0, vid[0], side, i, vid[at]) for side, up in (("tree", 0), ("mesh", 3)) for i, at in enumerate(range(up, up + 9))], "mesh_id long, tip long, side string, pos int, vid long")
+    radius = vertex.selectExpr("mesh_id", "vid", "1.0D as radius")
+    got = pa.path_quality(pairs, vertex, radius, [1.0, -1.0, -2.0, -4.0], 0.5, 4, 2, edges=edges, least=1.0, blocks=b.spatial_blocks(vertex)).collect()
+    want = pa.path_quality(pairs, vertex, radius, [1.0, -1.0, -2.0, -4.0], 0.5, 4, 2, edges=edges, least=1.0).collect()
+    assert got == want and len(got) == 1
+    assert rounds[0] == 1 < rounds[1]
