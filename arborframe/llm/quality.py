@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ SLICE_BYTES = 7 << 20
 PART_BYTES = 16 << 20
 WIDTH = 2 * DIM + 1
 WORDS = 8_192  # so many words' vectors are worked on at once
+TOKENS = 1 << 17  # and so many tokens' neighbours
+SCAN_BYTES = 1 << 20
 
 
 def held_out(key: Column, folds: int) -> Column:
@@ -71,11 +74,13 @@ def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contexts(word: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Context vectors (keys x DIM) of a slice; word: places in keys of its tokens."""
     place, sign = index_vectors(keys)
-    near = np.flatnonzero(doc[1:] == doc[:-1])
     total = np.zeros(len(keys) * DIM, np.int32)
-    for own, other in ((word[near], word[near + 1]), (word[near + 1], word[near])):
-        for k in range(NONZERO):
-            np.add.at(total, own * DIM + place[other, k], sign[other, k])
+    for i in range(0, len(word) - 1, TOKENS):
+        near = i + np.flatnonzero(doc[i + 1 : i + TOKENS + 1] == doc[i : i + TOKENS][: len(doc) - 1 - i])
+        left, right = word[near].astype(np.int64), word[near + 1].astype(np.int64)
+        for own, other in ((left, right), (right, left)):
+            for k in range(NONZERO):
+                np.add.at(total, own * DIM + place[other, k], sign[other, k])
     return total.reshape(len(keys), DIM)
 
 
@@ -98,18 +103,34 @@ def projected(keys: np.ndarray, context: np.ndarray, by: np.ndarray) -> np.ndarr
     return value
 
 
+def scanned(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and rows of all tokens, and how many each row has; about SCAN_BYTES of whole texts at a time, since a scan takes many times its texts."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edge = np.unique([0, *np.searchsorted(size, np.arange(SCAN_BYTES, size[-1] if len(size) else 0, SCAN_BYTES)), len(texts)])
+    hashes, doc, many = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        found = runs(texts.slice(i, j - i))
+        hashes.append(found.hashes)
+        doc.append((found.doc + i).astype(np.int32))
+        many.append(np.diff(first_of_doc(found)))
+    return np.concatenate(hashes), np.concatenate(doc), np.concatenate(many)
+
+
 class Slice:
     """The distinct words of a slice and the words of each of its rows with their numbers."""
 
     def __init__(self, texts: pa.Array, parts: int):
-        found = runs(texts)
-        self.n = np.diff(first_of_doc(found))
-        self.keys, word = np.unique(found.hashes, return_inverse=True)
+        hashes, self.doc, self.n = scanned(texts)
+        self.keys, word = np.unique(hashes, return_inverse=True)
+        del hashes
         self.order, self.edge = by_part(self.keys, parts)
-        self.word, self.doc = word, found.doc
+        self.word = word.astype(np.int32)
+        del word
         turned = np.empty(len(self.order), np.int64)
         turned[self.order] = np.arange(len(self.order))
-        pair, self.times = np.unique(found.doc * max(len(self.keys), 1) + turned[word], return_counts=True)
+        pair = turned[self.word]
+        pair += self.doc * np.int64(max(len(self.keys), 1))
+        pair, self.times = np.unique(pair, return_counts=True)
         self.who, self.what = pair // max(len(self.keys), 1), pair % max(len(self.keys), 1)
 
     def rows(self, *more: np.ndarray) -> bytes:

@@ -99,3 +99,23 @@ def test_words_are_projected_in_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(value, quality.word_vectors(context, keys) @ by, atol=1e-2) and peak < context.nbytes
+
+
+def test_a_slice_takes_few_times_its_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from arborframe.llm.textscan import first_of_doc, runs
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i:x}" for i in range(20_000)])
+    texts = pa.array([*(" ".join(words[rng.integers(0, len(words), n)]) for n in rng.integers(0, 4_000, 300)), None, "", "x" * 3_000_000, "a-1"])
+    tracemalloc.start()
+    made = quality.Slice(texts, 7)
+    quality.contexts(made.word, made.doc, made.keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = runs(texts)
+    assert (made.keys[made.word] == found.hashes).all() and (made.doc == found.doc).all() and (made.n == np.diff(first_of_doc(found))).all()
+    assert peak < 20 * texts.nbytes
