@@ -302,5 +302,6 @@ def multicut(face: DataFrame, edges: DataFrame, ends: DataFrame, window: float,
 
 def multicut_of_points(vertex: DataFrame, face: DataFrame, edges: DataFrame, points: DataFrame, window: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """multicut between the vertices nearest to points (mesh_id, pid, px, py, pz, is_source), with blocks in space."""
-    at = points_to_vertices(points.drop("is_source"), vertex).join(points.select("mesh_id", "pid", "is_source"), ["mesh_id", "pid"])
-    return multicut(face, edges, at.select("mesh_id", "vid", "is_source"), window, spatial_blocks(vertex))
+    of = points.select("mesh_id", F.struct("pid", "is_source").alias("pid"), "px", "py", "pz")  # so that points don't meet themselves again
+    at = points_to_vertices(of, vertex).select("mesh_id", "vid", "pid.is_source").distinct()
+    return multicut(face, edges, cut(at), window, cut(spatial_blocks(vertex)))

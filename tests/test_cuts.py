@@ -122,3 +122,14 @@ def test_cut_of_a_mesh_from_points(spark):
     # a window that does not reach the whole: vertices beyond it are on no side, their faces stay
     near = {r["vid"] for r in cu.sides(e, spark.createDataFrame([(2, vid[0, 0], True), (2, vid[2, 0], False)], "mesh_id long, vid long, is_source boolean"), 2.0).collect()}
     assert vid[0, 0] in near and vid[13, 0] not in near and (len(near) < len(got))
+
+
+def test_many_points_of_a_vertex(spark, monkeypatch):
+    given, plans = [], []
+    monkeypatch.setattr(cu, "multicut", lambda face, edges, ends, *rest: given.append(ends))
+    monkeypatch.setattr(cu, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    v = spark.createDataFrame([(0, i, 100 * i, 0, 0) for i in range(4)], "mesh_id long, vid long, x long, y long, z long")
+    points = spark.range(600).selectExpr("0L as mesh_id", "id as pid", "(id % 4) * 100 + 3 as px", "0L as py", "0L as pz", "id % 4 < 2 as is_source")
+    cu.multicut_of_points(v, None, None, points, 1e9)
+    assert sorted(map(tuple, given[0].collect())) == [(0, 0, True), (0, 1, True), (0, 2, False), (0, 3, False)]
+    assert "BroadcastHashJoin" not in plans[0]
