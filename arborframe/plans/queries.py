@@ -601,7 +601,7 @@ def ray_thickness(spark, d):
 def multicut(spark, d):
     p = fx.points(spark, d)
     ends = p.groupBy("mesh_id").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).select("mesh_id", F.inline(F.array(F.struct(F.col("a").alias("vid"), F.lit(True).alias("is_source")), F.struct(F.col("b").alias("vid"), F.lit(False).alias("is_source")))))
-    return cu.multicut(cut(fx.faces(spark, d)), cut(_undirected(spark, d)), ends, 1e9)[0]
+    return cu.multicut(cut(fx.faces(spark, d)), cut(_undirected(spark, d)), ends, 1e9, cut(spatial_blocks(p)))[0]
 
 
 @query()

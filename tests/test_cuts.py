@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arborframe.operators import blocks as bl
 from arborframe.operators import cuts as cu
 from arborframe.operators import graph as gr
 
@@ -133,3 +134,17 @@ def test_many_points_of_a_vertex(spark, monkeypatch):
     cu.multicut_of_points(v, None, None, points, 1e9)
     assert sorted(map(tuple, given[0].collect())) == [(0, 0, True), (0, 1, True), (0, 2, False), (0, 3, False)]
     assert "BroadcastHashJoin" not in plans[0]
+
+
+def test_sides_of_any_ids(spark, monkeypatch):
+    rounds = []
+    plain = bl.shortest_paths
+    for m in (cu, gr):
+        monkeypatch.setattr(m, "shortest_paths", lambda *args, **options: plain(*args, **options, taken=rounds))
+    vid = [int(k) * bl.BLOCK for k in np.random.default_rng(5).permutation(12)]
+    vertex = spark.createDataFrame([(0, v, 100 * i, 0, 0) for i, v in enumerate(vid)], "mesh_id long, vid long, x long, y long, z long")
+    edges = spark.createDataFrame([(0, u, v, 1.0 if i == 7 else 5.0) for i, (u, v) in enumerate(zip(vid[:-1], vid[1:], strict=True))], "mesh_id long, src long, dst long, w double")
+    ends = spark.createDataFrame([(0, vid[0], True), (0, vid[-1], False)], "mesh_id long, vid long, is_source boolean")
+    got = cu.sides(edges, ends, 1e9, bl.spatial_blocks(vertex)).collect()
+    assert {r["vid"] for r in got if r["is_source"]} == set(vid[:8]) and len(got) == 12
+    assert rounds and max(rounds) == 1
