@@ -1,4 +1,6 @@
 import heapq
+import math
+import random
 
 import numpy as np
 import pytest
@@ -149,3 +151,38 @@ def test_path_quality_of_any_ids(spark, line):
     want = pa.path_quality(pairs, vertex, radius, [1.0, -1.0, -2.0, -4.0], 0.5, 4, 2, edges=edges, least=1.0).collect()
     assert got == want and len(got) == 1
     assert rounds[0] == 1 < rounds[1]
+
+
+def test_close_components_in_tiles(spark, monkeypatch):
+    """Pairs by brute force, with tiles smaller than some components and components of one place; a task holds two tiles, not a cell of the whole mesh."""
+    from arborframe.operators import spatial as sp
+
+    monkeypatch.setattr(sp, "TILE", 8)
+    monkeypatch.setattr(sp, "TILE_CELLS", 40)
+    r = random.Random(3)
+    rows = []
+    for mesh in (0, 7):
+        for label, n in enumerate((3, 4, 5, 6, 30, 4, 5, 21)):
+            at = [r.randint(-300, 300) for _ in range(3)] if label != 5 else [5000, 0, 0]
+            rows += [(mesh, len(rows) + k, *(a + (r.randint(-40, 40) if label else 0) for a in at), 10 * label) for k in range(n)]
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] and p[5] < q[5] and p[5] > 0:
+                d2 = sum((a - b) ** 2 for a, b in zip(p[2:5], q[2:5], strict=True))
+                if d2 <= 500**2:
+                    want.setdefault((p[0], p[5], q[5]), []).append((max(1, math.ceil(math.sqrt(d2) / 25)), p[1], q[1], d2))
+    want = {(m, a, b, la, lb, d2) for (m, la, lb), found in want.items() for ring, a, b, d2 in found if ring == min(found)[0]}
+    v = spark.createDataFrame(rows, "mesh_id long, vid long, x long, y long, z long, label long").repartition(3)
+    got = sp.close_components(v, 3, 500, 25)
+    assert got.schema["d2"].dataType.simpleString() == "bigint"
+    got = [tuple(g) for g in got.select("mesh_id", "a", "b", "la", "lb", "d2").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    real = sp._closest
+
+    def counted(*a):
+        run = real(*a)
+        return lambda rows: (_ for _ in ()).throw(AssertionError) if len(rows) > 2 * sp.TILE else run(rows)
+
+    monkeypatch.setattr(sp, "_closest", counted)
+    assert sp.close_components(v, 3, 500, 25).count() == len(want)
