@@ -9,8 +9,8 @@ along it and a huge one in a few large cells, and no triangle is in many rows.
 that are left, a point keeps the ones that are no farther than a point of the surface that it
 has seen already. `first_hits` walks along each ray, a stretch twice as long
 each round, through the cells of all levels, until a hit lies in the stretch that has been
-walked or the ray has left the mesh. Both are equi-joins on cells; only rows of
-a cell meet, and no task holds a mesh.
+walked or the ray has left the mesh. A ray carries its numbers to its cells, so that a round is one
+shuffle, and meets a cell's triangles there in numpy. Only rows of a cell meet, and no task holds a mesh.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 PIECES, LEVELS = 128, 20
-STRIDE, SALTS, FIRST_CELLS = 2, 16, 8
+STRIDE, SALTS, FIRST_CELLS = 2, 16, 2
+RAY_STEP, MET = 3.0, 1 << 18  # rays walk cells so many times as large; pairs of ray and triangle held at once
 _CORNERS = [f"{c}{k}" for c in "abc" for k in "xyz"]
+_PLACES = [f"t{c}" for c in _CORNERS]  # beside a cell, whose columns are named like corners
 _CELL = ["mesh_id", "level", "cx", "cy", "cz"]
 
 
@@ -235,17 +237,71 @@ def along(origin: np.ndarray, ray: np.ndarray, begin: np.ndarray, end: np.ndarra
     return row[new], cell[new]
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream sorted by cell, triangles (kind 0) before rays (kind 1): the nearest hit of each ray in each of its cells. Only one cell's triangles are carried from batch to batch."""
+    held, held_key, held_corner = None, None, None
+    for batch in batches:
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        cell = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _CELL])
+        tri = np.flatnonzero(kind == 0)
+        whole = lambda c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        corner, x = np.column_stack([whole(c)[tri] for c in "abc"]), _numbers(batch, _PLACES)[tri]
+        tri_cell = cell[tri]
+        if held is not None:
+            tri_cell, corner, x = np.concatenate([np.repeat(held_key[None], len(held), 0), tri_cell]), np.concatenate([held_corner, corner]), np.concatenate([held, x])
+        if not len(tri_cell):
+            continue
+        new = np.append(True, (tri_cell[1:] != tri_cell[:-1]).any(1))
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(tri_cell)))
+        # the triangles that were last before a ray are its cell's, if its cell has any
+        before = np.cumsum(kind == 0) - 1 + len(tri_cell) - len(tri)
+        group = np.cumsum(new)[np.maximum(before, 0)] - 1
+        ray = np.flatnonzero((kind == 1) & (before >= 0) & (tri_cell[first[group]] == cell).all(1))
+        if len(ray):
+            at, n = first[group[ray]], many[group[ray]]
+            origin, way = _numbers(batch, ["px", "py", "pz"]), _numbers(batch, ["x", "y", "z"])
+            vid = whole("vid")
+            upto, begin, rows, dist = np.cumsum(n), 0, [], []
+            while begin < len(ray):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + MET, "right")))
+                for low in range(0, int(n[begin]) if end == begin + 1 else 1, MET):  # a cell with very many triangles is met in parts
+                    k = np.minimum(n[begin:end] - low, MET)
+                    r = np.repeat(ray[begin:end], k)
+                    i = np.repeat(at[begin:end] + low - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+                    good = (corner[i] != vid[r][:, None]).all(1)
+                    r, i = r[good], i[good]
+                    t = hit(origin[r], way[r], x[i, 0:3], x[i, 3:6], x[i, 6:9])
+                    ok = ~np.isnan(t)
+                    rows.append(r[ok])
+                    dist.append(t[ok])
+                begin = end
+            row, t = np.concatenate(rows), np.concatenate(dist)
+            if len(row):
+                order = np.lexsort((t, row))
+                row, t = row[order], t[order]
+                one = np.append(True, row[1:] != row[:-1])
+                take = pa.array(row[one])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("mesh_id", "vid", "i")], pa.array(t[one])], names=["mesh_id", "vid", "i", "dist"])
+        last = first[-1]
+        held, held_key, held_corner = x[last:], tri_cell[last], corner[last:]
+
+
 def first_hits(vertex: DataFrame, face: DataFrame, rays: DataFrame, taken: list | None = None) -> DataFrame:
     """rays (mesh_id, vid, i, x, y, z, angle) from their vertex -> (mesh_id, vid, i, angle, dist), NULL for a miss.
 
     dist is in lengths of the ray. Triangles at the vertex itself don't count. taken, if given, gets the number of rounds.
     """
     tri = cut(triangles(vertex, face))
-    grid = grids(tri)
-    cells = cut(covered(tri, grid))
+    grid = grids(tri).withColumn("step", F.col("step") * RAY_STEP)
+    cells = cut(covered(tri.filter("a <> b and a <> c"), grid))  # one whose corners are the same vertex isn't hit
+    corners = tri.select("mesh_id", "fid", *[F.col(c).cast("long").alias(c) for c in "abc"], *[F.col(c).alias(f"t{c}") for c in _CORNERS])
+    filled = cut(cells.join(corners.hint("merge"), ["mesh_id", "fid"]).select(F.lit(0).alias("kind"), *_CELL, *"abc", *_PLACES))
     present = sorted(r[0] for r in cells.select("level").distinct().collect())
     start = vertex.select("mesh_id", "vid", *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"])
     key = ["mesh_id", "vid", "i"]
+    told = [*key, "x", "y", "z", "px", "py", "pz"]
+    kinds = {c: "double" for c in told} | {c: "long" for c in (*key, *_CELL)} | {"level": "int"}
     length = F.sqrt(sum((F.col(k) * F.col(k) for k in "xyz"), F.lit(0.0)))
     todo = cut(rays.select("mesh_id", "vid", F.col("i").cast("long").alias("i"), *[F.col(k).cast("double").alias(k) for k in "xyz"], "angle").join(start, ["mesh_id", "vid"]).join(grid, "mesh_id", "left").withColumn("length", length))
     missed = todo.filter(F.col("step").isNull() | ~(F.col("length") > 0)).select(*key, "angle", F.lit(None).cast("double").alias("dist"))
@@ -261,24 +317,17 @@ def first_hits(vertex: DataFrame, face: DataFrame, rays: DataFrame, taken: list
                     size = step * 2.0**level
                     row, cell = along(origin / size[:, None], ray / size[:, None], begin * step / long, end * step / long)
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in key], pa.array(np.full(len(row), level), pa.int32()), *[pa.array(cell[:, k]) for k in range(3)]], names=[*key, "level", "cx", "cy", "cz"])
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in told], pa.array(np.full(len(row), level), pa.int32()), *[pa.array(cell[:, k]) for k in range(3)]], names=[*told, *_CELL[1:]])
 
         return run
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _numbers(b, _CORNERS).reshape(-1, 3, 3)
-            t = hit(_numbers(b, ["px", "py", "pz"]), _numbers(b, ["x", "y", "z"]), x[:, 0], x[:, 1], x[:, 2])
-            at = np.flatnonzero(~np.isnan(t))
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in key], pa.array(t[at])], names=[*key, "dist"])
-
     done, begin, end, turns = missed, 0.0, float(FIRST_CELLS), 0
     while True:
         turns += 1
-        passed = todo.select(*key, "x", "y", "z", "px", "py", "pz", "ox", "oy", "oz", "step", "length").mapInArrow(walk(begin, end), "mesh_id long, vid long, i long, level int, cx long, cy long, cz long")
-        pairs = passed.join(cells, _CELL).select(*key, "fid").distinct()
-        there = pairs.join(tri, ["mesh_id", "fid"]).filter("a <> vid and b <> vid and c <> vid").join(todo.select(*key, "x", "y", "z", "px", "py", "pz"), key)
-        least = there.select(*key, "x", "y", "z", "px", "py", "pz", *_CORNERS).mapInArrow(meet, "mesh_id long, vid long, i long, dist double").groupBy(*key).agg(F.min("dist").alias("dist"))
+        passed = todo.select(*told, "ox", "oy", "oz", "step", "length").mapInArrow(walk(begin, end), ", ".join(f"{c} {kinds[c]}" for c in [*told, *_CELL[1:]]))
+        both = filled.unionByName(passed.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        ordered = both.repartition(*_CELL).sortWithinPartitions(*_CELL, "kind").select("kind", *_CELL, *told[1:], *"abc", *_PLACES)
+        least = ordered.mapInArrow(_meet, "mesh_id long, vid long, i long, dist double").groupBy(*key).agg(F.min("dist").alias("dist"))
         after = cut(todo.join(least, key, "left"))
         final = F.col("dist") * F.col("length") <= end * F.col("step")  # a farther one may have others before it, in cells that haven't been walked
         out = F.lit(end) * F.col("step") > 2 * F.col("side")

@@ -127,3 +127,33 @@ def test_rays_by_all_triangles(spark, long, monkeypatch):
     want |= {(0, 0, 99): None, (7, 0, 0): None}
     assert {(g["mesh_id"], g["vid"], g["i"]): g["dist"] for g in got} == want and len(got) == len(want) and taken[0] > 1
     assert sum(d is not None for d in want.values()) > 50
+
+
+def test_rays_take_their_numbers_along():
+    """A round is one shuffle of rays to cells; cells of many triangles are met in parts, and triangles carried from batch to batch."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    cells, names = [], ["kind", "mesh_id", "level", "cx", "cy", "cz", "vid", "i", *"xyz", "px", "py", "pz", *"abc", *s._PLACES]
+    for c in range(6):
+        tri = [(0, 1, 0, c, 0, 0, *[None] * 8, *(int(v) for v in r.integers(2**60, 2**60 + 5, 3)), *map(float, r.uniform(-1, 1, 9))) for _ in range((0, 1, 40, 3, 0, 7)[c])]
+        rays = [(1, 1, 0, c, 0, 0, 2**60 + int(r.integers(5)), k, *map(float, r.uniform(-1, 1, 6)), *[None] * 12) for k in range((3, 0, 50, 4, 5, 9)[c])]
+        cells += tri + rays
+    want = {}
+    for q in cells:
+        if q[0] == 1:
+            t = [u for u in cells if u[0] == 0 and u[3] == q[3] and q[6] not in u[14:17]]
+            found = [s.hit(*(np.array([v], float) for v in (q[11:14], q[8:11], u[17:20], u[20:23], u[23:26])))[0] for u in t]
+            if np.isfinite(found).any():
+                want[q[3], q[6], q[7]] = float(np.nanmin(found))
+    kinds = ["int", "long", "int", "long", "long", "long", "long", "long", *["double"] * 6, *["long"] * 3, *["double"] * 9]
+    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k]) for n, k in zip(names, kinds, strict=True)])
+    old, s.MET = s.MET, 17
+    try:
+        for size in (1, 7, 1000):
+            batches = [pa.RecordBatch.from_pylist([dict(zip(names, q, strict=True)) for q in cells[i : i + size]], schema) for i in range(0, len(cells), size)]
+            got = [g for b in s._meet(iter(batches)) for g in b.to_pylist()]
+            assert sorted((g["vid"], g["i"], g["dist"]) for g in got) == sorted((v, i, d) for (_, v, i), d in want.items())
+    finally:
+        s.MET = old
+    assert len(want) > 10
