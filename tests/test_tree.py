@@ -163,3 +163,44 @@ def test_one_tree_is_not_one_task(spark, grown):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(skel_id" not in "".join(x for x in plan.splitlines() if "sid#" not in x.split("hashpartitioning")[-1]) and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_cover_paths_go_over_runs(spark, monkeypatch, some):
+    """By brute force, with all tips and with given starts, on long runs; what is added up has a row a run and not a row a vertex."""
+    r = random.Random(5 + some)
+    n, rows, up = 240, [], {}
+    for s in (0, 3):
+        for i in range(n):
+            p = None if i == 0 else (-50 if i == 36 else (i - 1 if i % 12 else r.randrange(i)))  # 36 hangs on a vertex that isn't there
+            rows.append((s, i, p, r.randint(0, 3)))
+            up[s, i] = (p, rows[-1][3])
+    tree = spark.createDataFrame(rows, "skel_id long, sid long, parent long, w long").repartition(3)
+    kids = {(s, p) for (s, _), (p, _) in up.items()}
+    start = [(s, i) for s, i in up if (r.random() < 0.1 if some else (s, i) not in kids)]
+
+    def to_top(s, v):
+        out, d = [], 0
+        while v is not None and (s, v) in up:
+            out.append(v)
+            p, w = up[s, v]
+            d, v = d + (w if p is not None else 0), p
+        return out, d
+
+    best = {}
+    for s, tip in start:
+        seen, d = to_top(s, tip)
+        for v in seen:
+            best[s, v] = max(best.get((s, v), (-1, -1)), (d, tip))
+    length, place = {}, {}
+    for (s, v), (_, tip) in best.items():
+        length[s, tip] = length.get((s, tip), 0) + up[s, v][1]
+        place[s, v] = to_top(s, tip)[0].index(v)
+    order = {s: sorted(((k, tip) for (q, tip), k in length.items() if q == s), reverse=True) for s in (0, 3)}
+    want = {(s, v, tip, order[s].index((length[s, tip], tip)), place[s, v]) for (s, v), (_, tip) in best.items()}
+    sizes, real = [], t.below
+    monkeypatch.setattr(t, "below", lambda paths, *a: sizes.append(paths.tree.count()) or real(paths, *a))
+    given = spark.createDataFrame(start + start[:3], "skel_id long, sid long") if some else None
+    got = [tuple(g) for g in t.cover_paths(tree, t.Lifts(tree), given).select("skel_id", "sid", "tip", "path", "pos").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sizes and max(sizes) < (n if some else n / 2)
