@@ -130,6 +130,13 @@ def _within(tree: DataFrame, out: DataFrame) -> DataFrame:
     return reached.join(out.select("skel_id", F.col("sid").alias("to")).distinct(), ["skel_id", "to"], "left_anti").select("skel_id", "sid")
 
 
+def _all_in(tree: DataFrame, kept: DataFrame) -> DataFrame:
+    """(skel_id, sid): those of `kept` (skel_id, sid) whose whole way to the root is in kept; only these are climbed."""
+    some = cut(tree.join(kept.select("skel_id", "sid").hint("merge"), ["skel_id", "sid"], "left_semi"))
+    roots = some.filter("parent is null").select("skel_id", F.col("sid").alias("to"))
+    return t.climb(some, roots.withColumnRenamed("to", "sid")).join(roots, ["skel_id", "to"], "left_semi").select("skel_id", "sid")
+
+
 def soma_from_branches(
     skel: DataFrame, soma: DataFrame, search_radius: float = 20_000.0, fallback_radius: float = 15_000.0,
     cutoff: float = 0.2, min_cutoff: float = 0.1, dynamic_range: float = 1.0, dynamic: bool = False,
@@ -142,22 +149,30 @@ def soma_from_branches(
     way, and for certain within fallback_radius. The tree is cut below the first soma vertex of each branch,
     and what stays with the root is the soma; its radius is the median of the region's in it.
     Trees whose root is not in the region have no soma. Radii may be missing.
+    Ways, votes and the new root concern only the segments that begin within the region, and vertices all of
+    whose way is near: a part of the tree with all above it, which is cut out before anything goes in rounds.
     """
     skel = cut(skel)
     tree = skel.select("skel_id", "sid", "parent", "w")
     paths = t.Lifts(tree)
     placed = cut(_away(skel.select("skel_id", "sid", "radius", *"xyz"), soma).select("skel_id", "sid", "radius", "away"))
     close = placed.filter(F.col("away") < search_radius)
-    far = tree.join(close, ["skel_id", "sid"], "left_anti").select("skel_id", "sid")
-    good_heads = _within(tree, far).withColumnRenamed("sid", "head")
-    region = cut(t.segment_heads(tree, paths).join(good_heads, ["skel_id", "head"], "left_semi").join(close, ["skel_id", "sid"]).select("skel_id", "sid", "radius", "away"))
+    good_heads = _all_in(tree, close).withColumnRenamed("sid", "head")
+    begun = cut(t.segment_heads(tree, paths).join(good_heads, ["skel_id", "head"], "left_semi").select("skel_id", "sid"))
+    region = cut(begun.join(close, ["skel_id", "sid"]).select("skel_id", "sid", "radius", "away"))
 
     inside = region.select("skel_id", F.col("sid").alias("parent"))
     tips = cut(tree.join(inside, ["skel_id", "parent"], "left_semi").select("skel_id", "sid").join(region, ["skel_id", "sid"], "left_anti"))
     typical = region.groupBy("skel_id").agg(F.percentile("radius", F.lit(0.98)).alias("typical"))
     roots = cut(region.join(typical, "skel_id").groupBy("skel_id").agg(F.min(F.struct(F.coalesce(F.abs(F.col("radius") - F.col("typical")), F.lit(float("inf"))).alias("d"), "sid")).alias("m")).select("skel_id", "m.sid"))
-    turned = cut(t.reroot(tree, paths, roots).join(roots.select("skel_id"), "skel_id", "left_semi"))
-    lifts = t.Lifts(turned)
+    rooted = roots.select("skel_id")
+    core = cut(tree.join(begun.unionAll(tips).hint("merge"), ["skel_id", "sid"], "left_semi"))  # with all that is above
+    turned_core = cut(t.reroot(core, t.Lifts(core), roots).join(rooted, "skel_id", "left_semi"))
+    outer = tree.join(core.select("skel_id", "sid").hint("merge"), ["skel_id", "sid"], "left_anti").join(rooted, "skel_id", "left_semi")
+    turned = cut(turned_core.unionByName(outer))
+    near_ways = cut(_all_in(turned, close))
+    part = cut(turned_core.unionByName(outer.join(near_ways.hint("merge"), ["skel_id", "sid"], "left_semi")))
+    lifts = t.Lifts(part)
 
     ways = cut(t.path_to_root(lifts, tips).select("skel_id", F.col("sid").alias("tip"), "pos", F.col("anc").alias("sid")))
     dist = t.to_root(lifts).select("skel_id", "sid", "dist")
@@ -170,8 +185,7 @@ def soma_from_branches(
 
     begins = ways.filter("pos = 1").select("skel_id", "sid")
     says = ways.join(first.select("skel_id", "tip", "pos"), ["skel_id", "tip", "pos"]).select("skel_id", "sid")
-    outside = turned.join(close, ["skel_id", "sid"], "left_anti").select("skel_id", "sid")
-    ends = t.end_points(turned).join(_within(turned, outside), ["skel_id", "sid"], "left_semi")
+    ends = near_ways.join(turned.select("skel_id", F.col("parent").alias("sid")).hint("merge"), ["skel_id", "sid"], "left_anti")
     cast = cut(votes(begins, 1, 0, False).unionAll(votes(says, 0, 1, False)).unionAll(votes(ends, 1, 1, True)).groupBy("skel_id", "sid").agg(*[F.sum(c).alias(c) for c in ("n", "yes", "sure")]))
     total: Column = F.col("sure").cast("boolean") & (F.col("away") < fallback_radius) | (2 * F.col("yes") > F.col("n"))
     is_soma = cut(t.below(lifts, cast, F.sum).join(placed, ["skel_id", "sid"]).filter(total).select("skel_id", "sid"))

@@ -136,3 +136,18 @@ def test_votes_by_hand(spark, monkeypatch):
     assert soma(tips | {20: 13, 50: 13}) == {0, 1, 2, 3}
     assert soma(tips | {20: 13}) == {0, 1, 2, 3}  # one of two is no majority of the stem
     assert soma({20: 8, 50: 11, 83: 14}) == {0, 1, 2, 3, 4, 5, 11, 12, 10} - {11, 12} | {12, 11}  # 10 .. 12 have one branch, which says yes
+
+
+def test_only_a_part_goes_in_rounds(spark, monkeypatch):
+    """Branches that begin beyond the region are no part of ways and votes, and don't change the soma."""
+    rows = [(0, 0, None, 0.0, 0.0)] + [(0, i, i - 1, 1000.0, 1000.0 * i) for i in range(1, 6)]
+    rows += [(0, 10 + i, 5 if i == 0 else 9 + i, 1000.0, 6000.0 + 1000 * i) for i in range(20)]
+    rows += [(0, 40 + i, 5 if i == 0 else 39 + i, 1000.0, 6000.0 + 1000 * i) for i in range(20)]
+    rows += [(0, 1000 * b + i, 29 if i == 0 else 1000 * b + i - 1, 1000.0, 26_000.0 + 1000 * i) for b in (1, 2) for i in range(60)]
+    skel = spark.createDataFrame([(a, b, c, d, x, float(b // 10), 0.0, 9000.0 if b < 6 else 500.0) for a, b, c, d, x in rows], SKEL)
+    point = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "skel_id long, px double, py double, pz double")
+    monkeypatch.setattr(so, "branch_onsets", lambda *_: spark.createDataFrame([(0, t, 11, True) for t in (20, 50)], "skel_id long, tip long, pos int, fitted boolean"))
+    sizes, real = [], so.t.path_to_root
+    monkeypatch.setattr(so.t, "path_to_root", lambda paths, start: sizes.append(paths.tree.count()) or real(paths, start))
+    assert {r["sid"] for r in so.soma_from_branches(skel, point, search_radius=15_500.0)[0].collect()} == {0, 1, 2, 3, 4, 5}
+    assert sizes == [46]
