@@ -77,17 +77,30 @@ def shared_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", *ends()).join(b.select("mesh_id", *ends()).distinct(), ["mesh_id", "__lo", "__hi"], "left_semi").select(*a.columns)
 
 
+def component_starts(vertex: DataFrame, edges: DataFrame) -> DataFrame:
+    """(mesh_id, vid): the least vertex of each component, lone vertices too."""
+    return connected_components(vertex, edges).filter("vid = label").select("mesh_id", "vid")
+
+
 def far_points(edges: DataFrame, start: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """(mesh_id, a, b, dist): ends of a long way in each component, by going to the farthest vertex until it gets no farther. blocks as in shortest_paths."""
-    best, at = None, start.select("mesh_id", F.col("vid").alias("source"), "vid")
+    """(mesh_id, a, b, dist): ends of a long way, one for each start (mesh_id, vid), by going to the farthest vertex until it gets no farther.
+
+    A mesh may have any number of starts, each of which goes and stops by itself: with component_starts every
+    component has its row. blocks as in shortest_paths.
+    """
+    best, turn = None, 0
+    at = start.select("mesh_id", F.col("vid").alias("source"), "vid").distinct()
     while True:
-        found = shortest_paths(edges, at, blocks=blocks)
-        far = cut(found.groupBy("mesh_id", "source").agg(F.max_by(F.struct("vid", "dist"), F.struct("dist", -F.col("vid"))).alias("m")).select("mesh_id", F.col("source").alias("a"), F.col("m.vid").alias("b"), F.col("m.dist").alias("dist")))
-        if best is not None:
-            more = far.select("mesh_id", F.col("dist").alias("d")).join(best.select("mesh_id", F.col("dist").alias("before")), "mesh_id").filter("d > before")
-            if more.isEmpty():
-                return best
-        best, at = far, far.select("mesh_id", F.col("b").alias("source"), F.col("b").alias("vid"))
+        found = shortest_paths(edges, at, blocks=blocks).groupBy("mesh_id", "source")
+        far = found.agg(F.max(F.when(F.col("pred").isNull(), F.col("vid"))).alias("a"), F.max_by("vid", F.struct("dist", -F.col("vid"))).alias("b"), F.max("dist").alias("dist")).withColumn("turn", F.lit(turn))
+        if best is not None:  # of equal ways the earlier
+            both = best.unionByName(far).groupBy("mesh_id", "source")
+            far = both.agg(F.max_by(F.struct("a", "b", "dist", "turn"), F.struct("dist", -F.col("turn"))).alias("m")).select("mesh_id", "source", "m.*")
+        best = cut(far)
+        more = best.filter((F.col("turn") == turn) & (F.col("dist") > 0))
+        if more.isEmpty():
+            return best.select("mesh_id", "a", "b", "dist")
+        at, turn = more.select("mesh_id", "source", F.col("b").alias("vid")), turn + 1
 
 
 def geodesic_within(edges: DataFrame, seeds: DataFrame, limit: float, blocks: DataFrame | None = None) -> DataFrame:

@@ -623,7 +623,7 @@ def graph_far_points(spark, d):
     e = _undirected(spark, d)
     e = cut(gr.weighted_graph(e.select("mesh_id", "src", "dst", F.col("w").alias("__w")), F.col("__w"), directed=False))
     p = fx.points(spark, d)
-    return gr.far_points(e, p.groupBy("mesh_id").agg(F.min("vid").alias("vid")), cut(spatial_blocks(p)))
+    return gr.far_points(e, cut(gr.component_starts(p, e)), cut(spatial_blocks(p)))
 
 
 @query()

@@ -143,6 +143,61 @@ def test_far_points_of_any_ids(line):
     assert max(rounds) == 1
 
 
+def bounce(n, edges, at):
+    """From the farthest vertex to the farthest, the least id of equally far ones, until it gets no farther."""
+    best = None
+    while True:
+        far = min(ways(n, edges, [at]), key=lambda r: (-r[1], r[0]))
+        if best is not None and far[1] <= best[2]:
+            return best
+        best, at = (at, far[0], far[1]), far[0]
+
+
+def test_far_points_go_by_themselves(spark, monkeypatch):
+    """Starts of one mesh and of others: some get farther when others no longer do, one is alone, one can't go back."""
+    calls = []
+    plain = b.shortest_paths
+    monkeypatch.setattr(gr, "shortest_paths", lambda *args, **options: calls.append(0) or (plain(*args, **options) if len(calls) < 9 else pytest.fail("goes on and on")))
+    wheel = [(i, (i + 1) % 30, 1.0 + i % 4) for i in range(30)] + [(5, 31, 3.5), (31, 32, 3.5), (17, 33, 4.5)]
+    line = [(40, 41, 5.0), (41, 42, 1.0), (42, 43, 1.0)]
+    both = [(0, *e) for u, v, w in wheel + line for e in ((u, v, w), (v, u, w))] + [(0, 50, 51, 9.0)]
+    edges = both + [(3, u + 7, v + 7, w) for m, u, v, w in both]
+    starts = [(0, 2), (0, 8), (0, 41), (0, 50), (0, 60), (3, 19), (3, 48), (3, 57)]
+    got = gr.far_points(spark.createDataFrame(edges, "mesh_id long, src long, dst long, w double"), spark.createDataFrame(starts, "mesh_id long, vid long"))
+    want = [(m, *bounce(100, [e[1:] for e in edges if e[0] == m], v)) for m, v in starts]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert {w[1:] for w in want} >= {(50, 51, 9.0), (60, 60, 0.0)} and len(calls) > 2
+
+
+def test_a_far_point_is_kept(spark):
+    """Where another mesh goes on, a way that leads back no farther doesn't replace the longer one."""
+    rows = [(0, 0, 1, 5.0)] + [(1, u, v, 1.0) for i in range(9) for u, v in ((i, i + 1), (i + 1, i))]
+    got = gr.far_points(spark.createDataFrame(rows, "mesh_id long, src long, dst long, w double"), spark.createDataFrame([(0, 0), (1, 4)], "mesh_id long, vid long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, 1, 5.0), (1, 9, 0, 9.0)]
+
+
+def test_far_points_of_all_components(spark, sf):
+    """The query: a row for each component of each mesh, from its least vertex."""
+    from arborframe.plans import QUERIES
+    from arborframe.plans import fixtures as fx
+
+    place = {(r["mesh_id"], r["vid"]) for r in fx.points(spark, sf).select("mesh_id", "vid").collect()}
+    weight = {}
+    for r in fx.edges(spark, sf).filter("src <> dst").collect():
+        for u, v in ((r["src"], r["dst"]), (r["dst"], r["src"])):
+            weight[r["mesh_id"], u, v] = weight.get((r["mesh_id"], u, v), 0.0) + r["w"]
+    mesh = {}
+    for (m, u, v), w in weight.items():
+        mesh.setdefault(m, []).append((u, v, w))
+    want, seen = [], set()
+    for m, v in sorted(place):
+        if (m, v) not in seen:
+            seen |= {(m, r[0]) for r in ways(500, mesh.get(m, []), [v])}
+            want.append((m, *bounce(500, mesh.get(m, []), v)))
+    assert seen == place and len(want) > 10
+    assert sorted(tuple(r) for r in QUERIES["graph_far_points"](spark, sf).collect()) == sorted(want)
+
+
 def test_path_quality_of_any_ids(spark, line):
     vid, vertex, edges, rounds = line
     pairs = spark.createDataFrame([(0, vid[0], side, i, vid[at]) for side, up in (("tree", 0), ("mesh", 3)) for i, at in enumerate(range(up, up + 9))], "mesh_id long, tip long, side string, pos int, vid long")
